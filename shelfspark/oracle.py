@@ -171,6 +171,13 @@ FROM (SELECT conv_id, arg_max(text, turn) AS description FROM conversations GROU
 LEFT JOIN events e ON e.event_id = l.conv_id""")
 
 
+cte("labels_corr", ["raw_files"], """
+SELECT l.doc_id AS seq, r.path AS filepath, l.toxic,
+       (['学习','备忘','提醒','生活','任务','财务','职务'])[l.doc_id % 7 + 1] AS from_category,
+       (['study','memo','reminder','life','task','finance','work'])[(l.doc_id + 1 + l.toxic) % 7 + 1] AS to_category
+FROM labels l JOIN raw_files r ON r.file_id = l.doc_id""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

@@ -259,3 +259,166 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+# ---------------------------------------------------------------------------
+# Learning engine (LRN) and dictionary maintenance (CAT)
+# ---------------------------------------------------------------------------
+
+from shelfspark.operators import dictionary as DIC  # noqa: E402
+from shelfspark.operators import learn as LRN  # noqa: E402
+
+CORRECTIONS_SQL_CTE = None  # corrections need keyword extraction; see oracle cte "corrections"
+
+
+@register("apply_corrections")
+def q_apply_corrections(spark, sf):
+    cats, kws = X.dictionary(spark)
+    return LRN.apply_corrections(kws, cats, X.corrections(spark, sf)).select(
+        "category_id", "keyword", "locale", "weight", "source")
+
+
+@register("sample_counts", O.build(["categories", "labels_corr"], """
+SELECT c.id, c.sample_count + coalesce(n.cnt, 0) AS sample_count
+FROM categories c LEFT JOIN (SELECT to_category, count(*) AS cnt FROM labels_corr GROUP BY to_category) n
+  ON n.to_category = c.id"""))
+def q_sample_counts(spark, sf):
+    cats, _ = X.dictionary(spark)
+    return LRN.sample_counts(cats, X.corrections(spark, sf)).select("id", "sample_count")
+
+
+@register("top_corrected", O.build(["labels_corr"], """
+SELECT to_category AS category, count(*) AS corrections FROM labels_corr GROUP BY to_category
+ORDER BY corrections DESC, category LIMIT 10"""))
+def q_top_corrected(spark, sf):
+    log = LRN.log_corrections(None, X.corrections(spark, sf))
+    return LRN.top_corrected(log)
+
+
+@register("learning_stats")
+def q_learning_stats(spark, sf):
+    cats, kws = X.dictionary(spark)
+    corr = X.corrections(spark, sf)
+    new_kws = LRN.apply_corrections(kws, cats, corr)
+    return LRN.learning_stats(LRN.log_corrections(None, corr), new_kws)
+
+
+def _moves(spark, sf):
+    """Moves derived from labels: quality-1 documents move to category (doc_id + 3) % 7."""
+    labels = X.table(spark, sf, "labels").filter(F.col("quality") == 1)
+    raw = X.raw_files(spark, sf).select(F.col("file_id").alias("doc_id"), "path")
+    dirs = F.array(*[F.lit(c) for c in K.CATEGORY_DIRS])
+    return labels.join(raw, "doc_id").select(
+        F.col("doc_id").alias("seq"), "path",
+        F.element_at(dirs, (F.pmod(F.col("doc_id") + 3, F.lit(7)) + 1).cast("int")).alias("category"))
+
+
+MOVES_SQL = "(SELECT l.doc_id AS seq, r.path, ([" + ", ".join(O.q(c) for c in K.CATEGORY_DIRS) + \
+    "])[(l.doc_id + 3) % 7 + 1] AS category FROM labels l JOIN raw_files r ON r.file_id = l.doc_id " \
+    "WHERE l.quality = 1)"
+
+
+@register("moves_to_corrections", O.build(["catalog_files", "raw_files"], f"""
+SELECT m.seq, m.path AS filepath, f.category AS from_category, m.category AS to_category,
+       array_to_string(f.keywords, '|') AS keywords
+FROM {MOVES_SQL} m JOIN catalog_files f ON f.path = m.path
+WHERE f.category IS NOT NULL AND f.category <> m.category"""))
+def q_moves_to_corrections(spark, sf):
+    c = LRN.moves_to_corrections(X.catalog_files(spark, sf), _moves(spark, sf))
+    return c.select("seq", "filepath", "from_category", "to_category", F.array_join("keywords", "|").alias("keywords"))
+
+
+@register("list_categories", O.build(["categories", "keywords", "labels_corr"], """
+SELECT c.id, c.name_zh AS display_name, c.name_zh, c.name_en, array_to_string(c.extensions, ',') AS extensions,
+       c.sample_count + coalesce(n.cnt, 0) AS sample_count, coalesce(k.keyword_count, 0) AS keyword_count
+FROM categories c
+LEFT JOIN (SELECT to_category, count(*) AS cnt FROM labels_corr GROUP BY to_category) n ON n.to_category = c.id
+LEFT JOIN (SELECT category_id, count(*) AS keyword_count FROM keywords GROUP BY category_id) k ON k.category_id = c.id
+WHERE c.is_active"""))
+def q_list_categories(spark, sf):
+    cats, kws = X.dictionary(spark)
+    cats = LRN.sample_counts(cats, X.corrections(spark, sf))
+    return DIC.list_categories(cats, kws)
+
+
+def _category_requests(spark, sf):
+    """Category additions derived from the benchmark items: name = first word, keywords =
+    the next three words."""
+    b = X.table(spark, sf, "benchmark")
+    words = F.split(F.trim(F.col("text")), r"\s+")
+    return b.select(F.col("item_id").alias("seq"), F.element_at(words, 1).alias("name"),
+                    F.slice(words, 2, 3).alias("keywords"), F.array().cast("array<string>").alias("extensions"),
+                    F.lit("en").alias("locale"))
+
+
+@register("add_categories")
+def q_add_categories(spark, sf):
+    cats, kws = X.dictionary(spark)
+    new_cats, new_kws, result = DIC.add_categories(cats, kws, _category_requests(spark, sf))
+    return result
+
+
+@register("add_keywords", O.build(["keywords", "file_keywords"], """
+SELECT category_id, count(*) AS keywords_added FROM (
+  SELECT DISTINCT (['study','memo','reminder','life','task','finance','work'])[doc_id % 7 + 1] AS category_id,
+         lower(trim(keyword)) AS keyword, 'en' AS locale
+  FROM file_keywords WHERE rank <= 3 AND lower(trim(keyword)) <> '') a
+WHERE NOT EXISTS (SELECT 1 FROM keywords k WHERE k.category_id = a.category_id AND k.keyword = a.keyword
+                  AND k.locale = a.locale)
+GROUP BY category_id"""))
+def q_add_keywords(spark, sf):
+    cats, kws = X.dictionary(spark)
+    files = X.raw_files(spark, sf).select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text"))
+    top = KW.top_keywords(files, top_k=3)
+    ids = F.array(*[F.lit(c["id"]) for c in K.SEED_CATEGORIES])
+    adds = top.select((F.col("doc_id") * 100 + F.col("rank")).alias("seq"),
+                      F.element_at(ids, (F.pmod("doc_id", F.lit(7)) + 1).cast("int")).alias("category_id"),
+                      "keyword", F.lit("en").alias("locale"))
+    _, counts = DIC.add_keywords(kws, adds)
+    return counts
+
+
+@register("get_keywords")
+def q_get_keywords(spark, sf):
+    cats, kws = X.dictionary(spark)
+    new_kws = LRN.apply_corrections(kws, cats, X.corrections(spark, sf))
+    return DIC.get_keywords(new_kws)
+
+
+@register("remove_keywords", O.build(["keywords", "file_keywords"], """
+SELECT category_id, keyword, locale, weight, source FROM keywords k
+WHERE NOT EXISTS (SELECT 1 FROM file_keywords f WHERE f.keyword = k.keyword)"""))
+def q_remove_keywords(spark, sf):
+    """Remove, from every category, each keyword that occurs among the documents' top words."""
+    cats, kws = X.dictionary(spark)
+    files = X.raw_files(spark, sf).select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text"))
+    words = KW.top_keywords(files).select("keyword").distinct()
+    removals = words.join(F.broadcast(kws.select("category_id", "keyword")), "keyword")
+    return DIC.remove_keywords(kws, removals).select("category_id", "keyword", "locale", "weight", "source")
+
+
+@register("update_categories", O.build(["categories", "labels_corr"], """
+SELECT c.id, coalesce(u.name_en, c.name_en) AS name_en, c.is_active
+FROM categories c LEFT JOIN (
+  SELECT to_category AS id, arg_max('Renamed ' || CAST(seq AS VARCHAR), seq) AS name_en FROM labels_corr
+  GROUP BY to_category) u ON u.id = c.id"""))
+def q_update_categories(spark, sf):
+    cats, _ = X.dictionary(spark)
+    corr = X.corrections(spark, sf)
+    upd = corr.select("seq", F.col("to_category").alias("id"), F.lit(None).cast("string").alias("name_zh"),
+                      F.concat(F.lit("Renamed "), F.col("seq").cast("string")).alias("name_en"),
+                      F.lit(None).cast("boolean").alias("is_active"),
+                      F.lit(None).cast("array<string>").alias("extensions"),
+                      F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    return DIC.update_categories(cats, upd).select("id", "name_en", "is_active")
+
+
+@register("delete_categories", O.build(["categories", "labels_corr"], """
+SELECT c.id, c.is_active AND c.id NOT IN (SELECT to_category FROM labels_corr WHERE toxic = 1) AS is_active
+FROM categories c"""))
+def q_delete_categories(spark, sf):
+    cats, _ = X.dictionary(spark)
+    corr = X.corrections(spark, sf).join(X.table(spark, sf, "labels").select(F.col("doc_id").alias("seq"), "toxic"),
+                                         "seq").filter(F.col("toxic") == 1)
+    dels = corr.select(F.col("to_category").alias("id"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
+    return DIC.delete_categories(cats, dels).select("id", "is_active")
