@@ -178,6 +178,93 @@ SELECT l.doc_id AS seq, r.path AS filepath, l.toxic,
 FROM labels l JOIN raw_files r ON r.file_id = l.doc_id""")
 
 
+cte("pii_docs", [], """
+SELECT c_custkey AS doc_id,
+       CASE WHEN c_custkey % 4 = 0 THEN 'customer ' || c_name || ' segment ' || c_mktsegment
+            ELSE 'ID 4110221990' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0')
+                 || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')
+                 || 'X tel 138' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || ' mail '
+                 || lower(replace(c_name, '#', '.')) || '@example.com permit C' || lpad(CAST(c_custkey AS VARCHAR), 8, '0')
+                 || ' sid dc' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') END AS text,
+       'vault/_sensitive/scan_' || CAST(c_custkey AS VARCHAR)
+         || CASE c_custkey % 3 WHEN 0 THEN '_passport.jpg' WHEN 1 THEN '_NDA_agreement.pdf' ELSE '.png' END
+         AS filepath
+FROM customer""")
+
+
+def _re2(p: str) -> str:
+    """A fixed pattern in RE2 syntax (DuckDB): code points as \\x{...}."""
+    import re as _re
+    return _re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: "\\x{" + m.group(1) + "}", p)
+
+
+def _pii_lists() -> str:
+    cols, lists = [], []
+    for i, (name, pat) in enumerate(K.PII_PATTERNS):
+        rp = q(_re2(pat))
+        cols.append(f"regexp_extract_all(text, {rp}) AS m{i}, string_split_regex(text, {rp}) AS p{i}")
+        lists.append(
+            f"list_transform(range(1, len(m{i}) + 1), lambda k: {{'prio': {i}, 'type': {q(name)}, 'original': m{i}[k], "
+            f"'start': CAST(coalesce(list_sum(list_transform(p{i}[1:k], lambda x: length(x))), 0) "
+            f"+ coalesce(list_sum(list_transform(m{i}[1:k-1], lambda x: length(x))), 0) AS INTEGER)}})")
+    return ("SELECT doc_id, text, filepath, unnest(list_concat(" + ", ".join(lists) + ")) AS f FROM (SELECT doc_id, "
+            "text, filepath, " + ", ".join(cols) + " FROM pii_docs)")
+
+
+cte("pii_raw", ["pii_docs"], _pii_lists())
+cte("pii_found", ["pii_raw"], """
+SELECT doc_id, text, filepath, f.type AS type, f.start AS start, f.start + length(f.original) AS "end",
+       CASE f.type
+         WHEN '身份证号' THEN f.original[1:6] || '**********' || f.original[-1:]
+         WHEN '手机号' THEN f.original[1:3] || '****' || f.original[-4:]
+         WHEN '邮箱' THEN split_part(f.original, '@', 1)[1:1] || '***@' || split_part(f.original, '@', 2)
+         WHEN '地址' THEN CASE WHEN length(f.original) > 8 THEN f.original[1:8] || '***' ELSE '***地址***' END
+         ELSE CASE WHEN length(f.original) > 3 THEN f.original[1:2] || repeat('*', length(f.original) - 3)
+                   || f.original[-1:] ELSE '***' END END AS redacted,
+       row_number() OVER (PARTITION BY doc_id ORDER BY f.start) AS idx
+FROM pii_raw""")
+cte("pii_redacted", ["pii_docs", "pii_found"], """
+SELECT d.doc_id, d.text, d.filepath,
+       CASE WHEN max(f.doc_id) IS NULL THEN d.text
+            ELSE string_agg(f.seg, '' ORDER BY f.start) || max(f.tail) END AS redacted_text,
+       count(f.doc_id) AS pii_count,
+       list(DISTINCT f.type) AS types_unordered,
+       list(f.type ORDER BY f.start) AS types
+FROM pii_docs d LEFT JOIN (
+  SELECT doc_id, start, type,
+         substring(text, coalesce(lag("end") OVER w, 0) + 1, start - coalesce(lag("end") OVER w, 0)) || redacted AS seg,
+         CASE WHEN idx = count(*) OVER (PARTITION BY doc_id) THEN substring(text, "end" + 1) END AS tail
+  FROM pii_found WINDOW w AS (PARTITION BY doc_id ORDER BY start)) f ON f.doc_id = d.doc_id
+GROUP BY d.doc_id, d.text, d.filepath""")
+
+
+def _safe_desc_sql() -> str:
+    ctx = " ".join(
+        f"|| CASE WHEN {' OR '.join(f'contains(text, {q(w)})' for w in words)} THEN {q('、' + label)} ELSE '' END"
+        for label, words in K.PII_CONTEXT_TESTS)
+    return f"""
+SELECT doc_id, text, filepath, redacted_text, pii_count, types,
+  CASE WHEN pii_count = 0 THEN '' ELSE
+    array_to_string(list_concat(list_distinct_ordered,
+      CASE WHEN has_name AND has_student THEN ['学生证件'] WHEN has_name THEN ['个人证件'] ELSE [] END,
+      CASE WHEN has_permit THEN ['通行证件'] ELSE [] END), '、')
+    || CASE WHEN ctx <> '' THEN ' - 含' || ctx[2:] || '相关内容' ELSE '' END END AS safe_description
+FROM (SELECT *, list_has_any(types, ['学号','学号2','澳大学号']) AS has_student,
+             list_contains(types, '姓名') AS has_name, list_has_any(types, ['证件号','通行证号']) AS has_permit,
+             list_filter(types, lambda x, i: list_position(types, x) = i) AS list_distinct_ordered,
+             '' {ctx} AS ctx
+      FROM pii_redacted)"""
+
+
+cte("pii_desc", ["pii_redacted"], _safe_desc_sql())
+
+
+def _hint_sql(col: str) -> str:
+    base = f"regexp_extract(coalesce({col}, ''), '[^/]*$', 0)"
+    words = ", ".join(q(w) for w in K.PII_FILENAME_HINT_WORDS)
+    return f"array_to_string(list_filter([{words}], lambda w: contains({base}, w)), '、')"
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

@@ -204,7 +204,7 @@ SEARCH_TERM = "tion"
 @register("search_files", O.build(["catalog_files"], f"""
 SELECT path, category, file_type, original_name, view_count, importance, confidence, last_accessed
 FROM catalog_files
-WHERE {O.like('original_name', SEARCH_TERM)} OR list_bool_or([{O.like('k', SEARCH_TERM)} FOR k IN keywords])
+WHERE {O.like('original_name', SEARCH_TERM)} OR list_bool_or(list_transform(keywords, lambda k: {O.like('k', SEARCH_TERM)}))
    OR {O.like('extracted_text', SEARCH_TERM)}
 ORDER BY importance DESC, view_count DESC, path LIMIT 50"""))
 def q_search_files(spark, sf):
@@ -422,3 +422,70 @@ def q_delete_categories(spark, sf):
                                          "seq").filter(F.col("toxic") == 1)
     dels = corr.select(F.col("to_category").alias("id"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
     return DIC.delete_categories(cats, dels).select("id", "is_active")
+
+
+# ---------------------------------------------------------------------------
+# Personal data (PII)
+# ---------------------------------------------------------------------------
+
+from shelfspark.functions import pii as PF  # noqa: E402
+from shelfspark.operators import pii as PII  # noqa: E402
+
+
+@register("pii_findings", O.build(["pii_found"], """
+SELECT doc_id, idx, type, start, "end", redacted FROM pii_found"""))
+def q_pii_findings(spark, sf):
+    s = PII.scan(X.pii_text(spark, sf)).select("doc_id", F.posexplode("findings").alias("i", "f"))
+    return s.select("doc_id", (F.col("i") + 1).cast("bigint").alias("idx"), F.col("f.type").alias("type"),
+                    F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.redacted").alias("redacted"))
+
+
+@register("redact_text", O.build(["pii_desc"], """
+SELECT doc_id, redacted_text, pii_count, pii_count > 0 AS has_pii, safe_description FROM pii_desc"""))
+def q_redact_text(spark, sf):
+    r = PII.redact_documents(X.pii_text(spark, sf))
+    return r.select("doc_id", "redacted_text", F.col("pii_count").cast("bigint").alias("pii_count"), "has_pii",
+                    "safe_description")
+
+
+@register("pii_profile", O.build(["pii_found"], """
+SELECT type, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM pii_found GROUP BY type"""))
+def q_pii_profile(spark, sf):
+    return PII.pii_profile(X.pii_text(spark, sf))
+
+
+@register("filename_hints", O.build(["pii_docs"], f"""
+SELECT filepath, {O._hint_sql('filepath')} AS hint FROM pii_docs"""))
+def q_filename_hints(spark, sf):
+    return X.pii_text(spark, sf).select("filepath", PF.filename_hint(F.col("filepath")).alias("hint"))
+
+
+@register("sensitive_descriptions", O.build(["pii_desc"], f"""
+SELECT filepath AS path,
+       CASE WHEN coalesce(filepath, '') = '' THEN
+              CASE WHEN safe_description <> '' THEN safe_description ELSE '敏感文件（未识别到具体类型）' END
+            WHEN {O._hint_sql('filepath')} <> '' AND safe_description <> ''
+              THEN {O._hint_sql('filepath')} || '：' || safe_description
+            WHEN {O._hint_sql('filepath')} <> '' THEN {O._hint_sql('filepath')}
+            ELSE safe_description END AS description
+FROM pii_desc"""))
+def q_sensitive_descriptions(spark, sf):
+    _, d, _ = PII.ingest_sensitive(X.pii_text(spark, sf))
+    return d
+
+
+@register("ingest_sensitive", O.build(["pii_desc"], """
+SELECT filepath AS path, '_sensitive' AS category, redacted_text[1:500] AS extracted_text,
+       coalesce(array_to_string(list_filter(types, lambda x: x IS NOT NULL), '|'), '') AS keywords FROM pii_desc"""))
+def q_ingest_sensitive(spark, sf):
+    files, _, _ = PII.ingest_sensitive(X.pii_text(spark, sf))
+    return files.select("path", "category", "extracted_text", F.array_join("keywords", "|").alias("keywords"))
+
+
+@register("pii_documents")
+def q_pii_documents(spark, sf):
+    """PII scan of the whole document corpus (non-ASCII text: Python-oracle tested)."""
+    d = X.table(spark, sf, "documents").select("doc_id", "text")
+    r = PII.redact_documents(d)
+    return r.select("doc_id", F.col("pii_count").cast("bigint").alias("pii_count"), "safe_description",
+                    F.sha2(F.col("redacted_text"), 256).alias("redacted_sha256"))
