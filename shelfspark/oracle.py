@@ -265,6 +265,35 @@ def _hint_sql(col: str) -> str:
     return f"array_to_string(list_filter([{words}], lambda w: contains({base}, w)), '、')"
 
 
+def _stem_sql(stem: str) -> str:
+    """TXT-6 candidates of a file stem as a DuckDB list (ASCII names)."""
+    low = f"lower({stem})"
+    strip = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    def keep(expr: str) -> str:
+        st = strip.format(x=expr)
+        return f"CASE WHEN {st} <> '' AND {st} <> {low} THEN {st} END"
+    cands = [stem]
+    for pat in K.STEM_SUFFIX_PATTERNS:
+        cands.append(keep(f"regexp_replace({low}, {q(_re2(pat))}, '', 'i')"))
+    cands.append(keep(f"regexp_replace({low}, {q(K.STEM_TRAILING_DIGITS)}, '')"))
+    cands.append(keep(f"regexp_replace({low}, {q(K.STEM_DATE_PREFIX)}, '')"))
+    cands.append(keep(f"regexp_replace({low}, {q(K.STEM_CHAPTER)}, '', 'g')"))
+    prefixes = []
+    for sep in K.STEM_SEPARATORS:
+        parts = f"string_split({low}, {q(sep)})"
+        prefixes.append(f"CASE WHEN len({parts}) >= 2 THEN list_transform(range(1, len({parts})), "
+                        f"lambda i: array_to_string(({parts})[1:i], {q(sep)})) ELSE []::VARCHAR[] END")
+    allc = "list_concat([" + ", ".join(cands) + "], " + ", ".join(prefixes) + ")"
+    return f"list_distinct(list_filter({allc}, lambda s: s IS NOT NULL AND length(s) >= 2))"
+
+
+cte("file_stems", ["raw_files"], f"""
+SELECT directory, path, original_name,
+       {_stem_sql("(CASE WHEN regexp_matches(original_name, '^.+[.][^.]+$') "
+                  "THEN regexp_extract(original_name, '^(.+)[.][^.]+$', 1) ELSE original_name END)")} AS stems
+FROM raw_files WHERE NOT starts_with(original_name, '.')""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

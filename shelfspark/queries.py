@@ -489,3 +489,129 @@ def q_pii_documents(spark, sf):
     r = PII.redact_documents(d)
     return r.select("doc_id", F.col("pii_count").cast("bigint").alias("pii_count"), "safe_description",
                     F.sha2(F.col("redacted_text"), 256).alias("redacted_sha256"))
+
+
+# ---------------------------------------------------------------------------
+# File grouping (GRP) and organise / archive plans (ORG)
+# ---------------------------------------------------------------------------
+
+from shelfspark.functions.stems import stem_candidates  # noqa: E402
+from shelfspark.functions.text import name_stem  # noqa: E402
+from shelfspark.operators import groups as GRP  # noqa: E402
+from shelfspark.plans import organize as ORG  # noqa: E402
+
+ARCHIVE_DAYS = 10
+
+
+@register("file_stems", O.build(["file_stems"], """
+SELECT path, array_to_string(list_sort(stems), '|') AS stems FROM file_stems"""))
+def q_file_stems(spark, sf):
+    f = GRP.listing(X.raw_files(spark, sf))
+    return f.select("path", F.array_join(F.array_sort(stem_candidates(name_stem(F.col("name")))), "|").alias("stems"))
+
+
+@register("stem_index", O.build(["file_stems"], """
+SELECT directory, stem, count(*) AS files FROM (SELECT directory, unnest(stems) AS stem FROM file_stems)
+GROUP BY directory, stem HAVING count(*) >= 2"""))
+def q_stem_index(spark, sf):
+    idx = GRP.stem_index(X.raw_files(spark, sf))
+    return idx.groupBy("directory", "stem").agg(F.count(F.lit(1)).alias("files")).filter(F.col("files") >= 2)
+
+
+@register("file_groups")
+def q_file_groups(spark, sf):
+    g = GRP.file_groups(X.raw_files(spark, sf))
+    return g.select("directory", "stem", "stem_files", "suggested_folder", "strategy", "file_count", "confidence",
+                    F.array_join("files", "|").alias("files"))
+
+
+@register("group_summary")
+def q_group_summary(spark, sf):
+    files = X.raw_files(spark, sf)
+    s = GRP.group_summary(files, GRP.file_groups(files))
+    return s.select("directory", "total_files", "grouped_count", "ungrouped_count",
+                    F.array_join("ungrouped_files", "|").alias("ungrouped_files"), "status")
+
+
+@register("group_manifest")
+def q_group_manifest(spark, sf):
+    files = X.raw_files(spark, sf)
+    return ORG.group_manifest(files, GRP.file_groups(files))
+
+
+@register("ungroup_manifest", O.build(["raw_files"], """
+SELECT directory AS folder, path AS src,
+       'vault/_inbox/' || CASE WHEN k = 0 THEN name ELSE stem || '_' || CAST(k AS VARCHAR) || sfx END AS dst,
+       TRUE AS folder_deleted
+FROM (SELECT directory, path, original_name AS name,
+             regexp_extract(original_name, '^.+([.][^.]+)$', 1) AS sfx,
+             CASE WHEN regexp_matches(original_name, '^.+[.][^.]+$')
+                  THEN regexp_extract(original_name, '^(.+)[.][^.]+$', 1) ELSE original_name END AS stem,
+             row_number() OVER (PARTITION BY original_name ORDER BY path) - 1 AS k
+      FROM raw_files)"""))
+def q_ungroup_manifest(spark, sf):
+    """Ungroup every source folder of the inbox: all files move up into vault/_inbox."""
+    files = X.raw_files(spark, sf)
+    folders = files.select(F.col("directory").alias("folder")).distinct()
+    return ORG.ungroup_manifest(files, folders)
+
+
+ORG_MOVES_SQL = """(SELECT l.doc_id AS seq, CASE WHEN l.quality = 1 THEN r.path ELSE r.path || '.missing' END AS path,
+       CASE WHEN l.toxic = 1 THEN 'Unknown' || CAST(l.doc_id % 3 AS VARCHAR)
+            ELSE (['学习','备忘','提醒','生活','任务','财务','职务'])[l.doc_id % 7 + 1] END AS category
+FROM labels l JOIN raw_files r ON r.file_id = l.doc_id)"""
+
+
+def _org_moves(spark, sf):
+    labels = X.table(spark, sf, "labels")
+    raw = X.raw_files(spark, sf).select(F.col("file_id").alias("doc_id"), "path")
+    dirs = F.array(*[F.lit(c) for c in K.CATEGORY_DIRS])
+    return labels.join(raw, "doc_id").select(
+        F.col("doc_id").alias("seq"),
+        F.when(F.col("quality") == 1, F.col("path")).otherwise(F.concat("path", F.lit(".missing"))).alias("path"),
+        F.when(F.col("toxic") == 1, F.concat(F.lit("Unknown"), F.pmod("doc_id", F.lit(3)).cast("string")))
+        .otherwise(F.element_at(dirs, (F.pmod("doc_id", F.lit(7)) + 1).cast("int"))).alias("category"))
+
+
+@register("organize_plan", O.build(["raw_files"], f"""
+SELECT seq, src, CASE WHEN ok THEN target_dir || '/' || CASE WHEN k = 0 THEN name
+                      ELSE stem || '_' || CAST(k AS VARCHAR) || sfx END END AS dst,
+       category, target_dir, CASE WHEN ok THEN 'moved' ELSE 'error' END AS status,
+       CASE WHEN NOT ok THEN 'Source not found: ' || src END AS error
+FROM (SELECT m.seq, m.path AS src, m.category, r.file_id IS NOT NULL AS ok,
+             'vault/' || CASE WHEN m.category IN ('_inbox', '_archive', '_sensitive', '学习', '备忘', '提醒', '生活',
+                                                  '任务', '财务', '职务') THEN m.category ELSE '_inbox' END AS target_dir,
+             regexp_extract(m.path, '[^/]*$', 0) AS name,
+             regexp_extract(regexp_extract(m.path, '[^/]*$', 0), '^.+([.][^.]+)$', 1) AS sfx,
+             regexp_extract(regexp_extract(m.path, '[^/]*$', 0), '^(.+)[.][^.]+$', 1) AS stem,
+             row_number() OVER (PARTITION BY r.file_id IS NOT NULL,
+               CASE WHEN m.category IN ('_inbox', '_archive', '_sensitive', '学习', '备忘', '提醒', '生活', '任务',
+                                        '财务', '职务') THEN m.category ELSE '_inbox' END,
+               regexp_extract(m.path, '[^/]*$', 0) ORDER BY m.seq) - 1 AS k
+      FROM {ORG_MOVES_SQL} m LEFT JOIN raw_files r ON r.path = m.path)"""))
+def q_organize_plan(spark, sf):
+    return ORG.organize_plan(X.raw_files(spark, sf), _org_moves(spark, sf))
+
+
+ARCHIVE_SQL = f"""
+SELECT path AS src, 'vault/_archive/' || category || '/' || CASE WHEN k = 0 THEN name
+       ELSE stem || '_' || CAST(k AS VARCHAR) || sfx END AS dst, category AS from_category, file_size
+FROM (SELECT path, category, file_size, regexp_extract(path, '[^/]*$', 0) AS name,
+             regexp_extract(regexp_extract(path, '[^/]*$', 0), '^.+([.][^.]+)$', 1) AS sfx,
+             regexp_extract(regexp_extract(path, '[^/]*$', 0), '^(.+)[.][^.]+$', 1) AS stem,
+             row_number() OVER (PARTITION BY category, regexp_extract(path, '[^/]*$', 0) ORDER BY path) - 1 AS k
+      FROM catalog_files
+      WHERE CAST(last_accessed AS DATE) <= DATE '2024-02-01' - INTERVAL {ARCHIVE_DAYS} DAY
+        AND category <> '_archive' AND NOT starred)"""
+
+
+@register("archive_plan", O.build(["catalog_files"], ARCHIVE_SQL))
+def q_archive_plan(spark, sf):
+    return ORG.archive_plan(X.catalog_files(spark, sf), X.AS_OF, ARCHIVE_DAYS)
+
+
+@register("archive_summary", O.build(["catalog_files"], f"""
+SELECT count(*) AS archived_count, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_freed_bytes
+FROM ({ARCHIVE_SQL})"""))
+def q_archive_summary(spark, sf):
+    return ORG.archive_summary(ORG.archive_plan(X.catalog_files(spark, sf), X.AS_OF, ARCHIVE_DAYS))
