@@ -222,3 +222,11 @@ def catalog_files(spark: SparkSession, sf_dir: str, with_access: bool = True) ->
     if with_access:
         files = apply_access_log(files, access_log(spark, sf_dir))
     return files
+
+
+def review_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review queue: catalogue files left in _inbox or routed there by low
+    confidence (CLS-11), excluding archived ones."""
+    files = catalog_files(spark, sf_dir)
+    return files.filter((F.col("category") != K.ARCHIVE)
+                        & ((F.col("category") == K.INBOX) | (F.col("confidence") < K.LOW_CONFIDENCE)))

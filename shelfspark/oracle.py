@@ -294,6 +294,19 @@ SELECT directory, path, original_name,
 FROM raw_files WHERE NOT starts_with(original_name, '.')""")
 
 
+cte("review_inbox", ["catalog_files"], """
+SELECT * FROM catalog_files WHERE category <> '_archive' AND (category = '_inbox' OR confidence < 0.3)""")
+cte("inbox_occ", ["review_inbox"], """
+SELECT file_id, path, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) AS pos FROM review_inbox""")
+cte("frequent_kw", ["inbox_occ"], """
+SELECT keyword, cnt FROM (
+  SELECT keyword, count(*) AS cnt, min(file_id * 1000 + pos) AS first FROM inbox_occ GROUP BY keyword
+  ORDER BY cnt DESC, first LIMIT 30)
+WHERE cnt >= 3 AND length(keyword) >= 2
+  AND lower(keyword) NOT IN ('the', 'a', 'an', 'is', 'of', 'to', 'in', 'and', '的', '了', '是', '在', '和',
+                             '2024', '2025', '2026')""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

@@ -615,3 +615,33 @@ SELECT count(*) AS archived_count, CAST(coalesce(sum(file_size), 0) AS BIGINT) A
 FROM ({ARCHIVE_SQL})"""))
 def q_archive_summary(spark, sf):
     return ORG.archive_summary(ORG.archive_plan(X.catalog_files(spark, sf), X.AS_OF, ARCHIVE_DAYS))
+
+
+# ---------------------------------------------------------------------------
+# Category suggestion (SUG)
+# ---------------------------------------------------------------------------
+
+from shelfspark.operators import suggest as SUG  # noqa: E402
+
+
+@register("frequent_keywords", O.build(["frequent_kw"], "SELECT keyword, cnt FROM frequent_kw"))
+def q_frequent_keywords(spark, sf):
+    return SUG.frequent_keywords(X.review_inbox(spark, sf)).select("keyword", "cnt")
+
+
+@register("keyword_cooccurrence", O.build(["inbox_occ", "frequent_kw"], """
+SELECT a.keyword AS kw1, b.keyword AS kw2, count(*) AS files
+FROM (SELECT DISTINCT file_id, keyword FROM inbox_occ WHERE keyword IN (SELECT keyword FROM frequent_kw)) a
+JOIN (SELECT DISTINCT file_id, keyword FROM inbox_occ WHERE keyword IN (SELECT keyword FROM frequent_kw)) b
+  ON a.file_id = b.file_id AND a.keyword < b.keyword
+GROUP BY a.keyword, b.keyword"""))
+def q_keyword_cooccurrence(spark, sf):
+    inbox = X.review_inbox(spark, sf)
+    return SUG.keyword_cooccurrence(inbox, SUG.frequent_keywords(inbox))
+
+
+@register("suggest_categories")
+def q_suggest_categories(spark, sf):
+    s = SUG.suggest_categories(X.review_inbox(spark, sf))
+    return s.select("rank", "status", "proposed_name", F.array_join("top_keywords", "|").alias("top_keywords"),
+                    "file_count", F.array_join("sample_files", "|").alias("sample_files"), "message")
