@@ -230,3 +230,13 @@ def review_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = catalog_files(spark, sf_dir)
     return files.filter((F.col("category") != K.ARCHIVE)
                         & ((F.col("category") == K.INBOX) | (F.col("confidence") < K.LOW_CONFIDENCE)))
+
+
+def vault_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path table of the whole vault: catalogue files plus the sensitive scans
+    (path, size, modified)."""
+    files = raw_files(spark, sf_dir).select("path", F.col("file_size").alias("size"),
+                                            F.lit(1704067200.0).alias("modified"))
+    sens = pii_text(spark, sf_dir).select(F.col("filepath").alias("path"), F.length("text").cast("bigint")
+                                          .alias("size"), F.lit(1704067200.0).alias("modified"))
+    return files.unionByName(sens)

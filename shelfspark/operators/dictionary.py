@@ -115,7 +115,9 @@ def category_slug(name) -> "F.Column":
     n = F.col(name) if isinstance(name, str) else name
     slug = F.substring(F.regexp_replace(F.replace(F.lower(n), F.lit(" "), F.lit("_")),
                                         "[^a-z0-9_]", "_"), 1, K.SLUG_CAP)
-    hashed = F.concat(F.lit("cat_"), F.pmod(F.crc32(F.encode(n, "UTF-8")), F.lit(10000)).cast("string"))
+    # stable across processes (the reference's hash() is randomised per process, V14)
+    h = F.conv(F.substring(F.md5(F.encode(n, "UTF-8")), 1, 8), 16, 10).cast("bigint")
+    hashed = F.concat(F.lit("cat_"), F.pmod(h, F.lit(10000)).cast("string"))
     return F.when((slug == "") | slug.startswith("_"), hashed).otherwise(slug)
 
 

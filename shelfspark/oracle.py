@@ -307,6 +307,16 @@ WHERE cnt >= 3 AND length(keyword) >= 2
                              '2024', '2025', '2026')""")
 
 
+cte("vault_paths", ["raw_files", "pii_docs"], """
+SELECT path, file_size AS size, 1704067200.0::DOUBLE AS modified FROM raw_files
+UNION ALL SELECT filepath, CAST(length(text) AS BIGINT), 1704067200.0::DOUBLE FROM pii_docs""")
+cte("vault_listing", ["vault_paths"], """
+SELECT path, regexp_extract(path, '[^/]*$', 0) AS name, size, modified,
+       lower(regexp_extract(regexp_extract(path, '[^/]*$', 0), '(?s)^.+([.][^.]+)$', 1)) AS extension,
+       regexp_replace(path, '^vault/', '') AS relative_path
+FROM vault_paths WHERE NOT starts_with(regexp_extract(path, '[^/]*$', 0), '.')""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

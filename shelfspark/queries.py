@@ -645,3 +645,311 @@ def q_suggest_categories(spark, sf):
     s = SUG.suggest_categories(X.review_inbox(spark, sf))
     return s.select("rank", "status", "proposed_name", F.array_join("top_keywords", "|").alias("top_keywords"),
                     "file_count", F.array_join("sample_files", "|").alias("sample_files"), "message")
+
+
+# ---------------------------------------------------------------------------
+# Scans and sources (SCN), path / name checks (FLT-7..9), slugs (TXT-4)
+# ---------------------------------------------------------------------------
+
+from shelfspark.functions import paths as PTH  # noqa: E402
+from shelfspark.sources import files as SRC  # noqa: E402
+
+VAULT_ROOT = "vault"
+_FLAG_SQL = ", ".join([
+    f"extension IN ({', '.join(O.q(e) for e in K.FLAG_IMAGE)}) AS is_image",
+    f"extension IN ({', '.join(O.q(e) for e in K.FLAG_VIDEO)}) AS is_video",
+    f"extension IN ({', '.join(O.q(e) for e in K.FLAG_AUDIO)}) AS is_audio",
+    f"extension IN ({', '.join(O.q(e) for e in K.FLAG_TEXT)}) AS is_text",
+    "extension = '.pdf' AS is_pdf"])
+
+
+def _vault_listing(spark, sf):
+    return SRC.listing_from_paths(X.vault_paths(spark, sf), VAULT_ROOT)
+
+
+@register("scan_files", O.build(["vault_listing"], """
+SELECT path, name, size, extension, relative_path FROM vault_listing"""))
+def q_scan_files(spark, sf):
+    return _vault_listing(spark, sf).select("path", "name", "size", "extension", "relative_path")
+
+
+@register("file_type_flags", O.build(["vault_listing"], f"SELECT path, {_FLAG_SQL} FROM vault_listing"))
+def q_file_type_flags(spark, sf):
+    return _vault_listing(spark, sf).select("path", *PTH.type_flags(F.col("extension")))
+
+
+@register("exclude_sensitive", O.build(["vault_listing"], """
+SELECT path, relative_path FROM vault_listing WHERE NOT starts_with(relative_path, '_sensitive/')"""))
+def q_exclude_sensitive(spark, sf):
+    return SRC.exclude_sensitive(_vault_listing(spark, sf)).select("path", "relative_path")
+
+
+def _mime_sql(e: str) -> str:
+    return "CASE " + " ".join(f"WHEN {e} = {O.q(k)} THEN {O.q(v)}" for k, v in K.MIME_MAP.items()) + \
+        f" ELSE {O.q(K.DEFAULT_MIME)} END"
+
+
+@register("servable_files", O.build(["vault_listing"], f"""
+SELECT path, extension IN ({', '.join(O.q(e) for e in K.ALLOWED_EXTENSIONS)}) AND size <= {K.MAX_FILE_BYTES}
+       AS servable, {_mime_sql('extension')} AS mime_type FROM vault_listing"""))
+def q_servable_files(spark, sf):
+    v = _vault_listing(spark, sf)
+    return v.select("path", PTH.servable(F.col("extension"), F.col("size")).alias("servable"),
+                    PTH.mime_type(F.col("extension")).alias("mime_type"))
+
+
+def _kind_sql(e: str) -> str:
+    sets = [("text", K.TEXT_EXTENSIONS), ("ipynb", K.IPYNB_EXTENSIONS), ("pdf", K.PDF_EXTENSIONS),
+            ("docx", K.DOCX_EXTENSIONS), ("pptx", K.PPTX_EXTENSIONS), ("image", K.IMAGE_EXTENSIONS),
+            ("audio", K.AUDIO_EXTENSIONS), ("video", K.VIDEO_EXTENSIONS)]
+    return "CASE " + " ".join(f"WHEN {e} IN ({', '.join(O.q(x) for x in xs)}) THEN {O.q(k)}" for k, xs in sets) + \
+        " ELSE 'unknown' END"
+
+
+@register("extract_dispatch", O.build(["vault_listing"], f"""
+SELECT path, kind, CASE kind WHEN 'image' THEN '[Image: ' || name || ']' WHEN 'audio' THEN '[Audio: ' || name || ']'
+                    WHEN 'video' THEN '[Video: ' || name || ']' WHEN 'unknown' THEN '[Unknown type: ' || name || ']'
+                    END AS placeholder
+FROM (SELECT path, name, {_kind_sql('extension')} AS kind FROM vault_listing)"""))
+def q_extract_dispatch(spark, sf):
+    v = _vault_listing(spark, sf).withColumn("kind", SRC.extraction_kind(F.col("extension")))
+    return v.select("path", "kind", SRC.placeholder("kind", "name").alias("placeholder"))
+
+
+_AUDIT_SQL = """(SELECT page_id, CASE page_id % 5 WHEN 0 THEN p WHEN 1 THEN '../..' || p WHEN 2 THEN '%2e%2e' || p
+                                  WHEN 3 THEN '/~x' || p ELSE p || '%00.jpg' END AS raw_path
+  FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS p FROM pages))"""
+
+
+@register("path_audit", f"""
+SELECT page_id, safe, CASE WHEN safe THEN array_to_string(kept, '/') END AS normalized FROM (
+  SELECT page_id, NOT list_bool_or(list_transform(parts, lambda x: x = '..' OR starts_with(x, '~')))
+                  AND len(kept) > 0 AS safe, kept
+  FROM (SELECT page_id, parts, list_filter(parts, lambda x: x <> '' AND x <> '.') AS kept
+        FROM (SELECT page_id, string_split(regexp_replace(replace(url_decode(raw_path), chr(0), ''), '^/+', ''), '/')
+                     AS parts FROM {_AUDIT_SQL})))""")
+def q_path_audit(spark, sf):
+    a = X.audit_paths(spark, sf)
+    safe, norm = PTH.path_audit(F.col("raw_path"))
+    return a.select("page_id", safe.alias("safe"), norm.alias("normalized"))
+
+
+@register("sanitize_names", f"""
+SELECT a.page_id,
+       coalesce(name <> '' AND NOT contains(name, chr(0)) AND NOT contains(name, chr(10))
+         AND NOT contains(name, chr(13)) AND NOT contains(name, '/') AND NOT contains(name, '\\')
+         AND NOT contains(name, '..'), FALSE) AS name_safe,
+       regexp_replace(host, '[^\\w\\x{{4e00}}-\\x{{9fff}}\\-_]', '', 'g')[1:64] AS category_clean
+FROM (SELECT page_id, regexp_extract(raw_path, '[^/]*$', 0) AS name FROM {_AUDIT_SQL}) a
+JOIN (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages) h ON h.page_id = a.page_id""")
+def q_sanitize_names(spark, sf):
+    a = X.audit_paths(spark, sf).select("page_id", F.element_at(F.split("raw_path", "/"), -1).alias("name"))
+    h = X.table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"))
+    return a.join(h, "page_id").select("page_id", F.coalesce(PTH.is_safe_filename(F.col("name")), F.lit(False))
+                                       .alias("name_safe"),
+                                       PTH.validate_category(F.col("host")).alias("category_clean"))
+
+
+@register("category_slug", """
+SELECT item_id, name, CASE WHEN slug = '' OR starts_with(slug, '_')
+                           THEN 'cat_' || CAST(('0x' || substr(md5(name), 1, 8))::BIGINT % 10000 AS VARCHAR)
+                           ELSE slug END AS slug
+FROM (SELECT item_id, name, regexp_replace(replace(lower(name), ' ', '_'), '[^a-z0-9_]', '_', 'g')[1:32] AS slug
+      FROM (SELECT item_id, split_part(trim(text), ' ', 1) AS name FROM benchmark))""")
+def q_category_slug(spark, sf):
+    b = X.table(spark, sf, "benchmark").select("item_id", F.split(F.trim("text"), " ").getItem(0).alias("name"))
+    return b.select("item_id", "name", DIC.category_slug(F.col("name")).alias("slug"))
+
+
+@register("assemble_pages", """
+SELECT doc_id, CASE WHEN scanned THEN fulltext ELSE fulltext[1:50000] END AS text,
+       CASE WHEN scanned THEN 'scanned_pdf' ELSE 'pdf' END AS file_type,
+       CASE WHEN scanned THEN 'Low text content — may be scanned PDF. Install marker-pdf for OCR.' END AS error
+FROM (SELECT doc_id, fulltext, length(regexp_replace(fulltext, '^\\s+|\\s+$', '', 'g')) < 50 AS scanned FROM (
+  SELECT conv_id AS doc_id, coalesce(string_agg(text, chr(10) ORDER BY turn)
+           FILTER (WHERE NOT regexp_matches(text, '^\\s*$')), '') AS fulltext
+  FROM conversations GROUP BY conv_id))""")
+def q_assemble_pages(spark, sf):
+    return SRC.assemble_pages(X.pdf_pages(spark, sf))
+
+
+def notebooks_from_conversations(spark, sf):
+    """One notebook JSON per conversation: user turns are markdown cells, assistant
+    turns code cells, others raw; even turns store ``source`` as a list of lines."""
+    conv = X.table(spark, sf, "conversations")
+    ctype = (F.when(F.col("role") == "user", F.lit("markdown")).when(F.col("role") == "assistant", F.lit("code"))
+             .otherwise(F.lit("raw")))
+    lines = F.split(F.col("text"), "\n", -1)
+    as_list = F.to_json(F.transform(lines, lambda l, i: F.when(i < F.size(lines) - 1, F.concat(l, F.lit("\n")))
+                                    .otherwise(l)))
+    as_str = F.regexp_replace(F.to_json(F.array(F.col("text"))), r"^\[|\]$", "")
+    cell = F.concat(F.lit('{"cell_type":'), F.regexp_replace(F.to_json(F.array(ctype)), r"^\[|\]$", ""),
+                    F.lit(',"source":'), F.when(F.pmod("turn", F.lit(2)) == 0, as_list).otherwise(as_str), F.lit("}"))
+    cells = conv.select("conv_id", "turn", cell.alias("cell")).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "cell"))).alias("c"))
+    return cells.select("conv_id", F.concat(F.lit('{"cells":['), F.array_join(F.transform("c", lambda x: x["cell"]), ","),
+                                            F.lit('],"metadata":{}}')).alias("json"))
+
+
+@register("read_notebook", """
+SELECT conv_id, CASE WHEN body = '' THEN '[Jupyter Notebook: 0 code cells, 0 markdown cells]' ELSE body[1:50000] END
+       AS text
+FROM (SELECT conv_id, coalesce(string_agg(
+        CASE WHEN role = 'assistant' THEN '# --- Code Cell ' ELSE '# --- Markdown Cell ' END || CAST(n AS VARCHAR)
+        || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE keep), '') AS body
+      FROM (SELECT conv_id, turn, role, text,
+                   role IN ('user', 'assistant') AND NOT regexp_matches(text, '^\\s*$') AS keep,
+                   sum(CASE WHEN role IN ('user', 'assistant') AND NOT regexp_matches(text, '^\\s*$') THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY conv_id, role ORDER BY turn) AS n
+            FROM conversations)
+      GROUP BY conv_id)""")
+def q_read_notebook(spark, sf):
+    nb = notebooks_from_conversations(spark, sf)
+    text, err = SRC.notebook_text(F.col("json"))
+    return nb.select("conv_id", text.alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# State merges: SNK-1 upsert, AGG-11..13 feeds, FLT-3 batch search
+# ---------------------------------------------------------------------------
+
+def _upsert_changes(spark, sf):
+    labels = X.table(spark, sf, "labels")
+    raw = X.raw_files(spark, sf).select(F.col("file_id").alias("doc_id"), "path")
+    base = labels.join(raw, "doc_id").select(
+        F.col("doc_id").alias("seq"), "path",
+        F.when(F.col("quality") == 1, F.lit("学习")).alias("category"),
+        F.when(F.col("toxic") == 1, F.lit(0.9)).alias("importance"))
+    new = labels.filter(F.col("toxic") == 1).select(
+        F.col("doc_id").alias("seq"),
+        F.concat(F.lit("vault/_inbox/new/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.lit(None).cast("string").alias("category"), F.lit(0.5).alias("importance"))
+    return base.unionByName(new)
+
+
+@register("upsert_files", O.build(["catalog_files"], """
+SELECT coalesce(f.path, c.path) AS path,
+       CASE WHEN f.path IS NULL THEN coalesce(c.category, '_inbox') ELSE coalesce(c.category, f.category) END
+         AS category,
+       CASE WHEN f.path IS NULL THEN coalesce(c.importance, 0.0) ELSE coalesce(c.importance, f.importance) END
+         AS importance,
+       coalesce(f.starred, FALSE) AS starred, coalesce(f.view_count, 0) AS view_count
+FROM catalog_files f FULL OUTER JOIN (
+  SELECT r.path, CASE WHEN l.quality = 1 THEN '学习' END AS category, CASE WHEN l.toxic = 1 THEN 0.9 END AS importance
+  FROM labels l JOIN raw_files r ON r.file_id = l.doc_id
+  UNION ALL SELECT 'vault/_inbox/new/' || CAST(doc_id AS VARCHAR) || '.txt', NULL, 0.5 FROM labels WHERE toxic = 1) c
+  ON c.path = f.path"""))
+def q_upsert_files(spark, sf):
+    out = CAT.upsert(X.catalog_files(spark, sf), _upsert_changes(spark, sf))
+    return out.select("path", "category", "importance", "starred", "view_count")
+
+
+_EVENT_FILE_SQL = "(SELECT e.*, r.path FROM events e JOIN raw_files r ON r.file_id = e.event_id % (SELECT n FROM n_docs))"
+
+
+def _event_files(spark, sf):
+    docs = X.table(spark, sf, "documents")
+    n = docs.select(F.count(F.lit(1))).scalar()
+    raw = X.raw_files(spark, sf).select(F.col("file_id").alias("_fid"), "path")
+    ev = X.table(spark, sf, "events")
+    return ev.withColumn("_fid", F.pmod("event_id", n)).join(raw, "_fid").drop("_fid")
+
+
+@register("apply_importance", O.build(["catalog_files", "raw_files", "n_docs"], f"""
+SELECT coalesce(f.path, c.path) AS path, coalesce(c.importance, f.importance) AS importance,
+       coalesce(f.category, '_inbox') AS category, coalesce(f.view_count, 0) AS view_count
+FROM catalog_files f FULL OUTER JOIN (
+  SELECT path, arg_max(importance, seq) AS importance FROM (
+    SELECT event_id AS seq, path, value / 100.0 AS importance FROM {_EVENT_FILE_SQL} WHERE event_type = 'purchase'
+    UNION ALL SELECT event_id, 'vault/_inbox/ghost/' || CAST(event_id AS VARCHAR) || '.txt', value / 100.0
+    FROM events WHERE event_type = 'error') GROUP BY path) c ON c.path = f.path"""))
+def q_apply_importance(spark, sf):
+    ev = _event_files(spark, sf)
+    known = ev.filter(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("seq"), "path", (F.col("value") / 100.0).alias("importance"))
+    ghost = X.table(spark, sf, "events").filter(F.col("event_type") == "error").select(
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("vault/_inbox/ghost/"), F.col("event_id").cast("string"), F.lit(".txt")).alias("path"),
+        (F.col("value") / 100.0).alias("importance"))
+    out = CAT.apply_importance(X.catalog_files(spark, sf), known.unionByName(ghost))
+    return out.select("path", "importance", "category", "view_count")
+
+
+@register("apply_star_toggles", O.build(["catalog_files", "raw_files", "n_docs"], f"""
+SELECT f.path, CASE WHEN coalesce(t.n, 0) % 2 = 1 THEN NOT f.starred ELSE f.starred END AS starred
+FROM catalog_files f LEFT JOIN (SELECT path, count(*) AS n FROM {_EVENT_FILE_SQL} WHERE event_type = 'click'
+                                GROUP BY path) t ON t.path = f.path"""))
+def q_apply_star_toggles(spark, sf):
+    toggles = _event_files(spark, sf).filter(F.col("event_type") == "click").select(F.col("event_id").alias("seq"),
+                                                                                    "path")
+    new, _ = CAT.apply_star_toggles(X.catalog_files(spark, sf), toggles)
+    return new.select("path", "starred")
+
+
+@register("star_toggle_errors", O.build(["catalog_files"], """
+SELECT DISTINCT 'vault/ghost/' || CAST(user_id AS VARCHAR) AS path, 'File not found in metadata' AS error
+FROM events WHERE event_type = 'signup'"""))
+def q_star_toggle_errors(spark, sf):
+    toggles = X.table(spark, sf, "events").filter(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("vault/ghost/"), F.col("user_id").cast("string")).alias("path"))
+    _, errors = CAT.apply_star_toggles(X.catalog_files(spark, sf), toggles)
+    return errors
+
+
+def _description_feed(spark, sf):
+    conv = X.table(spark, sf, "conversations")
+    base = F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
+    a = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+                    F.concat(F.lit("vault/conv/"), F.col("conv_id").cast("string")).alias("path"),
+                    F.col("text").alias("description"))
+    b = X.table(spark, sf, "pages").select(
+        (F.lit(10 ** 9) + F.col("page_id")).alias("seq"),
+        F.concat(F.lit("vault/page/"), F.col("page_id").cast("string")).alias("path"), F.col("url").alias("description"))
+    feed = a.unionByName(b)
+    return feed.withColumn("at", F.timestamp_add("SECOND", F.col("seq"), base))
+
+
+@register("apply_descriptions", O.build(["descriptions"], """
+SELECT coalesce(d.path, c.path) AS path, coalesce(c.description, d.description) AS description,
+       CASE WHEN d.path IS NULL THEN c.first_at ELSE d.created_at END AS created_at,
+       coalesce(c.at_ts, d.updated_at) AS updated_at
+FROM descriptions d FULL OUTER JOIN (
+  SELECT path, arg_max(description, seq) AS description, arg_max(at_ts, seq) AS at_ts, min(at_ts) AS first_at FROM (
+    SELECT seq, path, description, TIMESTAMP '2024-02-01 00:00:00' + to_seconds(seq) AS at_ts FROM (
+      SELECT conv_id * 1000 + turn AS seq, 'vault/conv/' || CAST(conv_id AS VARCHAR) AS path, text AS description
+      FROM conversations
+      UNION ALL SELECT 1000000000 + page_id, 'vault/page/' || CAST(page_id AS VARCHAR), url FROM pages)
+    WHERE description IS NOT NULL AND description <> '') GROUP BY path) c ON c.path = d.path"""))
+def q_apply_descriptions(spark, sf):
+    return CAT.apply_descriptions(X.descriptions(spark, sf), _description_feed(spark, sf))
+
+
+@register("delete_descriptions", O.build(["descriptions"], """
+SELECT p.path, d.path IS NOT NULL AS deleted
+FROM (SELECT DISTINCT 'vault/conv/' || CAST(page_id AS VARCHAR) AS path FROM pages) p
+LEFT JOIN descriptions d ON d.path = p.path"""))
+def q_delete_descriptions(spark, sf):
+    dels = X.table(spark, sf, "pages").select(F.concat(F.lit("vault/conv/"), F.col("page_id").cast("string"))
+                                              .alias("path"))
+    _, report = CAT.delete_descriptions(X.descriptions(spark, sf), dels)
+    return report
+
+
+def _batch_queries(spark, sf):
+    b = X.table(spark, sf, "benchmark")
+    word = F.btrim(F.split(F.trim("text"), r"\s+").getItem(1), F.lit(K.KEYWORD_STRIP_CHARS))
+    return b.select(F.col("item_id").alias("query_id"), word.alias("query"))
+
+
+@register("search_batch", O.build(["descriptions"], f"""
+SELECT query_id, path, updated_at, rank, total_hits FROM (
+  SELECT q.query_id, d.path, d.updated_at,
+         row_number() OVER (PARTITION BY q.query_id ORDER BY d.updated_at DESC, d.path) AS rank,
+         count(*) OVER (PARTITION BY q.query_id) AS total_hits
+  FROM (SELECT item_id AS query_id, trim(string_split_regex(trim(text), '\s+')[2], {O.STRIP}) AS query
+        FROM benchmark) q
+  JOIN descriptions d ON q.query <> '' AND {O.fold('d.description')} LIKE '%' || {O.fold('q.query')} || '%')
+WHERE rank <= 50"""))
+def q_search_batch(spark, sf):
+    r = CAT.search_batch(X.descriptions(spark, sf), _batch_queries(spark, sf))
+    return r.withColumn("rank", F.col("rank").cast("bigint"))
