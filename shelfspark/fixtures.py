@@ -80,7 +80,11 @@ def file_text_expr() -> F.Column:
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files before classification: one row per document."""
-    docs = table(spark, sf_dir, "documents")
+    return raw_files_from(table(spark, sf_dir, "documents"))
+
+
+def raw_files_from(docs: DataFrame) -> DataFrame:
+    """The raw-files projection of a documents DataFrame (batch or streaming)."""
     directory = F.concat(F.lit("vault/_inbox/"), F.col("source"))
     return docs.select(
         F.col("doc_id").alias("file_id"),

@@ -946,10 +946,90 @@ SELECT query_id, path, updated_at, rank, total_hits FROM (
   SELECT q.query_id, d.path, d.updated_at,
          row_number() OVER (PARTITION BY q.query_id ORDER BY d.updated_at DESC, d.path) AS rank,
          count(*) OVER (PARTITION BY q.query_id) AS total_hits
-  FROM (SELECT item_id AS query_id, trim(string_split_regex(trim(text), '\s+')[2], {O.STRIP}) AS query
+  FROM (SELECT item_id AS query_id, trim(string_split_regex(trim(text), '\\s+')[2], {O.STRIP}) AS query
         FROM benchmark) q
   JOIN descriptions d ON q.query <> '' AND {O.fold('d.description')} LIKE '%' || {O.fold('q.query')} || '%')
 WHERE rank <= 50"""))
 def q_search_batch(spark, sf):
     r = CAT.search_batch(X.descriptions(spark, sf), _batch_queries(spark, sf))
     return r.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming (STR)
+# ---------------------------------------------------------------------------
+
+from shelfspark.streaming import jobs as STR  # noqa: E402
+
+THROTTLE_LIMIT = K.MAX_ATTEMPTS
+THROTTLE_WINDOW_S = 86_400  # FIXTURES: 5 per day (60 s never triggers on this data)
+
+
+@register("stream_access_counts", O.build(["access_log"], """
+SELECT file_path, count(*) AS views, max(accessed_at) AS last_view FROM access_log GROUP BY file_path"""))
+def q_stream_access_counts(spark, sf):
+    return STR.stream_access_counts(spark, sf).select("file_path", "views", "last_view")
+
+
+@register("access_windows", O.build(["access_log", "classified", "raw_files"], """
+SELECT window_start, window_end, category, views FROM (
+  SELECT date_trunc('day', e.accessed_at) AS window_start, date_trunc('day', e.accessed_at) + INTERVAL 1 DAY AS window_end,
+         c.category, count(*) AS views
+  FROM access_log e JOIN raw_files r ON r.path = e.file_path JOIN classified c ON c.file_id = r.file_id
+  GROUP BY 1, 2, 3)
+WHERE window_end <= (SELECT max(accessed_at) FROM access_log) - INTERVAL 1 HOUR"""))
+def q_access_windows(spark, sf):
+    return STR.access_windows(spark, sf)
+
+
+@register("stream_ingest", O.build(["classified", "raw_files"], """
+SELECT c.file_id, r.path, c.category, c.category_id, c.confidence,
+       CASE WHEN c.confidence < 0.3 THEN '_inbox' ELSE c.category END AS routed_to,
+       c.confidence < 0.3 AS needs_review
+FROM classified c JOIN raw_files r ON r.file_id = c.file_id"""))
+def q_stream_ingest(spark, sf):
+    return STR.stream_ingest(spark, sf)
+
+
+@register("stream_corrections")
+def q_stream_corrections(spark, sf):
+    return STR.stream_corrections(spark, sf).select("category_id", "keyword", "locale", "weight", "source")
+
+
+@register("throttle_audit")
+def q_throttle_audit(spark, sf):
+    return STR.throttle_batch(X.attempts(spark, sf), THROTTLE_LIMIT, THROTTLE_WINDOW_S)
+
+
+@register("stream_throttle")
+def q_stream_throttle(spark, sf):
+    return STR.stream_throttle(spark, sf, THROTTLE_LIMIT, THROTTLE_WINDOW_S)
+
+
+@register("attempt_rate", f"""
+SELECT CAST(user_id AS VARCHAR) AS key, event_id,
+       count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
+                      RANGE BETWEEN {THROTTLE_WINDOW_S * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS attempts_in_window
+FROM events""")
+def q_attempt_rate(spark, sf):
+    from pyspark.sql import Window
+    a = X.attempts(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("key").orderBy("t").rangeBetween(-(THROTTLE_WINDOW_S * 1_000_000 - 1), 0)
+    return a.select("key", "event_id", F.count(F.lit(1)).over(w).alias("attempts_in_window"))
+
+
+# ---------------------------------------------------------------------------
+# End-to-end compositions (E2E)
+# ---------------------------------------------------------------------------
+
+from shelfspark.plans import pipelines as E2E  # noqa: E402
+
+
+@register("ingest_pipeline")
+def q_ingest_pipeline(spark, sf):
+    return E2E.ingest_pipeline(spark, sf)
+
+
+@register("reclassify_shift")
+def q_reclassify_shift(spark, sf):
+    return E2E.reclassify_shift(spark, sf)
