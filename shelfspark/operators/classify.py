@@ -171,7 +171,8 @@ def classify(files: DataFrame, categories: DataFrame, keywords: DataFrame, local
     display = F.when(use_zh, best["name_zh"]).otherwise(best["name_en"])
     others = F.transform("_others", lambda o: F.when(use_zh, o["name_zh"]).otherwise(o["name_en"]))
     ceiling = F.greatest(best["n_kw"].cast("double") * F.lit(K.CEILING_PER_KEYWORD), F.lit(K.CEILING_MIN))
-    confidence = F.least(best["score"] / ceiling, F.lit(1.0))
+    # least() skips NULLs, so an unmatched file must be handled before it
+    confidence = F.when(best.isNotNull(), F.least(best["score"] / ceiling, F.lit(1.0)))
     has_categories = bool(categories.filter("is_active").head(1))
     no_match_reason = K.REASON_NO_MATCH if has_categories else K.REASON_NO_CATEGORIES
     return per_file.select(

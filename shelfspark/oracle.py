@@ -123,7 +123,8 @@ cte("kw_count", ["keywords"], "SELECT category_id, count(*) AS n_kw FROM keyword
 cte("classified", ["cls_prepped", "cls_ranked", "categories", "kw_count"], """
 SELECT p.file_id,
        coalesce(c.name_zh, '_inbox') AS category, b.category_id,
-       coalesce(least(CAST(b.score_dec AS DOUBLE) / greatest(CAST(n.n_kw AS DOUBLE) * 2.5, 5.0), 1.0), 0.0)
+       CASE WHEN b.file_id IS NULL THEN 0.0
+            ELSE least(CAST(b.score_dec AS DOUBLE) / greatest(CAST(n.n_kw AS DOUBLE) * 2.5, 5.0), 1.0) END
          AS confidence,
        coalesce(CAST(b.score_dec AS DOUBLE), 0.0) AS score,
        p.locale_detected,
