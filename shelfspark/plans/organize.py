@@ -7,8 +7,8 @@ Collision naming (ORG-2) in bulk: incoming names are grouped into families
 (target directory, stem, suffix). The candidates of a family are
 ``name, stem_1.suffix, stem_2.suffix, ...``; those already present are removed
 (anti join) and the k-th incoming file of the family takes the k-th free
-candidate. A second pass re-resolves the rare clashes between families
-(``a.txt`` twice and an incoming ``a_1.txt``) against the names already given.
+candidate. Rare clashes between families (``a.txt`` twice and an incoming
+``a_1.txt``) are settled by further passes that keep sequential order exactly.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from shelfspark import constants as K
 from shelfspark.functions.stems import safe_folder_name
 from shelfspark.functions.text import name_stem, path_name, path_parent
+from shelfspark.session import cut_lineage
 
 VAULT = "vault"
-MAX_PASSES = 8
+MAX_PASSES_HARD = 100_000
 
 
 def _split(name_col: str, split_suffix: bool):
@@ -45,24 +46,35 @@ def _family_members(existing: DataFrame, split_suffix: bool) -> DataFrame:
 
 
 def collision_names(existing: DataFrame, incoming: DataFrame, split_suffix: bool = True) -> DataFrame:
-    """ORG-2. ``existing``: (dir, name); ``incoming``: (order, dir, name).
-    Returns incoming with ``final_name``: the name itself when free, else the first
-    free ``stem_n.suffix`` (n = 1, 2, ...), in ``order`` within a family."""
+    """ORG-2. ``existing``: (dir, name); ``incoming``: (order, dir, name) with a unique,
+    totally ordered ``order``. Returns incoming with ``final_name``: the first name of
+    ``name, stem_1.suffix, stem_2.suffix, ...`` not taken by an existing file or by an
+    earlier incoming one — exactly the sequential result.
+
+    Each pass assigns family by family (k-th incoming -> k-th free candidate). Names
+    can only clash across families (``a.txt`` twice and an incoming ``a_1.txt``); every
+    pending file ordered at or before the earliest clash is provably final, so it is
+    fixed and the rest is re-resolved against the grown set of taken names. Without
+    cross-family clashes (the usual case) one pass settles everything."""
     taken = existing.select("dir", "name")
     pending = incoming.select("order", "dir", "name")
     done = None
-    for _ in range(MAX_PASSES):
+    for _ in range(MAX_PASSES_HARD):
         out = _one_pass(taken, pending, split_suffix)
-        # the earliest incoming keeps a clashing name; later ones are re-resolved
-        w = Window.partitionBy("dir", "final_name").orderBy("order")
-        ranked = out.withColumn("_dup", F.row_number().over(w))
-        ok = ranked.filter(F.col("_dup") == 1).drop("_dup")
-        again = ranked.filter(F.col("_dup") > 1).select("order", "dir", "name")
-        done = ok if done is None else done.unionByName(ok)
-        if not again.head(1):
+        w = Window.partitionBy("dir", "final_name")
+        out = out.withColumn("_n", F.count(F.lit(1)).over(w))
+        first_clash = out.filter(F.col("_n") > 1).select(F.min("order")).first()[0]
+        if first_clash is None:
+            fixed, rest = out.drop("_n"), None
+        else:
+            fixed = out.filter(F.col("order") <= F.lit(first_clash)).drop("_n")
+            rest = out.filter(F.col("order") > F.lit(first_clash)).select("order", "dir", "name")
+        fixed = cut_lineage(fixed) if rest is not None else fixed
+        done = fixed if done is None else done.unionByName(fixed)
+        if rest is None:
             break
-        taken = taken.unionByName(ok.select("dir", F.col("final_name").alias("name")))
-        pending = again
+        taken = taken.unionByName(fixed.select("dir", F.col("final_name").alias("name")))
+        pending = cut_lineage(rest)
     return done
 
 

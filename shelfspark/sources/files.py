@@ -42,15 +42,39 @@ def listing_from_paths(paths: DataFrame, root: str) -> DataFrame:
             .withColumn("relative_path", F.regexp_replace("path", "^" + re.escape(base) + "/", "")))
 
 
+def directories(spark: SparkSession, root: str) -> list[str]:
+    """``root`` and every directory below it, through the Hadoop FileSystem API (works
+    on any Hadoop-compatible store). Spark's file index hides names starting with '_'
+    or '.', which would hide ``_inbox`` / ``_archive`` / ``_sensitive``; listing the
+    directories (far fewer than files) and loading them explicitly avoids that."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    start = jvm.org.apache.hadoop.fs.Path(root)
+    fs = start.getFileSystem(conf)
+    out, todo = [], [start]
+    while todo:
+        d = todo.pop()
+        out.append(d.toString())
+        for st in fs.listStatus(d):
+            if st.isDirectory() and not st.getPath().getName().startswith("."):
+                todo.append(st.getPath())
+    return sorted(out)
+
+
+def _binary(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    paths = directories(spark, root) if recursive else [root]
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(paths)
+
+
 def list_files(spark: SparkSession, root: str, subdir: str | None = None, recursive: bool = True) -> DataFrame:
     """SCN-1: every non-hidden file under ``root`` (or ``root/subdir``): path, name,
     size, modified (epoch seconds), extension, relative_path. ``content`` is never
     selected, so no file body is read."""
     base = root.rstrip("/")
     target = f"{base}/{subdir}" if subdir else base
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-          .load(target).select(_strip_scheme(F.col("path")).alias("path"), F.col("length").alias("size"),
-                               (F.unix_micros(F.col("modificationTime")).cast("double") / 1e6).alias("modified")))
+    df = _binary(spark, target, recursive).select(
+        _strip_scheme(F.col("path")).alias("path"), F.col("length").alias("size"),
+        (F.unix_micros(F.col("modificationTime")).cast("double") / 1e6).alias("modified"))
     return listing_from_paths(df, base)
 
 
@@ -232,7 +256,7 @@ def assemble_pages(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def extract_files(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
     """SCN-4..9: one extraction row per non-hidden file of a directory (non-recursive
     by default, as the batch tool): filepath, filename, file_type, text, error."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root))
+    raw = _binary(spark, root, recursive)
     path = _strip_scheme(F.col("path"))
     name = path_name(path)
     df = (raw.select(path.alias("path"), name.alias("name"), "content")
