@@ -210,10 +210,11 @@ def catalog_files(spark: SparkSession, sf_dir: str, with_access: bool = True) ->
     """The ``files`` catalogue table: raw files + category + extracted keywords, then
     the access log rolled up into view_count / last_accessed."""
     from shelfspark.operators.catalog import apply_access_log
-    from shelfspark.operators.keywords import keyword_arrays
+    from shelfspark.operators.keywords import keyword_lists
     raw = raw_files(spark, sf_dir)
     cls = classified_files(spark, sf_dir).select("file_id", "category", "confidence")
-    kw = keyword_arrays(raw.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text")))
+    kw = keyword_lists(raw.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text")))
+    # kw is an aggregate keyed by file_id: queries that use no keyword drop this join
     files = (raw.join(cls, "file_id").join(kw.withColumnRenamed("doc_id", "file_id"), "file_id", "left")
              .select("file_id", "path", "directory", "original_name",
                      F.when(F.pmod("file_id", F.lit(ARCHIVED_EVERY)) == 0, F.lit(K.ARCHIVE))

@@ -81,24 +81,116 @@ def match_dictionary(categories: DataFrame, keywords: DataFrame) -> DataFrame:
     return kw.unionByName(ext)
 
 
+try:  # optional: multi-pattern matcher for the Arrow path
+    import ahocorasick as _ac
+except ImportError:  # pragma: no cover
+    _ac = None
+
+# Dictionaries with more keyword rows than this use the Aho-Corasick path when
+# available: one linear pass over each text instead of one scan per keyword.
+AC_MIN_KEYWORDS = 64
+# Upper bound for shipping the automaton to the executors as a broadcast.
+AC_MAX_KEYWORDS = 5_000_000
+
+MATCH_SCHEMA = "file_id bigint, locale_detected string, _idx int, tier int"
+
+
+def _ac_runner(bc):
+    """mapInPandas body: for each file, every dictionary row whose keyword occurs in
+    the haystack (or whose extension equals the file suffix), with its tier; a file
+    without any match yields one row with a NULL index."""
+    import pandas as pd
+
+    def run(batches):
+        automaton, keys, always, ext_index = bc.value
+        for pdf in batches:
+            fid, loc, idx, tier = [], [], [], []
+            cols = zip(pdf["file_id"], pdf["_hay"], pdf["_name"], pdf["_kwj"], pdf["_ext"], pdf["locale_detected"])
+            for f, hay, name, kwj, ext, lc in cols:
+                hits = set(always)
+                if len(automaton):
+                    for _, ids in automaton.iter(hay):
+                        hits.update(ids)
+                n0 = len(fid)
+                for i in sorted(hits):
+                    kw = keys[i]
+                    fid.append(f)
+                    loc.append(lc)
+                    idx.append(i)
+                    tier.append(K.TIER_FILENAME if kw in name else K.TIER_KEYWORD if kw in kwj else K.TIER_TEXT)
+                for i in ext_index.get(ext, ()):
+                    fid.append(f)
+                    loc.append(lc)
+                    idx.append(i)
+                    tier.append(None)
+                if len(fid) == n0:
+                    fid.append(f)
+                    loc.append(lc)
+                    idx.append(None)
+                    tier.append(None)
+            yield pd.DataFrame({"file_id": pd.Series(fid, dtype="int64"), "locale_detected": loc,
+                                "_idx": pd.Series(idx, dtype="Int32"), "tier": pd.Series(tier, dtype="Int32")})
+
+    return run
+
+
+def _ac_matches(prepped: DataFrame, dict_df: DataFrame, keep_unmatched: bool) -> DataFrame:
+    """Aho-Corasick path: the (size-checked) dictionary becomes one automaton shipped
+    to the executors as a broadcast; each text is scanned once."""
+    spark = prepped.sparkSession
+    n = dict_df.count()
+    if n > AC_MAX_KEYWORDS:
+        raise ValueError(f"dictionary of {n} rows exceeds the broadcast bound {AC_MAX_KEYWORDS}")
+    rows = dict_df.orderBy("_kind", "kw_id", "category_id", "_kw").collect()
+    automaton = _ac.Automaton()
+    keys, always, ext_index, by_kw = [], [], {}, {}
+    for i, r in enumerate(rows):
+        keys.append(r["_kw"])
+        if r["_kind"] == "ext":
+            ext_index.setdefault(r["_kw"], []).append(i)
+        elif r["_kw"] == "":
+            always.append(i)
+        else:
+            by_kw.setdefault(r["_kw"], []).append(i)
+    for kw, ids in by_kw.items():
+        automaton.add_word(kw, ids)
+    if by_kw:
+        automaton.make_automaton()
+    bc = spark.sparkContext.broadcast((automaton, keys, always, ext_index))
+    indexed = spark.createDataFrame([(i,) + tuple(r) for i, r in enumerate(rows)],
+                                    "_idx int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}"
+                                                             for f in dict_df.schema.fields))
+    found = prepped.select("file_id", "_hay", "_name", "_kwj", "_ext", "locale_detected").mapInPandas(
+        _ac_runner(bc), MATCH_SCHEMA)
+    if not keep_unmatched:
+        found = found.filter(F.col("_idx").isNotNull())
+    return found.join(F.broadcast(indexed), "_idx", "left")
+
+
 def dictionary_matches(prepped: DataFrame, categories: DataFrame, keywords: DataFrame,
-                       keep_unmatched: bool = False) -> DataFrame:
+                       keep_unmatched: bool = False, matcher: str = "auto") -> DataFrame:
     """CLS-2/3/4: one row per (file, dictionary row) whose keyword is a substring of
     the haystack (or whose extension equals the file suffix), with tier and locale
     bonus. With ``keep_unmatched`` files without any match keep one all-NULL row
     (left outer join), so callers need no second pass over the files."""
     dict_df = match_dictionary(categories, keywords)
-    cond = (((F.col("_kind") == "kw") & F.col("_hay").contains(F.col("_kw")))
-            | ((F.col("_kind") == "ext") & (F.col("_ext") == F.col("_kw"))))
-    how = "left" if keep_unmatched else "inner"
-    out = None
-    for chunk in _dictionary_chunks(dict_df):
-        m = prepped.join(F.broadcast(chunk), cond, how)
-        out = m if out is None else out.unionByName(m)
-    tier = (F.when(F.col("_kind") == "ext", F.lit(None))
-            .when(F.col("_name").contains(F.col("_kw")), F.lit(K.TIER_FILENAME))
-            .when(F.col("_kwj").contains(F.col("_kw")), F.lit(K.TIER_KEYWORD))
-            .otherwise(F.lit(K.TIER_TEXT)))
+    use_ac = matcher == "ac" or (matcher == "auto" and _ac is not None
+                                 and dict_df.count() >= AC_MIN_KEYWORDS)
+    if use_ac:
+        out = _ac_matches(prepped, dict_df, keep_unmatched)
+        tier = F.col("tier")
+    else:
+        cond = (((F.col("_kind") == "kw") & F.col("_hay").contains(F.col("_kw")))
+                | ((F.col("_kind") == "ext") & (F.col("_ext") == F.col("_kw"))))
+        how = "left" if keep_unmatched else "inner"
+        out = None
+        for chunk in _dictionary_chunks(dict_df):
+            m = prepped.join(F.broadcast(chunk), cond, how)
+            out = m if out is None else out.unionByName(m)
+        tier = (F.when(F.col("_kind") == "ext", F.lit(None))
+                .when(F.col("_name").contains(F.col("_kw")), F.lit(K.TIER_FILENAME))
+                .when(F.col("_kwj").contains(F.col("_kw")), F.lit(K.TIER_KEYWORD))
+                .otherwise(F.lit(K.TIER_TEXT)))
     bonus = F.when(F.col("_kw_locale") == F.col("locale_detected"), F.lit(K.LOCALE_BONUS)).otherwise(F.lit(1.0))
     return out.select("file_id", "locale_detected", "_kind", "category_id", "ord", "kw_id",
                       F.col("_kw").alias("keyword"), F.col("_kw_locale").alias("keyword_locale"), "weight",
@@ -106,8 +198,8 @@ def dictionary_matches(prepped: DataFrame, categories: DataFrame, keywords: Data
 
 
 def _contribution_rows(prepped: DataFrame, categories: DataFrame, keywords: DataFrame,
-                       keep_unmatched: bool) -> DataFrame:
-    m = dictionary_matches(prepped, categories, keywords, keep_unmatched)
+                       keep_unmatched: bool, matcher: str = "auto") -> DataFrame:
+    m = dictionary_matches(prepped, categories, keywords, keep_unmatched, matcher)
     label = (F.when(F.col("_kind") == "ext", F.concat(F.lit("extension "), F.col("keyword")))
              .when(F.col("tier") == K.TIER_FILENAME,
                    F.format_string("filename '%s' (w=%.1f)", F.col("keyword"), F.col("weight")))
@@ -122,13 +214,13 @@ def _contribution_rows(prepped: DataFrame, categories: DataFrame, keywords: Data
 
 
 def category_scores(prepped: DataFrame, categories: DataFrame, keywords: DataFrame,
-                    partitions: int | None = None, with_markers: bool = False) -> DataFrame:
+                    partitions: int | None = None, with_markers: bool = False, matcher: str = "auto") -> DataFrame:
     """CLS-5: positive score per (file, category), hash-partitioned by file_id.
 
     Categories without a match score 0 and never win or get suggested, so they
     are not materialised. With ``with_markers`` a file without any match keeps one
     row with a NULL category (its detected locale rides on every row)."""
-    rows = _contribution_rows(prepped, categories, keywords, with_markers)
+    rows = _contribution_rows(prepped, categories, keywords, with_markers, matcher)
     rows = rows.repartition(partitions, "file_id") if partitions else rows.repartition("file_id")
     return rows.groupBy("file_id", "category_id", "ord").agg(
         F.sum("contrib").alias("score_dec"),
@@ -137,14 +229,14 @@ def category_scores(prepped: DataFrame, categories: DataFrame, keywords: DataFra
 
 
 def classify(files: DataFrame, categories: DataFrame, keywords: DataFrame, locale: str = "zh",
-             partitions: int | None = None) -> DataFrame:
+             partitions: int | None = None, matcher: str = "auto") -> DataFrame:
     """CLS-1..12 for every file.
 
     Output: file_id, category (display name or ``_inbox``), category_id, confidence
     (unrounded), score, locale_detected, suggestions array<string>, reason.
     """
     prepped = prepare(files)
-    scores = category_scores(prepped, categories, keywords, partitions, with_markers=True)
+    scores = category_scores(prepped, categories, keywords, partitions, with_markers=True, matcher=matcher)
     cats = categories.select(F.col("id").alias("category_id"), "name_zh", "name_en")
     kw_count = keywords.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_kw"))
     w = Window.partitionBy("file_id").orderBy(F.col("score_dec").desc_nulls_last(), F.col("ord"))

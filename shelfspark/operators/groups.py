@@ -51,7 +51,7 @@ def ranked_pairs(files: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE) -> Da
 def greedy_assign(pairs: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE,
                   checkpoint: bool = True) -> DataFrame:
     """GRP-2: (directory, stem, rank, path) of the files each group takes."""
-    remaining = pairs
+    remaining = cut_lineage(pairs, "group-pairs") if checkpoint else pairs
     won = None
     for _ in range(MAX_ROUNDS):
         live = (remaining.groupBy("directory", "stem").agg(F.count(F.lit(1)).alias("n"))
@@ -64,11 +64,11 @@ def greedy_assign(pairs: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE,
         taken = flagged.join(winners, ["directory", "stem"], "left_semi").select("directory", "stem", "n", "rank",
                                                                                  "path")
         if checkpoint:
-            taken = cut_lineage(taken)
+            taken = cut_lineage(taken, "group-taken")
         won = taken if won is None else won.unionByName(taken)
         remaining = lp.join(taken.select("directory", "path"), ["directory", "path"], "left_anti")
         if checkpoint:
-            remaining = cut_lineage(remaining)
+            remaining = cut_lineage(remaining, "group-remaining")
         if not remaining.head(1):
             break
     if won is None:

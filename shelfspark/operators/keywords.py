@@ -11,15 +11,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark import constants as K
-from shelfspark.functions.text import keyword_tokens
+
+
+def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pos, keyword) for every word of length >= 2 (TXT-2 rules). The split is
+    exploded first so stripping and the length test run in whole-stage codegen
+    rather than in interpreted lambdas."""
+    raw = docs.select(F.col(id_col).alias("doc_id"),
+                      F.posexplode(F.split(F.lower(F.col(text_col)), K.WHITESPACE_RUN)).alias("pos", "w"))
+    return (raw.select("doc_id", "pos", F.btrim(F.col("w"), F.lit(K.KEYWORD_STRIP_CHARS)).alias("keyword"))
+            .filter(F.length("keyword") >= 2))
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keyword, cnt, first_pos) for every word of every document."""
-    words = docs.select(F.col(id_col).alias("doc_id"),
-                        F.posexplode(keyword_tokens(F.col(text_col))).alias("pos", "keyword"))
-    return words.groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("cnt"),
-                                                   F.min("pos").alias("first_pos"))
+    """(doc_id, keyword, cnt, first_pos) for every word of every document; the partial
+    aggregate runs map-side, so only distinct (doc, word) pairs are shuffled."""
+    return words(docs, id_col, text_col).groupBy("doc_id", "keyword").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
 
 
 def top_keywords(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "doc_id",
@@ -37,14 +45,19 @@ def top_keywords(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "
 
 def keyword_arrays(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """(doc_id, keywords array<string>) in rank order; documents without words get []."""
+    """(doc_id, keywords array<string>) in rank order for documents with keywords;
+    callers left-join it and default to [] (see ``keyword_lists``)."""
+    return keyword_lists(docs, top_k, id_col, text_col)
+
+
+def keyword_lists(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """(doc_id, keywords) for documents with at least one keyword (an aggregate keyed
+    by doc_id, so a left join to it that uses no keyword column can be dropped)."""
     tk = top_keywords(docs, top_k, id_col, text_col)
-    arr = tk.groupBy("doc_id").agg(
+    return tk.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda s: s["keyword"])
         .alias("keywords"))
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    return ids.join(arr, "doc_id", "left").select(
-        "doc_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
 def tfidf_keywords(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "doc_id",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark import constants as K
+from shelfspark.session import cut_lineage
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("rank", T.IntegerType()),
@@ -92,6 +93,8 @@ def suggest_categories(inbox: DataFrame, min_files: int = K.SUGGEST_MIN_FILES) -
     """SUG-1..5: up to three proposed categories from the inbox files
     (file_id, path, keywords). Gate failures give one status row."""
     spark = inbox.sparkSession
+    # several small driver decisions follow; compute the (narrow) inbox once
+    inbox = cut_lineage(inbox.select("file_id", "path", "keywords"), "suggest-inbox")
     n = inbox.count()
     if n < min_files:
         return _status(spark, "insufficient_data",
@@ -99,7 +102,7 @@ def suggest_categories(inbox: DataFrame, min_files: int = K.SUGGEST_MIN_FILES) -
     occ = keyword_occurrences(inbox)
     if not occ.head(1):
         return _status(spark, "no_keywords", "No keywords extracted from inbox files yet. Run ingest first.")
-    freq = frequent_keywords(inbox).cache()
+    freq = frequent_keywords(inbox)
     freq_rows = sorted(freq.collect(), key=lambda r: (-r["cnt"], r["first_file"], r["first_pos"]))
     if not freq_rows:
         return _status(spark, "no_clusters", "No clear keyword clusters found in inbox files.")

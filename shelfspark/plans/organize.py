@@ -62,19 +62,19 @@ def collision_names(existing: DataFrame, incoming: DataFrame, split_suffix: bool
     for _ in range(MAX_PASSES_HARD):
         out = _one_pass(taken, pending, split_suffix)
         w = Window.partitionBy("dir", "final_name")
-        out = out.withColumn("_n", F.count(F.lit(1)).over(w))
+        # materialised once: the clash test and the consumers read the written table
+        out = cut_lineage(out.withColumn("_n", F.count(F.lit(1)).over(w)), "collisions")
         first_clash = out.filter(F.col("_n") > 1).select(F.min("order")).first()[0]
         if first_clash is None:
             fixed, rest = out.drop("_n"), None
         else:
             fixed = out.filter(F.col("order") <= F.lit(first_clash)).drop("_n")
             rest = out.filter(F.col("order") > F.lit(first_clash)).select("order", "dir", "name")
-        fixed = cut_lineage(fixed) if rest is not None else fixed
         done = fixed if done is None else done.unionByName(fixed)
         if rest is None:
             break
         taken = taken.unionByName(fixed.select("dir", F.col("final_name").alias("name")))
-        pending = cut_lineage(rest)
+        pending = rest
     return done
 
 

@@ -11,24 +11,29 @@ from shelfspark.operators.classify import classify, route
 from shelfspark.operators.keywords import keyword_arrays
 from shelfspark.operators.learn import apply_corrections
 from shelfspark.plans.organize import organize_plan
+from shelfspark.session import cut_lineage
 
 DESCRIPTION_PREFIX = 120
 
 
 def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2E-1: extract keywords -> classify with them -> route -> organise manifest ->
-    auto-description (first 120 characters + '。' + category)."""
+    auto-description (first 120 characters + '。' + category).
+
+    The routed classification is written once to the shared folder; the manifest,
+    the collision check and the final projection all read that table."""
     raw = X.raw_files(spark, sf_dir)
     kw = keyword_arrays(raw.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text")))
-    files = raw.join(kw.withColumnRenamed("doc_id", "file_id"), "file_id")
+    files = raw.join(kw.withColumnRenamed("doc_id", "file_id"), "file_id", "left").withColumn(
+        "keywords", F.coalesce("keywords", F.array().cast("array<string>")))
     cats, kws = X.dictionary(spark)
-    routed = route(classify(files, cats, kws))
-    moves = routed.join(files.select("file_id", "path"), "file_id").select(
-        F.col("file_id").alias("seq"), "path", F.col("routed_to").alias("category"))
-    plan = organize_plan(files, moves).select(F.col("seq").alias("file_id"), "dst")
+    routed = route(classify(files, cats, kws)).select("file_id", "category", "confidence", "routed_to")
+    done = cut_lineage(routed.join(files.select("file_id", "path", "extracted_text", "keywords"), "file_id"),
+                       "ingest-routed")
+    moves = done.select(F.col("file_id").alias("seq"), "path", F.col("routed_to").alias("category"))
+    plan = organize_plan(raw.select("path"), moves).select(F.col("seq").alias("file_id"), "dst")
     desc = F.concat(F.substring(F.col("extracted_text"), 1, DESCRIPTION_PREFIX), F.lit("。"), F.col("routed_to"))
-    return (routed.join(files.select("file_id", "path", "extracted_text", "keywords"), "file_id")
-            .join(plan, "file_id")
+    return (done.join(plan, "file_id")
             .select("file_id", "path", F.array_join("keywords", "|").alias("keywords"), "category", "confidence",
                     "routed_to", "dst", desc.alias("description")))
 

@@ -33,7 +33,11 @@ def test_keywords_vs_python(spark):
         assert got[i] == O.py_keywords(t), (i, t)
 
 
-def test_classify_vs_python(spark):
+import pytest
+
+
+@pytest.mark.parametrize("matcher", ["bnlj", "ac"])
+def test_classify_vs_python(spark, matcher):
     rng = random.Random(2)
     cats = [{"id": c, "extensions": e, "active": a} for c, e, a in
             [("study", [".pdf"], True), ("memo", [], True), ("task", [], True), ("finance", [".csv", ".pdf"], True),
@@ -56,7 +60,7 @@ def test_classify_vs_python(spark):
         files.append((i, name, _text(rng, rng.randint(0, 8)), [rng.choice(WORDS) for _ in range(rng.randint(0, 3))]))
     fdf = spark.createDataFrame(files, "file_id long, original_name string, extracted_text string, "
                                        "keywords array<string>")
-    got = {r.file_id: r for r in CLS.classify(fdf, cat_df, kw_df, locale="en").collect()}
+    got = {r.file_id: r for r in CLS.classify(fdf, cat_df, kw_df, locale="en", matcher=matcher).collect()}
     for i, name, text, kws in files:
         best, conf, sugg = O.py_classify(name, text, kws, cats, rows)
         r = got[i]
