@@ -1,8 +1,13 @@
 """Keyword extraction (TXT-2 frequency form, TXT-3 corpus TF-IDF form).
 
-Plan shape: explode words with their position -> partial + final aggregate on
-(doc_id, word) -> rank per document with a window. The partial aggregate runs
-map-side, so only distinct (doc, word) pairs cross the shuffle; text never does.
+Two equivalent plans (identical results, checked in the tests):
+
+* ``arrow`` (default): extraction is document-local, so each partition counts its
+  documents' words in Arrow batches (``mapInPandas``) — no shuffle, the text is
+  read once and never leaves its task;
+* ``shuffle``: built-ins only — explode words with their position, partial + final
+  aggregate on (doc_id, word), rank per document with a window. Only distinct
+  (doc, word) pairs cross the shuffle, but at 100 TB that is still most of the text.
 """
 
 from __future__ import annotations
@@ -13,6 +18,85 @@ from pyspark.sql import functions as F
 from shelfspark import constants as K
 
 
+def _doc_counts(text: str) -> list[tuple[str, int, int]]:
+    """(word, count, first position) in first-occurrence order: lower-case, split on
+    whitespace, strip the punctuation set from both ends, keep length >= 2."""
+    counts: dict[str, list[int]] = {}
+    for pos, w in enumerate(text.lower().split()):
+        w = w.strip(K.KEYWORD_STRIP_CHARS).strip()
+        if len(w) >= 2:
+            c = counts.get(w)
+            if c is None:
+                counts[w] = [1, pos]
+            else:
+                c[0] += 1
+    return [(w, c[0], c[1]) for w, c in counts.items()]
+
+
+def _usable(t) -> bool:
+    return isinstance(t, str) and t != "" and not t.startswith("[")
+
+
+def _arrow_counts(batches):
+    import pandas as pd
+    for pdf in batches:
+        ids, kws, cnts, firsts = [], [], [], []
+        for i, t in zip(pdf["doc_id"], pdf["text"]):
+            if _usable(t):
+                for w, c, p in _doc_counts(t):
+                    ids.append(i)
+                    kws.append(w)
+                    cnts.append(c)
+                    firsts.append(p)
+        yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "keyword": kws,
+                            "cnt": pd.Series(cnts, dtype="int64"), "first_pos": pd.Series(firsts, dtype="int32")})
+
+
+def _arrow_top(top_k: int):
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            ids, ranks, kws, cnts = [], [], [], []
+            for i, t in zip(pdf["doc_id"], pdf["text"]):
+                if not _usable(t):
+                    continue
+                ranked = sorted(_doc_counts(t), key=lambda x: x[1], reverse=True)[:top_k]  # stable
+                for r, (w, c, _) in enumerate(ranked, 1):
+                    ids.append(i)
+                    ranks.append(r)
+                    kws.append(w)
+                    cnts.append(c)
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "rank": pd.Series(ranks, dtype="int32"),
+                                "keyword": kws, "cnt": pd.Series(cnts, dtype="int64")})
+    return run
+
+
+def _arrow_lists(top_k: int):
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            ids, lists = [], []
+            for i, t in zip(pdf["doc_id"], pdf["text"]):
+                if _usable(t):
+                    ranked = sorted(_doc_counts(t), key=lambda x: x[1], reverse=True)[:top_k]
+                    if ranked:
+                        ids.append(i)
+                        lists.append([w for w, _, _ in ranked])
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "keywords": lists})
+    return run
+
+
+def _src(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+# Keyword extraction is document-local. The default ("arrow") counts words per
+# partition in Arrow batches: no shuffle at all. "shuffle" is the pure built-in
+# plan (explode -> partial/final aggregate on (doc, word) -> window), which moves
+# every distinct (doc, word) pair across the network; both give identical results.
+DEFAULT_METHOD = "arrow"
+
+
 def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, keyword) for every word of length >= 2 (TXT-2 rules). The split is
     exploded first so stripping and the length test run in whole-stage codegen
@@ -23,20 +107,26 @@ def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             .filter(F.length("keyword") >= 2))
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keyword, cnt, first_pos) for every word of every document; the partial
-    aggregate runs map-side, so only distinct (doc, word) pairs are shuffled."""
-    return words(docs, id_col, text_col).groupBy("doc_id", "keyword").agg(
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                method: str = DEFAULT_METHOD) -> DataFrame:
+    """(doc_id, keyword, cnt, first_pos) for every word of every usable document."""
+    if method == "arrow":
+        return _src(docs, id_col, text_col).mapInPandas(
+            _arrow_counts, "doc_id bigint, keyword string, cnt bigint, first_pos int")
+    src = docs.filter(~F.col(text_col).startswith("[") & (F.col(text_col) != ""))
+    return words(src, id_col, text_col).groupBy("doc_id", "keyword").agg(
         F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
 
 
 def top_keywords(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """TXT-2: top-k words per document by count desc, ties by first occurrence.
-
-    Text that starts with '[' is a placeholder and yields no keywords (V22)."""
-    src = docs.filter(~F.col(text_col).startswith("[") & (F.col(text_col) != ""))
-    wc = word_counts(src, id_col, text_col)
+                 text_col: str = "text", method: str = DEFAULT_METHOD) -> DataFrame:
+    """TXT-2: (doc_id, rank, keyword, cnt), top-k words per document by count desc, ties
+    by first occurrence. Text that starts with '[' is a placeholder and yields no
+    keywords (V22)."""
+    if method == "arrow":
+        return _src(docs, id_col, text_col).mapInPandas(
+            _arrow_top(top_k), "doc_id bigint, rank int, keyword string, cnt bigint")
+    wc = word_counts(docs, id_col, text_col, method="shuffle")
     w = Window.partitionBy("doc_id").orderBy(F.col("cnt").desc(), F.col("first_pos"))
     return (wc.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= top_k)
@@ -44,31 +134,32 @@ def top_keywords(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "
 
 
 def keyword_arrays(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", method: str = DEFAULT_METHOD) -> DataFrame:
     """(doc_id, keywords array<string>) in rank order for documents with keywords;
     callers left-join it and default to [] (see ``keyword_lists``)."""
-    return keyword_lists(docs, top_k, id_col, text_col)
+    return keyword_lists(docs, top_k, id_col, text_col, method)
 
 
 def keyword_lists(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """(doc_id, keywords) for documents with at least one keyword (an aggregate keyed
-    by doc_id, so a left join to it that uses no keyword column can be dropped)."""
-    tk = top_keywords(docs, top_k, id_col, text_col)
+                  text_col: str = "text", method: str = DEFAULT_METHOD) -> DataFrame:
+    """(doc_id, keywords) for documents with at least one keyword."""
+    if method == "arrow":
+        return _src(docs, id_col, text_col).mapInPandas(_arrow_lists(top_k), "doc_id bigint, keywords array<string>")
+    tk = top_keywords(docs, top_k, id_col, text_col, method="shuffle")
     return tk.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda s: s["keyword"])
         .alias("keywords"))
 
 
 def tfidf_keywords(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", method: str = DEFAULT_METHOD) -> DataFrame:
     """TXT-3 (re-aimed): tf = count in the document, idf = ln((N + 1) / (df + 1)) over
     the corpus; top-k by tf*idf desc, then first occurrence.
 
-    The document frequency is one row per distinct word; the join back to the
-    (doc, word) pairs is a shuffle join on the word, and AQE splits hot words."""
-    src = docs.filter(~F.col(text_col).startswith("[") & (F.col(text_col) != ""))
-    wc = word_counts(src, id_col, text_col)
+    Per-document counts come without a shuffle; the document frequency needs one
+    aggregate by word, and the join back is a shuffle join on the word (AQE splits
+    hot words). The per-document ranking is a window by doc_id."""
+    wc = word_counts(docs, id_col, text_col, method)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     df_ = wc.groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
     scored = (wc.join(df_, "keyword")

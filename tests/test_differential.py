@@ -3,6 +3,7 @@ Many random cases go through one Spark job, keyed by a case id."""
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import classify as CLS
@@ -24,18 +25,16 @@ def _text(rng, n):
     return "".join(rng.choice(WORDS) + rng.choice(seps) for _ in range(n))
 
 
-def test_keywords_vs_python(spark):
+@pytest.mark.parametrize("method", ["arrow", "shuffle"])
+def test_keywords_vs_python(spark, method):
     rng = random.Random(1)
     docs = [(i, _text(rng, rng.randint(0, 40))) for i in range(200)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.keywords for r in KW.keyword_arrays(df).collect()}
+    got = {r.doc_id: r.keywords for r in KW.keyword_arrays(df, method=method).collect()}
     for i, t in docs:
         assert got.get(i, []) == O.py_keywords(t), (i, t)
 
 
-import pytest
-
-
 @pytest.mark.parametrize("matcher", ["bnlj", "ac"])
 def test_classify_vs_python(spark, matcher):
     rng = random.Random(2)
