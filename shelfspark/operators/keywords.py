@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark import constants as K
+from shelfspark.session import cut_lineage
 
 
 def _doc_counts(text: str) -> list[tuple[str, int, int]]:
@@ -160,6 +161,10 @@ def tfidf_keywords(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str =
     aggregate by word, and the join back is a shuffle join on the word (AQE splits
     hot words). The per-document ranking is a window by doc_id."""
     wc = word_counts(docs, id_col, text_col, method)
+    if method == "arrow":
+        # two consumers (document frequency, scoring): write the counts once instead
+        # of running the Python pass twice (the built-in plan reuses its exchange)
+        wc = cut_lineage(wc, "tfidf-counts")
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     df_ = wc.groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
     scored = (wc.join(df_, "keyword")

@@ -109,6 +109,8 @@ def organize_plan(files: DataFrame, moves: DataFrame, vault: str = VAULT) -> Dat
     target_dir, status, error). Unknown category directories fall back to _inbox
     (the category is still recorded, V25); unknown sources are error rows."""
     known = [K.INBOX, K.ARCHIVE, K.SENSITIVE] + K.CATEGORY_DIRS
+    files = cut_lineage(files.select("path"), "organize-paths")
+    moves = cut_lineage(moves.select("seq", "path", "category"), "organize-moves")
     src_ok = moves.join(files.select("path").withColumn("_e", F.lit(True)), "path", "left")
     tdir = F.concat(F.lit(vault + "/"), F.when(F.col("category").isin(*known), F.col("category"))
                     .otherwise(F.lit(K.INBOX)))
@@ -132,6 +134,9 @@ def archive_plan(files: DataFrame, as_of: str, days: int = K.ARCHIVE_DAYS, vault
     """ORG-3: stale (day-granular, V6), not archived, not starred files ->
     ``_archive/<old category>/<name>`` with collision suffixes."""
     cutoff = F.date_sub(F.to_date(F.lit(as_of)), days)
+    # the plan reads the catalogue three times (candidates, names staying, result):
+    # materialise the five columns it needs once
+    files = cut_lineage(files.select("path", "category", "last_accessed", "starred", "file_size"), "archive-input")
     stale = files.filter((F.to_date("last_accessed") <= cutoff) & (F.col("category") != K.ARCHIVE)
                          & ~F.col("starred"))
     tdir = F.concat(F.lit(f"{vault}/{K.ARCHIVE}/"), F.col("category"))
