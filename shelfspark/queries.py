@@ -351,11 +351,24 @@ def _category_requests(spark, sf):
                     F.lit("en").alias("locale"))
 
 
-@register("add_categories")
+_SLUG_SQL = """CASE WHEN slug = '' OR starts_with(slug, '_')
+     THEN 'cat_' || CAST(('0x' || substr(md5(name), 1, 8))::BIGINT % 10000 AS VARCHAR) ELSE slug END"""
+
+
+@register("add_categories", O.build(["categories"], f"""
+SELECT seq, id, name,
+       CASE WHEN id NOT IN (SELECT id FROM categories)
+             AND row_number() OVER (PARTITION BY id ORDER BY seq) = 1 THEN 'added' ELSE 'duplicate' END AS status,
+       keywords_count
+FROM (SELECT seq, name, keywords_count, {_SLUG_SQL} AS id FROM (
+  SELECT seq, name, keywords_count,
+         regexp_replace(replace(lower(name), ' ', '_'), '[^a-z0-9_]', '_', 'g')[1:32] AS slug
+  FROM (SELECT item_id AS seq, parts[1] AS name, least(3, len(parts) - 1) AS keywords_count
+        FROM (SELECT item_id, string_split_regex(trim(text), '\\s+') AS parts FROM benchmark))))"""))
 def q_add_categories(spark, sf):
     cats, kws = X.dictionary(spark)
     new_cats, new_kws, result = DIC.add_categories(cats, kws, _category_requests(spark, sf))
-    return result
+    return result.withColumn("keywords_count", F.col("keywords_count").cast("bigint"))
 
 
 @register("add_keywords", O.build(["keywords", "file_keywords"], """
@@ -1025,7 +1038,21 @@ def q_attempt_rate(spark, sf):
 from shelfspark.plans import pipelines as E2E  # noqa: E402
 
 
-@register("ingest_pipeline")
+@register("ingest_pipeline", O.build(["kcls_classified", "raw_files", "kwarr"], """
+SELECT file_id, path, keywords, category, confidence, routed_to,
+       'vault/' || routed_to || '/' || CASE WHEN k = 0 THEN original_name
+         ELSE stem || '_' || CAST(k AS VARCHAR) || sfx END AS dst,
+       extracted_text[1:120] || '。' || routed_to AS description
+FROM (SELECT c.file_id, r.path, r.original_name, r.extracted_text,
+             coalesce(array_to_string(k.keywords, '|'), '') AS keywords, c.category, c.confidence,
+             CASE WHEN c.confidence < 0.3 THEN '_inbox' ELSE c.category END AS routed_to,
+             regexp_extract(r.original_name, '^.+([.][^.]+)$', 1) AS sfx,
+             CASE WHEN regexp_matches(r.original_name, '^.+[.][^.]+$')
+                  THEN regexp_extract(r.original_name, '^(.+)[.][^.]+$', 1) ELSE r.original_name END AS stem,
+             row_number() OVER (PARTITION BY CASE WHEN c.confidence < 0.3 THEN '_inbox' ELSE c.category END,
+                                r.original_name ORDER BY c.file_id) - 1 AS k
+      FROM kcls_classified c JOIN raw_files r ON r.file_id = c.file_id
+      LEFT JOIN kwarr k ON k.doc_id = c.file_id)"""))
 def q_ingest_pipeline(spark, sf):
     return E2E.ingest_pipeline(spark, sf)
 
