@@ -214,7 +214,10 @@ def catalog_files(spark: SparkSession, sf_dir: str, with_access: bool = True) ->
     raw = raw_files(spark, sf_dir)
     cls = classified_files(spark, sf_dir).select("file_id", "category", "confidence")
     kw = keyword_lists(raw.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text")))
-    # kw is an aggregate keyed by file_id: queries that use no keyword drop this join
+    # one row per document already; stating it as an aggregate keyed by doc_id lets
+    # Catalyst drop this left join (and the extraction) for queries that use no
+    # keyword column, and costs nothing otherwise (the join needs that partitioning)
+    kw = kw.groupBy("doc_id").agg(F.first("keywords").alias("keywords"))
     files = (raw.join(cls, "file_id").join(kw.withColumnRenamed("doc_id", "file_id"), "file_id", "left")
              .select("file_id", "path", "directory", "original_name",
                      F.when(F.pmod("file_id", F.lit(ARCHIVED_EVERY)) == 0, F.lit(K.ARCHIVE))
