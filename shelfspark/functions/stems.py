@@ -62,19 +62,22 @@ def safe_folder_name(name) -> Column:
     return F.when(s == "", F.lit(K.DEFAULT_SAFE_FOLDER)).otherwise(s)
 
 
-def strategy(stems_lower, suffixes) -> Column:
-    """GRP-3 over a group's file stems (lower-cased) and suffixes (lower-cased)."""
-    has_numbers = F.exists(_c(stems_lower), lambda n: n.rlike(r"(?U)\d{2,}"))
-    n_ext = F.size(F.array_distinct(_c(suffixes)))
-    joined = F.array_join(_c(stems_lower), " ")
-    has_version = F.greatest(*[joined.contains(w) for w in K.VERSION_WORDS])
-    return (F.when((n_ext > 1) & has_numbers, F.lit("sequential_different_formats"))
-            .when(n_ext > 1, F.lit("same_stem_different_formats"))
-            .when(has_numbers, F.lit("sequential_numbering"))
-            .when(has_version, F.lit("version_variants"))
+def strategy_from_flags(n_ext, has_numbers, has_version) -> Column:
+    """GRP-3 from per-group aggregates: distinct suffixes, any stem with two digits in
+    a row, any stem containing a version word (words hold no space, so testing each
+    name equals testing the space-joined names)."""
+    return (F.when((_c(n_ext) > 1) & _c(has_numbers), F.lit("sequential_different_formats"))
+            .when(_c(n_ext) > 1, F.lit("same_stem_different_formats"))
+            .when(_c(has_numbers), F.lit("sequential_numbering"))
+            .when(_c(has_version), F.lit("version_variants"))
             .otherwise(F.lit("common_prefix")))
 
 
+def has_version_word(stem_lower) -> Column:
+    s = _c(stem_lower)
+    return F.greatest(*[s.contains(w) for w in K.VERSION_WORDS])
+
+
 def group_confidence(n) -> Column:
     """GRP-4: min(0.5 + 0.15 n, 1)."""
     return F.least(F.lit(0.5) + _c(n).cast("double") * F.lit(0.15), F.lit(1.0))

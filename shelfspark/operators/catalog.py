@@ -114,12 +114,13 @@ def search_batch(descriptions: DataFrame, queries: DataFrame, limit: int = K.DES
         "query_id", F.transform("terms", lambda t: F.concat(F.lit("%"), ascii_fold(t), F.lit("%"))).alias("pats"))
     d = descriptions.select("path", "updated_at", ascii_fold(F.col("description")).alias("_d"))
     hit = F.forall("pats", lambda p: F.like(F.col("_d"), p, F.lit("\u0001")))
-    j = d.join(F.broadcast(q), hit, "inner")
+    j = d.join(F.broadcast(q), hit, "inner").select("query_id", "path", "updated_at")
+    # per-query top-k (partial top-k before the shuffle) and hit counts by aggregate,
+    # so a query matching most descriptions is never held in one window
     w = Window.partitionBy("query_id").orderBy(F.col("updated_at").desc(), F.col("path"))
-    wt = Window.partitionBy("query_id")
-    return (j.select("query_id", "path", "updated_at",
-                     F.row_number().over(w).alias("rank"), F.count(F.lit(1)).over(wt).alias("total_hits"))
-            .filter(F.col("rank") <= limit))
+    top = j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    totals = j.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
+    return top.join(totals, "query_id").select("query_id", "path", "updated_at", "rank", "total_hits")
 
 
 def list_descriptions(descriptions: DataFrame, directory: str | None = None) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark import constants as K
-from shelfspark.functions.stems import folder_name, group_confidence, stem_candidates, strategy
+from shelfspark.functions.stems import (folder_name, group_confidence, has_version_word, stem_candidates,
+                                        strategy_from_flags)
 from shelfspark.functions.text import name_stem, name_suffix
 from shelfspark.session import cut_lineage
 
@@ -76,33 +77,42 @@ def greedy_assign(pairs: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE,
     return won
 
 
-def file_groups(files: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE, checkpoint: bool = True) -> DataFrame:
-    """GRP-2..4: one row per group: directory, stem, stem_files (files carrying the stem;
-    groups were formed in order stem_files desc, stem length, stem), suggested_folder,
-    strategy, file_count, confidence, files (paths, sorted)."""
+def group_members(files: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE, checkpoint: bool = True) -> DataFrame:
+    """GRP-2: (directory, stem, stem_files, path) — which group each grouped file joins."""
     lst = listing(files)
     dirs = lst.groupBy("directory").agg(F.count(F.lit(1)).alias("total"))
     ok_dirs = dirs.filter(F.col("total") >= min_group_size).select("directory")
     pairs = ranked_pairs(files.join(ok_dirs, "directory", "left_semi"), min_group_size)
     taken = greedy_assign(pairs, min_group_size, checkpoint)
-    members = taken.join(lst.select("directory", "path", "name"), ["directory", "path"])
-    g = members.groupBy("directory", "stem", "n").agg(
-        F.array_sort(F.collect_list("path")).alias("files"),
-        F.collect_list(F.lower(name_stem(F.col("name")))).alias("_stems"),
-        F.collect_list(name_suffix(F.col("name"))).alias("_sfx"),
-        F.count(F.lit(1)).alias("file_count"))
-    return g.select("directory", "stem", F.col("n").alias("stem_files"),
-                    folder_name(F.col("stem")).alias("suggested_folder"),
-                    strategy(F.col("_stems"), F.col("_sfx")).alias("strategy"), "file_count",
-                    group_confidence(F.col("file_count")).alias("confidence"), "files")
-
-
-def group_summary(files: DataFrame, groups: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE,
+    return taken.select("directory", "stem", F.col("n").alias("stem_files"), "path")
+
+
+def file_groups(files: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE, checkpoint: bool = True,
+                members: DataFrame | None = None) -> DataFrame:
+    """GRP-2..4: one row per group: directory, stem, stem_files (files carrying the stem;
+    groups were formed in order stem_files desc, stem length, stem), suggested_folder,
+    strategy, file_count, confidence. Membership stays a table (``group_members``):
+    every per-group value is an aggregate, so a group holding a third of all files
+    is still reduced in parallel (partial aggregates) and never collected."""
+    m = members if members is not None else group_members(files, min_group_size, checkpoint)
+    named = m.join(listing(files).select("directory", "path", "name"), ["directory", "path"])
+    low = F.lower(name_stem(F.col("name")))
+    g = named.groupBy("directory", "stem", "stem_files").agg(
+        F.count(F.lit(1)).alias("file_count"),
+        F.countDistinct(name_suffix(F.col("name"))).alias("_n_ext"),
+        F.max(low.rlike(r"(?U)\d{2,}")).alias("_num"),
+        F.max(has_version_word(low)).alias("_ver"))
+    return g.select("directory", "stem", "stem_files", folder_name(F.col("stem")).alias("suggested_folder"),
+                    strategy_from_flags("_n_ext", "_num", "_ver").alias("strategy"), "file_count",
+                    group_confidence(F.col("file_count")).alias("confidence"))
+
+
+def group_summary(files: DataFrame, members: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE,
                   cap: int = K.UNGROUPED_LIST_CAP) -> DataFrame:
     """GRP-5: per directory total, grouped and ungrouped counts and the first ``cap``
     ungrouped files (by path). Directories below the minimum get status 'no_groups'."""
     lst = listing(files)
-    grouped = groups.select("directory", F.explode("files").alias("path"))
+    grouped = members.select("directory", "path")
     ungrouped = lst.join(grouped, ["directory", "path"], "left_anti")
     w = Window.partitionBy("directory").orderBy("path")
     first = (ungrouped.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= cap)

@@ -9,7 +9,7 @@ greedy pass is order dependent (not a transitive closure).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,9 +114,13 @@ def suggest_categories(inbox: DataFrame, min_files: int = K.SUGGEST_MIN_FILES) -
         [(i, kw) for i, c in enumerate(clusters) for kw in c], "cluster int, keyword string")
     files = (keyword_occurrences(inbox).join(F.broadcast(members), "keyword")
              .select("cluster", "path").distinct())
-    stats = files.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("file_count"),
-        F.slice(F.array_sort(F.collect_list("path")), 1, K.SUGGEST_SAMPLES).alias("sample_files"))
+    counts = files.groupBy("cluster").agg(F.count(F.lit(1)).alias("file_count"))
+    # three smallest paths per cluster: a per-cluster top-k (partial top-k before the
+    # shuffle), so a cluster holding most files is never collected
+    w = Window.partitionBy("cluster").orderBy("path")
+    samples = (files.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= K.SUGGEST_SAMPLES)
+               .groupBy("cluster").agg(F.array_sort(F.collect_list("path")).alias("sample_files")))
+    stats = counts.join(samples, "cluster")
     meta = spark.createDataFrame(
         [(i, " · ".join(c[:3]), c[:K.SUGGEST_KEYWORDS]) for i, c in enumerate(clusters)],
         "cluster int, proposed_name string, top_keywords array<string>")

@@ -79,25 +79,27 @@ def collision_names(existing: DataFrame, incoming: DataFrame, split_suffix: bool
 
 
 def _one_pass(existing: DataFrame, incoming: DataFrame, split_suffix: bool) -> DataFrame:
+    """Family-local assignment. With the family's blocked indices b_1 < b_2 < ... and
+    g_i = b_i - (i - 1) (free slots below b_i), the k-th free index (0-based) is
+    k + #{i : g_i <= k}: a running count over the merged, sorted (g, k) keys. No
+    candidate list is materialised, so a family of any size stays a sorted stream."""
     stem, sfx = _split("name", split_suffix)
+    fam_cols = ["dir", "stem", "suffix"]
     inc = incoming.select("order", "dir", "name", stem.alias("stem"), sfx.alias("suffix"))
-    wf = Window.partitionBy("dir", "stem", "suffix").orderBy("order")
-    inc = inc.withColumn("k", F.row_number().over(wf) - 1)
-    fam = inc.groupBy("dir", "stem", "suffix").agg(F.count(F.lit(1)).alias("m"))
-    blocked = _family_members(existing, split_suffix).join(fam.select("dir", "stem", "suffix"),
-                                                           ["dir", "stem", "suffix"], "left_semi")
-    nb = blocked.groupBy("dir", "stem", "suffix").agg(F.count(F.lit(1)).alias("b"))
-    cands = (fam.join(nb, ["dir", "stem", "suffix"], "left")
-             .select("dir", "stem", "suffix",
-                     F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                          (F.col("m") + F.coalesce("b", F.lit(0)) - 1).cast("bigint"))).alias("n")))
-    free = cands.join(blocked, ["dir", "stem", "suffix", "n"], "left_anti")
-    wn = Window.partitionBy("dir", "stem", "suffix").orderBy("n")
-    free = free.withColumn("k", F.row_number().over(wn) - 1)
-    j = inc.join(free, ["dir", "stem", "suffix", "k"])
+    inc = inc.withColumn("k", F.row_number().over(Window.partitionBy(*fam_cols).orderBy("order")) - 1)
+    blocked = _family_members(existing, split_suffix).join(inc.select(*fam_cols).distinct(), fam_cols, "left_semi")
+    g = blocked.select(*fam_cols, (F.col("n") - (F.row_number().over(Window.partitionBy(*fam_cols).orderBy("n")) - 1))
+                       .alias("key"), F.lit(1).alias("blk"), F.lit(None).cast(incoming.schema["order"].dataType)
+                       .alias("order"), F.lit(None).cast("string").alias("name"))
+    q = inc.select(*fam_cols, F.col("k").alias("key"), F.lit(0).alias("blk"), "order", "name")
+    merged = g.unionByName(q)
+    run = Window.partitionBy(*fam_cols).orderBy(F.col("key"), F.col("blk").desc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = merged.withColumn("j", F.sum("blk").over(run))
+    out = merged.filter(F.col("blk") == 0).withColumn("n", F.col("key") + F.col("j"))
     final = F.when(F.col("n") == 0, F.col("name")).otherwise(
         F.concat(F.col("stem"), F.lit("_"), F.col("n").cast("string"), F.col("suffix")))
-    return j.select("order", "dir", "name", final.alias("final_name"))
+    return out.select("order", "dir", "name", final.alias("final_name"))
 
 
 def _existing_names(files: DataFrame) -> DataFrame:
@@ -160,12 +162,12 @@ def group_order() -> F.Column:
                        F.lpad(F.length("stem").cast("string"), 6, "0"), F.col("stem"))
 
 
-def group_manifest(files: DataFrame, groups: DataFrame) -> DataFrame:
+def group_manifest(files: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
     """GRP-6: per grouped file (src, dst, folder). The folder is the sanitised
     suggested name inside the file's directory; an existing or earlier folder of the
     same name gets ``_n``."""
     folders = groups.select("directory", "stem", group_order().alias("order"),
-                            safe_folder_name(F.col("suggested_folder")).alias("folder"), "files")
+                            safe_folder_name(F.col("suggested_folder")).alias("folder"))
     # existing entries of each directory: its files and sub-directories
     existing = (_existing_names(files)
                 .unionByName(files.select(path_parent(path_parent(F.col("path"))).alias("dir"),
@@ -174,9 +176,11 @@ def group_manifest(files: DataFrame, groups: DataFrame) -> DataFrame:
     inc = folders.select("order", F.col("directory").alias("dir"), F.col("folder").alias("name"))
     named = collision_names(existing, inc, split_suffix=False)
     g = folders.join(named.select(F.col("dir").alias("directory"), "order", "final_name"), ["directory", "order"])
-    return g.select("directory", "stem", F.concat_ws("/", "directory", "final_name").alias("folder"),
-                    F.explode("files").alias("src")).select(
-        "directory", "stem", "folder", "src", F.concat_ws("/", "folder", path_name(F.col("src"))).alias("dst"))
+    m = members.select("directory", "stem", F.col("path").alias("src"))
+    return (g.join(m, ["directory", "stem"])
+            .select("directory", "stem", F.concat_ws("/", "directory", "final_name").alias("folder"), "src")
+            .select("directory", "stem", "folder", "src",
+                    F.concat_ws("/", "folder", path_name(F.col("src"))).alias("dst")))
 
 
 def _ancestors(dir_col: F.Column) -> F.Column:

@@ -512,6 +512,7 @@ from shelfspark.functions.stems import stem_candidates  # noqa: E402
 from shelfspark.functions.text import name_stem  # noqa: E402
 from shelfspark.operators import groups as GRP  # noqa: E402
 from shelfspark.plans import organize as ORG  # noqa: E402
+from shelfspark.session import cut_lineage  # noqa: E402
 
 ARCHIVE_DAYS = 10
 
@@ -533,15 +534,18 @@ def q_stem_index(spark, sf):
 
 @register("file_groups")
 def q_file_groups(spark, sf):
-    g = GRP.file_groups(X.raw_files(spark, sf))
-    return g.select("directory", "stem", "stem_files", "suggested_folder", "strategy", "file_count", "confidence",
-                    F.array_join("files", "|").alias("files"))
+    return GRP.file_groups(X.raw_files(spark, sf))
+
+
+@register("group_members")
+def q_group_members(spark, sf):
+    return GRP.group_members(X.raw_files(spark, sf))
 
 
 @register("group_summary")
 def q_group_summary(spark, sf):
     files = X.raw_files(spark, sf)
-    s = GRP.group_summary(files, GRP.file_groups(files))
+    s = GRP.group_summary(files, GRP.group_members(files))
     return s.select("directory", "total_files", "grouped_count", "ungrouped_count",
                     F.array_join("ungrouped_files", "|").alias("ungrouped_files"), "status")
 
@@ -549,7 +553,8 @@ def q_group_summary(spark, sf):
 @register("group_manifest")
 def q_group_manifest(spark, sf):
     files = X.raw_files(spark, sf)
-    return ORG.group_manifest(files, GRP.file_groups(files))
+    members = cut_lineage(GRP.group_members(files), "group-members")
+    return ORG.group_manifest(files, GRP.file_groups(files, members=members), members)
 
 
 @register("ungroup_manifest", O.build(["raw_files"], """

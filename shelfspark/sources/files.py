@@ -238,14 +238,33 @@ def office_text(binary_rows: DataFrame) -> DataFrame:
 
 def assemble_pages(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """SCN-8: non-blank pages joined by newlines in page order; under 50 stripped
-    characters -> scanned_pdf with an error, else pdf (cut to 50 000)."""
-    g = (pages.filter(py_strip(F.col("text")) != "")
-         .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pg")))
-    full = F.coalesce(F.col("full"), F.lit(""))
-    scanned = F.length(py_strip(full)) < K.SCANNED_MIN_CHARS
+    characters -> scanned_pdf with an error, else pdf (cut to 50 000).
+
+    Nothing gathers a whole document: the stripped length comes from aggregates
+    (every kept page is non-blank, so it is the total length minus the first page's
+    leading and the last page's trailing whitespace), and only pages starting before
+    the 50 000-character cut are collected."""
+    from pyspark.sql import Window
+    ws = K.WHITESPACE_RUN
+    kept = pages.filter(py_strip(F.col("text")) != "").select(
+        id_col, "page_no", "text", F.length("text").alias("_len"),
+        F.length(F.regexp_extract("text", f"^{ws}", 0)).alias("_lead"),
+        F.length(F.regexp_extract("text", f"{ws}$", 0)).alias("_trail"))
+    stats = kept.groupBy(id_col).agg(
+        (F.sum("_len") + F.count(F.lit(1)) - 1 - F.min_by("_lead", "page_no") - F.max_by("_trail", "page_no"))
+        .alias("_stripped"))
+    w = Window.partitionBy(id_col).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.withColumn("_before", F.coalesce(F.sum(F.col("_len") + 1).over(w), F.lit(0)))
+    g = (kept.join(stats, id_col)
+         .filter((F.col("_before") < K.TEXT_CAP) | (F.col("_stripped") < K.SCANNED_MIN_CHARS))
+         .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pg"),
+                              F.first("_stripped").alias("_stripped")))
     ids = pages.select(id_col).distinct()
-    joined = ids.join(g.select(id_col, F.array_join(F.transform("pg", lambda p: p["text"]), "\n").alias("full")),
+    joined = ids.join(g.select(id_col, "_stripped",
+                               F.array_join(F.transform("pg", lambda p: p["text"]), "\n").alias("full")),
                       id_col, "left")
+    full = F.coalesce(F.col("full"), F.lit(""))
+    scanned = F.coalesce(F.col("_stripped"), F.lit(0)) < K.SCANNED_MIN_CHARS
     return joined.select(
         id_col,
         F.when(scanned, full).otherwise(F.substring(full, 1, K.TEXT_CAP)).alias("text"),

@@ -98,9 +98,10 @@ def test_stems_golden(spark):
 
 
 def test_group_golden(spark):
-    from shelfspark.operators.groups import file_groups
+    from shelfspark.operators.groups import file_groups, group_members
     files = spark.createDataFrame([("d", "d/report_v1.pdf", "report_v1.pdf"), ("d", "d/report_v2.pdf", "report_v2.pdf")],
                                   "directory string, path string, original_name string")
+    assert sorted(r.path for r in group_members(files).collect()) == ["d/report_v1.pdf", "d/report_v2.pdf"]
     g = file_groups(files).collect()
     assert len(g) == 1
     r = g[0]

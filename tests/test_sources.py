@@ -77,3 +77,15 @@ def test_listing(spark):
     assert rel == ["_sensitive/id.jpg", "b.MP4", "学习/a.pdf"]
     assert sorted(r.relative_path for r in S.exclude_sensitive(ls).collect()) == ["b.MP4", "学习/a.pdf"]
     assert {r.name: r.extension for r in ls.collect()}["b.MP4"] == ".mp4"
+
+
+def test_assemble_pages_edges(spark):
+    pages = spark.createDataFrame(
+        [(1, 1, "  short  "), (1, 2, "   "), (1, 3, "text"),               # scanned: 'short  \n text' < 50
+         (2, 1, "a" + " " * 60000), (2, 2, "b" * 100),                      # not scanned, cut to 50 000
+         (3, 1, "x" * 49990), (3, 2, "y" * 30), (3, 3, "z" * 10)],           # third page starts after the cut
+        "doc_id long, page_no int, text string")
+    rows = {r.doc_id: r for r in S.assemble_pages(pages).collect()}
+    assert rows[1].file_type == "scanned_pdf" and rows[1].text == "  short  \ntext"
+    assert rows[2].file_type == "pdf" and rows[2].text == ("a" + " " * 60000 + "\n" + "b" * 100)[:50000]
+    assert rows[3].text == ("x" * 49990 + "\n" + "y" * 30 + "\n" + "z" * 10)[:50000]
