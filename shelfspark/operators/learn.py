@@ -13,18 +13,20 @@ the reference's floating-point operation order, so weights are bit-identical to
 a sequential replay.
 
 Only keys that receive events are shuffled; the rest of the dictionary is
-carried over by an anti join. Per-key event arrays are bounded by the size of
-one correction batch: the streaming learner (``streaming.jobs``) applies the log
-in micro-batches, snapshotting the weights after each.
+carried over by an anti join. A fold row never holds more than
+``MAX_EVENTS_PER_KEY`` events: hotter keys are folded in exact rounds (see
+``apply_corrections``). The streaming learner (``streaming.jobs``) applies the
+log in micro-batches, snapshotting the weights after each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark import constants as K
 from shelfspark.operators.dictionary import keyword_locale
+from shelfspark.session import cut_lineage
 
 LOCALES = ["zh", "en", "mixed"]
 STATE_T = ("struct<zh:double,en:double,mixed:double,src_zh:string,src_en:string,src_mixed:string,"
@@ -102,40 +104,88 @@ def _step(state, ev):
                       ["zh", "en", "mixed", "src_zh", "src_en", "src_mixed", "other"]])
 
 
+# A fold row holds at most this many events of one (category, keyword); keys with
+# more are folded in rounds of this size (exact: the state is carried over).
+MAX_EVENTS_PER_KEY = 200_000
+KEY = ["category_id", "keyword"]
+ORDER = ["seq", "phase", "pos"]
+
+
 def apply_corrections(keywords: DataFrame, categories: DataFrame, corrections: DataFrame,
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, max_events_per_key: int = MAX_EVENTS_PER_KEY) -> DataFrame:
     """LRN-5: new keyword_weights after folding ``corrections`` (seq, filepath,
-    from_category, to_category, keywords array<string>) in seq order."""
+    from_category, to_category, keywords array<string>) in seq order.
+
+    Keys with at most ``max_events_per_key`` events are folded in one pass. Hotter
+    keys (one keyword may carry a third of all corrections) get exact per-key event
+    ranks from a range-partitioned prefix count and are folded in rounds of at most
+    ``max_events_per_key`` events per key, the weights written to the shared folder
+    between rounds — no key's history is ever gathered into one row or one task."""
     ev = correction_events(resolve_corrections(corrections, categories))
-    grouped = ev.groupBy("category_id", "keyword").agg(
+    base_id = keywords.select(F.max("kw_id")).first()[0]
+    base_id = -1 if base_id is None else base_id
+    sizes = ev.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > max_events_per_key).select(*KEY)
+    if not hot.head(1):
+        return _apply_events(keywords, ev, base_id)
+    hot = cut_lineage(hot, "learn-hot-keys")
+    out = _apply_events(keywords, ev.join(hot, KEY, "left_anti"), base_id)
+    ranked = _ranked_events(ev.join(hot, KEY, "left_semi"))
+    ranked = cut_lineage(ranked.withColumn("_chunk", ((F.col("_rank") - 1) / max_events_per_key).cast("bigint")),
+                         "learn-hot-events")
+    rounds = ranked.select(F.max("_chunk")).first()[0] + 1
+    state = cut_lineage(keywords.join(hot, KEY, "left_semi"), "learn-hot-state")
+    for r in range(rounds):
+        chunk = ranked.filter(F.col("_chunk") == r).drop("_chunk", "_rank")
+        state = cut_lineage(_apply_events(state, chunk, base_id), "learn-hot-state")
+    return out.join(hot, KEY, "left_anti").unionByName(state)
+
+
+def _ranked_events(ev: DataFrame, partitions: int = 0) -> DataFrame:
+    """Exact 1-based rank of each event within its key, without a per-key window:
+    range-partition by (key, order) so a hot key spans many partitions, number rows
+    inside each (partition, key), then add the counts of the key's earlier partitions
+    (a table of at most partitions x keys rows)."""
+    n = partitions or max(ev.sparkSession.sparkContext.defaultParallelism * 4, 8)
+    r = ev.repartitionByRange(n, *KEY, *ORDER).withColumn("_pid", F.spark_partition_id())
+    local = Window.partitionBy("_pid", *KEY).orderBy(*ORDER)
+    r = r.withColumn("_local", F.row_number().over(local))
+    counts = r.groupBy("_pid", *KEY).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*KEY).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    return r.join(offsets, ["_pid", *KEY]).withColumn("_rank", F.col("_off") + F.col("_local")).drop(
+        "_pid", "_local", "_off")
+
+
+def _apply_events(keywords: DataFrame, ev: DataFrame, base_id: int) -> DataFrame:
+    """Fold ``ev`` (category_id, keyword, seq, phase, pos, op, locale) into ``keywords``."""
+    grouped = ev.groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.struct("seq", "phase", "pos", "op", "locale"))).alias("events"))
     state = _pivot_state(keywords)
-    j = grouped.join(state, ["category_id", "keyword"], "left")
+    j = grouped.join(state, KEY, "left")
     init = F.struct(*[F.col(l).alias(l) for l in LOCALES], *[F.col("src_" + l).alias("src_" + l) for l in LOCALES],
                     F.coalesce(F.col("other"), F.lit(False)).alias("other")).cast(STATE_T)
-    folded = j.select("category_id", "keyword", "kw_id", F.col("events")[0]["seq"].alias("first_seq"),
+    folded = j.select(*KEY, "kw_id", F.col("events")[0]["seq"].alias("first_seq"),
                       F.aggregate("events", init, _step).alias("s"))
     rows = folded.select(
-        "category_id", "keyword", "kw_id", "first_seq",
+        *KEY, "kw_id", "first_seq",
         F.explode(F.array(*[F.struct(F.lit(l).alias("locale"), F.col("s")[l].alias("weight"),
                                      F.col("s")["src_" + l].alias("source"), F.lit(i).alias("li"))
                             for i, l in enumerate(LOCALES)])).alias("r"))
     rows = rows.filter(F.col("r.weight").isNotNull())
-    touched_keys = grouped.select("category_id", "keyword")
+    touched_keys = grouped.select(*KEY)
     # keys with events keep their rows in other locales unchanged
-    others = (keywords.join(touched_keys, ["category_id", "keyword"], "left_semi")
+    others = (keywords.join(touched_keys, KEY, "left_semi")
               .filter(~F.col("locale").isin(*LOCALES)))
-    # existing rows keep their kw_id; inserted rows get an id after every existing one
-    existing_ids = keywords.select("category_id", "keyword", "locale", F.col("kw_id").alias("_old_id"))
-    max_id = keywords.select(F.max("kw_id")).scalar()
-    new_rows = (rows.select("category_id", "keyword", F.col("r.locale").alias("locale"),
+    # existing rows keep their kw_id; inserted rows get an id after every original one
+    existing_ids = keywords.select(*KEY, "locale", F.col("kw_id").alias("_old_id"))
+    new_rows = (rows.select(*KEY, F.col("r.locale").alias("locale"),
                             F.col("r.weight").alias("weight"), F.col("r.source").alias("source"),
                             "first_seq", F.col("r.li").alias("li"))
-                .join(existing_ids, ["category_id", "keyword", "locale"], "left")
-                .select(F.coalesce("_old_id", F.coalesce(F.lit(max_id), F.lit(-1)) + 1
-                                   + F.col("first_seq") * 4 + F.col("li")).alias("kw_id"),
-                        "category_id", "keyword", "locale", "weight", "source"))
-    untouched = keywords.join(touched_keys, ["category_id", "keyword"], "left_anti")
+                .join(existing_ids, [*KEY, "locale"], "left")
+                .select(F.coalesce("_old_id", F.lit(base_id) + 1 + F.col("first_seq") * 4 + F.col("li")).alias("kw_id"),
+                        *KEY, "locale", "weight", "source"))
+    untouched = keywords.join(touched_keys, KEY, "left_anti")
     return untouched.unionByName(others).unionByName(new_rows)
 
 

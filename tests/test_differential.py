@@ -68,7 +68,8 @@ def test_classify_vs_python(spark, matcher):
         assert r.suggestions == sugg
 
 
-def test_learning_fold_vs_python(spark):
+@pytest.mark.parametrize("max_events", [200_000, 3])
+def test_learning_fold_vs_python(spark, max_events):
     rng = random.Random(3)
     cats = seed_categories(spark)
     names = {}
@@ -87,7 +88,7 @@ def test_learning_fold_vs_python(spark):
                                 "seq long, filepath string, from_category string, to_category string, "
                                 "keywords array<string>")
     got = {(r.category_id, r.keyword, r.locale): (r.weight, r.source)
-           for r in apply_corrections(kws, cats, cdf).collect()}
+           for r in apply_corrections(kws, cats, cdf, max_events_per_key=max_events).collect()}
     want = O.py_learn({(c, k, l): (w, s) for c, k, l, w, s in init_rows}, names, corr)
     assert got == want
 
