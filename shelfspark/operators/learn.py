@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import constants as K
 from shelfspark.operators.dictionary import keyword_locale
+from shelfspark.operators.ordered import ranked_within
 from shelfspark.session import cut_lineage
 
 LOCALES = ["zh", "en", "mixed"]
@@ -141,20 +142,8 @@ def apply_corrections(keywords: DataFrame, categories: DataFrame, corrections: D
     return out.join(hot, KEY, "left_anti").unionByName(state)
 
 
-def _ranked_events(ev: DataFrame, partitions: int = 0) -> DataFrame:
-    """Exact 1-based rank of each event within its key, without a per-key window:
-    range-partition by (key, order) so a hot key spans many partitions, number rows
-    inside each (partition, key), then add the counts of the key's earlier partitions
-    (a table of at most partitions x keys rows)."""
-    n = partitions or max(ev.sparkSession.sparkContext.defaultParallelism * 4, 8)
-    r = ev.repartitionByRange(n, *KEY, *ORDER).withColumn("_pid", F.spark_partition_id())
-    local = Window.partitionBy("_pid", *KEY).orderBy(*ORDER)
-    r = r.withColumn("_local", F.row_number().over(local))
-    counts = r.groupBy("_pid", *KEY).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*KEY).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    return r.join(offsets, ["_pid", *KEY]).withColumn("_rank", F.col("_off") + F.col("_local")).drop(
-        "_pid", "_local", "_off")
+def _ranked_events(ev: DataFrame) -> DataFrame:
+    return ranked_within(ev, KEY, ORDER)
 
 
 def _apply_events(keywords: DataFrame, ev: DataFrame, base_id: int) -> DataFrame:

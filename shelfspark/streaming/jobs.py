@@ -158,35 +158,45 @@ def stream_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 THROTTLE_OUT = "key string, event_id bigint, ts timestamp_ntz, allowed boolean, remaining int"
 
 
+def _throttle_scan(limit: int, window_s: int):
+    """mapInPandas body over rows clustered by key and sorted by (key, t, event_id):
+    one linear pass, the state is the key's last <= ``limit`` allowed timestamps and
+    is carried across Arrow batches of the same task."""
+    w_us = window_s * 1_000_000
+
+    def run(batches):
+        import pandas as pd
+        cur, kept = None, []
+        for pdf in batches:
+            allowed, remaining = [], []
+            for k, t in zip(pdf["key"], pdf["t"]):
+                if k != cur:
+                    cur, kept = k, []
+                kept = [x for x in kept if t - x < w_us]
+                ok = len(kept) < limit
+                allowed.append(ok)
+                remaining.append(max(0, limit - len(kept)))
+                if ok:
+                    kept.append(int(t))
+            yield pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "ts": pdf["ts"],
+                                "allowed": allowed, "remaining": pd.Series(remaining, dtype="int32")})
+
+    return run
+
+
 def throttle_batch(attempts: DataFrame, limit: int = K.MAX_ATTEMPTS,
-                   window_s: int = K.ATTEMPT_WINDOW_SECONDS) -> DataFrame:
+                   window_s: int = K.ATTEMPT_WINDOW_SECONDS, partitions: int | None = None) -> DataFrame:
     """Sequential rule per key: an attempt is allowed iff fewer than ``limit`` allowed
-    attempts lie in the preceding ``window_s`` seconds (strict); refused attempts
-    are not recorded. A gap of at least ``window_s`` after the previous attempt
-    resets the state, so each key splits into independent bursts that are folded
-    separately (higher-order fold over the burst, ≤ ``limit`` timestamps of state)."""
-    from pyspark.sql import Window
-    w_us = window_s * 1_000_000
+    attempts lie in the preceding ``window_s`` seconds (strict); refused attempts are
+    not recorded. The rule is a recurrence with one output per attempt, so it runs as
+    a sorted scan: rows are hash-clustered by key and sorted by (key, ts, event_id)
+    inside each partition, and one pass carries at most ``limit`` timestamps of state.
+    Nothing is gathered per key (linear time, bounded memory); a single key's
+    recurrence is inherently sequential and stays within one task."""
     a = attempts.select("key", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    w = Window.partitionBy("key").orderBy("t", "event_id")
-    a = a.withColumn("_gap", F.coalesce((F.col("t") - F.lag("t").over(w)) >= w_us, F.lit(True)).cast("int"))
-    a = a.withColumn("burst", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = a.groupBy("key", "burst").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "ts"))).alias("ev"))
-    init = F.struct(F.array().cast("array<bigint>").alias("kept"),
-                    F.array().cast("array<struct<event_id:bigint,ts:timestamp_ntz,allowed:boolean,remaining:int>>")
-                    .alias("out"))
-
-    def step(s, e):
-        live = F.filter(s["kept"], lambda x: e["t"] - x < w_us)
-        n = F.size(live)
-        ok = n < limit
-        rec = F.struct(e["event_id"].alias("event_id"), e["ts"].alias("ts"), ok.alias("allowed"),
-                       F.greatest(F.lit(limit) - n, F.lit(0)).cast("int").alias("remaining"))
-        kept = F.when(ok, F.concat(live, F.array(e["t"]))).otherwise(live)
-        return F.struct(kept.alias("kept"), F.concat(s["out"], F.array(rec)).alias("out"))
-
-    res = g.select("key", F.explode(F.aggregate("ev", init, step)["out"]).alias("r"))
-    return res.select("key", "r.event_id", "r.ts", "r.allowed", "r.remaining")
+    n = partitions or max(attempts.sparkSession.sparkContext.defaultParallelism * 2, 8)
+    clustered = a.repartition(n, "key").sortWithinPartitions("key", "t", "event_id")
+    return clustered.select("key", "event_id", "ts", "t").mapInPandas(_throttle_scan(limit, window_s), THROTTLE_OUT)
 
 
 def _throttle_state_fn(limit: int, window_s: int):

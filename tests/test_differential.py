@@ -132,7 +132,8 @@ def test_greedy_rounds_vs_sequential(spark):
     assert got == O.py_greedy(pairs)
 
 
-def test_throttle_vs_python(spark):
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_throttle_vs_python(spark, partitions):
     rng = random.Random(6)
     from datetime import datetime, timedelta
     base = datetime(2024, 1, 1)
@@ -141,7 +142,8 @@ def test_throttle_vs_python(spark):
         ev.append((rng.choice(["a", "b", "c"]), rng.randint(0, 400) + rng.choice([0, 0.5]), i))
     df = spark.createDataFrame([(k, i, base + timedelta(seconds=t)) for k, t, i in ev],
                                "key string, event_id long, ts timestamp_ntz")
-    got = sorted((r.key, r.event_id, r.allowed, r.remaining) for r in throttle_batch(df, 5, 60).collect())
+    got = sorted((r.key, r.event_id, r.allowed, r.remaining)
+                 for r in throttle_batch(df, 5, 60, partitions=partitions).collect())
     assert got == sorted(O.py_throttle(ev, 5, 60))
 
 
