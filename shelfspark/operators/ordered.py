@@ -14,16 +14,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def prefix_sum_within(df: DataFrame, key_cols: list[str], order_cols: list[str], value_col: str | None,
+                      out_col: str, partitions: int = 0) -> DataFrame:
+    """Adds ``out_col``: the running sum of ``value_col`` (or the running row count when
+    it is None) within each key in ``order_cols`` order, current row included. Rows
+    equal on (key, order) land in the same range partition, so ties stay consistent."""
+    n = partitions or max(df.sparkSession.sparkContext.defaultParallelism * 4, 8)
+    v = F.lit(1) if value_col is None else F.col(value_col)
+    r = (df.withColumn("_v", v).repartitionByRange(n, *key_cols, *order_cols)
+         .withColumn("_pid", F.spark_partition_id()))
+    local = Window.partitionBy("_pid", *key_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("_local", F.sum("_v").over(local))
+    sums = r.groupBy("_pid", *key_cols).agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*key_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    return (r.join(offsets, ["_pid", *key_cols])
+            .withColumn(out_col, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off", "_v"))
+
+
 def ranked_within(df: DataFrame, key_cols: list[str], order_cols: list[str], partitions: int = 0,
                   rank_col: str = "_rank") -> DataFrame:
     """Adds ``rank_col``: 1-based position of each row within its key in ``order_cols``
     order (``order_cols`` must be unique within a key)."""
-    n = partitions or max(df.sparkSession.sparkContext.defaultParallelism * 4, 8)
-    r = df.repartitionByRange(n, *key_cols, *order_cols).withColumn("_pid", F.spark_partition_id())
-    local = Window.partitionBy("_pid", *key_cols).orderBy(*order_cols)
-    r = r.withColumn("_local", F.row_number().over(local))
-    counts = r.groupBy("_pid", *key_cols).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*key_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    return (r.join(offsets, ["_pid", *key_cols])
-            .withColumn(rank_col, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off"))
+    return prefix_sum_within(df, key_cols, order_cols, None, rank_col, partitions)

@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 from shelfspark import constants as K
 from shelfspark.functions.stems import safe_folder_name
 from shelfspark.functions.text import name_stem, path_name, path_parent
+from shelfspark.operators.ordered import prefix_sum_within, ranked_within
 from shelfspark.session import cut_lineage
 
 VAULT = "vault"
 MAX_PASSES_HARD = 100_000
+# families up to this many rows are ranked with plain windows (one bounded sorted
+# stream each); larger ones with distributed prefix sums
+WINDOW_FAMILY_BOUND = 1_000_000
 
 
 def _split(name_col: str, split_suffix: bool):
@@ -81,21 +85,36 @@ def collision_names(existing: DataFrame, incoming: DataFrame, split_suffix: bool
 def _one_pass(existing: DataFrame, incoming: DataFrame, split_suffix: bool) -> DataFrame:
     """Family-local assignment. With the family's blocked indices b_1 < b_2 < ... and
     g_i = b_i - (i - 1) (free slots below b_i), the k-th free index (0-based) is
-    k + #{i : g_i <= k}: a running count over the merged, sorted (g, k) keys. No
-    candidate list is materialised, so a family of any size stays a sorted stream."""
+    k + #{i : g_i <= k}: a running count over the merged, sorted (g, k) keys. Ranks
+    and running counts are distributed prefix sums (``operators.ordered``), so a
+    family holding a third of all files is still spread over many tasks, and no
+    candidate list is ever materialised."""
     stem, sfx = _split("name", split_suffix)
     fam_cols = ["dir", "stem", "suffix"]
     inc = incoming.select("order", "dir", "name", stem.alias("stem"), sfx.alias("suffix"))
-    inc = inc.withColumn("k", F.row_number().over(Window.partitionBy(*fam_cols).orderBy("order")) - 1)
     blocked = _family_members(existing, split_suffix).join(inc.select(*fam_cols).distinct(), fam_cols, "left_semi")
-    g = blocked.select(*fam_cols, (F.col("n") - (F.row_number().over(Window.partitionBy(*fam_cols).orderBy("n")) - 1))
-                       .alias("key"), F.lit(1).alias("blk"), F.lit(None).cast(incoming.schema["order"].dataType)
-                       .alias("order"), F.lit(None).cast("string").alias("name"))
+    # size check: small families use plain per-family windows (each a bounded sorted
+    # stream); when any family exceeds the bound, the distributed prefix sums are used
+    biggest = (inc.select(*fam_cols).unionByName(blocked.select(*fam_cols)).groupBy(*fam_cols).count()
+               .agg(F.max("count")).first()[0] or 0)
+    distributed = biggest > WINDOW_FAMILY_BOUND
+    if distributed:
+        inc = ranked_within(inc, fam_cols, ["order"], rank_col="_r")
+        blocked = ranked_within(blocked, fam_cols, ["n"], rank_col="_r")
+    else:
+        inc = inc.withColumn("_r", F.row_number().over(Window.partitionBy(*fam_cols).orderBy("order")))
+        blocked = blocked.withColumn("_r", F.row_number().over(Window.partitionBy(*fam_cols).orderBy("n")))
+    inc = inc.withColumn("k", F.col("_r") - 1).drop("_r")
+    g = blocked.select(*fam_cols, (F.col("n") - (F.col("_r") - 1)).alias("key"), F.lit(1).alias("blk"),
+                       F.lit(None).cast(incoming.schema["order"].dataType).alias("order"),
+                       F.lit(None).cast("string").alias("name"))
     q = inc.select(*fam_cols, F.col("k").alias("key"), F.lit(0).alias("blk"), "order", "name")
-    merged = g.unionByName(q)
-    run = Window.partitionBy(*fam_cols).orderBy(F.col("key"), F.col("blk").desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = merged.withColumn("j", F.sum("blk").over(run))
+    merged = g.unionByName(q).withColumn("_desc_blk", -F.col("blk"))
+    if distributed:
+        merged = prefix_sum_within(merged, fam_cols, ["key", "_desc_blk"], "blk", "j")
+    else:
+        run = Window.partitionBy(*fam_cols).orderBy("key", "_desc_blk").rowsBetween(Window.unboundedPreceding, 0)
+        merged = merged.withColumn("j", F.sum("blk").over(run))
     out = merged.filter(F.col("blk") == 0).withColumn("n", F.col("key") + F.col("j"))
     final = F.when(F.col("n") == 0, F.col("name")).otherwise(
         F.concat(F.col("stem"), F.lit("_"), F.col("n").cast("string"), F.col("suffix")))

@@ -147,7 +147,10 @@ def test_throttle_vs_python(spark, partitions):
     assert got == sorted(O.py_throttle(ev, 5, 60))
 
 
-def test_collisions_vs_sequential(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_collisions_vs_sequential(spark, bound, monkeypatch):
+    from shelfspark.plans import organize
+    monkeypatch.setattr(organize, "WINDOW_FAMILY_BOUND", bound)
     rng = random.Random(7)
     names = ["a.txt", "a_1.txt", "a_2.txt", "b", "b_1", "c.tar.gz", "c.tar_1.gz", ".hidden", "d_01.txt"]
     existing = {(rng.choice(["x", "y"]), rng.choice(names)) for _ in range(8)}
