@@ -359,6 +359,63 @@ SELECT r.file_id, r.original_name, r.extracted_text, r.file_type,
 FROM raw_files r LEFT JOIN kwarr k ON k.doc_id = r.file_id""", ["raw_files", "kwarr"])
 
 
+cte("corr_events", ["labels_corr", "file_keywords", "categories"], f"""
+SELECT category_id, keyword, seq, phase, pos, op, locale,
+       row_number() OVER (PARTITION BY category_id, keyword ORDER BY seq, phase, pos) AS i
+FROM (
+  SELECT CASE WHEN p.phase = 0 THEN fc.id ELSE tc.id END AS category_id, lower(trim(k.keyword)) AS keyword,
+         c.seq, p.phase, k.rank AS pos, CASE WHEN p.phase = 0 THEN 'down' ELSE 'up' END AS op, c.kw_locale AS locale
+  FROM (SELECT l.*, coalesce(kk.kws, []::VARCHAR[]) AS kws,
+               CASE WHEN len(coalesce(kk.kws, []::VARCHAR[])) > 0 THEN {lang("array_to_string(kk.kws, ' ')")}
+                    ELSE 'zh' END AS kw_locale
+        FROM labels_corr l LEFT JOIN (SELECT doc_id, list(keyword ORDER BY rank) AS kws FROM file_keywords
+                                      WHERE rank <= 5 GROUP BY doc_id) kk ON kk.doc_id = l.seq) c
+  JOIN file_keywords k ON k.doc_id = c.seq AND k.rank <= 5
+  CROSS JOIN (VALUES (0), (1)) p(phase)
+  LEFT JOIN categories fc ON fc.name_zh = c.from_category
+  LEFT JOIN categories tc ON tc.id = c.to_category)
+WHERE category_id IS NOT NULL AND keyword <> ''""")
+cte("corr_fold", ["corr_events", "keywords"], """
+SELECT * FROM (
+  WITH RECURSIVE fold(category_id, keyword, i, zh, en, mixed, src_zh, src_en, src_mixed, other) AS (
+    SELECT k.category_id, k.keyword, 0::BIGINT, s.zh, s.en, s.mixed, s.src_zh, s.src_en, s.src_mixed,
+           coalesce(s.other, FALSE)
+    FROM (SELECT DISTINCT category_id, keyword FROM corr_events) k
+    LEFT JOIN (SELECT category_id, keyword,
+                      max(CASE WHEN locale = 'zh' THEN weight END) AS zh, max(CASE WHEN locale = 'en' THEN weight END) AS en,
+                      max(CASE WHEN locale = 'mixed' THEN weight END) AS mixed,
+                      max(CASE WHEN locale = 'zh' THEN source END) AS src_zh,
+                      max(CASE WHEN locale = 'en' THEN source END) AS src_en,
+                      max(CASE WHEN locale = 'mixed' THEN source END) AS src_mixed,
+                      bool_or(locale NOT IN ('zh', 'en', 'mixed')) AS other
+               FROM keywords GROUP BY category_id, keyword) s
+      ON s.category_id = k.category_id AND s.keyword = k.keyword
+    UNION ALL
+    SELECT f.category_id, f.keyword, f.i + 1,
+""" + ",\n".join(
+    f"""      CASE WHEN e.locale <> '{l}' THEN f.{l}
+           WHEN e.op = 'up' THEN CASE WHEN f.{l} IS NOT NULL THEN least(f.{l} * 1.3 + 0.2, 3.0) ELSE 1.5 END
+           WHEN f.{l} IS NOT NULL THEN greatest(f.{l} * 0.7, 0.1)
+           WHEN NOT (f.zh IS NOT NULL OR f.en IS NOT NULL OR f.mixed IS NOT NULL OR f.other) THEN 0.3 END"""
+    for l in ("zh", "en", "mixed")) + ",\n" + ",\n".join(
+    f"""      CASE WHEN e.locale <> '{l}' THEN f.src_{l}
+           WHEN e.op = 'up' THEN 'learned'
+           WHEN f.{l} IS NOT NULL THEN 'learned'
+           WHEN NOT (f.zh IS NOT NULL OR f.en IS NOT NULL OR f.mixed IS NOT NULL OR f.other) THEN 'corrected_down'
+           ELSE f.src_{l} END"""
+    for l in ("zh", "en", "mixed")) + """,
+      f.other
+    FROM fold f JOIN corr_events e ON e.category_id = f.category_id AND e.keyword = f.keyword AND e.i = f.i + 1)
+  SELECT * FROM fold QUALIFY i = max(i) OVER (PARTITION BY category_id, keyword))""")
+cte("learned_keywords", ["corr_fold", "keywords"], """
+SELECT k.category_id, k.keyword, k.locale, k.weight, k.source FROM keywords k
+WHERE NOT EXISTS (SELECT 1 FROM corr_fold f WHERE f.category_id = k.category_id AND f.keyword = k.keyword)
+   OR k.locale NOT IN ('zh', 'en', 'mixed')
+UNION ALL SELECT category_id, keyword, 'zh', zh, src_zh FROM corr_fold WHERE zh IS NOT NULL
+UNION ALL SELECT category_id, keyword, 'en', en, src_en FROM corr_fold WHERE en IS NOT NULL
+UNION ALL SELECT category_id, keyword, 'mixed', mixed, src_mixed FROM corr_fold WHERE mixed IS NOT NULL""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

@@ -271,7 +271,8 @@ from shelfspark.operators import learn as LRN  # noqa: E402
 CORRECTIONS_SQL_CTE = None  # corrections need keyword extraction; see oracle cte "corrections"
 
 
-@register("apply_corrections")
+@register("apply_corrections", O.build(["learned_keywords"], """
+SELECT category_id, keyword, locale, weight, source FROM learned_keywords"""))
 def q_apply_corrections(spark, sf):
     cats, kws = X.dictionary(spark)
     return LRN.apply_corrections(kws, cats, X.corrections(spark, sf)).select(
@@ -295,7 +296,9 @@ def q_top_corrected(spark, sf):
     return LRN.top_corrected(log)
 
 
-@register("learning_stats")
+@register("learning_stats", O.build(["learned_keywords", "labels_corr"], """
+SELECT (SELECT count(*) FROM labels_corr) AS total_corrections,
+       (SELECT count(*) FROM learned_keywords WHERE source = 'learned') AS learned_keywords"""))
 def q_learning_stats(spark, sf):
     cats, kws = X.dictionary(spark)
     corr = X.corrections(spark, sf)
@@ -391,7 +394,8 @@ def q_add_keywords(spark, sf):
     return counts
 
 
-@register("get_keywords")
+@register("get_keywords", O.build(["learned_keywords"], """
+SELECT category_id, keyword, locale, weight, source FROM learned_keywords"""))
 def q_get_keywords(spark, sf):
     cats, kws = X.dictionary(spark)
     new_kws = LRN.apply_corrections(kws, cats, X.corrections(spark, sf))
@@ -1009,17 +1013,38 @@ def q_stream_ingest(spark, sf):
     return STR.stream_ingest(spark, sf)
 
 
-@register("stream_corrections")
+@register("stream_corrections", O.build(["learned_keywords"], """
+SELECT category_id, keyword, locale, weight, source FROM learned_keywords"""))
 def q_stream_corrections(spark, sf):
     return STR.stream_corrections(spark, sf).select("category_id", "keyword", "locale", "weight", "source")
 
 
-@register("throttle_audit")
+_THROTTLE_SQL = f"""
+WITH RECURSIVE ev AS (
+  SELECT CAST(user_id AS VARCHAR) AS key, event_id, ts, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i
+  FROM events),
+fold(key, i, event_id, ts, allowed, remaining, kept) AS (
+  SELECT key, 0::BIGINT, NULL::BIGINT, NULL::TIMESTAMP, NULL::BOOLEAN, NULL::INTEGER, []::BIGINT[]
+  FROM (SELECT DISTINCT key FROM ev)
+  UNION ALL
+  SELECT f.key, f.i + 1, e.event_id, e.ts,
+         len(list_filter(f.kept, lambda x: e.t - x < {THROTTLE_WINDOW_S * 1_000_000})) < {THROTTLE_LIMIT},
+         CAST(greatest({THROTTLE_LIMIT} - len(list_filter(f.kept, lambda x: e.t - x < {THROTTLE_WINDOW_S * 1_000_000})), 0)
+              AS INTEGER),
+         CASE WHEN len(list_filter(f.kept, lambda x: e.t - x < {THROTTLE_WINDOW_S * 1_000_000})) < {THROTTLE_LIMIT}
+              THEN list_append(list_filter(f.kept, lambda x: e.t - x < {THROTTLE_WINDOW_S * 1_000_000}), e.t)
+              ELSE list_filter(f.kept, lambda x: e.t - x < {THROTTLE_WINDOW_S * 1_000_000}) END
+  FROM fold f JOIN ev e ON e.key = f.key AND e.i = f.i + 1)
+SELECT key, event_id, ts, allowed, remaining FROM fold WHERE i > 0"""
+
+
+@register("throttle_audit", _THROTTLE_SQL)
 def q_throttle_audit(spark, sf):
     return STR.throttle_batch(X.attempts(spark, sf), THROTTLE_LIMIT, THROTTLE_WINDOW_S)
 
 
-@register("stream_throttle")
+@register("stream_throttle", _THROTTLE_SQL)
 def q_stream_throttle(spark, sf):
     return STR.stream_throttle(spark, sf, THROTTLE_LIMIT, THROTTLE_WINDOW_S)
 
