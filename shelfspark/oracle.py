@@ -416,6 +416,57 @@ UNION ALL SELECT category_id, keyword, 'en', en, src_en FROM corr_fold WHERE en
 UNION ALL SELECT category_id, keyword, 'mixed', mixed, src_mixed FROM corr_fold WHERE mixed IS NOT NULL""")
 
 
+cte("group_members", ["file_stems"], """
+SELECT directory, stem, n AS stem_files, path FROM (
+  WITH RECURSIVE
+  pairs AS (SELECT DISTINCT directory, unnest(stems) AS stem, path FROM file_stems),
+  counts AS (SELECT directory, stem, count(*) AS n FROM pairs GROUP BY directory, stem HAVING count(*) >= 2),
+  ranked AS (SELECT p.directory, p.stem, p.path, c.n FROM pairs p JOIN counts c
+             ON c.directory = p.directory AND c.stem = p.stem),
+  r(directory, stem, path, n, status) AS (
+    SELECT directory, stem, path, n, 'pending' FROM ranked
+    UNION ALL
+    SELECT directory, stem, path, n, CASE WHEN all_best THEN 'taken' ELSE 'pending' END FROM (
+      SELECT *, bool_or(all_best) OVER (PARTITION BY directory, path) AS path_taken FROM (
+        SELECT *, bool_and(is_best) OVER (PARTITION BY directory, stem) AS all_best FROM (
+          SELECT *, struct_pack(a := -n, b := length(stem), c := stem)
+                    = min(struct_pack(a := -n, b := length(stem), c := stem)) OVER (PARTITION BY directory, path)
+                    AS is_best
+          FROM (SELECT directory, stem, path, n FROM r WHERE status = 'pending'
+                QUALIFY count(*) OVER (PARTITION BY directory, stem) >= 2))))
+    WHERE all_best OR NOT path_taken)
+  SELECT * FROM r WHERE status = 'taken')""")
+
+
+def _title_sql(x: str) -> str:
+    """Python str.title() for ASCII text (a letter is upper-cased after a non-letter)."""
+    return (f"array_to_string(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN i = 1 "
+            f"OR NOT regexp_matches(substring({x}, i - 1, 1), '[A-Za-z]') THEN upper(substring({x}, i, 1)) "
+            f"ELSE lower(substring({x}, i, 1)) END), '')")
+
+
+def folder_name_sql(stem: str) -> str:
+    t = _title_sql(f"replace(replace(regexp_replace({stem}, '^[_ -]+|[_ -]+$', '', 'g'), '_', ' '), '-', ' ')")
+    return (f"CASE WHEN {t} = '' THEN 'Grouped Files' WHEN length({t}) > 50 THEN substring({t}, 1, 47) || '...' "
+            f"ELSE {t} END")
+
+
+cte("file_groups_sql", ["group_members", "raw_files"], f"""
+SELECT directory, stem, stem_files, {folder_name_sql('stem')} AS suggested_folder,
+       CASE WHEN n_ext > 1 AND num THEN 'sequential_different_formats'
+            WHEN n_ext > 1 THEN 'same_stem_different_formats'
+            WHEN num THEN 'sequential_numbering' WHEN ver THEN 'version_variants' ELSE 'common_prefix' END AS strategy,
+       file_count, least(0.5 + CAST(file_count AS DOUBLE) * 0.15, 1.0) AS confidence
+FROM (SELECT m.directory, m.stem, m.stem_files, count(*) AS file_count, count(DISTINCT r.file_type) AS n_ext,
+             bool_or(regexp_matches(lower(f.st), '[0-9]{{2,}}')) AS num,
+             bool_or({' OR '.join(f"contains(lower(f.st), {q(w)})" for w in K.VERSION_WORDS)}) AS ver
+      FROM group_members m JOIN raw_files r ON r.path = m.path
+      JOIN (SELECT path, CASE WHEN regexp_matches(original_name, '^.+[.][^.]+$')
+                 THEN regexp_extract(original_name, '^(.+)[.][^.]+$', 1) ELSE original_name END AS st
+            FROM raw_files) f ON f.path = m.path
+      GROUP BY m.directory, m.stem, m.stem_files)""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

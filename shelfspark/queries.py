@@ -536,17 +536,30 @@ def q_stem_index(spark, sf):
     return idx.groupBy("directory", "stem").agg(F.count(F.lit(1)).alias("files")).filter(F.col("files") >= 2)
 
 
-@register("file_groups")
+@register("file_groups", O.build(["file_groups_sql"], """
+SELECT directory, stem, stem_files, suggested_folder, strategy, file_count, confidence FROM file_groups_sql"""))
 def q_file_groups(spark, sf):
     return GRP.file_groups(X.raw_files(spark, sf))
 
 
-@register("group_members")
+@register("group_members", O.build(["group_members"], """
+SELECT directory, stem, stem_files, path FROM group_members"""))
 def q_group_members(spark, sf):
     return GRP.group_members(X.raw_files(spark, sf))
 
 
-@register("group_summary")
+@register("group_summary", O.build(["group_members", "raw_files"], """
+SELECT t.directory, t.total_files, coalesce(g.grouped, 0) AS grouped_count,
+       t.total_files - coalesce(g.grouped, 0) AS ungrouped_count, coalesce(u.files, '') AS ungrouped_files,
+       CASE WHEN t.total_files < 2 THEN 'no_groups' ELSE 'ok' END AS status
+FROM (SELECT directory, count(*) AS total_files FROM raw_files WHERE NOT starts_with(original_name, '.')
+      GROUP BY directory) t
+LEFT JOIN (SELECT directory, count(*) AS grouped FROM group_members GROUP BY directory) g ON g.directory = t.directory
+LEFT JOIN (SELECT directory, array_to_string(list(path ORDER BY path), '|') AS files FROM (
+             SELECT directory, path, row_number() OVER (PARTITION BY directory ORDER BY path) AS rn FROM raw_files r
+             WHERE NOT starts_with(original_name, '.')
+               AND NOT EXISTS (SELECT 1 FROM group_members m WHERE m.path = r.path)) WHERE rn <= 20
+           GROUP BY directory) u ON u.directory = t.directory"""))
 def q_group_summary(spark, sf):
     files = X.raw_files(spark, sf)
     s = GRP.group_summary(files, GRP.group_members(files))
@@ -554,7 +567,10 @@ def q_group_summary(spark, sf):
                     F.array_join("ungrouped_files", "|").alias("ungrouped_files"), "status")
 
 
-@register("group_manifest")
+@register("group_manifest", O.build(["file_groups_sql", "group_members"], """
+SELECT m.directory, m.stem, g.directory || '/' || g.suggested_folder AS folder, m.path AS src,
+       g.directory || '/' || g.suggested_folder || '/' || regexp_extract(m.path, '[^/]*$', 0) AS dst
+FROM group_members m JOIN file_groups_sql g ON g.directory = m.directory AND g.stem = m.stem"""))
 def q_group_manifest(spark, sf):
     files = X.raw_files(spark, sf)
     members = cut_lineage(GRP.group_members(files), "group-members")
