@@ -211,9 +211,10 @@ def rec_important(files: DataFrame, n: int = K.RECOMMEND_LIMIT) -> DataFrame:
 
 def rec_discovery(files: DataFrame, n: int = K.RECOMMEND_LIMIT, seed: int = 42) -> DataFrame:
     """AGG-7: never-viewed, not archived files in a seeded pseudo-random order."""
+    # seeded, reproducible pseudo-random order (the reference uses ORDER BY RANDOM(), V17)
+    key = F.md5(F.concat(F.col("path"), F.lit(f":{seed}")))
     return (files.filter((F.col("view_count") == 0) & (F.col("category") != K.ARCHIVE))
-            .select("path", "category", _display_name().alias("name"), "view_count",
-                    F.xxhash64(F.col("path"), F.lit(seed)).alias("_r"))
+            .select("path", "category", _display_name().alias("name"), "view_count", key.alias("_r"))
             .orderBy("_r", "path").limit(n).drop("_r"))
 
 

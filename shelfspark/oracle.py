@@ -318,7 +318,8 @@ SELECT path, regexp_extract(path, '[^/]*$', 0) AS name, size, modified,
 FROM vault_paths WHERE NOT starts_with(regexp_extract(path, '[^/]*$', 0), '.')""")
 
 
-def _classification_chain(prefix: str, files_sql: str, deps: list[str]) -> None:
+def _classification_chain(prefix: str, files_sql: str, deps: list[str], dict_cte: str = "cls_dict",
+                          count_cte: str = "kw_count") -> None:
     """CLS-1..8 as CTEs over ``files_sql`` (file_id, original_name, extracted_text,
     file_type, kwj = lower-cased joined keywords)."""
     cte(prefix + "prepped", deps, f"""
@@ -328,13 +329,13 @@ SELECT file_id, lower(original_name) AS _name, kwj AS _kwj,
        {lang("(CASE WHEN coalesce(extracted_text, '') <> '' THEN extracted_text ELSE lower(original_name) END)")}
          AS locale_detected
 FROM ({files_sql})""")
-    cte(prefix + "contrib", [prefix + "prepped", "cls_dict", "categories"], f"""
+    cte(prefix + "contrib", [prefix + "prepped", dict_cte, "categories"], f"""
 SELECT p.file_id, d.category_id, d.ord,
        CAST(CAST(d.weight AS DECIMAL(18,8)) * (CAST(CASE WHEN contains(p._name, d.keyword) THEN 3
             WHEN contains(p._kwj, d.keyword) THEN 2 ELSE 1 END AS DECIMAL(2,0))
             * CAST(CASE WHEN d.locale = p.locale_detected THEN 1.2 ELSE 1.0 END AS DECIMAL(2,1))) AS DECIMAL(22,9))
          AS contrib
-FROM {prefix}prepped p JOIN cls_dict d ON contains(p._hay, d.keyword)
+FROM {prefix}prepped p JOIN {dict_cte} d ON contains(p._hay, d.keyword)
 UNION ALL
 SELECT p.file_id, c.id, c.ord, CAST(2.0 AS DECIMAL(22,9))
 FROM {prefix}prepped p JOIN (SELECT id, ord, unnest(extensions) AS ext FROM categories WHERE is_active) c
@@ -342,7 +343,7 @@ FROM {prefix}prepped p JOIN (SELECT id, ord, unnest(extensions) AS ext FROM cate
     cte(prefix + "ranked", [prefix + "contrib"], f"""
 SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score_dec DESC, ord) AS rank FROM (
   SELECT file_id, category_id, ord, sum(contrib) AS score_dec FROM {prefix}contrib GROUP BY file_id, category_id, ord)""")
-    cte(prefix + "classified", [prefix + "prepped", prefix + "ranked", "categories", "kw_count"], f"""
+    cte(prefix + "classified", [prefix + "prepped", prefix + "ranked", "categories", count_cte], f"""
 SELECT p.file_id, coalesce(c.name_zh, '_inbox') AS category, b.category_id,
        CASE WHEN b.file_id IS NULL THEN 0.0
             ELSE least(CAST(b.score_dec AS DOUBLE) / greatest(CAST(n.n_kw AS DOUBLE) * 2.5, 5.0), 1.0) END
@@ -350,7 +351,7 @@ SELECT p.file_id, coalesce(c.name_zh, '_inbox') AS category, b.category_id,
 FROM {prefix}prepped p
 LEFT JOIN (SELECT * FROM {prefix}ranked WHERE rank = 1) b ON b.file_id = p.file_id
 LEFT JOIN categories c ON c.id = b.category_id
-LEFT JOIN kw_count n ON n.category_id = b.category_id""")
+LEFT JOIN {count_cte} n ON n.category_id = b.category_id""")
 
 
 _classification_chain("kcls_", """
@@ -467,6 +468,16 @@ FROM (SELECT m.directory, m.stem, m.stem_files, count(*) AS file_count, count(DI
       GROUP BY m.directory, m.stem, m.stem_files)""")
 
 
+cte("learned_dict", ["learned_keywords", "categories"], """
+SELECT k.category_id, c.ord, k.keyword, k.locale, k.weight
+FROM learned_keywords k JOIN categories c ON c.id = k.category_id WHERE c.is_active""")
+cte("learned_count", ["learned_keywords"],
+    "SELECT category_id, count(*) AS n_kw FROM learned_keywords GROUP BY category_id")
+_classification_chain("lcls_", """
+SELECT file_id, original_name, extracted_text, file_type, '' AS kwj FROM raw_files""", ["raw_files"],
+                      dict_cte="learned_dict", count_cte="learned_count")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

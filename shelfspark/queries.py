@@ -183,7 +183,10 @@ def q_rec_by_category(spark, sf):
     return CAT.rec_by_category(X.catalog_files(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@register("rec_discovery")
+@register("rec_discovery", O.build(["catalog_files"], """
+SELECT path, category, coalesce(nullif(original_name, ''), regexp_extract(path, '[^/]*$', 0)) AS name, view_count
+FROM catalog_files WHERE view_count = 0 AND category <> '_archive'
+ORDER BY md5(path || ':42'), path LIMIT 5"""))
 def q_rec_discovery(spark, sf):
     return CAT.rec_discovery(X.catalog_files(spark, sf))
 
@@ -1103,6 +1106,8 @@ def q_ingest_pipeline(spark, sf):
     return E2E.ingest_pipeline(spark, sf)
 
 
-@register("reclassify_shift")
+@register("reclassify_shift", O.build(["classified", "lcls_classified"], """
+SELECT b.category AS before, a.category AS after, count(*) AS files
+FROM classified b JOIN lcls_classified a ON a.file_id = b.file_id GROUP BY b.category, a.category"""))
 def q_reclassify_shift(spark, sf):
     return E2E.reclassify_shift(spark, sf)
