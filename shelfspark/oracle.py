@@ -214,7 +214,7 @@ def _pii_lists() -> str:
 
 cte("pii_raw", ["pii_docs"], _pii_lists())
 cte("pii_found", ["pii_raw"], """
-SELECT doc_id, text, filepath, f.type AS type, f.start AS start, f.start + length(f.original) AS "end",
+SELECT doc_id, text, filepath, f.type AS type, f.start AS start, CAST(f.start + length(f.original) AS INTEGER) AS "end",
        CASE f.type
          WHEN '身份证号' THEN f.original[1:6] || '**********' || f.original[-1:]
          WHEN '手机号' THEN f.original[1:3] || '****' || f.original[-4:]

@@ -90,7 +90,7 @@ SELECT doc_id, {O.lang('text')} AS lang_detected, length(text) AS text_length FR
 def q_detect_language(spark, sf):
     d = X.table(spark, sf, "documents")
     return d.select("doc_id", detect_language(F.col("text")).alias("lang_detected"),
-                    F.length("text").alias("text_length"))
+                    F.length("text").cast("bigint").alias("text_length"))
 
 
 @register("keywords_freq", O.build(["file_keywords"], """
@@ -155,7 +155,7 @@ LEFT JOIN (SELECT category, count(*) AS file_count FROM catalog_files GROUP BY c
   ON c.category = n.category"""))
 def q_sidebar_counts(spark, sf):
     cats, _ = X.dictionary(spark)
-    return CAT.sidebar_counts(X.catalog_files(spark, sf), cats)
+    return CAT.sidebar_counts(X.catalog_files(spark, sf), cats).withColumn("position", F.col("position").cast("bigint"))
 
 
 @register("rec_important", O.build(["catalog_files"], """
