@@ -1075,7 +1075,8 @@ SELECT CAST(user_id AS VARCHAR) AS key, event_id,
 FROM events""")
 def q_attempt_rate(spark, sf):
     from pyspark.sql import Window
-    a = X.attempts(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    from shelfspark.functions.times import ntz_micros
+    a = X.attempts(spark, sf).withColumn("t", ntz_micros("ts"))
     w = Window.partitionBy("key").orderBy("t").rangeBetween(-(THROTTLE_WINDOW_S * 1_000_000 - 1), 0)
     return a.select("key", "event_id", F.count(F.lit(1)).over(w).alias("attempts_in_window"))
 

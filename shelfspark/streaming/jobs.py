@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shelfspark import constants as K
 from shelfspark import fixtures as X
+from shelfspark.functions.times import instant_to_ntz, ntz_micros, ntz_to_instant
 from shelfspark.session import shared_scratch
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -81,11 +82,12 @@ def access_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cats = X.classified_files(spark, sf_dir).select(F.col("file_id").alias("_fid"), "category")
     ev = stream_table(spark, sf_dir, "events", EVENTS_SCHEMA).filter(F.col("event_type") == "view")
     views = ev.withColumn("_fid", F.pmod("event_id", n)).join(cats, "_fid")
-    # watermarks need TIMESTAMP (session time zone, UTC here); results go back to NTZ
-    agg = (views.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", WATERMARK)
+    # watermarks need a TIMESTAMP instant; the wall-clock NTZ value is read as UTC and
+    # the window bounds are turned back into NTZ the same way (no session time zone)
+    agg = (views.withColumn("event_time", ntz_to_instant("ts")).withWatermark("event_time", WATERMARK)
            .groupBy(F.window("event_time", WINDOW), "category").agg(F.count(F.lit(1)).alias("views"))
-           .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                   F.col("window.end").cast("timestamp_ntz").alias("window_end"), "category", "views"))
+           .select(instant_to_ntz(F.col("window.start")).alias("window_start"),
+                   instant_to_ntz(F.col("window.end")).alias("window_end"), "category", "views"))
     out = shared_scratch(spark, "access-windows")
     run(agg.writeStream.outputMode("append").format("parquet").option("path", out),
         shared_scratch(spark, "access-windows-ckpt"))
@@ -193,7 +195,7 @@ def throttle_batch(attempts: DataFrame, limit: int = K.MAX_ATTEMPTS,
     inside each partition, and one pass carries at most ``limit`` timestamps of state.
     Nothing is gathered per key (linear time, bounded memory); a single key's
     recurrence is inherently sequential and stays within one task."""
-    a = attempts.select("key", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    a = attempts.select("key", "event_id", "ts", ntz_micros("ts").alias("t"))
     n = partitions or max(attempts.sparkSession.sparkContext.defaultParallelism * 2, 8)
     clustered = a.repartition(n, "key").sortWithinPartitions("key", "t", "event_id")
     return clustered.select("key", "event_id", "ts", "t").mapInPandas(_throttle_scan(limit, window_s), THROTTLE_OUT)
@@ -226,7 +228,7 @@ def throttle_stream(spark: SparkSession, attempts_stream: DataFrame, limit: int
                     window_s: int = K.ATTEMPT_WINDOW_SECONDS) -> DataFrame:
     """Stream form: state per key is at most ``limit`` timestamps; attempts are
     processed in (ts, event_id) order within each micro-batch."""
-    a = attempts_stream.select("key", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    a = attempts_stream.select("key", "event_id", "ts", ntz_micros("ts").alias("t"))
     return a.groupBy("key").applyInPandasWithState(
         _throttle_state_fn(limit, window_s), THROTTLE_OUT, "kept array<bigint>", "append",
         GroupStateTimeout.NoTimeout)
