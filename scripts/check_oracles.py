@@ -59,8 +59,14 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 and "/" in sys.argv[1] else "/root/testdata/sf0.01"
     names = [a for a in sys.argv[1:] if "/" not in a]
     tz = os.environ.get("CHECK_SESSION_TZ")  # e.g. America/Los_Angeles: results must not depend on it
-    spark = build_session("local[8]", shuffle_partitions=8,
-                          extra={"spark.sql.session.timeZone": tz} if tz else None)
+    if os.environ.get("CHECK_PLAIN_SESSION"):
+        # a bare session, as a caller would create it (none of our defaults)
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+    else:
+        spark = build_session("local[8]", shuffle_partitions=8,
+                              extra={"spark.sql.session.timeZone": tz} if tz else None)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
