@@ -57,6 +57,15 @@ def upsert(state: DataFrame, changes: DataFrame, key: str = "path", seq: str = "
     return j.select(*out)
 
 
+def json_lines(df: DataFrame, path: str | None = None) -> DataFrame:
+    """SNK-3: one JSON document per row (non-ASCII kept as is); written as text
+    files when ``path`` is given."""
+    out = df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+    if path:
+        out.write.mode("overwrite").text(path)
+    return out
+
+
 # ----------------------------------------------------------------------------
 # FLT-1 file search
 # ----------------------------------------------------------------------------

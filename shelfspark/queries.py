@@ -347,6 +347,23 @@ def q_list_categories(spark, sf):
     return DIC.list_categories(cats, kws)
 
 
+@register("category_map", O.build(["categories", "labels_corr"], """
+SELECT c.name_zh AS display_name, c.id, c.name_zh, c.name_en, array_to_string(c.extensions, ',') AS extensions,
+       c.sample_count + coalesce(n.cnt, 0) AS sample_count
+FROM categories c
+LEFT JOIN (SELECT to_category, count(*) AS cnt FROM labels_corr GROUP BY to_category) n ON n.to_category = c.id
+WHERE c.is_active"""))
+def q_category_map(spark, sf):
+    cats, _ = X.dictionary(spark)
+    return DIC.category_map(LRN.sample_counts(cats, X.corrections(spark, sf)))
+
+
+@register("export_stats_json")
+def q_export_stats_json(spark, sf):
+    """SNK-3: per-category statistics as JSON documents (UTF-8 kept)."""
+    return CAT.json_lines(CAT.stats_by_category(X.catalog_files(spark, sf)))
+
+
 def _category_requests(spark, sf):
     """Category additions derived from the benchmark items: name = first word, keywords =
     the next three words."""

@@ -138,3 +138,18 @@ def test_path_audit_golden(spark):
     got = [(r[0], r[1]) for r in df.select(safe, norm).collect()]
     assert got == [(False, None), (False, None), (True, "etc/passwd.jpg"), (True, "a/b/c"), (False, None),
                    (True, "a+b.txt")]
+
+
+def test_bootstrap_seeds_only_when_empty(spark):
+    from shelfspark.operators.dictionary import bootstrap
+    cats, kws = bootstrap(None, spark)
+    assert cats.count() == 7 and kws.count() == 175
+    assert kws.filter("source = 'seed' AND weight = 1.0").count() == 175
+    again, none = bootstrap(cats, spark)
+    assert none is None and again.count() == 7
+
+
+def test_json_lines_keep_utf8(spark):
+    from shelfspark.operators.catalog import json_lines
+    df = spark.createDataFrame([("学习", 2)], "category string, file_count int")
+    assert json_lines(df).collect()[0][0] == '{"category":"学习","file_count":2}'
