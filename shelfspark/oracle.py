@@ -478,6 +478,41 @@ SELECT file_id, original_name, extracted_text, file_type, '' AS kwj FROM raw_fil
                       dict_cte="learned_dict", count_cte="learned_count")
 
 
+cte("frequent_ord", ["inbox_occ"], """
+SELECT keyword, cnt, row_number() OVER (ORDER BY cnt DESC, first) AS ord FROM (
+  SELECT keyword, count(*) AS cnt, min(file_id * 1000 + pos) AS first FROM inbox_occ GROUP BY keyword
+  ORDER BY cnt DESC, first LIMIT 30)
+WHERE cnt >= 3 AND length(keyword) >= 2
+  AND lower(keyword) NOT IN ('the', 'a', 'an', 'is', 'of', 'to', 'in', 'and', '的', '了', '是', '在', '和',
+                             '2024', '2025', '2026')""")
+cte("suggest_clusters", ["frequent_ord", "inbox_occ"], """
+SELECT clusters FROM (
+  WITH RECURSIVE
+  fs AS (SELECT DISTINCT o.file_id, f.ord FROM inbox_occ o JOIN frequent_ord f ON f.keyword = o.keyword),
+  pc AS (SELECT a.ord AS x, b.ord AS y, count(*) AS n FROM fs a JOIN fs b ON a.file_id = b.file_id AND a.ord <> b.ord
+         GROUP BY a.ord, b.ord HAVING count(*) >= 2),
+  strong2 AS (SELECT coalesce(list(x * 1000 + y), []::BIGINT[]) AS s FROM pc),
+  nf AS (SELECT count(*) AS f FROM frequent_ord),
+  st(step, visited, members, clusters) AS (
+    SELECT 0, []::BIGINT[], []::BIGINT[], []::BIGINT[][]
+    UNION ALL
+    SELECT step + 1, v2, m2,
+           CASE WHEN oi = f AND len(m2) >= 3 THEN list_append(clusters, m2) ELSE clusters END
+    FROM (
+      SELECT step, clusters, oi, f,
+             CASE WHEN oi = 0 THEN (CASE WHEN list_contains(visited, si) THEN visited ELSE list_append(visited, si) END)
+                  WHEN add_it THEN list_append(visited, oi) ELSE visited END AS v2,
+             CASE WHEN oi = 0 THEN (CASE WHEN list_contains(visited, si) THEN []::BIGINT[] ELSE [si] END)
+                  WHEN add_it THEN list_append(members, oi) ELSE members END AS m2
+      FROM (
+        SELECT st.*, nf.f, (st.step // (nf.f + 1)) + 1 AS si, st.step % (nf.f + 1) AS oi, strong2.s AS s
+        FROM st, nf, strong2 WHERE st.step < nf.f * (nf.f + 1)) q,
+      LATERAL (SELECT q.oi > 0 AND len(q.members) > 0 AND NOT list_contains(q.visited, q.oi)
+                      AND list_bool_or(list_transform(q.members, lambda m: list_contains(q.s, m * 1000 + q.oi)))
+                      AS add_it)))
+  SELECT clusters FROM st ORDER BY step DESC LIMIT 1)""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

@@ -698,7 +698,21 @@ def q_keyword_cooccurrence(spark, sf):
     return SUG.keyword_cooccurrence(inbox, SUG.frequent_keywords(inbox))
 
 
-@register("suggest_categories")
+@register("suggest_categories", O.build(["suggest_clusters", "frequent_ord", "inbox_occ"], """
+SELECT CAST(row_number() OVER (ORDER BY file_count DESC, ci) AS INTEGER) AS rank, 'ok' AS status,
+       proposed_name, top_keywords, file_count, sample_files, CAST(NULL AS VARCHAR) AS message
+FROM (
+  SELECT c.ci, array_to_string(list_transform(c.members[1:3], lambda x: k.kwl[x]), ' · ') AS proposed_name,
+         array_to_string(list_transform(c.members[1:10], lambda x: k.kwl[x]), '|') AS top_keywords,
+         (SELECT count(DISTINCT o.path) FROM inbox_occ o WHERE list_contains(list_transform(c.members,
+            lambda x: k.kwl[x]), o.keyword)) AS file_count,
+         (SELECT array_to_string(list(path ORDER BY path), '|') FROM (
+            SELECT DISTINCT o.path FROM inbox_occ o
+            WHERE list_contains(list_transform(c.members, lambda x: k.kwl[x]), o.keyword) ORDER BY o.path LIMIT 3))
+           AS sample_files
+  FROM (SELECT unnest(clusters) AS members, generate_subscripts(clusters, 1) AS ci FROM suggest_clusters) c,
+       (SELECT list(keyword ORDER BY ord) AS kwl FROM frequent_ord) k)
+QUALIFY rank <= 3"""))
 def q_suggest_categories(spark, sf):
     s = SUG.suggest_categories(X.review_inbox(spark, sf))
     return s.select("rank", "status", "proposed_name", F.array_join("top_keywords", "|").alias("top_keywords"),
