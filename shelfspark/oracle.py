@@ -213,6 +213,8 @@ def _pii_lists() -> str:
 
 
 cte("pii_raw", ["pii_docs"], _pii_lists())
+cte("doc_pii_docs", [], "SELECT doc_id, text, CAST(NULL AS VARCHAR) AS filepath FROM documents")
+cte("doc_pii_raw", ["doc_pii_docs"], _pii_lists().replace("FROM pii_docs", "FROM doc_pii_docs"))
 cte("pii_found", ["pii_raw"], """
 SELECT doc_id, text, filepath, f.type AS type, f.start AS start, CAST(f.start + length(f.original) AS INTEGER) AS "end",
        CASE f.type
@@ -239,6 +241,32 @@ FROM pii_docs d LEFT JOIN (
 GROUP BY d.doc_id, d.text, d.filepath""")
 
 
+cte("doc_pii_found", ["doc_pii_raw"], """
+SELECT doc_id, text, filepath, f.type AS type, f.start AS start, CAST(f.start + length(f.original) AS INTEGER) AS "end",
+       CASE f.type
+         WHEN '身份证号' THEN f.original[1:6] || '**********' || f.original[-1:]
+         WHEN '手机号' THEN f.original[1:3] || '****' || f.original[-4:]
+         WHEN '邮箱' THEN split_part(f.original, '@', 1)[1:1] || '***@' || split_part(f.original, '@', 2)
+         WHEN '地址' THEN CASE WHEN length(f.original) > 8 THEN f.original[1:8] || '***' ELSE '***地址***' END
+         ELSE CASE WHEN length(f.original) > 3 THEN f.original[1:2] || repeat('*', length(f.original) - 3)
+                   || f.original[-1:] ELSE '***' END END AS redacted,
+       row_number() OVER (PARTITION BY doc_id ORDER BY f.start) AS idx
+FROM doc_pii_raw""")
+cte("doc_pii_redacted", ["doc_pii_docs", "doc_pii_found"], """
+SELECT d.doc_id, d.text, d.filepath,
+       CASE WHEN max(f.doc_id) IS NULL THEN d.text
+            ELSE string_agg(f.seg, '' ORDER BY f.start) || max(f.tail) END AS redacted_text,
+       count(f.doc_id) AS pii_count,
+       list(DISTINCT f.type) AS types_unordered,
+       list(f.type ORDER BY f.start) AS types
+FROM doc_pii_docs d LEFT JOIN (
+  SELECT doc_id, start, type,
+         substring(text, coalesce(lag("end") OVER w, 0) + 1, start - coalesce(lag("end") OVER w, 0)) || redacted AS seg,
+         CASE WHEN idx = count(*) OVER (PARTITION BY doc_id) THEN substring(text, "end" + 1) END AS tail
+  FROM doc_pii_found WINDOW w AS (PARTITION BY doc_id ORDER BY start)) f ON f.doc_id = d.doc_id
+GROUP BY d.doc_id, d.text, d.filepath""")
+
+
 def _safe_desc_sql() -> str:
     ctx = " ".join(
         f"|| CASE WHEN {' OR '.join(f'contains(text, {q(w)})' for w in words)} THEN {q('、' + label)} ELSE '' END"
@@ -258,6 +286,7 @@ FROM (SELECT *, list_has_any(types, ['学号','学号2','澳大学号']) AS has_
 
 
 cte("pii_desc", ["pii_redacted"], _safe_desc_sql())
+cte("doc_pii_desc", ["doc_pii_redacted"], _safe_desc_sql().replace("FROM pii_redacted", "FROM doc_pii_redacted"))
 
 
 def _hint_sql(col: str) -> str:

@@ -358,7 +358,11 @@ def q_category_map(spark, sf):
     return DIC.category_map(LRN.sample_counts(cats, X.corrections(spark, sf)))
 
 
-@register("export_stats_json")
+@register("export_stats_json", O.build(["catalog_files"], """
+SELECT CAST(to_json(struct_pack(category := category, file_count := file_count, total_size := total_size)) AS VARCHAR)
+       AS json
+FROM (SELECT category, count(*) AS file_count, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size
+      FROM catalog_files WHERE category IS NOT NULL GROUP BY category)"""))
 def q_export_stats_json(spark, sf):
     """SNK-3: per-category statistics as JSON documents (UTF-8 kept)."""
     return CAT.json_lines(CAT.stats_by_category(X.catalog_files(spark, sf)))
@@ -519,7 +523,8 @@ def q_ingest_sensitive(spark, sf):
     return files.select("path", "category", "extracted_text", F.array_join("keywords", "|").alias("keywords"))
 
 
-@register("pii_documents")
+@register("pii_documents", O.build(["doc_pii_desc"], """
+SELECT doc_id, pii_count, safe_description, sha256(redacted_text) AS redacted_sha256 FROM doc_pii_desc"""))
 def q_pii_documents(spark, sf):
     """PII scan of the whole document corpus (non-ASCII text: Python-oracle tested)."""
     d = X.table(spark, sf, "documents").select("doc_id", "text")
