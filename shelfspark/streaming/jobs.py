@@ -160,10 +160,13 @@ def stream_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 THROTTLE_OUT = "key string, event_id bigint, ts timestamp_ntz, allowed boolean, remaining int"
 
 
-def _throttle_scan(limit: int, window_s: int):
-    """mapInPandas body over rows clustered by key and sorted by (key, t, event_id):
-    one linear pass, the state is the key's last <= ``limit`` allowed timestamps and
-    is carried across Arrow batches of the same task."""
+THROTTLE_KEY_BOUND = 1_000_000
+
+
+def _throttle_scan(limit: int, window_s: int, group_cols: list[str]):
+    """mapInPandas body over rows clustered by ``group_cols`` and sorted by them, then
+    (t, event_id): one linear pass, the state is the group's last <= ``limit`` allowed
+    timestamps and is carried across Arrow batches of the same task."""
     w_us = window_s * 1_000_000
 
     def run(batches):
@@ -171,9 +174,10 @@ def _throttle_scan(limit: int, window_s: int):
         cur, kept = None, []
         for pdf in batches:
             allowed, remaining = [], []
-            for k, t in zip(pdf["key"], pdf["t"]):
-                if k != cur:
-                    cur, kept = k, []
+            groups = zip(*[pdf[c] for c in group_cols])
+            for g, t in zip(groups, pdf["t"]):
+                if g != cur:
+                    cur, kept = g, []
                 kept = [x for x in kept if t - x < w_us]
                 ok = len(kept) < limit
                 allowed.append(ok)
@@ -187,18 +191,36 @@ def _throttle_scan(limit: int, window_s: int):
 
 
 def throttle_batch(attempts: DataFrame, limit: int = K.MAX_ATTEMPTS,
-                   window_s: int = K.ATTEMPT_WINDOW_SECONDS, partitions: int | None = None) -> DataFrame:
+                   window_s: int = K.ATTEMPT_WINDOW_SECONDS, partitions: int | None = None,
+                   key_bound: int | None = None) -> DataFrame:
     """Sequential rule per key: an attempt is allowed iff fewer than ``limit`` allowed
     attempts lie in the preceding ``window_s`` seconds (strict); refused attempts are
     not recorded. The rule is a recurrence with one output per attempt, so it runs as
-    a sorted scan: rows are hash-clustered by key and sorted by (key, ts, event_id)
-    inside each partition, and one pass carries at most ``limit`` timestamps of state.
-    Nothing is gathered per key (linear time, bounded memory); a single key's
-    recurrence is inherently sequential and stays within one task."""
+    a sorted scan: rows are hash-clustered and sorted inside each partition, and one
+    pass carries at most ``limit`` timestamps of state (linear, bounded memory).
+
+    When some key has more than ``key_bound`` attempts, keys are first cut into
+    bursts: a gap of at least ``window_s`` after the previous attempt empties the
+    state exactly, so bursts are independent. Burst ids come from distributed
+    per-key ranks and prefix sums (``operators.ordered``), and the scan is clustered
+    by (key, burst), spreading a hot key over many tasks."""
+    from shelfspark.operators.ordered import prefix_sum_within, ranked_within
+    bound = THROTTLE_KEY_BOUND if key_bound is None else key_bound
     a = attempts.select("key", "event_id", "ts", ntz_micros("ts").alias("t"))
     n = partitions or max(attempts.sparkSession.sparkContext.defaultParallelism * 2, 8)
-    clustered = a.repartition(n, "key").sortWithinPartitions("key", "t", "event_id")
-    return clustered.select("key", "event_id", "ts", "t").mapInPandas(_throttle_scan(limit, window_s), THROTTLE_OUT)
+    biggest = a.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    if biggest <= bound:
+        clustered = a.repartition(n, "key").sortWithinPartitions("key", "t", "event_id")
+        return clustered.mapInPandas(_throttle_scan(limit, window_s, ["key"]), THROTTLE_OUT)
+    w_us = window_s * 1_000_000
+    r = ranked_within(a, ["key"], ["t", "event_id"], rank_col="_r")
+    prev = r.select("key", (F.col("_r") + 1).alias("_r"), F.col("t").alias("_prev_t"))
+    r = r.join(prev, ["key", "_r"], "left").withColumn(
+        "_gap", F.when(F.col("_prev_t").isNull() | (F.col("t") - F.col("_prev_t") >= w_us), 1).otherwise(0))
+    r = prefix_sum_within(r, ["key"], ["t", "event_id"], "_gap", "burst")
+    clustered = (r.select("key", "burst", "event_id", "ts", "t").repartition(n, "key", "burst")
+                 .sortWithinPartitions("key", "burst", "t", "event_id"))
+    return clustered.mapInPandas(_throttle_scan(limit, window_s, ["key", "burst"]), THROTTLE_OUT)
 
 
 def _throttle_state_fn(limit: int, window_s: int):

@@ -132,8 +132,8 @@ def test_greedy_rounds_vs_sequential(spark):
     assert got == O.py_greedy(pairs)
 
 
-@pytest.mark.parametrize("partitions", [1, 5])
-def test_throttle_vs_python(spark, partitions):
+@pytest.mark.parametrize("partitions,bound", [(1, None), (5, None), (5, 0)])
+def test_throttle_vs_python(spark, partitions, bound):
     rng = random.Random(6)
     from datetime import datetime, timedelta
     base = datetime(2024, 1, 1)
@@ -143,7 +143,7 @@ def test_throttle_vs_python(spark, partitions):
     df = spark.createDataFrame([(k, i, base + timedelta(seconds=t)) for k, t, i in ev],
                                "key string, event_id long, ts timestamp_ntz")
     got = sorted((r.key, r.event_id, r.allowed, r.remaining)
-                 for r in throttle_batch(df, 5, 60, partitions=partitions).collect())
+                 for r in throttle_batch(df, 5, 60, partitions=partitions, key_bound=bound).collect())
     assert got == sorted(O.py_throttle(ev, 5, 60))
 
 
