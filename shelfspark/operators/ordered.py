@@ -5,7 +5,8 @@ one key may hold a third of all rows. ``ranked_within`` range-partitions by
 (key, order) so a hot key spans many partitions, numbers rows inside each
 (partition, key) group, and adds the counts of the key's earlier partitions — a
 table of at most partitions x keys rows. Callers then fold bounded chunks of
-ranks in rounds, carrying a small state between them.
+ranks in rounds, carrying a small state between them. The partition ids are
+materialised once (see ``prefix_sum_within``) so every branch reads the same ids.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.session import cut_lineage
+
 
 def prefix_sum_within(df: DataFrame, key_cols: list[str], order_cols: list[str], value_col: str | None,
                       out_col: str, partitions: int = 0) -> DataFrame:
@@ -21,8 +24,11 @@ def prefix_sum_within(df: DataFrame, key_cols: list[str], order_cols: list[str],
     equal on (key, order) land in the same range partition, so ties stay consistent."""
     n = partitions or max(df.sparkSession.sparkContext.defaultParallelism * 4, 8)
     v = F.lit(1) if value_col is None else F.col(value_col)
-    r = (df.withColumn("_v", v).repartitionByRange(n, *key_cols, *order_cols)
-         .withColumn("_pid", F.spark_partition_id()))
+    # the partition id is read by two branches below; it is only stable if both read
+    # the same physical partitions (AQE may give one branch a local shuffle reader),
+    # so the range-partitioned rows are written once with their id and read back
+    r = cut_lineage(df.withColumn("_v", v).repartitionByRange(n, *key_cols, *order_cols)
+                    .withColumn("_pid", F.spark_partition_id()), "prefix-sum")
     local = Window.partitionBy("_pid", *key_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("_local", F.sum("_v").over(local))
     sums = r.groupBy("_pid", *key_cols).agg(F.sum("_v").alias("_s"))
