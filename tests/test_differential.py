@@ -159,3 +159,27 @@ def test_collisions_vs_sequential(spark, bound, monkeypatch):
     inc = spark.createDataFrame(incoming, "order int, dir string, name string")
     got = {r.order: r.final_name for r in collision_names(e, inc).collect()}
     assert got == O.py_collisions(existing, incoming)
+
+
+def test_forced_distributed_paths_equal_default(spark, monkeypatch):
+    """The hot-key paths (bounded learning rounds, throttle bursts, distributed
+    collision prefix sums) give the default paths' results on real tables."""
+    from shelfspark import fixtures as X
+    from shelfspark.plans import organize as ORG
+    from tests.conftest import SF_SMALL
+
+    def same(a, b):
+        assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+    cats, kws = X.dictionary(spark)
+    corr = X.corrections(spark, SF_SMALL)
+    same(apply_corrections(kws, cats, corr), apply_corrections(kws, cats, corr, max_events_per_key=2))
+    att = X.attempts(spark, SF_SMALL)
+    same(throttle_batch(att, 5, 86400), throttle_batch(att, 5, 86400, key_bound=0))
+    files = X.raw_files(spark, SF_SMALL)
+    folders = files.select(files["directory"].alias("folder")).distinct()
+    base = ORG.ungroup_manifest(files, folders)
+    base = base.select("folder", "src", "dst", "folder_deleted").collect()
+    monkeypatch.setattr(ORG, "WINDOW_FAMILY_BOUND", 0)
+    forced = ORG.ungroup_manifest(files, folders).select("folder", "src", "dst", "folder_deleted").collect()
+    assert sorted(base) == sorted(forced)
