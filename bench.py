@@ -41,12 +41,11 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [a for a in sys.argv[1:] if not a.startswith("-")]
     from shelfspark.queries import QUERIES
-    from shelfspark.session import build_session
+    from shelfspark.session import build_session, ship_package
 
     spark = build_session(f"local[{cpus}]", app="shelfspark-bench", shuffle_partitions=max(8, 2 * cpus),
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")})
-    from __spark_entry__ import _ship
-    _ship(spark)  # executors' Python workers import the package from any working directory
+    ship_package(spark)  # executors' Python workers import the package from any working directory
     # warm-up on the smallest scale: JVM start, JIT of the hot paths, Python workers
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     for name in ("detect_language", "classify", "keywords_freq", "pii_documents"):
