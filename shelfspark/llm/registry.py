@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import ann, byte_bpe, exact_dedup, packing, sharding
+from shelfspark.llm import ann, byte_bpe, exact_dedup, near_dedup, packing, sharding
 
 QUERIES = {
     "op2_prefix_sum_sharding": sharding.query,
     "op3_content_sort_dedup": exact_dedup.query,
+    "op7_hyperminhash_near_dedup": near_dedup.query,
     "op8_distinct_word_byte_bpe": byte_bpe.query,
     "op9_cross_polytope_neighbours": ann.query,
     "op10_sum_of_squares_packing": packing.query,
