@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import ann, byte_bpe, exact_dedup, near_dedup, packing, sharding
+from shelfspark.llm import ann, byte_bpe, exact_dedup, near_dedup, packing, pii, quality, sharding
 
 QUERIES = {
+    "op1_co_trained_quality": quality.query,
     "op2_prefix_sum_sharding": sharding.query,
     "op3_content_sort_dedup": exact_dedup.query,
+    "op4_crf_personal_data": pii.query,
     "op7_hyperminhash_near_dedup": near_dedup.query,
     "op8_distinct_word_byte_bpe": byte_bpe.query,
     "op9_cross_polytope_neighbours": ann.query,
