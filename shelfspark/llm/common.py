@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.session import cut_lineage
+
 #: Bytes of text that one Python step of an operator holds at a time.
 SLICE_BYTES = 16 << 20
 
@@ -63,3 +65,23 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     at = np.arange(total, dtype=np.int64)
     at += np.repeat(starts - (ends - lengths), lengths)
     return values[at]
+
+
+#: Rows of a key list that may be broadcast (some tens of MB); a longer one is joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def without(docs: DataFrame, verdicts: DataFrame, key, name: str) -> DataFrame:
+    """The rows of ``docs`` that a verdict keeps. ``verdicts`` has a row (doc_id, key, kept) for each
+    row of docs; ``key`` is the same column's expression over docs. Rows equal in doc_id and key
+    stay or go together, and if they stay, one of them does."""
+    by = cut_lineage(verdicts.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+                     .where("not kept or n > 1"), name)
+    gone = by.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key"))
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    keyed = docs.withColumn("_own_key", key)
+    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_own_key") == F.col("_gone_key")), "left_anti")
+    if by.where("kept").limit(1).count():
+        left = left.dropDuplicates(["doc_id", "_own_key"])
+    return left.select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import read
+from shelfspark.llm.common import read, without
 from shelfspark.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,6 +113,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     F.col("digest").alias("text_sha256")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents with one of each group of equal texts, all their columns unchanged."""
+    verdicts = exact_groups(docs).select("doc_id", F.col("text_sha256").alias("key"), "kept")
+    return without(docs, verdicts, F.sha2(normalise(F.col("text")), 256), "exact-verdicts")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 

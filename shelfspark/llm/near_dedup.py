@@ -16,9 +16,9 @@ At a similarity s, a pair of documents shares none of the ``bands`` with probabi
 
 Cases: null texts and texts without words have the empty set and are linked with nothing;
 shorter texts than a shingle count as one; null identifiers are passed over when the smallest
-identifier of a component is chosen, and kept only where no row of it has one (of several such
-texts one); rows that repeat both identifier and text are not told apart and stay or go
-together; an empty table gives no rows; only the named columns are read.
+identifier of a component is chosen, and kept only where no row of it has one; of rows with the
+kept identifier and different texts one text is kept, and rows that repeat both identifier and
+text stay or go together; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import gather, read, slices, texts_of, words_of
+from shelfspark.llm.common import gather, read, slices, texts_of, without, words_of
 from shelfspark.llm.components import components
 from shelfspark.session import cut_lineage
 
@@ -255,13 +255,17 @@ def near_groups(docs: DataFrame, share: int = 80, of: int = 100, words: int = WO
     placed_docs = described.drop("bands").join(linked, "signature", "left")
     least = (placed_docs.where("component is not null").groupBy("component")
              .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key")).alias("best")))
+    alone = F.col("component").isNull()  # the empty set
+    best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
     return (placed_docs.join(least, "component", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-                    "text_key", F.col("best.text_key").alias("best_key"))
-            .select("doc_id", "n_shingles", "component_id",
-                    F.coalesce(F.col("doc_id") == F.col("component_id"),
-                               F.col("component_id").isNull() & (F.col("best_key").isNull() | (F.col("best_key") == F.col("text_key")))).alias("kept"),
-                    "text_key"))
+            .select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+                    (alone | best).alias("kept"), "text_key"))
+
+
+def keep_one(docs: DataFrame, share: int = 80, of: int = 100) -> DataFrame:
+    """The documents with one of each group of near-duplicates, all their columns unchanged."""
+    verdicts = near_groups(docs, share, of).select("doc_id", F.col("text_key").alias("key"), "kept")
+    return without(docs, verdicts, F.md5(F.coalesce(F.col("text"), F.lit(""))), "near-verdicts")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

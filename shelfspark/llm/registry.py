@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from shelfspark.llm import ann, byte_bpe, exact_dedup, near_dedup, packing, pii, quality, sharding
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_co_trained_quality": quality.query,
     "op2_prefix_sum_sharding": sharding.query,
     "op3_content_sort_dedup": exact_dedup.query,
@@ -15,6 +17,6 @@ QUERIES = {
     "op10_sum_of_squares_packing": packing.query,
 }
 
-ORACLES = {
+ORACLES = {name: sql for name, sql in [("pipeline", corpus_pipeline.ORACLE_SQL)] if sql} | {
     "op3_content_sort_dedup": exact_dedup.ORACLE,
 }
