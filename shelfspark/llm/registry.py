@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from shelfspark.llm import ann, byte_bpe, exact_dedup, near_dedup, packing, pii, quality, sharding, toxicity
+from shelfspark.llm import ann, byte_bpe, exact_dedup, near_dedup, packing, pii, quality, repeated_spans, sharding, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_prefix_sum_sharding": sharding.query,
     "op3_content_sort_dedup": exact_dedup.query,
     "op4_crf_personal_data": pii.query,
+    "op5_run_length_index_dedup": repeated_spans.query,
     "op6_lexicon_toxicity": toxicity.query,
     "op7_hyperminhash_near_dedup": near_dedup.query,
     "op8_distinct_word_byte_bpe": byte_bpe.query,
