@@ -25,10 +25,16 @@ def type_flags(ext) -> list[Column]:
 
 
 def python_unquote(s) -> Column:
-    """URL-decoding like Python's ``unquote``: '+' stays, malformed input stays raw."""
+    """URL-decoding like Python's ``unquote``: '+' stays, a '%' without two hex digits
+    stays as it is (the valid escapes around it are decoded all the same), and bytes
+    that are not UTF-8 become the replacement character."""
     raw = _c(s)
-    protected = F.replace(raw, F.lit("+"), F.lit("%2B"))
-    return F.coalesce(F.try_url_decode(protected), raw)
+    # every byte that is no valid escape is escaped itself, so the text is all hex pairs
+    stray = F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25")
+    pieces = F.regexp_extract_all(stray, F.lit("((?:%[0-9A-Fa-f]{2})+|[^%]+)"), F.lit(1))
+    decoded = F.transform(pieces, lambda p: F.when(
+        p.startswith("%"), F.make_valid_utf8(F.unhex(F.replace(p, F.lit("%"), F.lit(""))).cast("string"))).otherwise(p))
+    return F.array_join(decoded, "")
 
 
 def path_audit(raw) -> tuple[Column, Column]:

@@ -65,10 +65,12 @@ def seed_keywords(spark: SparkSession) -> DataFrame:
     return keyword_frame(spark, seed_keyword_rows())
 
 
-def bootstrap(existing_categories: DataFrame | None, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """SNK-2: seed categories and keywords only when the category table is empty."""
+def bootstrap(existing_categories: DataFrame | None, spark: SparkSession,
+              existing_keywords: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """SNK-2: seed categories and keywords only when the category table is empty; otherwise
+    both tables stay as they are."""
     if existing_categories is not None and existing_categories.head(1):
-        return existing_categories, None
+        return existing_categories, existing_keywords if existing_keywords is not None else keyword_frame(spark, [])
     return seed_categories(spark), seed_keywords(spark)
 
 

@@ -22,8 +22,6 @@ from shelfspark.functions.stems import (folder_name, group_confidence, has_versi
 from shelfspark.functions.text import name_stem, name_suffix
 from shelfspark.session import cut_lineage
 
-MAX_ROUNDS = 10_000
-
 
 def listing(files: DataFrame) -> DataFrame:
     """(directory, path, name) of non-hidden files."""
@@ -54,7 +52,7 @@ def greedy_assign(pairs: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE,
     """GRP-2: (directory, stem, rank, path) of the files each group takes."""
     remaining = cut_lineage(pairs, "group-pairs") if checkpoint else pairs
     won = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # the lowest-ranked live stem always wins, so every round takes or drops pairs
         live = (remaining.groupBy("directory", "stem").agg(F.count(F.lit(1)).alias("n"))
                 .filter(F.col("n") >= min_group_size).select("directory", "stem"))
         lp = remaining.join(live, ["directory", "stem"], "left_semi")
@@ -72,8 +70,6 @@ def greedy_assign(pairs: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE,
             remaining = cut_lineage(remaining, "group-remaining")
         if not remaining.head(1):
             break
-    if won is None:
-        return pairs.limit(0).select("directory", "stem", "n", "rank", "path")
     return won
 
 

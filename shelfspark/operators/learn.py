@@ -109,6 +109,7 @@ def _step(state, ev):
 # more are folded in rounds of this size (exact: the state is carried over).
 MAX_EVENTS_PER_KEY = 200_000
 KEY = ["category_id", "keyword"]
+BORN_T = "struct<seq:bigint,phase:int,pos:int,li:int>"
 ORDER = ["seq", "phase", "pos"]
 
 
@@ -122,42 +123,51 @@ def apply_corrections(keywords: DataFrame, categories: DataFrame, corrections: D
     ranks from a range-partitioned prefix count and are folded in rounds of at most
     ``max_events_per_key`` events per key, the weights written to the shared folder
     between rounds — no key's history is ever gathered into one row or one task."""
-    ev = correction_events(resolve_corrections(corrections, categories))
-    base_id = keywords.select(F.max("kw_id")).first()[0]
-    base_id = -1 if base_id is None else base_id
+    # the corrections' input is read once; the gate and the folds read the written events
+    ev = cut_lineage(correction_events(resolve_corrections(corrections, categories)), "learn-events")
     sizes = ev.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > max_events_per_key).select(*KEY)
-    if not hot.head(1):
-        return _apply_events(keywords, ev, base_id)
-    hot = cut_lineage(hot, "learn-hot-keys")
-    out = _apply_events(keywords, ev.join(hot, KEY, "left_anti"), base_id)
-    ranked = _ranked_events(ev.join(hot, KEY, "left_semi"))
-    ranked = cut_lineage(ranked.withColumn("_chunk", ((F.col("_rank") - 1) / max_events_per_key).cast("bigint")),
-                         "learn-hot-events")
-    rounds = ranked.select(F.max("_chunk")).first()[0] + 1
-    state = cut_lineage(keywords.join(hot, KEY, "left_semi"), "learn-hot-state")
-    for r in range(rounds):
-        chunk = ranked.filter(F.col("_chunk") == r).drop("_chunk", "_rank")
-        state = cut_lineage(_apply_events(state, chunk, base_id), "learn-hot-state")
-    return out.join(hot, KEY, "left_anti").unionByName(state)
+    hot = cut_lineage(sizes.filter(F.col("_n") > max_events_per_key).select(*KEY), "learn-hot-keys")
+    tagged = keywords.withColumn("_born", F.lit(None).cast(BORN_T))
+    out = _apply_events(tagged, ev.join(hot, KEY, "left_anti"))
+    if hot.head(1):
+        ranked = _ranked_events(ev.join(hot, KEY, "left_semi"))
+        ranked = cut_lineage(ranked.withColumn("_chunk", ((F.col("_rank") - 1) / max_events_per_key).cast("bigint")),
+                             "learn-hot-events")
+        rounds = ranked.select(F.max("_chunk")).first()[0] + 1
+        state = cut_lineage(tagged.join(hot, KEY, "left_semi"), "learn-hot-state")
+        for r in range(rounds):
+            chunk = ranked.filter(F.col("_chunk") == r).drop("_chunk", "_rank")
+            state = cut_lineage(_apply_events(state, chunk), "learn-hot-state")
+        out = out.join(hot, KEY, "left_anti").unionByName(state)
+    return _numbered(cut_lineage(out, "learn-weights"))
+
+
+def _numbered(keywords: DataFrame) -> DataFrame:
+    """New rows get ids behind all others, in the order of the events that made them."""
+    base = keywords.select(F.max("kw_id")).first()[0]
+    new = keywords.filter(F.col("kw_id").isNull())
+    named = ranked_within(new.select("*", "_born.*"), [], ["seq", "phase", "pos", "li", *KEY])
+    columns = [c for c in keywords.columns if c not in ("kw_id", "_born")]
+    return keywords.filter(F.col("kw_id").isNotNull()).select("kw_id", *columns).unionByName(
+        named.select((F.lit(-1 if base is None else base) + F.col("_rank")).alias("kw_id"), *columns))
 
 
 def _ranked_events(ev: DataFrame) -> DataFrame:
     return ranked_within(ev, KEY, ORDER)
 
 
-def _apply_events(keywords: DataFrame, ev: DataFrame, base_id: int) -> DataFrame:
-    """Fold ``ev`` (category_id, keyword, seq, phase, pos, op, locale) into ``keywords``."""
+def _apply_events(keywords: DataFrame, ev: DataFrame) -> DataFrame:
+    """Fold ``ev`` (category_id, keyword, seq, phase, pos, op, locale) into ``keywords``. A row
+    that this makes has no kw_id yet; ``_born`` tells its place in the order of events."""
     grouped = ev.groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.struct("seq", "phase", "pos", "op", "locale"))).alias("events"))
     state = _pivot_state(keywords)
     j = grouped.join(state, KEY, "left")
     init = F.struct(*[F.col(l).alias(l) for l in LOCALES], *[F.col("src_" + l).alias("src_" + l) for l in LOCALES],
                     F.coalesce(F.col("other"), F.lit(False)).alias("other")).cast(STATE_T)
-    folded = j.select(*KEY, "kw_id", F.col("events")[0]["seq"].alias("first_seq"),
-                      F.aggregate("events", init, _step).alias("s"))
+    folded = j.select(*KEY, F.col("events")[0].alias("first"), F.aggregate("events", init, _step).alias("s"))
     rows = folded.select(
-        *KEY, "kw_id", "first_seq",
+        *KEY, "first",
         F.explode(F.array(*[F.struct(F.lit(l).alias("locale"), F.col("s")[l].alias("weight"),
                                      F.col("s")["src_" + l].alias("source"), F.lit(i).alias("li"))
                             for i, l in enumerate(LOCALES)])).alias("r"))
@@ -166,14 +176,13 @@ def _apply_events(keywords: DataFrame, ev: DataFrame, base_id: int) -> DataFrame
     # keys with events keep their rows in other locales unchanged
     others = (keywords.join(touched_keys, KEY, "left_semi")
               .filter(~F.col("locale").isin(*LOCALES)))
-    # existing rows keep their kw_id; inserted rows get an id after every original one
-    existing_ids = keywords.select(*KEY, "locale", F.col("kw_id").alias("_old_id"))
-    new_rows = (rows.select(*KEY, F.col("r.locale").alias("locale"),
-                            F.col("r.weight").alias("weight"), F.col("r.source").alias("source"),
-                            "first_seq", F.col("r.li").alias("li"))
+    existing_ids = keywords.select(*KEY, "locale", F.col("kw_id").alias("_old_id"), F.col("_born").alias("_old_born"), F.lit(True).alias("_had"))
+    born = F.struct(F.col("first.seq").cast("bigint").alias("seq"), F.col("first.phase").cast("int").alias("phase"),
+                    F.col("first.pos").cast("int").alias("pos"), F.col("r.li").alias("li"))
+    new_rows = (rows.select(*KEY, F.col("r.locale").alias("locale"), F.col("r.weight").alias("weight"), F.col("r.source").alias("source"), born.alias("_new_born"))
                 .join(existing_ids, [*KEY, "locale"], "left")
-                .select(F.coalesce("_old_id", F.lit(base_id) + 1 + F.col("first_seq") * 4 + F.col("li")).alias("kw_id"),
-                        *KEY, "locale", "weight", "source"))
+                .select(F.col("_old_id").alias("kw_id"), *KEY, "locale", "weight", "source",
+                        F.when(F.col("_had"), F.col("_old_born")).otherwise(F.col("_new_born")).alias("_born")))
     untouched = keywords.join(touched_keys, KEY, "left_anti")
     return untouched.unionByName(others).unionByName(new_rows)
 

@@ -58,31 +58,33 @@ def keyword_cooccurrence(inbox: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def greedy_clusters(freq_rows: list, pair_rows: list) -> list[list[str]]:
-    """SUG-4 on the bounded graph: seeds by count desc (stable on the most-common
-    order); one pass joins a keyword when it co-occurs >= 2 times with any current
-    member; clusters of >= 3 keywords are kept."""
-    order = [r["keyword"] for r in freq_rows]
-    count = {r["keyword"]: r["cnt"] for r in freq_rows}
-    co = {(r["kw1"], r["kw2"]): r["files"] for r in pair_rows}
-
-    def pair(a, b):
-        return co.get((min(a, b), max(a, b)), 0)
-
-    visited, clusters = set(), []
-    for seed in sorted(order, key=lambda k: count[k], reverse=True):
-        if seed in visited:
-            continue
-        members = [seed]
-        visited.add(seed)
-        for other in order:
-            if other in visited:
-                continue
-            if any(pair(m, other) >= K.SUGGEST_PAIR_MIN for m in members):
-                members.append(other)
-                visited.add(other)
-        if len(members) >= K.SUGGEST_CLUSTER_MIN:
-            clusters.append(members)
-    return clusters
+    """SUG-4 on the bounded graph, keywords as bits in most-common order. ``linked[i]`` has
+    the keywords that share enough files with keyword i. A cluster grows in one sweep over
+    the free keywords: one joins when the links of the members so far reach it. Seeds are
+    taken by count; clusters below the minimum size use their keywords up all the same."""
+    names = [r["keyword"] for r in freq_rows]
+    bit = {name: i for i, name in enumerate(names)}
+    linked = [0] * len(names)
+    for r in pair_rows:
+        if r["files"] >= K.SUGGEST_PAIR_MIN and r["kw1"] in bit and r["kw2"] in bit:
+            i, j = bit[r["kw1"]], bit[r["kw2"]]
+            linked[i] |= 1 << j
+            linked[j] |= 1 << i
+    by_count = sorted(range(len(names)), key=lambda i: (-freq_rows[i]["cnt"], i))
+    free = (1 << len(names)) - 1
+    out = []
+    while free:
+        seed = next(i for i in by_count if free >> i & 1)
+        free &= ~(1 << seed)
+        cluster, reach, at = [names[seed]], linked[seed], 0
+        while (ahead := (reach & free) >> at):  # the next reachable keyword at or behind ``at``
+            at += (ahead & -ahead).bit_length() - 1
+            cluster.append(names[at])
+            free &= ~(1 << at)
+            reach |= linked[at]
+        if len(cluster) >= K.SUGGEST_CLUSTER_MIN:
+            out.append(cluster)
+    return out
 
 
 def _status(spark: SparkSession, status: str, message: str) -> DataFrame:

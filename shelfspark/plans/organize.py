@@ -5,15 +5,17 @@ catalogue update is a path rewrite on the same row (V2).
 
 Collision naming (ORG-2) in bulk: incoming names are grouped into families
 (target directory, stem, suffix). The candidates of a family are
-``name, stem_1.suffix, stem_2.suffix, ...``; those already present are removed
-(anti join) and the k-th incoming file of the family takes the k-th free
-candidate. Rare clashes between families (``a.txt`` twice and an incoming
-``a_1.txt``) are settled by further passes that keep sequential order exactly.
+``name, stem_1.suffix, stem_2.suffix, ...``; those already present are blocked and
+the k-th incoming file of the family takes the k-th free candidate. Names that a
+move leaves become free for later moves only: the families they belong to are folded
+in move order. Clashes between families (``a.txt`` twice and an incoming ``a_1.txt``)
+are settled by further passes, each directory on its own, that keep sequential order
+exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark import constants as K
@@ -23,10 +25,6 @@ from shelfspark.operators.ordered import prefix_sum_within, ranked_within
 from shelfspark.session import cut_lineage
 
 VAULT = "vault"
-MAX_PASSES_HARD = 100_000
-# families up to this many rows are ranked with plain windows (one bounded sorted
-# stream each); larger ones with distributed prefix sums
-WINDOW_FAMILY_BOUND = 1_000_000
 
 
 def _split(name_col: str, split_suffix: bool):
@@ -38,114 +36,172 @@ def _split(name_col: str, split_suffix: bool):
 
 
 def _family_members(existing: DataFrame, split_suffix: bool) -> DataFrame:
-    """Existing (dir, name) -> (dir, stem, suffix, n) for the families it blocks:
+    """Existing (dir, name, gone) -> (dir, stem, suffix, n, gone) for the families it blocks:
     itself as n=0 and, if it looks like ``stem_N.suffix``, index N of that family."""
     stem, sfx = _split("name", split_suffix)
-    base = existing.select("dir", stem.alias("stem"), sfx.alias("suffix"), F.lit(0).cast("bigint").alias("n"))
-    numbered = existing.select("dir", stem.alias("_s"), sfx.alias("suffix")).filter(
+    base = existing.select("dir", stem.alias("stem"), sfx.alias("suffix"), F.lit(0).cast("bigint").alias("n"), "gone")
+    numbered = existing.select("dir", stem.alias("_s"), sfx.alias("suffix"), "gone").filter(
         F.col("_s").rlike(r"(?s)^.*_[1-9][0-9]{0,17}$")).select(
         "dir", F.regexp_extract("_s", r"(?s)^(.*)_[1-9][0-9]{0,17}$", 1).alias("stem"), "suffix",
-        F.regexp_extract("_s", r"_([1-9][0-9]{0,17})$", 1).try_cast("bigint").alias("n")).filter(F.col("n").isNotNull())
+        F.regexp_extract("_s", r"_([1-9][0-9]{0,17})$", 1).try_cast("bigint").alias("n"), "gone"
+        ).filter(F.col("n").isNotNull())
     return base.unionByName(numbered).distinct()
 
 
+FAMILY = ["dir", "stem", "suffix"]
+
+
 def collision_names(existing: DataFrame, incoming: DataFrame, split_suffix: bool = True) -> DataFrame:
-    """ORG-2. ``existing``: (dir, name); ``incoming``: (order, dir, name) with a unique,
-    totally ordered ``order``. Returns incoming with ``final_name``: the first name of
-    ``name, stem_1.suffix, stem_2.suffix, ...`` not taken by an existing file or by an
-    earlier incoming one — exactly the sequential result.
-
-    Each pass assigns family by family (k-th incoming -> k-th free candidate). Names
-    can only clash across families (``a.txt`` twice and an incoming ``a_1.txt``); every
-    pending file ordered at or before the earliest clash is provably final, so it is
-    fixed and the rest is re-resolved against the grown set of taken names. Without
-    cross-family clashes (the usual case) one pass settles everything."""
-    taken = existing.select("dir", "name")
+    """ORG-2. ``existing``: (dir, name) and, if some of them move away, ``gone``: the order of
+    that move (null: stays; the name is free for later orders); ``incoming``: (order, dir,
+    name) with a unique, totally ordered ``order``. Returns incoming with ``final_name``:
+    the first name of ``name, stem_1.suffix, stem_2.suffix, ...`` not taken at its turn by
+    an existing file or by an earlier incoming one — exactly the sequential result.
+
+    Each pass assigns family by family. Names can only clash across families (``a.txt``
+    twice and an incoming ``a_1.txt``), and only inside a directory: every pending file of
+    a directory ordered at or before its earliest clash is provably final, so it is fixed
+    and the rest of that directory is re-resolved against the grown set of taken names.
+    Every pass settles at least the clashing file of each open directory; without clashes
+    (the usual case) one pass settles everything."""
+    order_type = incoming.schema["order"].dataType
+    taken = existing.select("dir", "name", (F.col("gone") if "gone" in existing.columns else F.lit(None)).cast(order_type).alias("gone"))
     pending = incoming.select("order", "dir", "name")
     done = None
-    for _ in range(MAX_PASSES_HARD):
-        out = _one_pass(taken, pending, split_suffix)
-        w = Window.partitionBy("dir", "final_name")
+    while True:
         # materialised once: the clash test and the consumers read the written table
-        out = cut_lineage(out.withColumn("_n", F.count(F.lit(1)).over(w)), "collisions")
-        first_clash = out.filter(F.col("_n") > 1).select(F.min("order")).first()[0]
-        if first_clash is None:
-            fixed, rest = out.drop("_n"), None
-        else:
-            fixed = out.filter(F.col("order") <= F.lit(first_clash)).drop("_n")
-            rest = out.filter(F.col("order") > F.lit(first_clash)).select("order", "dir", "name")
+        out = cut_lineage(_one_pass(taken, pending, split_suffix, "gone" in existing.columns), "collisions")
+        twice = out.groupBy("dir", "final_name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # of a name given twice every holder counts as clashing; the earliest of the directory is final
+        holders = out.join(twice.select("dir", "final_name"), ["dir", "final_name"], "left_semi")
+        first = cut_lineage(holders.groupBy("dir").agg(F.min("order").alias("first")), "collision-limits")
+        if not first.head(1):
+            return out if done is None else done.unionByName(out)
+        limited = out.join(first, "dir", "left")
+        settled = F.col("first").isNull() | (F.col("order") <= F.col("first"))
+        fixed = limited.filter(settled).select("order", "dir", "name", "final_name")
         done = fixed if done is None else done.unionByName(fixed)
-        if rest is None:
-            break
-        taken = taken.unionByName(fixed.select("dir", F.col("final_name").alias("name")))
-        pending = rest
-    return done
+        taken = taken.unionByName(fixed.select("dir", F.col("final_name").alias("name"), F.lit(None).cast(order_type).alias("gone")))
+        pending = limited.filter(~settled).select("order", "dir", "name")
 
 
-def _one_pass(existing: DataFrame, incoming: DataFrame, split_suffix: bool) -> DataFrame:
+def _one_pass(existing: DataFrame, incoming: DataFrame, split_suffix: bool, leaves: bool) -> DataFrame:
     """Family-local assignment. With the family's blocked indices b_1 < b_2 < ... and
     g_i = b_i - (i - 1) (free slots below b_i), the k-th free index (0-based) is
     k + #{i : g_i <= k}: a running count over the merged, sorted (g, k) keys. Ranks
     and running counts are distributed prefix sums (``operators.ordered``), so a
     family holding a third of all files is still spread over many tasks, and no
-    candidate list is ever materialised."""
+    candidate list is ever materialised. Families that lose a name to a move are folded
+    in order instead (``_timed``)."""
     stem, sfx = _split("name", split_suffix)
-    fam_cols = ["dir", "stem", "suffix"]
+    order_type = incoming.schema["order"].dataType
     inc = incoming.select("order", "dir", "name", stem.alias("stem"), sfx.alias("suffix"))
-    blocked = _family_members(existing, split_suffix).join(inc.select(*fam_cols).distinct(), fam_cols, "left_semi")
-    # size check: small families use plain per-family windows (each a bounded sorted
-    # stream); when any family exceeds the bound, the distributed prefix sums are used
-    biggest = (inc.select(*fam_cols).unionByName(blocked.select(*fam_cols)).groupBy(*fam_cols).count()
-               .agg(F.max("count")).first()[0] or 0)
-    distributed = biggest > WINDOW_FAMILY_BOUND
-    if distributed:
-        inc = ranked_within(inc, fam_cols, ["order"], rank_col="_r")
-        blocked = ranked_within(blocked, fam_cols, ["n"], rank_col="_r")
-    else:
-        inc = inc.withColumn("_r", F.row_number().over(Window.partitionBy(*fam_cols).orderBy("order")))
-        blocked = blocked.withColumn("_r", F.row_number().over(Window.partitionBy(*fam_cols).orderBy("n")))
-    inc = inc.withColumn("k", F.col("_r") - 1).drop("_r")
-    g = blocked.select(*fam_cols, (F.col("n") - (F.col("_r") - 1)).alias("key"), F.lit(1).alias("blk"),
-                       F.lit(None).cast(incoming.schema["order"].dataType).alias("order"),
-                       F.lit(None).cast("string").alias("name"))
-    q = inc.select(*fam_cols, F.col("k").alias("key"), F.lit(0).alias("blk"), "order", "name")
-    merged = g.unionByName(q).withColumn("_desc_blk", -F.col("blk"))
-    if distributed:
-        merged = prefix_sum_within(merged, fam_cols, ["key", "_desc_blk"], "blk", "j")
-    else:
-        run = Window.partitionBy(*fam_cols).orderBy("key", "_desc_blk").rowsBetween(Window.unboundedPreceding, 0)
-        merged = merged.withColumn("j", F.sum("blk").over(run))
-    out = merged.filter(F.col("blk") == 0).withColumn("n", F.col("key") + F.col("j"))
+    blocked = _family_members(existing, split_suffix).join(inc.select(*FAMILY).distinct(), FAMILY, "left_semi")
+    late = None
+    if leaves:
+        blocked = cut_lineage(blocked, "collision-blocked")
+        timed = blocked.filter(F.col("gone").isNotNull()).select(*FAMILY).distinct()
+        late = _timed(blocked.join(timed, FAMILY, "left_semi"), inc.join(timed, FAMILY, "left_semi"), order_type)
+        blocked, inc = blocked.join(timed, FAMILY, "left_anti"), inc.join(timed, FAMILY, "left_anti")
+    # both ranks in one pass: of the blocked indices, and of the incoming files, of a family
+    none = F.lit(None)
+    both = (blocked.select(*FAMILY, "n").distinct()
+            .select(*FAMILY, F.lit(1).alias("blk"), "n", none.cast(order_type).alias("order"), none.cast("string").alias("name"))
+            .unionByName(inc.select(*FAMILY, F.lit(0).alias("blk"), none.cast("bigint").alias("n"), "order", "name")))
+    ranked = ranked_within(both, [*FAMILY, "blk"], ["n", "order"], rank_col="_r")
+    merged = ranked.select(*FAMILY, F.when(F.col("blk") == 1, F.col("n") - (F.col("_r") - 1)).otherwise(F.col("_r") - 1).alias("key"),
+                           "blk", "order", "name", (-F.col("blk")).alias("_desc_blk"))
+    merged = prefix_sum_within(merged, FAMILY, ["key", "_desc_blk"], "blk", "j")
+    out = merged.filter(F.col("blk") == 0).withColumn("n", F.col("key") + F.col("j")).select("order", *FAMILY, "name", "n")
+    if late is not None:
+        out = out.unionByName(late)
     final = F.when(F.col("n") == 0, F.col("name")).otherwise(
         F.concat(F.col("stem"), F.lit("_"), F.col("n").cast("string"), F.col("suffix")))
     return out.select("order", "dir", "name", final.alias("final_name"))
 
 
-def _existing_names(files: DataFrame) -> DataFrame:
-    return files.select(path_parent(F.col("path")).alias("dir"), path_name(F.col("path")).alias("name"))
+def _timed(blocked: DataFrame, inc: DataFrame, order_type) -> DataFrame:
+    """Families in which names become free: their arrivals and departures in order, one
+    sorted scan per task that keeps the taken indices of the current family. At the same
+    order a file's own name is still taken."""
+    start = blocked.filter(F.col("gone").isNull()).select(*FAMILY, "n", F.lit(0).alias("step"), F.lit(None).cast(order_type).alias("order"), F.lit(None).cast("string").alias("name"))
+    held = blocked.filter(F.col("gone").isNotNull())
+    events = (start.unionByName(held.select(*FAMILY, "n", F.lit(0).alias("step"), F.lit(None).cast(order_type).alias("order"), F.lit(None).cast("string").alias("name")))
+              .unionByName(inc.select(*FAMILY, F.lit(None).cast("bigint").alias("n"), F.lit(1).alias("step"), "order", "name"))
+              .unionByName(held.select(*FAMILY, "n", F.lit(2).alias("step"), F.col("gone").alias("order"), F.lit(None).cast("string").alias("name"))))
+    dealt = events.repartition(*FAMILY).sortWithinPartitions(*FAMILY, F.col("order").asc_nulls_first(), "step")
+    dealt = dealt.withColumn("order", F.col("order").cast("string"))  # not as a float where it is null
+
+    def run(batches):
+        import heapq
+
+        import pandas as pd
+        family, taken, free, top = None, set(), [], 0
+        for pdf in batches:
+            out = []
+            for d, st, sf, n, step, order, name in zip(*(pdf[c] for c in [*FAMILY, "n", "step", "order", "name"])):
+                if (d, st, sf) != family:
+                    family, taken, free, top = (d, st, sf), set(), [], 0
+                if step == 0:
+                    taken.add(int(n))
+                elif step == 2:
+                    taken.discard(int(n))
+                    heapq.heappush(free, int(n))  # may lie above ``top``; it is then met twice and skipped
+                else:
+                    while free and free[0] in taken:
+                        heapq.heappop(free)
+                    while top in taken:
+                        top += 1
+                    k = min(top, free[0]) if free else top
+                    taken.add(k)
+                    out.append((order, d, st, sf, name, k))
+            yield pd.DataFrame(out, columns=["order", *FAMILY, "name", "n"])
+
+    return (dealt.mapInPandas(run, "order string, dir string, stem string, suffix string, name string, n bigint")
+            .withColumn("order", F.col("order").cast(order_type)))
+
+
+def _existing_names(files: DataFrame, *more: str) -> DataFrame:
+    return files.select(path_parent(F.col("path")).alias("dir"), path_name(F.col("path")).alias("name"), *more)
+
+
+def known_directories(files: DataFrame, vault: str = VAULT) -> DataFrame:
+    """(category, known) for every directory directly below the vault: the built-in ones and
+    those that hold a file at any depth."""
+    own = [K.INBOX, K.ARCHIVE, K.SENSITIVE] + K.CATEGORY_DIRS
+    below = (files.filter(F.col("path").startswith(vault + "/"))
+             .select(F.split(F.substring("path", len(vault) + 2, 1 << 30), "/").alias("p")).filter(F.size("p") > 1)
+             .select(F.col("p")[0].alias("category")))
+    built_in = files.sparkSession.createDataFrame([(c,) for c in own], "category string")
+    return below.unionByName(built_in).distinct().withColumn("known", F.lit(True))
 
 
 def organize_plan(files: DataFrame, moves: DataFrame, vault: str = VAULT) -> DataFrame:
     """ORG-1: moves (seq, path, category) -> manifest (seq, src, dst, category,
-    target_dir, status, error). Unknown category directories fall back to _inbox
-    (the category is still recorded, V25); unknown sources are error rows."""
-    known = [K.INBOX, K.ARCHIVE, K.SENSITIVE] + K.CATEGORY_DIRS
-    files = cut_lineage(files.select("path"), "organize-paths")
+    target_dir, status, error), equal to applying the moves one by one in ``seq`` order:
+    a category without a directory falls back to _inbox (the category is still recorded,
+    V25); a name is free once its file has moved away and not before, so no ``dst`` names a
+    file that is still there, and a file organised into its own directory gets a suffix;
+    the first move of a source wins, later ones and unknown sources are error rows. (A move
+    whose source is the target of an earlier move counts as unknown.)"""
+    files = cut_lineage(files.select("path").distinct(), "organize-paths")
     moves = cut_lineage(moves.select("seq", "path", "category"), "organize-moves")
-    src_ok = moves.join(files.select("path").withColumn("_e", F.lit(True)), "path", "left")
-    tdir = F.concat(F.lit(vault + "/"), F.when(F.col("category").isin(*known), F.col("category"))
-                    .otherwise(F.lit(K.INBOX)))
-    m = src_ok.select("seq", "path", "category", tdir.alias("target_dir"), "_e")
-    good = m.filter(F.col("_e").isNotNull())
+    first = moves.groupBy("path").agg(F.min("seq").alias("first"))
+    known = known_directories(files, vault)
+    m = (moves.join(files.withColumn("_e", F.lit(True)), "path", "left").join(first, "path").join(known, "category", "left")
+         .select("seq", "path", "category", F.coalesce(F.col("_e") & (F.col("seq") == F.col("first")), F.lit(False)).alias("ok"),
+                 F.concat(F.lit(vault + "/"), F.when(F.col("known"), F.col("category")).otherwise(F.lit(K.INBOX))).alias("target_dir")))
+    m = cut_lineage(m, "organize-targets")
+    good = m.filter("ok")
     inc = good.select(F.col("seq").alias("order"), F.col("target_dir").alias("dir"),
                       path_name(F.col("path")).alias("name"))
-    # files that move away free their names; the others stay in place
-    staying = files.join(moves.select("path"), "path", "left_anti")
-    named = collision_names(_existing_names(staying), inc)
+    leaving = files.join(good.select("path", F.col("seq").alias("gone")), "path", "left")
+    existing = _existing_names(leaving, "gone")
+    named = collision_names(existing, inc)
     ok = good.join(named.select(F.col("order").alias("seq"), "final_name"), "seq").select(
         "seq", F.col("path").alias("src"), F.concat_ws("/", "target_dir", "final_name").alias("dst"),
         "category", "target_dir", F.lit("moved").alias("status"), F.lit(None).cast("string").alias("error"))
-    bad = m.filter(F.col("_e").isNull()).select(
+    bad = m.filter("not ok").select(
         "seq", F.col("path").alias("src"), F.lit(None).cast("string").alias("dst"), "category", "target_dir",
         F.lit("error").alias("status"), F.concat(F.lit("Source not found: "), F.col("path")).alias("error"))
     return ok.unionByName(bad)
@@ -202,6 +258,38 @@ def group_manifest(files: DataFrame, groups: DataFrame, members: DataFrame) -> D
                     F.concat_ws("/", "folder", path_name(F.col("src"))).alias("dst")))
 
 
+def group_files(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """GRP-6 for files that a caller names: ``requests`` (seq, folder_name, source_dir, paths
+    array<string>) -> one row per listed path: seq, folder, src, dst, status, error. Without a
+    source directory the folder lies beside the first path. The folder's name is made safe
+    and gets ``_n`` when the directory has an entry of that name or an earlier request made
+    one; names that meet in the folder get a suffix in list order; a path that does not
+    exist, or that was moved by an earlier entry, is an error row. A request without paths
+    is one error row."""
+    entries = (_existing_names(files).unionByName(files.select(F.explode(_ancestors(path_parent(F.col("path")))).alias("d"))
+               .unionByName(files.select(path_parent(F.col("path")).alias("d"))).distinct()
+               .select(path_parent(F.col("d")).alias("dir"), path_name(F.col("d")).alias("name"))).distinct())
+    req = cut_lineage(requests.select("seq", "folder_name", "source_dir", F.coalesce("paths", F.array().cast("array<string>")).alias("paths")), "group-requests")
+    asked = req.filter(F.size("paths") > 0).select(
+        "seq", "paths", F.coalesce("source_dir", path_parent(F.col("paths")[0])).alias("base"),
+        safe_folder_name(F.col("folder_name")).alias("safe"))
+    named = collision_names(entries, asked.select(F.col("seq").alias("order"), F.col("base").alias("dir"), F.col("safe").alias("name")), split_suffix=False)
+    folder = asked.join(named.select(F.col("order").alias("seq"), "final_name"), "seq").select(
+        "seq", F.concat_ws("/", "base", "final_name").alias("folder"), F.posexplode("paths").alias("pos", "src"))
+    first = folder.groupBy("src").agg(F.min(F.struct("seq", "pos")).alias("first"))
+    judged = cut_lineage(folder.join(first, "src").join(files.select(F.col("path").alias("src")).distinct().withColumn("_e", F.lit(True)), "src", "left")
+                         .select("seq", "folder", "pos", "src", (F.coalesce("_e", F.lit(False)) & (F.struct("seq", "pos") == F.col("first"))).alias("ok")), "group-entries")
+    good = judged.filter("ok")
+    inside = collision_names(entries.limit(0), good.select(F.struct("seq", "pos").alias("order"), F.col("folder").alias("dir"), path_name(F.col("src")).alias("name")))
+    none = F.lit(None).cast("string")
+    moved = good.join(inside.select("order.seq", "order.pos", "final_name"), ["seq", "pos"]).select(
+        "seq", "folder", "src", F.concat_ws("/", "folder", "final_name").alias("dst"), F.lit("moved").alias("status"), none.alias("error"))
+    missing = judged.filter("not ok").select("seq", "folder", "src", none.alias("dst"), F.lit("error").alias("status"), F.lit("File not found").alias("error"))
+    empty = req.filter(F.size("paths") == 0).select("seq", none.alias("folder"), none.alias("src"), none.alias("dst"), F.lit("error").alias("status"),
+                                                    F.lit("No files provided").alias("error"))
+    return moved.unionByName(missing).unionByName(empty)
+
+
 def _ancestors(dir_col: F.Column) -> F.Column:
     """Proper ancestors of a directory path ('a/b/c' -> ['a', 'a/b'])."""
     parts = F.split(dir_col, "/")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -45,15 +46,18 @@ def build_session(master: str | None = None, app: str = "shelfspark",
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; we only set our own when it is unset (tests, local runs).
-    """
+    The cluster names it. Only a session on a ``local`` master, whose driver and tasks
+    are one process, may go without: it gets ``fallback`` or a folder of its own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = fallback or os.path.join("/tmp", "shelfspark-checkpoints")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that driver and "
+                             "executors share")
+        configured = fallback or os.path.join(tempfile.gettempdir(), "shelfspark-checkpoints")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -31,9 +31,10 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: str, max_f
     return r.parquet(f"{sf_dir.rstrip('/')}/{name}*.parquet")
 
 
-def run(writer, checkpoint: str, timeout_s: int = 600):
+def run(writer, checkpoint: str):
+    """Process everything that is there and return when it is done, however long it takes."""
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return q

@@ -145,8 +145,9 @@ def test_bootstrap_seeds_only_when_empty(spark):
     cats, kws = bootstrap(None, spark)
     assert cats.count() == 7 and kws.count() == 175
     assert kws.filter("source = 'seed' AND weight = 1.0").count() == 175
-    again, none = bootstrap(cats, spark)
-    assert none is None and again.count() == 7
+    again, same = bootstrap(cats, spark, kws.limit(3))
+    assert same.count() == 3 and again.count() == 7
+    assert bootstrap(cats, spark)[1].count() == 0
 
 
 def test_json_lines_keep_utf8(spark):
