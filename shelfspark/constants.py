@@ -133,8 +133,6 @@ SENSITIVE_REPORT_CAP = 200
 UNGROUPED_LIST_CAP = 20
 MAX_FILE_BYTES = 500 * 1024 * 1024
 CATEGORY_NAME_CAP = 64
-FORM_KEYWORDS_CAP = 50
-FORM_KEYWORD_LEN = 100
 SLUG_CAP = 32
 FOLDER_NAME_CAP = 50
 

@@ -72,25 +72,29 @@ def file_name_expr() -> F.Column:
             .otherwise(F.concat(F.lit("misc"), F.col("doc_id").cast("string"), F.lit(".bin"))))
 
 
-def file_text_expr() -> F.Column:
+def synthetic_text_expr() -> F.Column:
+    """Chinese, mixed and empty-handed text for three of every ten documents."""
     r = F.pmod(F.col("doc_id"), F.lit(10))
-    return (F.when(r == 7, F.lit(TEXT_ZH)).when(r == 8, F.lit(TEXT_MIXED))
-            .when(r == 9, F.lit(TEXT_JUNK)).otherwise(F.col("text")))
+    return F.when(r == 7, F.lit(TEXT_ZH)).when(r == 8, F.lit(TEXT_MIXED)).when(r == 9, F.lit(TEXT_JUNK))
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files before classification: one row per document."""
+    """Files before classification: one row per document with its whole text, and beside
+    every document with ``doc_id % 10`` in 7, 8, 9 a synthetic file (id -1 - doc_id)."""
     return raw_files_from(table(spark, sf_dir, "documents"))
 
 
 def raw_files_from(docs: DataFrame) -> DataFrame:
     """The raw-files projection of a documents DataFrame (batch or streaming)."""
+    own = docs.select("doc_id", "source", "n_chars", "text", F.lit(False).alias("extra"))
+    extra = (docs.select("doc_id", "source", synthetic_text_expr().alias("text")).filter(F.col("text").isNotNull())
+             .select("doc_id", "source", F.length("text").cast("bigint").alias("n_chars"), "text", F.lit(True).alias("extra")))
     directory = F.concat(F.lit("vault/_inbox/"), F.col("source"))
-    return docs.select(
-        F.col("doc_id").alias("file_id"),
+    return own.unionByName(extra).select(
+        F.when(F.col("extra"), -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("file_id"),
         directory.alias("directory"),
-        file_name_expr().alias("original_name"),
-        file_text_expr().alias("extracted_text"),
+        F.when(F.col("extra"), F.concat(F.lit("s_"), file_name_expr())).otherwise(file_name_expr()).alias("original_name"),
+        F.col("text").alias("extracted_text"),
         F.col("n_chars").alias("file_size"),
         (F.pmod(F.col("doc_id"), F.lit(11)) / F.lit(10.0)).alias("importance"),
         (F.pmod(F.col("doc_id"), F.lit(17)) == 0).alias("starred"),

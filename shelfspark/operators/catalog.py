@@ -109,14 +109,28 @@ def search_descriptions(descriptions: DataFrame, query: str, limit: int = K.DESC
             .orderBy(F.col("updated_at").desc(), F.col("path")).limit(limit))
 
 
+QUERY_CHUNK = 100_000
+
+
 def search_batch(descriptions: DataFrame, queries: DataFrame, limit: int = K.DESCRIPTION_LIMIT) -> DataFrame:
     """FLT-3: many queries (query_id, query) against all descriptions, AND of LIKE per
     term, top ``limit`` per query (newest first) and total hits per query.
 
-    The query table is a size-checked broadcast; descriptions stream past it."""
+    The queries are broadcast, at most ``QUERY_CHUNK`` of them at a time, and the
+    descriptions stream past them; a larger batch is cut by a hash of the query id."""
     n = queries.count()
-    if n > 100_000:
-        raise ValueError(f"query batch of {n} rows is too large to broadcast; split it")
+    if n > QUERY_CHUNK:
+        parts = -(-n // QUERY_CHUNK)
+        keyed = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+        out = None
+        for i in range(parts):
+            one = _search_chunk(descriptions, keyed.filter(F.col("_part") == i).drop("_part"), limit)
+            out = one if out is None else out.unionByName(one)
+        return out
+    return _search_chunk(descriptions, queries, limit)
+
+
+def _search_chunk(descriptions: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     q = queries.select("query_id", F.filter(F.split(F.trim(F.col("query")), r"(?U)\s+"),
                                             lambda t: t != "").alias("terms"))
     q = q.filter(F.size("terms") > 0).select(

@@ -1,12 +1,10 @@
 """Weighted-dictionary classification (CLS-1..12).
 
 Plan:
-  files ──project(hay, name, joined keywords, locale)──┐
-                                                       BroadcastNestedLoopJoin  contains(hay, keyword)
-  active keyword dictionary (size-checked broadcast) ──┘
-      -> (file_id, category_id, contribution, label)  [text is dropped here]
-  (the same join carries the extension bonus as 'ext' dictionary rows, and is a
-   LEFT OUTER join so unmatched files survive without a second pass)
+  files ──project(hay, name, joined keywords, locale)──> mapInPandas: one pass of an
+  Aho-Corasick automaton over each text, for the dictionary rows of one chunk
+      -> (file_id, dictionary row, tier)  [text is dropped here]  -> join dictionary
+  (extension bonuses are 'ext' dictionary rows; unmatched files keep one empty row)
   -> ONE shuffle: repartition by file_id
   -> aggregate (file_id, category_id) -> window rank per file -> aggregate per file
      (all three reuse the file_id partitioning; no further exchange)
@@ -23,18 +21,18 @@ from pyspark.sql import functions as F
 from shelfspark import constants as K
 from shelfspark.functions.text import detect_language, name_suffix
 
-# A dictionary of up to this many rows is broadcast in one piece; larger ones are
-# matched chunk by chunk (each chunk broadcast), which is exact.
+# Dictionary rows that are collected, built into an automaton and broadcast at a time;
+# a larger dictionary is matched chunk by chunk, which is exact.
 BROADCAST_KEYWORD_CHUNK = 50_000
 CONTRIB = "decimal(22,9)"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over all cores when the scan produced fewer splits than
-    there are task slots (a few large row groups). On a cluster reading many files
-    the scan already has enough splits and nothing is shuffled."""
+    """Round-robin the rows over all cores when there are fewer input files than task slots
+    (a few large row groups). On a cluster reading many files nothing is shuffled. Only the
+    file listing is looked at; no job runs."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+    if len(df.inputFiles()) < slots:
         return df.repartition(slots * 2)
     return df
 
@@ -61,11 +59,11 @@ def _weighted(weight, tier, bonus) -> F.Column:
 
 
 def _dictionary_chunks(dict_df: DataFrame) -> list[DataFrame]:
-    n = dict_df.count()  # dimension table; the count is the size check for the broadcast
+    n = dict_df.count()  # the size check for the broadcasts
     if n <= BROADCAST_KEYWORD_CHUNK:
         return [dict_df]
     parts = (n + BROADCAST_KEYWORD_CHUNK - 1) // BROADCAST_KEYWORD_CHUNK
-    keyed = dict_df.withColumn("_chunk", F.pmod(F.xxhash64("kw_id"), F.lit(parts)))
+    keyed = dict_df.withColumn("_chunk", F.pmod(F.xxhash64("_kind", "kw_id", "category_id", "_kw"), F.lit(parts)))
     return [keyed.filter(F.col("_chunk") == i).drop("_chunk") for i in range(parts)]
 
 
@@ -81,17 +79,6 @@ def match_dictionary(categories: DataFrame, keywords: DataFrame) -> DataFrame:
     return kw.unionByName(ext)
 
 
-try:  # optional: multi-pattern matcher for the Arrow path
-    import ahocorasick as _ac
-except ImportError:  # pragma: no cover
-    _ac = None
-
-# Dictionaries with more keyword rows than this use the Aho-Corasick path when
-# available: one linear pass over each text instead of one scan per keyword.
-AC_MIN_KEYWORDS = 64
-# Upper bound for shipping the automaton to the executors as a broadcast.
-AC_MAX_KEYWORDS = 5_000_000
-
 MATCH_SCHEMA = "file_id bigint, locale_detected string, _idx int, tier int"
 
 
@@ -135,14 +122,12 @@ def _ac_runner(bc):
 
 
 def _ac_matches(prepped: DataFrame, dict_df: DataFrame, keep_unmatched: bool) -> DataFrame:
-    """Aho-Corasick path: the (size-checked) dictionary becomes one automaton shipped
-    to the executors as a broadcast; each text is scanned once."""
+    """One chunk of the dictionary becomes an automaton shipped to the executors as a
+    broadcast; each text is scanned once."""
+    import ahocorasick
     spark = prepped.sparkSession
-    n = dict_df.count()
-    if n > AC_MAX_KEYWORDS:
-        raise ValueError(f"dictionary of {n} rows exceeds the broadcast bound {AC_MAX_KEYWORDS}")
     rows = dict_df.orderBy("_kind", "kw_id", "category_id", "_kw").collect()
-    automaton = _ac.Automaton()
+    automaton = ahocorasick.Automaton()
     keys, always, ext_index, by_kw = [], [], {}, {}
     for i, r in enumerate(rows):
         keys.append(r["_kw"])
@@ -167,30 +152,37 @@ def _ac_matches(prepped: DataFrame, dict_df: DataFrame, keep_unmatched: bool) ->
     return found.join(F.broadcast(indexed), "_idx", "left")
 
 
+def _null_matches(prepped: DataFrame, matched: DataFrame) -> DataFrame:
+    """One empty row for every file that no chunk matched."""
+    none = {f.name: f.dataType for f in matched.schema.fields}
+    left = prepped.select("file_id", "locale_detected").join(matched.select("file_id").distinct(), "file_id", "left_anti")
+    return left.select(*[F.col(c) if c in ("file_id", "locale_detected") else F.lit(None).cast(t).alias(c) for c, t in none.items()])
+
+
 def dictionary_matches(prepped: DataFrame, categories: DataFrame, keywords: DataFrame,
-                       keep_unmatched: bool = False, matcher: str = "auto") -> DataFrame:
+                       keep_unmatched: bool = False, matcher: str = "ac") -> DataFrame:
     """CLS-2/3/4: one row per (file, dictionary row) whose keyword is a substring of
     the haystack (or whose extension equals the file suffix), with tier and locale
-    bonus. With ``keep_unmatched`` files without any match keep one all-NULL row
-    (left outer join), so callers need no second pass over the files."""
-    dict_df = match_dictionary(categories, keywords)
-    use_ac = matcher == "ac" or (matcher == "auto" and _ac is not None
-                                 and dict_df.count() >= AC_MIN_KEYWORDS)
-    if use_ac:
-        out = _ac_matches(prepped, dict_df, keep_unmatched)
+    bonus. With ``keep_unmatched`` files without any match keep one all-NULL row.
+    ``matcher="join"`` states the same as a join on ``contains``, without Python."""
+    chunks = _dictionary_chunks(match_dictionary(categories, keywords))
+    alone = len(chunks) == 1
+    if matcher == "ac":
+        found = [_ac_matches(prepped, c, keep_unmatched and alone) for c in chunks]
         tier = F.col("tier")
     else:
         cond = (((F.col("_kind") == "kw") & F.col("_hay").contains(F.col("_kw")))
                 | ((F.col("_kind") == "ext") & (F.col("_ext") == F.col("_kw"))))
-        how = "left" if keep_unmatched else "inner"
-        out = None
-        for chunk in _dictionary_chunks(dict_df):
-            m = prepped.join(F.broadcast(chunk), cond, how)
-            out = m if out is None else out.unionByName(m)
+        found = [prepped.join(F.broadcast(c), cond, "left" if keep_unmatched and alone else "inner") for c in chunks]
         tier = (F.when(F.col("_kind") == "ext", F.lit(None))
                 .when(F.col("_name").contains(F.col("_kw")), F.lit(K.TIER_FILENAME))
                 .when(F.col("_kwj").contains(F.col("_kw")), F.lit(K.TIER_KEYWORD))
                 .otherwise(F.lit(K.TIER_TEXT)))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    if keep_unmatched and not alone:
+        out = out.unionByName(_null_matches(prepped, out))
     bonus = F.when(F.col("_kw_locale") == F.col("locale_detected"), F.lit(K.LOCALE_BONUS)).otherwise(F.lit(1.0))
     return out.select("file_id", "locale_detected", "_kind", "category_id", "ord", "kw_id",
                       F.col("_kw").alias("keyword"), F.col("_kw_locale").alias("keyword_locale"), "weight",
@@ -198,7 +190,7 @@ def dictionary_matches(prepped: DataFrame, categories: DataFrame, keywords: Data
 
 
 def _contribution_rows(prepped: DataFrame, categories: DataFrame, keywords: DataFrame,
-                       keep_unmatched: bool, matcher: str = "auto") -> DataFrame:
+                       keep_unmatched: bool, matcher: str = "ac") -> DataFrame:
     m = dictionary_matches(prepped, categories, keywords, keep_unmatched, matcher)
     label = (F.when(F.col("_kind") == "ext", F.concat(F.lit("extension "), F.col("keyword")))
              .when(F.col("tier") == K.TIER_FILENAME,
@@ -214,7 +206,7 @@ def _contribution_rows(prepped: DataFrame, categories: DataFrame, keywords: Data
 
 
 def category_scores(prepped: DataFrame, categories: DataFrame, keywords: DataFrame,
-                    partitions: int | None = None, with_markers: bool = False, matcher: str = "auto") -> DataFrame:
+                    partitions: int | None = None, with_markers: bool = False, matcher: str = "ac") -> DataFrame:
     """CLS-5: positive score per (file, category), hash-partitioned by file_id.
 
     Categories without a match score 0 and never win or get suggested, so they
@@ -229,7 +221,7 @@ def category_scores(prepped: DataFrame, categories: DataFrame, keywords: DataFra
 
 
 def classify(files: DataFrame, categories: DataFrame, keywords: DataFrame, locale: str = "zh",
-             partitions: int | None = None, matcher: str = "auto") -> DataFrame:
+             partitions: int | None = None, matcher: str = "ac") -> DataFrame:
     """CLS-1..12 for every file.
 
     Output: file_id, category (display name or ``_inbox``), category_id, confidence

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from shelfspark import constants as K
 from shelfspark.functions.text import detect_language
+from shelfspark.operators.ordered import ranked_within
 
 EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 
@@ -144,9 +145,9 @@ def add_categories(categories: DataFrame, keywords: DataFrame, requests: DataFra
     req = req.join(existing, "cat_id", "left")
     ok = req.filter(F.col("_exists").isNull() & (F.col("_rk") == 1))
     max_ord = categories.select(F.max("ord")).scalar()
+    ok = ranked_within(ok, [], ["seq"], rank_col="_nth")
     new_cats = ok.select(
-        F.col("cat_id").alias("id"),
-        (F.coalesce(max_ord, F.lit(-1)) + F.row_number().over(Window.orderBy("seq"))).cast("int").alias("ord"),
+        F.col("cat_id").alias("id"), (F.coalesce(max_ord, F.lit(-1)) + F.col("_nth")).cast("int").alias("ord"),
         F.col("name").alias("name_zh"),
         F.when(F.col("locale") == "zh", translate_name("name")).otherwise(F.col("name")).alias("name_en"),
         F.coalesce("extensions", F.array().cast("array<string>")).alias("extensions"),
@@ -159,11 +160,9 @@ def add_categories(categories: DataFrame, keywords: DataFrame, requests: DataFra
                          "locale")
                .select("seq", "pos", "category_id", F.lower(F.trim("kw")).alias("keyword"), "locale",
                        F.lit(K.USER_WEIGHT).alias("weight"), F.lit("user").alias("source"))
-               .filter(F.col("keyword") != "")
-               # increasing in (seq, pos) without a global window: pos < 4096 (form cap 50)
-               .withColumn("kw_id", F.coalesce(F.lit(max_kw), F.lit(-1)) + 1
-                           + F.col("seq") * 4096 + F.col("pos"))
-               .drop("seq", "pos"))
+               .filter(F.col("keyword") != ""))
+    new_kws = (ranked_within(new_kws, [], ["seq", "pos"], rank_col="_nth")
+               .withColumn("kw_id", F.coalesce(max_kw, F.lit(-1)) + F.col("_nth")).drop("seq", "pos", "_nth"))
     result = req.select("seq", F.col("cat_id").alias("id"), "name",
                         F.when(F.col("_exists").isNull() & (F.col("_rk") == 1), "added")
                         .otherwise("duplicate").alias("status"),
@@ -219,7 +218,7 @@ def add_keywords(keywords: DataFrame, additions: DataFrame) -> tuple[DataFrame,
                      ["category_id", "keyword", "locale"], "left_anti")
     max_kw = keywords.select(F.max("kw_id")).scalar()
     # increasing in seq (insertion order) without a global window
-    added = new.select((F.coalesce(F.lit(max_kw), F.lit(-1)) + 1 + F.col("seq")).alias("kw_id"),
+    added = new.select((F.coalesce(max_kw, F.lit(-1)) + 1 + F.col("seq")).alias("kw_id"),
                        "category_id", "keyword", "locale",
                        F.lit(K.USER_WEIGHT).alias("weight"), F.lit("user").alias("source"))
     counts = new.groupBy("category_id").agg(F.count(F.lit(1)).alias("keywords_added"))

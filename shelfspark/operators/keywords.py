@@ -12,6 +12,8 @@ Two equivalent plans (identical results, checked in the tests):
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +22,19 @@ from shelfspark.session import cut_lineage
 
 
 def _doc_counts(text: str) -> list[tuple[str, int, int]]:
-    """(word, count, first position) in first-occurrence order: lower-case, split on
-    whitespace, strip the punctuation set from both ends, keep length >= 2."""
-    counts: dict[str, list[int]] = {}
-    for pos, w in enumerate(text.lower().split()):
-        w = w.strip(K.KEYWORD_STRIP_CHARS).strip()
-        if len(w) >= 2:
-            c = counts.get(w)
-            if c is None:
-                counts[w] = [1, pos]
-            else:
-                c[0] += 1
-    return [(w, c[0], c[1]) for w, c in counts.items()]
+    """(word, count, first position) in first-occurrence order. Word rules: lower case, cut at
+    white space, the punctuation set and white space stripped at both ends, two characters
+    or more. Distinct raw pieces are cleaned once; counts then add up per cleaned word."""
+    pieces = text.lower().split()
+    raw = Counter(pieces)
+    at = dict(zip(reversed(pieces), range(len(pieces) - 1, -1, -1)))  # the first place wins
+    out: dict[str, tuple[int, int]] = {}
+    for piece, n in raw.items():
+        word = piece.strip(K.KEYWORD_STRIP_CHARS).strip()
+        if len(word) > 1:
+            total, first = out.get(word, (0, at[piece]))
+            out[word] = (total + n, min(first, at[piece]))
+    return [(word, n, first) for word, (n, first) in out.items()]
 
 
 def _usable(t) -> bool:

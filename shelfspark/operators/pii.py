@@ -32,13 +32,17 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def ingest_sensitive(docs: DataFrame, id_col: str = "doc_id", path_col: str = "filepath",
-                     text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+                     text_col: str = "text", max_text: int | None = None, max_report: int | None = None
+                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """PII-8. Returns three feeds:
 
-    * files: path, category ``_sensitive``, extracted_text = redacted text cut to 500,
+    * files: path, category ``_sensitive``, extracted_text = redacted text,
       keywords = finding types (with repeats);
     * descriptions: path, description (PII-7);
-    * report: redacted text cut to 200, findings without originals, counts.
+    * report: redacted text, findings without originals, counts.
+
+    ``max_text`` and ``max_report`` cut the texts to previews (``SENSITIVE_TEXT_CAP`` and
+    ``SENSITIVE_REPORT_CAP`` are the usual ones); without them the whole text is kept.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     s = docs.select(id_col, path_col, text.alias("_t")).withColumn("findings", P.findings(F.col("_t")))
@@ -47,11 +51,11 @@ def ingest_sensitive(docs: DataFrame, id_col: str = "doc_id", path_col: str = "f
     s = s.withColumn("_desc", P.sensitive_description(P.safe_description(F.col("_t"), F.col("findings")),
                                                       F.col(path_col)))
     files = s.select(F.col(path_col).alias("path"), F.lit(K.SENSITIVE).alias("category"),
-                     F.substring("_red", 1, K.SENSITIVE_TEXT_CAP).alias("extracted_text"),
+                     (F.col("_red") if max_text is None else F.substring("_red", 1, max_text)).alias("extracted_text"),
                      F.transform("findings", lambda f: f["type"]).alias("keywords"))
     descriptions = s.select(F.col(path_col).alias("path"), F.col("_desc").alias("description"))
     report = s.select(id_col, F.col(path_col).alias("filepath"),
-                      F.substring("_red", 1, K.SENSITIVE_REPORT_CAP).alias("redacted_text"),
+                      (F.col("_red") if max_report is None else F.substring("_red", 1, max_report)).alias("redacted_text"),
                       F.transform("findings", lambda f: F.struct(f["type"].alias("type"),
                                                                  f["redacted"].alias("redacted")))
                       .alias("pii_findings"),

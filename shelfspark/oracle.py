@@ -72,15 +72,18 @@ def cte(name: str, deps: list[str], body: str) -> None:
 cte("categories", [], _categories_values())
 cte("keywords", [], _keywords_values())
 cte("n_docs", [], "SELECT count(*) AS n FROM documents")
+_NAME = f"CASE WHEN extra THEN 's_' ELSE '' END || {_file_name()}"
 cte("raw_files", [], f"""
-SELECT doc_id AS file_id, 'vault/_inbox/' || source AS directory, {_file_name()} AS original_name,
-       CASE doc_id % 10 WHEN 7 THEN {q(TEXT_ZH)} WHEN 8 THEN {q(TEXT_MIXED)} WHEN 9 THEN {q(TEXT_JUNK)}
-            ELSE text END AS extracted_text,
+SELECT CASE WHEN extra THEN -1 - doc_id ELSE doc_id END AS file_id, 'vault/_inbox/' || source AS directory,
+       {_NAME} AS original_name, text AS extracted_text,
        n_chars AS file_size, CAST(doc_id % 11 AS DOUBLE) / 10.0 AS importance, doc_id % 17 = 0 AS starred,
        TIMESTAMP '2024-01-01 00:00:00' AS created_at,
-       'vault/_inbox/' || source || '/' || {_file_name()} AS path,
-       {SUFFIX.format(x=_file_name())} AS file_type
-FROM documents""")
+       'vault/_inbox/' || source || '/' || {_NAME} AS path,
+       {SUFFIX.format(x="(" + _NAME + ")")} AS file_type
+FROM (SELECT doc_id, source, n_chars, text, FALSE AS extra FROM documents
+      UNION ALL SELECT doc_id, source, length(s) AS n_chars, s AS text, TRUE AS extra
+      FROM (SELECT doc_id, source, CASE doc_id % 10 WHEN 7 THEN {q(TEXT_ZH)} WHEN 8 THEN {q(TEXT_MIXED)}
+                                   WHEN 9 THEN {q(TEXT_JUNK)} END AS s FROM documents) WHERE s IS NOT NULL)""")
 cte("access_log", ["raw_files", "n_docs"], """
 SELECT e.event_id, f.path AS file_path, e.ts AS accessed_at
 FROM events e JOIN raw_files f ON f.file_id = e.event_id % (SELECT n FROM n_docs)

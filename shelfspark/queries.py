@@ -100,11 +100,11 @@ def q_keywords_freq(spark, sf):
     return KW.top_keywords(files).select("doc_id", F.col("rank").cast("bigint").alias("rank"), "keyword", "cnt")
 
 
-@register("keywords_tfidf", O.build(["file_word_counts", "n_docs"], """
+@register("keywords_tfidf", O.build(["file_word_counts", "raw_files"], """
 SELECT doc_id, rank, keyword, cnt, df FROM (
   SELECT w.doc_id, w.keyword, w.cnt, d.df,
          row_number() OVER (PARTITION BY w.doc_id ORDER BY
-           w.cnt * ln(CAST((SELECT n FROM n_docs) + 1 AS DOUBLE) / CAST(d.df + 1 AS DOUBLE)) DESC, w.first_pos) AS rank
+           w.cnt * ln(CAST((SELECT count(*) FROM raw_files) + 1 AS DOUBLE) / CAST(d.df + 1 AS DOUBLE)) DESC, w.first_pos) AS rank
   FROM file_word_counts w JOIN (SELECT keyword, count(*) AS df FROM file_word_counts GROUP BY keyword) d
     ON d.keyword = w.keyword)
 WHERE rank <= 20"""))
@@ -400,19 +400,19 @@ def q_add_categories(spark, sf):
 
 @register("add_keywords", O.build(["keywords", "file_keywords"], """
 SELECT category_id, count(*) AS keywords_added FROM (
-  SELECT DISTINCT (['study','memo','reminder','life','task','finance','work'])[doc_id % 7 + 1] AS category_id,
+  SELECT DISTINCT (['study','memo','reminder','life','task','finance','work'])[abs(doc_id) % 7 + 1] AS category_id,
          lower(trim(keyword)) AS keyword, 'en' AS locale
-  FROM file_keywords WHERE rank <= 3 AND lower(trim(keyword)) <> '') a
+  FROM file_keywords WHERE lower(trim(keyword)) <> '') a
 WHERE NOT EXISTS (SELECT 1 FROM keywords k WHERE k.category_id = a.category_id AND k.keyword = a.keyword
                   AND k.locale = a.locale)
 GROUP BY category_id"""))
 def q_add_keywords(spark, sf):
     cats, kws = X.dictionary(spark)
     files = X.raw_files(spark, sf).select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text"))
-    top = KW.top_keywords(files, top_k=3)
+    top = KW.top_keywords(files)
     ids = F.array(*[F.lit(c["id"]) for c in K.SEED_CATEGORIES])
     adds = top.select((F.col("doc_id") * 100 + F.col("rank")).alias("seq"),
-                      F.element_at(ids, (F.pmod("doc_id", F.lit(7)) + 1).cast("int")).alias("category_id"),
+                      F.element_at(ids, (F.pmod(F.abs("doc_id"), F.lit(7)) + 1).cast("int")).alias("category_id"),
                       "keyword", F.lit("en").alias("locale"))
     _, counts = DIC.add_keywords(kws, adds)
     return counts

@@ -61,9 +61,15 @@ def directories(spark: SparkSession, root: str) -> list[str]:
     return sorted(out)
 
 
-def _binary(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+def _binary(spark: SparkSession, root: str, recursive: bool, suffixes: list[str] | None = None) -> DataFrame:
+    """The files below ``root``; with ``suffixes`` (any case) only theirs are listed, so no
+    other file's bytes can be read."""
     paths = directories(spark, root) if recursive else [root]
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(paths)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+    if suffixes:
+        globs = ["*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes]
+        reader = reader.option("pathGlobFilter", "{" + ",".join(globs) + "}")
+    return reader.load(paths)
 
 
 def list_files(spark: SparkSession, root: str, subdir: str | None = None, recursive: bool = True) -> DataFrame:
@@ -107,18 +113,24 @@ def placeholder(kind, name) -> F.Column:
             .when(k == "unknown", F.concat(F.lit("[Unknown type: "), n, F.lit("]"))))
 
 
-def decode_text(content) -> F.Column:
-    """SCN-5: UTF-8 with replacement, universal newlines, first 50 000 characters."""
+def _cut(text: F.Column, max_chars: int | None) -> F.Column:
+    """The whole text, or its first ``max_chars`` characters where a caller wants a preview
+    (``constants.TEXT_CAP`` is the usual one)."""
+    return text if max_chars is None else F.substring(text, 1, max_chars)
+
+
+def decode_text(content, max_chars: int | None = None) -> F.Column:
+    """SCN-5: UTF-8 with replacement, universal newlines."""
     c = F.col(content) if isinstance(content, str) else content
     t = F.make_valid_utf8(c.cast("string"))
     t = F.regexp_replace(t, "\r\n?", "\n")
-    return F.substring(t, 1, K.TEXT_CAP)
+    return _cut(t, max_chars)
 
 
-def notebook_text(raw) -> tuple[F.Column, F.Column]:
+def notebook_text(raw, max_chars: int | None = None) -> tuple[F.Column, F.Column]:
     """SCN-6: (text, error) of a notebook JSON document. Code and markdown cells with
     non-blank source get ``# --- Code Cell n ---`` / ``# --- Markdown Cell n ---``
-    headers (separate counters), joined by a blank line, cut to 50 000."""
+    headers (separate counters), joined by a blank line."""
     r = F.col(raw) if isinstance(raw, str) else raw
     v = F.try_parse_json(r)
     cells = F.coalesce(F.try_variant_get(v, "$.cells", "array<variant>"), F.array().cast("array<variant>"))
@@ -144,7 +156,7 @@ def notebook_text(raw) -> tuple[F.Column, F.Column]:
         return F.struct(nc.alias("nc"), nm.alias("nm"), F.concat(acc["out"], F.array(part)).alias("out"))
 
     st = F.aggregate(items, init, step)
-    text = F.substring(F.array_join(st["out"], "\n\n"), 1, K.TEXT_CAP)
+    text = _cut(F.array_join(st["out"], "\n\n"), max_chars)
     text = F.when(text == "", F.lit("[Jupyter Notebook: 0 code cells, 0 markdown cells]")).otherwise(text)
     ok = v.isNotNull()
     return F.when(ok, text), F.when(~ok, F.lit("Failed to parse notebook: invalid JSON"))
@@ -173,12 +185,12 @@ def _docx_paragraph(p) -> str:
     return "".join(out)
 
 
-def docx_text(data: bytes) -> str:
+def docx_text(data: bytes, max_chars: int | None = None) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ET.fromstring(z.read("word/document.xml"))
     body = root.find(_W + "body")
     paras = [] if body is None else [_docx_paragraph(p) for p in body.findall(_W + "p")]
-    return "\n".join(p for p in paras if p.strip())[:K.TEXT_CAP]
+    return "\n".join(p for p in paras if p.strip())[:max_chars]
 
 
 def _pptx_paragraph(p) -> str:
@@ -191,7 +203,7 @@ def _pptx_paragraph(p) -> str:
     return "".join(out)
 
 
-def pptx_text(data: bytes) -> str:
+def pptx_text(data: bytes, max_chars: int | None = None) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         pres = ET.fromstring(z.read("ppt/presentation.xml"))
         rels = ET.fromstring(z.read("ppt/_rels/presentation.xml.rels"))
@@ -213,37 +225,37 @@ def pptx_text(data: bytes) -> str:
                         texts.append(t)
             if texts:
                 parts.append(f"--- Slide {num} ---\n" + "\n".join(texts))
-    return "\n\n".join(parts)[:K.TEXT_CAP]
+    return "\n\n".join(parts)[:max_chars]
 
 
-def _office_batches(batches):
-    for pdf in batches:
-        out = []
-        for path, kind, content in zip(pdf["path"], pdf["kind"], pdf["content"]):
-            try:
-                text = docx_text(bytes(content)) if kind == "docx" else pptx_text(bytes(content))
-                out.append((text, None))
-            except Exception as e:  # noqa: BLE001 - one bad file becomes one error row
-                label = "DOCX" if kind == "docx" else "PPTX"
-                out.append(("", f"{label} extraction failed: {e}"))
-        yield pd.DataFrame({"path": pdf["path"], "kind": pdf["kind"],
-                            "text": [t for t, _ in out], "error": [e for _, e in out]})
+def _office_batches(max_chars: int | None):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for kind, content in zip(pdf["kind"], pdf["content"]):
+                read = docx_text if kind == "docx" else pptx_text
+                try:
+                    out.append((read(bytes(content), max_chars), None))
+                except Exception as e:  # noqa: BLE001 - one bad file becomes one error row
+                    out.append(("", f"{kind.upper()} extraction failed: {e}"))
+            yield pd.DataFrame({"path": pdf["path"], "kind": pdf["kind"],
+                                "text": [t for t, _ in out], "error": [e for _, e in out]})
+    return run
 
 
-def office_text(binary_rows: DataFrame) -> DataFrame:
+def office_text(binary_rows: DataFrame, max_chars: int | None = None) -> DataFrame:
     """SCN-7: (path, kind, content) of docx/pptx files -> (path, kind, text, error)."""
     return binary_rows.select("path", "kind", "content").mapInPandas(
-        _office_batches, "path string, kind string, text string, error string")
+        _office_batches(max_chars), "path string, kind string, text string, error string")
 
 
-def assemble_pages(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def assemble_pages(pages: DataFrame, id_col: str = "doc_id", max_chars: int | None = None) -> DataFrame:
     """SCN-8: non-blank pages joined by newlines in page order; under 50 stripped
-    characters -> scanned_pdf with an error, else pdf (cut to 50 000).
+    characters -> scanned_pdf with an error, else pdf.
 
-    Nothing gathers a whole document: the stripped length comes from aggregates
-    (every kept page is non-blank, so it is the total length minus the first page's
-    leading and the last page's trailing whitespace), and only pages starting before
-    the 50 000-character cut are collected."""
+    The stripped length comes from aggregates (every kept page is non-blank, so it is the
+    total length minus the first page's leading and the last page's trailing whitespace);
+    with ``max_chars`` only pages starting before that cut are collected."""
     from pyspark.sql import Window
     ws = K.WHITESPACE_RUN
     kept = pages.filter(py_strip(F.col("text")) != "").select(
@@ -256,7 +268,8 @@ def assemble_pages(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(id_col).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     kept = kept.withColumn("_before", F.coalesce(F.sum(F.col("_len") + 1).over(w), F.lit(0)))
     g = (kept.join(stats, id_col)
-         .filter((F.col("_before") < K.TEXT_CAP) | (F.col("_stripped") < K.SCANNED_MIN_CHARS))
+         .filter(F.lit(True) if max_chars is None else
+                 (F.col("_before") < max_chars) | (F.col("_stripped") < K.SCANNED_MIN_CHARS))
          .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pg"),
                               F.first("_stripped").alias("_stripped")))
     ids = pages.select(id_col).distinct()
@@ -267,37 +280,52 @@ def assemble_pages(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     scanned = F.coalesce(F.col("_stripped"), F.lit(0)) < K.SCANNED_MIN_CHARS
     return joined.select(
         id_col,
-        F.when(scanned, full).otherwise(F.substring(full, 1, K.TEXT_CAP)).alias("text"),
+        F.when(scanned, full).otherwise(_cut(full, max_chars)).alias("text"),
         F.when(scanned, F.lit("scanned_pdf")).otherwise(F.lit("pdf")).alias("file_type"),
         F.when(scanned, F.lit("Low text content — may be scanned PDF. Install marker-pdf for OCR.")).alias("error"))
 
 
-def extract_files(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
+#: Largest file whose bytes are read into a row.
+MAX_CONTENT_BYTES = 1 << 30
+
+
+def extract_files(spark: SparkSession, root: str, recursive: bool = False, max_chars: int | None = None,
+                  max_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
     """SCN-4..9: one extraction row per non-hidden file of a directory (non-recursive
-    by default, as the batch tool): filepath, filename, file_type, text, error."""
-    raw = _binary(spark, root, recursive)
+    by default, as the batch tool): filepath, filename, file_type, text, error.
+
+    The listing decides what is read: the bytes of media and unknown files are never
+    loaded, and a text, notebook or office file above ``max_bytes`` becomes an error row."""
     path = _strip_scheme(F.col("path"))
-    name = path_name(path)
-    df = (raw.select(path.alias("path"), name.alias("name"), "content")
-          .filter(~F.col("name").startswith("."))
-          .withColumn("ext", name_suffix(F.col("name")))
-          .withColumn("kind", extraction_kind(F.col("ext"))))
-    nb_text, nb_err = notebook_text(decode_text(F.col("content")))
-    simple = df.filter(~F.col("kind").isin("docx", "pptx")).select(
+    read = [*K.TEXT_EXTENSIONS, *K.IPYNB_EXTENSIONS, *K.DOCX_EXTENSIONS, *K.PPTX_EXTENSIONS]
+
+    def described(raw: DataFrame, *more: str) -> DataFrame:
+        return (raw.select(path.alias("path"), path_name(path).alias("name"), "length", *more)
+                .filter(~F.col("name").startswith("."))
+                .withColumn("ext", name_suffix(F.col("name")))
+                .withColumn("kind", extraction_kind(F.col("ext"))))
+
+    listed = described(_binary(spark, root, recursive))
+    small = described(_binary(spark, root, recursive, read).filter(F.col("length") <= max_bytes), "content").filter(F.col("ext").isin(*read))
+    nb_text, nb_err = notebook_text(decode_text(F.col("content")), max_chars)
+    text = small.filter(F.col("kind").isin("text", "ipynb")).select(
+        F.col("path").alias("filepath"), F.col("name").alias("filename"),
+        F.when((F.col("kind") == "ipynb") & nb_err.isNotNull(), F.col("ext")).otherwise(F.col("kind")).alias("file_type"),
+        F.when(F.col("kind") == "text", decode_text(F.col("content"), max_chars))
+        .otherwise(F.coalesce(nb_text, F.lit(""))).alias("text"),
+        F.when(F.col("kind") == "ipynb", nb_err).alias("error"))
+    rest = listed.filter(~F.col("ext").isin(*read)).select(
         F.col("path").alias("filepath"), F.col("name").alias("filename"),
-        F.when((F.col("kind") == "ipynb") & nb_err.isNotNull(), F.col("ext"))
-        .when(F.col("kind").isin("text", "ipynb", "image", "audio", "video", "unknown"), F.col("kind"))
-        .otherwise(F.col("ext")).alias("file_type"),
-        F.when(F.col("kind") == "text", decode_text(F.col("content")))
-        .when(F.col("kind") == "ipynb", F.coalesce(nb_text, F.lit("")))
-        .when(F.col("kind") == "pdf", F.lit(""))
-        .otherwise(placeholder("kind", "name")).alias("text"),
-        F.when(F.col("kind") == "ipynb", nb_err)
-        .when(F.col("kind") == "pdf", F.lit("PDF parsing is not built in; supply page text to assemble_pages"))
+        F.when(F.col("kind") == "pdf", F.col("ext")).otherwise(F.col("kind")).alias("file_type"),
+        F.when(F.col("kind") == "pdf", F.lit("")).otherwise(placeholder("kind", "name")).alias("text"),
+        F.when(F.col("kind") == "pdf", F.lit("PDF parsing is not built in; supply page text to assemble_pages"))
         .alias("error"))
-    office = office_text(df.filter(F.col("kind").isin("docx", "pptx")))
-    office = office.join(df.select("path", "name", "ext"), "path").select(
+    large = listed.filter(F.col("ext").isin(*read) & (F.col("length") > max_bytes)).select(
+        F.col("path").alias("filepath"), F.col("name").alias("filename"), F.col("ext").alias("file_type"), F.lit("").alias("text"),
+        F.concat(F.lit("File of "), F.col("length").cast("string"), F.lit(f" bytes exceeds {max_bytes}")).alias("error"))
+    office = office_text(small.filter(F.col("kind").isin("docx", "pptx")), max_chars)
+    office = office.join(listed.select("path", "name", "ext"), "path").select(
         F.col("path").alias("filepath"), F.col("name").alias("filename"),
         F.when(F.col("error").isNull(), F.col("kind")).otherwise(F.col("ext")).alias("file_type"),
         "text", "error")
-    return simple.unionByName(office)
+    return text.unionByName(rest).unionByName(large).unionByName(office)

@@ -1,10 +1,13 @@
 """Structured Streaming jobs (STR-1..5).
 
-Every job reads an append-only file source, keeps its state in the checkpoint
-folder and writes to a sink folder; both live under the shared folder named by
-``spark.checkpoint.dir`` so a restarted driver or lost executor resumes where it
-stopped. ``run`` drives a job with ``trigger(availableNow=True)`` (process what is
-there, then stop), which is also how the batch/stream equivalence is tested.
+Every job reads an append-only file source, keeps its state in a checkpoint folder and
+writes to a sink folder. A caller that wants to go on after a restart passes both
+(``checkpoint``, ``sink``): a later call, also from another driver, resumes where the
+last one stopped and its result covers everything. Without them a call gets fresh
+folders under the shared folder named by ``spark.checkpoint.dir``. Each micro-batch
+writes a folder named by its batch id, so a replayed batch overwrites its own output.
+``run`` drives a job with ``trigger(availableNow=True)``: process what is there, then
+stop. Static sides are written once per call, not computed per micro-batch.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from shelfspark import constants as K
 from shelfspark import fixtures as X
 from shelfspark.functions.times import instant_to_ntz, ntz_micros, ntz_to_instant
-from shelfspark.session import shared_scratch
+from shelfspark.session import cut_lineage, shared_scratch
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 DOCUMENTS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -44,27 +47,30 @@ def run(writer, checkpoint: str):
 # STR-1 access counters
 # ----------------------------------------------------------------------------
 
-def access_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def access_counts_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """Running view_count / last_accessed per path from the view events."""
     docs = X.table(spark, sf_dir, "documents")
     n = docs.select(F.count(F.lit(1))).scalar()
-    files = X.raw_files(spark, sf_dir).select(F.col("file_id").alias("_fid"), "path")
-    ev = stream_table(spark, sf_dir, "events", EVENTS_SCHEMA).filter(F.col("event_type") == "view")
+    files = cut_lineage(X.raw_files(spark, sf_dir).select(F.col("file_id").alias("_fid"), "path"), "stream-paths")
+    ev = stream_table(spark, sf_dir, "events", EVENTS_SCHEMA, max_files).filter(F.col("event_type") == "view")
     views = ev.withColumn("_fid", F.pmod("event_id", n)).join(files, "_fid")
     return views.groupBy(F.col("path").alias("file_path")).agg(
         F.count(F.lit(1)).alias("views"), F.max("ts").alias("last_view"))
 
 
-def stream_access_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shared_scratch(spark, "access-counts")
+def stream_access_counts(spark: SparkSession, sf_dir: str, checkpoint: str | None = None, sink: str | None = None,
+                         max_files: int | None = None) -> DataFrame:
+    """Each batch writes the paths whose counters changed; the newest row of a path counts."""
+    out = sink or shared_scratch(spark, "access-counts")
 
-    def sink(batch: DataFrame, batch_id: int):
-        # complete mode: each batch is the whole table; overwrite keeps it idempotent
-        batch.write.mode("overwrite").parquet(out)
+    def write(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    run(access_counts_stream(spark, sf_dir).writeStream.outputMode("complete").foreachBatch(sink),
-        shared_scratch(spark, "access-counts-ckpt"))
-    return spark.read.parquet(out)
+    run(access_counts_stream(spark, sf_dir, max_files).writeStream.outputMode("update").foreachBatch(write),
+        checkpoint or shared_scratch(spark, "access-counts-ckpt"))
+    rows = spark.read.schema("file_path string, views bigint, last_view timestamp_ntz, batch bigint").parquet(out)
+    return (rows.groupBy("file_path").agg(F.max_by(F.struct("views", "last_view"), "batch").alias("r"))
+            .select("file_path", "r.views", "r.last_view"))
 
 
 # ----------------------------------------------------------------------------
@@ -75,12 +81,12 @@ WATERMARK = "1 hour"
 WINDOW = "1 day"
 
 
-def access_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def access_windows(spark: SparkSession, sf_dir: str, checkpoint: str | None = None, sink: str | None = None) -> DataFrame:
     """Views per (1-day window, file category); rows later than the 1-hour watermark
     are dropped; a window is emitted once the watermark passes its end (append)."""
     docs = X.table(spark, sf_dir, "documents")
     n = docs.select(F.count(F.lit(1))).scalar()
-    cats = X.classified_files(spark, sf_dir).select(F.col("file_id").alias("_fid"), "category")
+    cats = cut_lineage(X.classified_files(spark, sf_dir).select(F.col("file_id").alias("_fid"), "category"), "stream-categories")
     ev = stream_table(spark, sf_dir, "events", EVENTS_SCHEMA).filter(F.col("event_type") == "view")
     views = ev.withColumn("_fid", F.pmod("event_id", n)).join(cats, "_fid")
     # watermarks need a TIMESTAMP instant; the wall-clock NTZ value is read as UTC and
@@ -89,9 +95,9 @@ def access_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
            .groupBy(F.window("event_time", WINDOW), "category").agg(F.count(F.lit(1)).alias("views"))
            .select(instant_to_ntz(F.col("window.start")).alias("window_start"),
                    instant_to_ntz(F.col("window.end")).alias("window_end"), "category", "views"))
-    out = shared_scratch(spark, "access-windows")
+    out = sink or shared_scratch(spark, "access-windows")
     run(agg.writeStream.outputMode("append").format("parquet").option("path", out),
-        shared_scratch(spark, "access-windows-ckpt"))
+        checkpoint or shared_scratch(spark, "access-windows-ckpt"))
     return spark.read.schema("window_start timestamp_ntz, window_end timestamp_ntz, category string, views bigint") \
         .parquet(out)
 
@@ -100,21 +106,22 @@ def access_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # STR-2 incremental inbox ingest
 # ----------------------------------------------------------------------------
 
-def stream_ingest(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+def stream_ingest(spark: SparkSession, sf_dir: str, max_files: int | None = None, checkpoint: str | None = None,
+                  sink: str | None = None) -> DataFrame:
     """New documents -> files projection -> classify -> route, per micro-batch;
     each batch writes its own folder (rewritten on replay, so exactly once)."""
     from shelfspark.operators.classify import classify, route
     cats, kws = X.dictionary(spark)
-    out = shared_scratch(spark, "ingest")
+    out = sink or shared_scratch(spark, "ingest")
 
-    def sink(batch: DataFrame, batch_id: int):
+    def write(batch: DataFrame, batch_id: int):
         files = X.raw_files_from(batch).withColumn("keywords", F.array().cast("array<string>"))
         routed = route(classify(files, cats, kws)).join(files.select("file_id", "path"), "file_id")
         (routed.select("file_id", "path", "category", "category_id", "confidence", "routed_to", "needs_review")
          .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
 
     docs = stream_table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA, max_files)
-    run(docs.writeStream.foreachBatch(sink), shared_scratch(spark, "ingest-ckpt"))
+    run(docs.writeStream.foreachBatch(write), checkpoint or shared_scratch(spark, "ingest-ckpt"))
     return spark.read.parquet(out).drop("batch")
 
 
@@ -122,23 +129,33 @@ def stream_ingest(spark: SparkSession, sf_dir: str, max_files: int | None = None
 # STR-3 online learner
 # ----------------------------------------------------------------------------
 
-def stream_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _snapshots(spark: SparkSession, folder: str) -> list[int]:
+    """Batch ids of the snapshots in a folder, of any Hadoop-compatible store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(st.getPath().getName()) for st in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def stream_corrections(spark: SparkSession, sf_dir: str, checkpoint: str | None = None, sink: str | None = None,
+                       max_files: int | None = None) -> DataFrame:
     """Corrections (from labels) update the keyword weights batch by batch. The
-    weights snapshot after batch b is written to ``state/b``; a replayed batch
-    starts again from snapshot b-1, so replays are idempotent."""
+    weights snapshot after batch b is written to ``sink/b`` and batch b starts from the
+    newest snapshot before it on disk, so replays are idempotent and a restarted driver
+    goes on from the last batch."""
     from shelfspark.operators.learn import apply_corrections
     from shelfspark.operators.keywords import keyword_arrays
     cats, kws0 = X.dictionary(spark)
-    state = shared_scratch(spark, "learner-state")
+    state = sink or shared_scratch(spark, "learner-state")
     raw = X.raw_files(spark, sf_dir)
-    kw_arr = keyword_arrays(raw.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text")),
-                            top_k=5)
+    kw_arr = cut_lineage(keyword_arrays(raw.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text")),
+                                        top_k=5), "stream-keywords")
+    raw = cut_lineage(raw.select("file_id", "path"), "stream-paths")
     ids = F.array(*[F.lit(c["id"]) for c in K.SEED_CATEGORIES])
     zh = F.array(*[F.lit(c["name_zh"]) for c in K.SEED_CATEGORIES])
-    last = {"id": None}
 
-    def sink(batch: DataFrame, batch_id: int):
-        prev = spark.read.parquet(f"{state}/{last['id']}") if last["id"] is not None else kws0
+    def learn(batch: DataFrame, batch_id: int):
+        before = [b for b in _snapshots(spark, state) if b < batch_id]
+        prev = spark.read.parquet(f"{state}/{before[-1]}") if before else kws0
         corr = (batch.join(raw.select(F.col("file_id").alias("doc_id"), "path"), "doc_id")
                 .join(kw_arr, "doc_id", "left")
                 .select(F.col("doc_id").alias("seq"), F.col("path").alias("filepath"),
@@ -147,11 +164,11 @@ def stream_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
                         .alias("to_category"),
                         F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")))
         apply_corrections(prev, cats, corr).write.mode("overwrite").parquet(f"{state}/{batch_id}")
-        last["id"] = batch_id
 
-    run(stream_table(spark, sf_dir, "labels", LABELS_SCHEMA).writeStream.foreachBatch(sink),
-        shared_scratch(spark, "learner-ckpt"))
-    return spark.read.parquet(f"{state}/{last['id']}") if last["id"] is not None else kws0
+    run(stream_table(spark, sf_dir, "labels", LABELS_SCHEMA, max_files).writeStream.foreachBatch(learn),
+        checkpoint or shared_scratch(spark, "learner-ckpt"))
+    done = _snapshots(spark, state)
+    return spark.read.parquet(f"{state}/{done[-1]}") if done else kws0
 
 
 # ----------------------------------------------------------------------------
@@ -224,14 +241,18 @@ def throttle_batch(attempts: DataFrame, limit: int = K.MAX_ATTEMPTS,
     return clustered.mapInPandas(_throttle_scan(limit, window_s, ["key", "burst"]), THROTTLE_OUT)
 
 
+THROTTLE_LATENESS = "1 hour"
+
+
 def _throttle_state_fn(limit: int, window_s: int):
     w_us = window_s * 1_000_000
 
     def fn(key, pdfs, state):
+        if state.hasTimedOut:  # the watermark is a window past the last allowed attempt
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
-        frames = list(pdfs)
-        pdf = pd.concat(frames) if frames else pd.DataFrame(columns=["event_id", "ts", "t"])
-        pdf = pdf.sort_values(["t", "event_id"])
+        pdf = pd.concat(list(pdfs)).sort_values(["t", "event_id"])
         allowed, remaining = [], []
         for t in pdf["t"]:
             kept = [x for x in kept if t - x < w_us]
@@ -241,6 +262,8 @@ def _throttle_state_fn(limit: int, window_s: int):
             if ok:
                 kept.append(int(t))
         state.update((kept,))
+        ends = (max(kept) + w_us) // 1000 + 1 if kept else 0
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": key[0], "event_id": pdf["event_id"].astype("int64").values,
                             "ts": pdf["ts"].values, "allowed": allowed, "remaining": remaining})
 
@@ -248,19 +271,23 @@ def _throttle_state_fn(limit: int, window_s: int):
 
 
 def throttle_stream(spark: SparkSession, attempts_stream: DataFrame, limit: int = K.MAX_ATTEMPTS,
-                    window_s: int = K.ATTEMPT_WINDOW_SECONDS) -> DataFrame:
-    """Stream form: state per key is at most ``limit`` timestamps; attempts are
-    processed in (ts, event_id) order within each micro-batch."""
-    a = attempts_stream.select("key", "event_id", "ts", ntz_micros("ts").alias("t"))
+                    window_s: int = K.ATTEMPT_WINDOW_SECONDS, lateness: str = THROTTLE_LATENESS) -> DataFrame:
+    """Stream form: state per key is at most ``limit`` timestamps and goes once the watermark
+    has passed them by a window. Attempts are answered as they come, in (ts, event_id) order
+    within each micro-batch; files that arrive in time order give the batch rule's result.
+    Attempts later than ``lateness`` are dropped."""
+    a = (attempts_stream.select("key", "event_id", "ts", ntz_micros("ts").alias("t"))
+         .withColumn("event_time", ntz_to_instant("ts")).withWatermark("event_time", lateness))
     return a.groupBy("key").applyInPandasWithState(
         _throttle_state_fn(limit, window_s), THROTTLE_OUT, "kept array<bigint>", "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_throttle(spark: SparkSession, sf_dir: str, limit: int, window_s: int) -> DataFrame:
-    ev = stream_table(spark, sf_dir, "events", EVENTS_SCHEMA)
+def stream_throttle(spark: SparkSession, sf_dir: str, limit: int, window_s: int, checkpoint: str | None = None,
+                    sink: str | None = None, max_files: int | None = None) -> DataFrame:
+    ev = stream_table(spark, sf_dir, "events", EVENTS_SCHEMA, max_files)
     att = ev.select(F.col("user_id").cast("string").alias("key"), "event_id", "ts")
-    out = shared_scratch(spark, "throttle")
+    out = sink or shared_scratch(spark, "throttle")
     run(throttle_stream(spark, att, limit, window_s).writeStream.outputMode("append").format("parquet")
-        .option("path", out), shared_scratch(spark, "throttle-ckpt"))
+        .option("path", out), checkpoint or shared_scratch(spark, "throttle-ckpt"))
     return spark.read.schema(THROTTLE_OUT).parquet(out)

@@ -35,7 +35,7 @@ def test_keywords_vs_python(spark, method):
         assert got.get(i, []) == O.py_keywords(t), (i, t)
 
 
-@pytest.mark.parametrize("matcher", ["bnlj", "ac"])
+@pytest.mark.parametrize("matcher", ["join", "ac"])
 def test_classify_vs_python(spark, matcher):
     rng = random.Random(2)
     cats = [{"id": c, "extensions": e, "active": a} for c, e, a in

@@ -63,6 +63,10 @@ def test_extract(spark):
     assert rows["s.pptx"].text == "--- Slide 1 ---\nTitle\nBody\n\n--- Slide 3 ---\nLast"
     assert rows["broken.pptx"].error.startswith("PPTX extraction failed")
     assert rows["pic.png"].text == "[Image: pic.png]"
+    # a file above the limit is an error row, and no media file's bytes are read
+    small = {r.filename: r for r in S.extract_files(spark, d, max_bytes=3).collect()}
+    assert small.keys() == rows.keys()
+    assert small["a.txt"].error.startswith("File of") and small["pic.png"].text == "[Image: pic.png]"
 
 
 def test_listing(spark):
@@ -85,7 +89,10 @@ def test_assemble_pages_edges(spark):
          (2, 1, "a" + " " * 60000), (2, 2, "b" * 100),                      # not scanned, cut to 50 000
          (3, 1, "x" * 49990), (3, 2, "y" * 30), (3, 3, "z" * 10)],           # third page starts after the cut
         "doc_id long, page_no int, text string")
-    rows = {r.doc_id: r for r in S.assemble_pages(pages).collect()}
+    whole = {r.doc_id: r for r in S.assemble_pages(pages).collect()}
+    assert whole[2].text == "a" + " " * 60000 + "\n" + "b" * 100
+    assert whole[3].text == "x" * 49990 + "\n" + "y" * 30 + "\n" + "z" * 10
+    rows = {r.doc_id: r for r in S.assemble_pages(pages, max_chars=50000).collect()}
     assert rows[1].file_type == "scanned_pdf" and rows[1].text == "  short  \ntext"
     assert rows[2].file_type == "pdf" and rows[2].text == ("a" + " " * 60000 + "\n" + "b" * 100)[:50000]
     assert rows[3].text == ("x" * 49990 + "\n" + "y" * 30 + "\n" + "z" * 10)[:50000]

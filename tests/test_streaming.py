@@ -45,3 +45,42 @@ def test_windows_close_with_watermark(spark):
     mx = X.access_log(spark, SF_SMALL).agg(F.max("accessed_at")).collect()[0][0]
     assert w.count() > 0
     assert all(r.window_end <= mx for r in w.select("window_end").collect())
+
+
+def _split(folder, name, parts, order):
+    """The table of sf0.001 as several files, in order; returns a function that adds the next."""
+    import pandas as pd
+    df = pd.read_parquet(f"{SF_SMALL}/{name}.parquet").sort_values(order, ignore_index=True)
+    cuts = [len(df) * i // parts for i in range(parts + 1)]
+
+    def add(i):
+        df.iloc[cuts[i]:cuts[i + 1]].to_parquet(f"{folder}/{name}-{i}.parquet", coerce_timestamps="us")
+    return add
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_streams_resume_after_a_restart(spark, tmp_path):
+    """One file, then the driver's session is left and another goes on with the other files."""
+    import shutil
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("documents",):
+        shutil.copy(f"{SF_SMALL}/{name}.parquet", folder / f"{name}.parquet")
+    events, labels = _split(folder, "events", 3, ["ts", "event_id"]), _split(folder, "labels", 3, ["doc_id"])
+    jobs = {
+        "counts": lambda s, **at: J.stream_access_counts(s, str(folder), max_files=1, **at),
+        "learn": lambda s, **at: J.stream_corrections(s, str(folder), max_files=1, **at).select("category_id", "keyword", "locale", "weight", "source", "kw_id"),
+        "throttle": lambda s, **at: J.stream_throttle(s, str(folder), 5, 86400, max_files=1, **at),
+    }
+    at = {k: {"checkpoint": str(tmp_path / f"{k}-ckpt"), "sink": str(tmp_path / f"{k}-out")} for k in jobs}
+    events(0), labels(0)
+    first = {k: _rows(job(spark, **at[k])) for k, job in jobs.items()}
+    for i in (1, 2):
+        events(i), labels(i)
+    resumed = {k: _rows(job(spark.newSession(), **at[k])) for k, job in jobs.items()}
+    whole = {k: _rows(job(spark)) for k, job in jobs.items()}
+    for k in jobs:
+        assert resumed[k] == whole[k] and first[k] != whole[k], k
