@@ -220,7 +220,7 @@ def near_groups(docs: DataFrame, share: int = 80, of: int = 100, words: int = WO
     # documents with equal sets stand once
     one = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key", "n_shingles")).alias("one")
     sets = cut_lineage(described.where("signature is not null").groupBy("signature").agg(one, F.first("bands").alias("bands"))
-                       .select("signature", F.col("one.doc_id").alias("own_id"), "one.text_key", "one.n_shingles", "bands",
+                       .select("signature", "one", F.col("one.doc_id").alias("own_id"), "one.text_key", "one.n_shingles", "bands",
                                F.monotonically_increasing_id().alias("rep")), "distinct-sets")
     banded = sets.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -228,7 +228,7 @@ def near_groups(docs: DataFrame, share: int = 80, of: int = 100, words: int = WO
     cluster = components(stars).select(F.col("vertex").alias("rep"), F.col("component").alias("cluster"))
     # classes of size: a link's sizes are in the same class or in neighbouring ones
     width = float(np.log(of / share) * 1.0001) if share < of else 1e-9
-    member = cut_lineage(cluster.join(sets.drop("bands", "signature"), "rep")
+    member = cut_lineage(cluster.join(sets.drop("bands", "signature", "one"), "rep")
                          .withColumn("cls", F.floor(F.log("n_shingles") / width).cast("long")), "cluster-members")
     blocks = member.groupBy("cluster", "cls").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
@@ -249,16 +249,19 @@ def near_groups(docs: DataFrame, share: int = 80, of: int = 100, words: int = WO
     shape = ("rep long, cluster long, places array<struct<c1:bigint,p1:int,c2:bigint,p2:int,side:int>>, hashes binary")
     links = (texts.mapInArrow(_sets(words), shape).select("rep", "cluster", "hashes", F.inline("places"))
              .groupBy("cluster", "c1", "p1", "c2", "p2").applyInArrow(_links(share, of), "a long, b long"))
-    found = components(links)
-    linked = sets.select("signature", "rep").join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select(
-        "signature", F.coalesce("component", "rep").alias("component"))
+    # the best document of each component, found among the distinct sets: a large component or
+    # group of copies meets in partial aggregates, and documents are joined by signature only
+    found = cut_lineage(components(links).withColumnRenamed("vertex", "rep")
+                        .join(sets.select("rep", "one"), "rep"), "linked-sets")
+    best_of = found.groupBy("component").agg(F.min("one").alias("best"))
+    linked = sets.select("signature", "rep", "one").join(
+        found.select("rep", "component").join(best_of, "component").select("rep", "best"), "rep", "left").select(
+        "signature", F.coalesce("best", "one").alias("best"))
     placed_docs = described.drop("bands").join(linked, "signature", "left")
-    least = (placed_docs.where("component is not null").groupBy("component")
-             .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key")).alias("best")))
-    alone = F.col("component").isNull()  # the empty set
+    alone = F.col("best").isNull()  # the empty set
     best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
-    return (placed_docs.join(least, "component", "left")
-            .select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+    return (placed_docs
+            .select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
                     (alone | best).alias("kept"), "text_key"))
 
 
