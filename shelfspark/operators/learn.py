@@ -165,11 +165,21 @@ def _apply_events(keywords: DataFrame, ev: DataFrame) -> DataFrame:
     j = grouped.join(state, KEY, "left")
     init = F.struct(*[F.col(l).alias(l) for l in LOCALES], *[F.col("src_" + l).alias("src_" + l) for l in LOCALES],
                     F.coalesce(F.col("other"), F.lit(False)).alias("other")).cast(STATE_T)
-    folded = j.select(*KEY, F.col("events")[0].alias("first"), F.aggregate("events", init, _step).alias("s"))
+    # a missing row is made by the first 'up' of its locale, or, where the key has no row at
+    # all, by a 'down' that is its first event
+    e0 = F.col("events")[0]
+    rowless = F.col("zh").isNull() & F.col("en").isNull() & F.col("mixed").isNull() & ~F.coalesce("other", F.lit(False))
+
+    def maker(locale):
+        up = F.get(F.filter("events", lambda e: (e["op"] == "up") & (e["locale"] == locale)), F.lit(0))
+        return F.when(rowless & (e0["op"] == "down") & (e0["locale"] == locale), e0).otherwise(up)
+
+    folded = j.select(*KEY, *[maker(l).alias("made_" + l) for l in LOCALES], F.aggregate("events", init, _step).alias("s"))
     rows = folded.select(
-        *KEY, "first",
+        *KEY,
         F.explode(F.array(*[F.struct(F.lit(l).alias("locale"), F.col("s")[l].alias("weight"),
-                                     F.col("s")["src_" + l].alias("source"), F.lit(i).alias("li"))
+                                     F.col("s")["src_" + l].alias("source"), F.lit(i).alias("li"),
+                                     F.col("made_" + l).alias("made"))
                             for i, l in enumerate(LOCALES)])).alias("r"))
     rows = rows.filter(F.col("r.weight").isNotNull())
     touched_keys = grouped.select(*KEY)
@@ -177,8 +187,8 @@ def _apply_events(keywords: DataFrame, ev: DataFrame) -> DataFrame:
     others = (keywords.join(touched_keys, KEY, "left_semi")
               .filter(~F.col("locale").isin(*LOCALES)))
     existing_ids = keywords.select(*KEY, "locale", F.col("kw_id").alias("_old_id"), F.col("_born").alias("_old_born"), F.lit(True).alias("_had"))
-    born = F.struct(F.col("first.seq").cast("bigint").alias("seq"), F.col("first.phase").cast("int").alias("phase"),
-                    F.col("first.pos").cast("int").alias("pos"), F.col("r.li").alias("li"))
+    born = F.struct(F.col("r.made.seq").cast("bigint").alias("seq"), F.col("r.made.phase").cast("int").alias("phase"),
+                    F.col("r.made.pos").cast("int").alias("pos"), F.col("r.li").alias("li"))
     new_rows = (rows.select(*KEY, F.col("r.locale").alias("locale"), F.col("r.weight").alias("weight"), F.col("r.source").alias("source"), born.alias("_new_born"))
                 .join(existing_ids, [*KEY, "locale"], "left")
                 .select(F.col("_old_id").alias("kw_id"), *KEY, "locale", "weight", "source",
