@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import gather, read, slices, texts_of, words_of
 
+#: Bytes of text in a block.
+BLOCK_BYTES = 16 << 20
 #: Most hash buckets of words; a bucket's distinct words are held by one task.
 MOST_BUCKETS = 1024
 
@@ -104,7 +106,7 @@ def _blocks(batches, match, buckets):
     findall = regex.compile(match).findall
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=BLOCK_BYTES):
             numbers, offsets, words = pre_tokens(texts_of(part), findall)
             coded = [w.encode() for w in words]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in coded), np.int64, len(coded))

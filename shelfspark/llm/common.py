@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,8 +13,9 @@ from pyspark.sql import functions as F
 
 from shelfspark.session import cut_lineage
 
-#: Bytes of text that one Python step of an operator holds at a time.
-SLICE_BYTES = 16 << 20
+#: Bytes of text that one Python step of an operator holds at a time; its arrays over words
+#: take some twenty times as much.
+SLICE_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +26,14 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers are reused by later stages, and what their
+    allocators keep would add up beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
     """Cut a batch into runs of rows whose texts hold at most ``limit`` bytes together
     (a single longer text is a run of its own), so memory follows the longest text and
@@ -37,6 +49,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         end = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
         yield batch.slice(at, end - at)
         at = end
+    _give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

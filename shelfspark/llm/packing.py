@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import read, slices, texts_of
+from shelfspark.llm.common import SLICE_BYTES, read, slices, texts_of
 from shelfspark.llm.word_bpe import encoder
 from shelfspark.session import cut_lineage
 
@@ -74,7 +74,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY,
     def run(batches):
         encode = encoder(shared.value).encode
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=2 * SLICE_BYTES):
                 ids, offsets = encode(texts_of(part))
                 rows = []
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):

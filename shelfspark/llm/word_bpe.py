@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from shelfspark.llm.common import gather, words_of
 
 #: Pieces a worker keeps per generation of its cache.
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 17
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Letters that normalisation only lower-cases, then ASCII punctuation but the apostrophe.
