@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import read, slices, texts_of, words_of
 from shelfspark.llm.crf import CLOSING, LABELS, OPENING, ChainField, shape
 
+#: Bytes of text labelled at a time; scores and paths take some fifty times as much.
+SLICE = 1 << 20
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ["email", "ip", "card", "phone", "secret"]
 
@@ -185,7 +187,7 @@ def find_spans(docs: DataFrame, field: ChainField | None = None, id_col: str = "
     def run(batches):
         find = _finder(shared)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 found = find(texts_of(part))
                 base = [[s for s in f if s[1] < len(KINDS)] for f in found]
                 count = lambda k: pa.array([sum(s[1] == k for s in b) for b in base], pa.int64())  # noqa: E731, B023
@@ -215,7 +217,7 @@ def redact(docs: DataFrame, field: ChainField | None = None, text_col: str = "te
     def run(batches):
         find = _finder(shared)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 found = find(texts_of(part, text_col))
                 changed = {i: hidden(part.column(text_col)[i].as_py(), f) for i, f in enumerate(found) if f}
                 mask = np.zeros(part.num_rows, bool)
