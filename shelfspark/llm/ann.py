@@ -8,7 +8,8 @@ vectors of those cells are scored exactly on the original components.
 Equal vectors are found first and stand once in the tables, with their k + 1 smallest
 identifiers, so a vector that a third of the rows repeat is no hot cell. Large cells are cut
 into blocks of vectors times blocks of queries: every block is scored, none is dropped, and a
-task holds one pair of blocks. Vectors of clearly different norms (a factor of 2^(1/4)) have
+task holds one pair of blocks. A query whose cells hold fewer than k rows is scored against
+every vector of its dimension, in the same blocks. Vectors of clearly different norms (a factor of 2^(1/4)) have
 tables of their own, as the axes only see directions, and so have other dimensions.
 
 Recall against brute force at the default parameters is measured in tests/llm/test_ann.py.
@@ -110,6 +111,34 @@ def _score(k: int):
     return run
 
 
+def _pairs(index: DataFrame, probe: DataFrame, cell: list[str], k: int, block_vectors: int, block_queries: int) -> DataFrame:
+    """Rows (qg, g, score) of the best vectors (cell, g, vec) of each query (cell, g, vec) in every
+    block of its cells."""
+    # blocks of each cell; the counts are a row for each cell
+    sizes = index.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_vectors).cast("int").alias("vector_blocks"))
+    asks = probe.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("query_blocks"))
+    b = F.broadcast(cut_lineage(sizes.join(asks, cell), "vector-blocks"))
+    index = (index.join(b, cell).withColumn("x", F.pmod(F.xxhash64("g"), F.col("vector_blocks")).cast("int"))
+             .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))))
+    probe = (probe.join(b, cell).withColumn("y", F.pmod(F.xxhash64("g"), F.col("query_blocks")).cast("int"))
+             .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("vector_blocks") - 1))))
+    key = [*cell, "x", "y"]
+    return (index.select(*key, "g", "vec").groupBy(*key).cogroup(probe.select(*key, "g", "vec").groupBy(*key))
+            .applyInArrow(_score(k + 1), "qg long, g long, score double"))
+
+
+def _ranked(pairs: DataFrame, groups: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, qg, rank, vec_id, score of the k best rows of each row of ``asked``."""
+    best = Window.partitionBy("qg").orderBy(F.desc("score"), "id")
+    hits = (pairs.groupBy("qg", "g").agg(F.max("score").alias("score"))
+            .join(groups.select("g", "ids"), "g").select("qg", "score", F.explode("ids").alias("id"))
+            .withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth"))
+    # a query's own row is left out; another row with the same identifier is not told from it
+    return (asked.join(hits, "qg").where("id != query_id")
+            .withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "qg").orderBy(F.desc("score"), "id")))
+            .where(F.col("rank") <= k).select("query_id", "qg", "rank", F.col("id").alias("vec_id"), "score"))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES,
             seed: int = SEED, id_col: str = "vec_id", vec_col: str = "embedding", block_vectors: int = BLOCK_VECTORS,
             block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -134,27 +163,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     probe = (groups.join(asked.select(F.col("qg").alias("g")).distinct(), "g", "left_semi").select("g", "dim", "scale", "vec")
              .mapInArrow(_cells(tables, probes, seed), shape)
              .join(F.broadcast(scales), "dim").withColumn("scale", F.col("there")).drop("there"))
-    # blocks of each cell; the counts are a row for each cell
-    sizes = (groups.select("g", "dim", "scale", "vec").mapInArrow(_cells(tables, 1, seed), shape).groupBy(*cell)
-             .agg(F.ceil(F.count(F.lit(1)) / block_vectors).cast("int").alias("vector_blocks")))
-    asks = probe.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("query_blocks"))
-    blocks = cut_lineage(sizes.join(asks, cell), "vector-blocks")
-    b = F.broadcast(blocks)
-    index = (index.join(b, cell).withColumn("x", F.pmod(F.xxhash64("g"), F.col("vector_blocks")).cast("int"))
-             .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))))
-    probe = (probe.join(b, cell).withColumn("y", F.pmod(F.xxhash64("g"), F.col("query_blocks")).cast("int"))
-             .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("vector_blocks") - 1))))
-    key = [*cell, "x", "y"]
-    pairs = (index.select(*key, "g", "vec").groupBy(*key).cogroup(probe.select(*key, "g", "vec").groupBy(*key))
-             .applyInArrow(_score(k + 1), "qg long, g long, score double"))
-    best = Window.partitionBy("qg").orderBy(F.desc("score"), "id")
-    hits = (pairs.groupBy("qg", "g").agg(F.max("score").alias("score"))
-            .join(groups.select("g", "ids"), "g").select("qg", "score", F.explode("ids").alias("id"))
-            .withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth"))
-    # a query's own row is left out; another row with the same identifier is not told from it
-    return (asked.join(hits, "qg").where("id != query_id")
-            .withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "qg").orderBy(F.desc("score"), "id")))
-            .where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
+    found = cut_lineage(_ranked(_pairs(index, probe, cell, k, block_vectors, block_queries), groups, asked, k), "vector-neighbours")
+    # queries whose cells held fewer than k are scored against every vector of their dimension
+    short = cut_lineage(asked.join(found.groupBy("query_id", "qg").agg(F.count(F.lit(1)).alias("n")), ["query_id", "qg"], "left")
+                        .where("coalesce(n, 0) < %d" % k).select("query_id", "qg"), "vector-short-queries")
+    if short.isEmpty():
+        return found.drop("qg")
+    whole = groups.select("dim", "g", "vec")
+    wide = cut_lineage(whole.join(short.select(F.col("qg").alias("g")).distinct(), "g", "left_semi").select("dim", "g", "vec"),
+                       "vector-wide-queries")
+    full = _ranked(_pairs(whole, wide, ["dim"], k, block_vectors, block_queries), groups, short, k)
+    return found.join(short, ["query_id", "qg"], "left_anti").select(*full.columns).unionByName(full).drop("qg")
 
 
 #: The stated query set of the search: every twentieth identifier.

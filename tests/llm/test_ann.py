@@ -60,3 +60,23 @@ def test_recall(spark):
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
     found = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert found / sum(map(len, want.values())) >= 0.93
+
+
+@pytest.mark.parametrize("blocks", [(8192, 4096), (7, 3)])
+def test_few_vectors_in_the_probed_cells_are_completed(spark, blocks):
+    vecs = [r["embedding"] for r in spark.read.parquet(f"{SF_CHECK}/embeddings.parquet").orderBy("vec_id").limit(15).collect()]
+    pairs = list(enumerate(vecs)) + [(20, [1, 2, 3]), (40, [3, 2, 1])]
+    got = _got(nearest(_table(spark, pairs), F.col("vec_id") % 5 == 0, block_vectors=blocks[0], block_queries=blocks[1]))
+    want = _brute(pairs, lambda i: i % 5 == 0, 20)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert [len(got[q]) for q in (0, 5, 10, 20, 40)] == [14, 14, 14, 1, 1]
+
+
+def test_query_opposite_a_cluster(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    pairs = [(i, centre + 0.01 * rng.normal(size=64)) for i in range(1, 301)] + [(1000, -centre)]
+    got, want = (f(pairs) for f in (lambda p: _got(nearest(_table(spark, p), F.col("vec_id") % 1000 == 0)),
+                                    lambda p: _brute(p, lambda i: i == 1000, 20)))
+    assert got.keys() == want.keys() and len(got[1000]) == 20
+    assert [i for i, _ in got[1000]] == [i for i, _ in want[1000]]
