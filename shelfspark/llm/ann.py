@@ -10,7 +10,10 @@ identifiers, so a vector that a third of the rows repeat is no hot cell. Large c
 into blocks of vectors times blocks of queries: every block is scored, none is dropped, and a
 task holds one pair of blocks. A query whose cells hold fewer than k rows is scored against
 every vector of its dimension, in the same blocks. Vectors of clearly different norms (a factor of 2^(1/4)) have
-tables of their own, as the axes only see directions, and so have other dimensions.
+tables of their own, as the axes only see directions, and so have other dimensions. A long
+vector scores high at a wide angle too, so the axes probed grow with the norm: ``probes`` up
+to the dimension's median scale, and times the ratio to it above. A scale of which all axes
+would be probed, or that has no more vectors than a query has cells there, is a single cell.
 
 Recall against brute force at the default parameters is measured in tests/llm/test_ann.py.
 
@@ -69,8 +72,9 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def _cells(tables: int, count: int, seed: int):
-    """Rows of (g, dim, vec) to rows of (cell, g, vec), one for each table and probe."""
+def _cells(tables: int, count: int, seed: int, with_nth: bool = False):
+    """Rows of (g, dim, vec) to rows of (cell, g, vec), one for each table and probe; ``with_nth``
+    adds the axis's place among the nearest, from 0."""
     def run(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
@@ -80,10 +84,13 @@ def _cells(tables: int, count: int, seed: int):
                 for t in range(tables):
                     near = axes(x, seed + t, count)
                     for p in range(near.shape[1]):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(part.num_rows, t, np.int32)), pa.array(near[:, p].astype(np.int32)),
-                             part.column("dim"), part.column("scale"), part.column("g"), part.column("vec")],
-                            ["t", "axis", "dim", "scale", "g", "vec"])
+                        columns = [pa.array(np.full(part.num_rows, t, np.int32)), pa.array(near[:, p].astype(np.int32)),
+                                   part.column("dim"), part.column("scale"), part.column("g"), part.column("vec")]
+                        names = ["t", "axis", "dim", "scale", "g", "vec"]
+                        if with_nth:
+                            columns.append(pa.array(np.full(part.num_rows, p, np.int32)))
+                            names.append("nth")
+                        yield pa.RecordBatch.from_arrays(columns, names)
     return run
 
 
@@ -158,21 +165,37 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
         F.col("id").alias("query_id"), F.col("g").alias("qg")), "vector-queries")
     cell = ["t", "axis", "dim", "scale"]
     shape = "t int, axis int, dim int, scale int, g long, vec " + groups.schema["vec"].dataType.simpleString()
-    index = groups.select("g", "dim", "scale", "vec").mapInArrow(_cells(tables, 1, seed), shape)
-    scales = groups.select("dim", "scale").distinct().withColumnRenamed("scale", "there")  # by powers of 2^(1/4): a bounded number
-    probe = (groups.join(asked.select(F.col("qg").alias("g")).distinct(), "g", "left_semi").select("g", "dim", "scale", "vec")
-             .mapInArrow(_cells(tables, probes, seed), shape)
-             .join(F.broadcast(scales), "dim").withColumn("scale", F.col("there")).drop("there"))
+    # by powers of 2^(1/4): a bounded number; the scale that half of a dimension's vectors do not exceed asks for ``probes`` axes
+    scales = groups.groupBy("dim", "scale").agg(F.count(F.lit(1)).alias("n"))
+    one = Window.partitionBy("dim")
+    upto = one.orderBy("scale").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scales = (scales.withColumn("middle", 2 * F.sum("n").over(upto) >= F.sum("n").over(one))
+              .withColumn("median", F.min(F.when(F.col("middle"), F.col("scale"))).over(one))
+              .withColumn("reach", F.ceil(probes * F.pow(F.lit(2.0), F.greatest(F.col("scale") - F.col("median"), F.lit(0)) / 4)))
+              .withColumn("whole", (F.col("reach") >= 2 * F.col("dim")) | (F.col("n") <= tables * F.col("reach"))))
+    scales = cut_lineage(scales.select("dim", "scale", "reach", "whole"), "vector-scales")
+    furthest = scales.where("not whole").agg(F.max("reach")).first()[0] or probes
+    near, whole = F.broadcast(scales.where("not whole").drop("whole")), F.broadcast(scales.where("whole").drop("whole"))
+
+    def single(rows):
+        return rows.select(F.lit(-1).alias("t"), F.lit(-1).alias("axis"), "dim", "scale", "g", "vec")
+
+    index = (groups.join(near, ["dim", "scale"]).select("g", "dim", "scale", "vec").mapInArrow(_cells(tables, 1, seed), shape)
+             .unionByName(single(groups.join(whole, ["dim", "scale"]))))
+    asking = groups.join(asked.select(F.col("qg").alias("g")).distinct(), "g", "left_semi").select("g", "dim", "scale", "vec")
+    probe = (asking.mapInArrow(_cells(tables, int(furthest), seed, with_nth=True), f"{shape}, nth int").drop("scale")
+             .join(near, "dim").where("nth < reach").drop("nth", "reach")
+             .unionByName(single(asking.drop("scale").join(whole, "dim"))))
     found = cut_lineage(_ranked(_pairs(index, probe, cell, k, block_vectors, block_queries), groups, asked, k), "vector-neighbours")
     # queries whose cells held fewer than k are scored against every vector of their dimension
     short = cut_lineage(asked.join(found.groupBy("query_id", "qg").agg(F.count(F.lit(1)).alias("n")), ["query_id", "qg"], "left")
                         .where("coalesce(n, 0) < %d" % k).select("query_id", "qg"), "vector-short-queries")
     if short.isEmpty():
         return found.drop("qg")
-    whole = groups.select("dim", "g", "vec")
-    wide = cut_lineage(whole.join(short.select(F.col("qg").alias("g")).distinct(), "g", "left_semi").select("dim", "g", "vec"),
+    every = groups.select("dim", "g", "vec")
+    wide = cut_lineage(every.join(short.select(F.col("qg").alias("g")).distinct(), "g", "left_semi").select("dim", "g", "vec"),
                        "vector-wide-queries")
-    full = _ranked(_pairs(whole, wide, ["dim"], k, block_vectors, block_queries), groups, short, k)
+    full = _ranked(_pairs(every, wide, ["dim"], k, block_vectors, block_queries), groups, short, k)
     return found.join(short, ["query_id", "qg"], "left_anti").select(*full.columns).unionByName(full).drop("qg")
 
 

@@ -80,3 +80,13 @@ def test_query_opposite_a_cluster(spark):
                                     lambda p: _brute(p, lambda i: i == 1000, 20)))
     assert got.keys() == want.keys() and len(got[1000]) == 20
     assert [i for i, _ in got[1000]] == [i for i, _ in want[1000]]
+
+
+def test_recall_of_widely_differing_norms(spark):
+    rng = np.random.default_rng(5)
+    vecs = [r["embedding"] for r in spark.read.parquet(f"{SF_CHECK}/embeddings.parquet").orderBy("vec_id").collect()]
+    pairs = [(i, np.array(v) * np.exp(1.5 * rng.normal())) for i, v in enumerate(vecs)]
+    got, want = _got(nearest(_table(spark, pairs), F.col("vec_id") % 20 == 0)), _brute(pairs, lambda i: i % 20 == 0, 20)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    found = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert found / sum(map(len, want.values())) >= 0.95
