@@ -85,7 +85,7 @@ OPENING, CLOSING = "<\"'[{", ".,;:!?>\"']}"
 
 def shape(word: str) -> str:
     """Runs of letters as a or A, runs of digits as 0 and their number (up to 9, then +)."""
-    word = word.lstrip(OPENING).rstrip(CLOSING)[:64]
+    word = word.lstrip(OPENING).rstrip(CLOSING)
     for pattern, mark in _RUNS:
         word = pattern.sub(mark, word)
     return _DIGITS.sub(lambda m: f"0{min(len(m[0]), 9)}" + ("+" if len(m[0]) > 9 else ""), word)

@@ -1,8 +1,10 @@
 """Operator 4: personal data by fixed patterns and a linear-chain conditional random field.
 
 The patterns' matches (e-mail, IP address, card, phone) always stand. The field labels every
-word of every text and adds what the patterns leave: secrets, numbers written otherwise. Spans
-of the field that touch a pattern's span are dropped.
+word of every text and adds what the patterns leave: secrets, numbers written otherwise. A word
+of more than ``LONG_WORD`` characters (text without spaces, such as minified JSON or a URL) is cut
+at punctuation, and each unit is labelled as a word. Spans of the field that touch a pattern's
+span are dropped.
 
 Cases: a null text counts as empty; null identifiers and repeated rows are kept; a text of any
 length is read whole; an empty table gives no rows; only the named columns are read
@@ -25,6 +27,11 @@ from shelfspark.llm.crf import CLOSING, LABELS, OPENING, ChainField, shape
 
 #: Bytes of text labelled at a time; scores and paths take some fifty times as much.
 SLICE = 1 << 20
+#: Words of more characters are cut into units at punctuation.
+LONG_WORD = 64
+_UNIT = re.compile(r"[^,;:&?#|/\\\"'`<>(){}\[\]，。；：？！、（）「」]+")
+#: Shapes kept by a worker: their number, and their characters together.
+KEPT_SHAPES, KEPT_CHARACTERS = 1 << 16, 1 << 22
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ["email", "ip", "card", "phone", "secret"]
 
@@ -72,12 +79,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _units(words: pa.Array, codes, rows, begin, length):
+    """(units, codes, rows, begin, length): occurrences of words, the long ones as their units."""
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    long = np.flatnonzero(sizes > LONG_WORD)
+    pieces = {int(c): [(m.start(), m[0]) for m in _UNIT.finditer(words[int(c)].as_py())] for c in long}
+    if not pieces:
+        return words, codes, rows, begin, length
+    count = np.ones(len(words), np.int64)
+    count[long] = [len(pieces[int(c)]) for c in long]
+    first = np.cumsum(count) - count
+    unit, at, size = np.repeat(np.arange(len(words)), count), np.zeros(count.sum(), np.int64), np.repeat(sizes, count)
+    texts: list[str] = []
+    for c, found in pieces.items():
+        here = slice(first[c], first[c] + len(found))
+        unit[here] = len(words) + len(texts) + np.arange(len(found))
+        at[here], size[here] = [a for a, _ in found], [len(w) for _, w in found]
+        texts += [w for _, w in found]
+    times = count[codes]
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    flat = np.repeat(first[codes], times) + nth
+    return (pa.concat_arrays([words, pa.array(texts, words.type)]), unit[flat], np.repeat(rows, times),
+            np.repeat(begin, times) + at[flat], size[flat])
+
+
 class Finder:
     """Spans of whole texts; one per worker."""
 
     def __init__(self, field: ChainField):
         self.field = field
         self.place: dict[str, int] = {}  # shape to row of scores
+        self.held = 0  # characters of these shapes
         self.scores = np.zeros((3, 0, len(LABELS)))
         self.edge = field.scores([])[:, 0]
 
@@ -88,12 +120,14 @@ class Finder:
         out = np.full(len(words), -1, np.int64)
         shapes = [shape(w) for w in words.filter(pa.array(~plain)).to_pylist()]
         wanted = {*shapes, *(name for _, name in usual)}
-        if len(self.place) > 1 << 16:  # shapes are made of the texts; what is kept is bounded
-            self.place, self.scores = {}, np.zeros((3, 0, len(LABELS)))
+        # shapes are made of the texts; what is kept is bounded
+        if len(self.place) > KEPT_SHAPES or self.held > KEPT_CHARACTERS:
+            self.place, self.held, self.scores = {}, 0, np.zeros((3, 0, len(LABELS)))
         new = sorted(wanted - self.place.keys())
         if new:
             base = len(self.place)
             self.place.update((s, base + i) for i, s in enumerate(new))
+            self.held += sum(map(len, new))
             self.scores = np.concatenate([self.scores, self.field.scores(new)[:, :-1]], axis=1)
         for hit, name in usual:
             out[hit] = self.place[name]
@@ -114,8 +148,8 @@ class Finder:
         begin = ends - length - 1
         begin -= np.concatenate([[0], ends])[offsets[:-1]][rows]  # place in its own text
         real = ~empty[codes]
-        place = self._shapes(words)[codes[real]]
-        row, begin, length = rows[real], begin[real], length[real]
+        units, code, row, begin, length = _units(words, codes[real], rows[real], begin[real], length[real])
+        place = self._shapes(units)[code]
         n = len(place)
         starts = np.ones(n, bool)
         starts[1:] = row[1:] != row[:-1]
