@@ -13,12 +13,13 @@ from shelfspark.operators.learn import apply_corrections
 from shelfspark.plans.organize import organize_plan
 from shelfspark.session import cut_lineage
 
+#: Characters of the short description of SURVEY and the registered query (an opt-in).
 DESCRIPTION_PREFIX = 120
 
 
-def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ingest_pipeline(spark: SparkSession, sf_dir: str, description_chars: int | None = None) -> DataFrame:
     """E2E-1: extract keywords -> classify with them -> route -> organise manifest ->
-    auto-description (first 120 characters + '。' + category).
+    auto-description (the text, or its first ``description_chars`` characters, + '。' + category).
 
     The routed classification is written once to the shared folder; the manifest,
     the collision check and the final projection all read that table."""
@@ -32,7 +33,9 @@ def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "ingest-routed")
     moves = done.select(F.col("file_id").alias("seq"), "path", F.col("routed_to").alias("category"))
     plan = organize_plan(raw.select("path"), moves).select(F.col("seq").alias("file_id"), "dst")
-    desc = F.concat(F.substring(F.col("extracted_text"), 1, DESCRIPTION_PREFIX), F.lit("。"), F.col("routed_to"))
+    text = F.col("extracted_text")
+    summary = text if description_chars is None else F.substring(text, 1, description_chars)
+    desc = F.concat(summary, F.lit("。"), F.col("routed_to"))
     return (done.join(plan, "file_id")
             .select("file_id", "path", F.array_join("keywords", "|").alias("keywords"), "category", "confidence",
                     "routed_to", "dst", desc.alias("description")))

@@ -1140,7 +1140,7 @@ FROM (SELECT c.file_id, r.path, r.original_name, r.extracted_text,
       FROM kcls_classified c JOIN raw_files r ON r.file_id = c.file_id
       LEFT JOIN kwarr k ON k.doc_id = c.file_id)"""))
 def q_ingest_pipeline(spark, sf):
-    return E2E.ingest_pipeline(spark, sf)
+    return E2E.ingest_pipeline(spark, sf, description_chars=E2E.DESCRIPTION_PREFIX)
 
 
 @register("reclassify_shift", O.build(["classified", "lcls_classified"], """
