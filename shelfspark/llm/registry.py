@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from shelfspark.llm import ann, byte_bpe, exact_dedup, near_dedup, packing, pii, quality, repeated_spans, sharding, toxicity
+from shelfspark.llm import (ann, byte_bpe, exact_dedup, harmonic, near_dedup, packing, periodic_runs, pii, quality,
+                            repeated_spans, sharding, toxicity)
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,8 +18,11 @@ QUERIES = {
     "op8_distinct_word_byte_bpe": byte_bpe.query,
     "op9_cross_polytope_neighbours": ann.query,
     "op10_sum_of_squares_packing": packing.query,
+    "op11_harmonic_packing": harmonic.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 
 ORACLES = {name: sql for name, sql in [("pipeline", corpus_pipeline.ORACLE_SQL)] if sql} | {
     "op3_content_sort_dedup": exact_dedup.ORACLE,
+    "op13_periodic_runs": periodic_runs.ORACLE,
 }
