@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from shelfspark.llm import (ann, byte_bpe, exact_dedup, harmonic, near_dedup, packing, periodic_runs, pii, quality,
+from shelfspark.llm import (ann, byte_bpe, collocations, exact_dedup, harmonic, near_dedup, packing, periodic_runs, pii, quality,
                             repeated_spans, sharding, toxicity)
 
 QUERIES = {
@@ -19,10 +19,12 @@ QUERIES = {
     "op9_cross_polytope_neighbours": ann.query,
     "op10_sum_of_squares_packing": packing.query,
     "op11_harmonic_packing": harmonic.query,
+    "op12_stripes_collocations": collocations.query,
     "op13_periodic_runs": periodic_runs.query,
 }
 
 ORACLES = {name: sql for name, sql in [("pipeline", corpus_pipeline.ORACLE_SQL)] if sql} | {
     "op3_content_sort_dedup": exact_dedup.ORACLE,
+    "op12_stripes_collocations": collocations.ORACLE,
     "op13_periodic_runs": periodic_runs.ORACLE,
 }
