@@ -1,92 +1,119 @@
 """Keyword extraction (TXT-2 frequency form, TXT-3 corpus TF-IDF form).
 
-Two equivalent plans (identical results, checked in the tests):
-
-* ``arrow`` (default): extraction is document-local, so each partition counts its
-  documents' words in Arrow batches (``mapInPandas``) — no shuffle, the text is
-  read once and never leaves its task;
-* ``shuffle``: built-ins only — explode words with their position, partial + final
-  aggregate on (doc_id, word), rank per document with a window. Only distinct
-  (doc, word) pairs cross the shuffle, but at 100 TB that is still most of the text.
+A word is what white space separates, in lower case, without the punctuation set at both ends, of two
+characters or more. A text that starts with '[' is a placeholder and has no keywords (V22).
+
+Terms of the TF-IDF form are these words cut into script runs: a run of Chinese or Japanese characters
+gives its bigrams (a single character none), another run is stripped of punctuation again and
+kept from two characters on. Words without such characters are terms as they are.
+
+Extraction is document-local. The default (``method="arrow"``) counts the words of some MB of text at a
+time with arrays: Python sees a distinct piece once per slice and never a place in a text.
+``method="shuffle"`` states the same with built-ins only (explode, aggregate by document and word,
+window); it moves every distinct pair of document and word. The tests hold both against each other.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+import re
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark import constants as K
+from shelfspark.functions.batches import expand, pieces, slices
+from shelfspark.functions.text import CJK_CLASS
 from shelfspark.session import cut_lineage
 
-
-def _doc_counts(text: str) -> list[tuple[str, int, int]]:
-    """(word, count, first position) in first-occurrence order. Word rules: lower case, cut at
-    white space, the punctuation set and white space stripped at both ends, two characters
-    or more. Distinct raw pieces are cleaned once; counts then add up per cleaned word."""
-    pieces = text.lower().split()
-    raw = Counter(pieces)
-    at = dict(zip(reversed(pieces), range(len(pieces) - 1, -1, -1)))  # the first place wins
-    out: dict[str, tuple[int, int]] = {}
-    for piece, n in raw.items():
-        word = piece.strip(K.KEYWORD_STRIP_CHARS).strip()
-        if len(word) > 1:
-            total, first = out.get(word, (0, at[piece]))
-            out[word] = (total + n, min(first, at[piece]))
-    return [(word, n, first) for word, (n, first) in out.items()]
-
-
-def _usable(t) -> bool:
-    return isinstance(t, str) and t != "" and not t.startswith("[")
-
-
-def _arrow_counts(batches):
-    import pandas as pd
-    for pdf in batches:
-        ids, kws, cnts, firsts = [], [], [], []
-        for i, t in zip(pdf["doc_id"], pdf["text"]):
-            if _usable(t):
-                for w, c, p in _doc_counts(t):
-                    ids.append(i)
-                    kws.append(w)
-                    cnts.append(c)
-                    firsts.append(p)
-        yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "keyword": kws,
-                            "cnt": pd.Series(cnts, dtype="int64"), "first_pos": pd.Series(firsts, dtype="int32")})
-
-
-def _arrow_top(top_k: int):
-    def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            ids, ranks, kws, cnts = [], [], [], []
-            for i, t in zip(pdf["doc_id"], pdf["text"]):
-                if not _usable(t):
-                    continue
-                ranked = sorted(_doc_counts(t), key=lambda x: x[1], reverse=True)[:top_k]  # stable
-                for r, (w, c, _) in enumerate(ranked, 1):
-                    ids.append(i)
-                    ranks.append(r)
-                    kws.append(w)
-                    cnts.append(c)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "rank": pd.Series(ranks, dtype="int32"),
-                                "keyword": kws, "cnt": pd.Series(cnts, dtype="int64")})
-    return run
-
-
-def _arrow_lists(top_k: int):
+DEFAULT_METHOD = "arrow"
+#: Terms of two documents or more whose frequencies may go to all tasks (some tens of MB); more are joined by shuffle.
+BROADCAST_TERMS = 500_000
+
+_CJK = "一-鿿぀-ヿ"
+_RUN = re.compile(f"[{_CJK}]+|[^{_CJK}]+")
+
+
+def script_terms(word: str) -> list[str]:
+    """The terms of a cleaned word, by script runs."""
+    out = []
+    for run in _RUN.findall(word):
+        if "一" <= run[0] <= "鿿" or "぀" <= run[0] <= "ヿ":
+            out += [run[i:i + 2] for i in range(len(run) - 1)]
+        else:
+            rest = run.strip(K.KEYWORD_STRIP_CHARS)
+            out += [rest] if len(rest) > 1 else []
+    return out
+
+
+def _cleaned(parts: pa.Array) -> pa.Array:
+    """Distinct pieces in lower case and stripped. Latin ones in C++, as their case has no surprises."""
+    latin = pc.match_substring_regex(parts, "^[\\x00-\\xff]*$")
+    usual = pc.utf8_lower(parts.filter(latin))
+    if latin.false_count:
+        rest = pa.array([p.lower() for p in parts.filter(pc.invert(latin)).to_pylist()], parts.type)
+        usual = pc.replace_with_mask(pc.replace_with_mask(parts, latin, usual), pc.invert(latin), rest)
+    return pc.utf8_trim(usual, characters=K.KEYWORD_STRIP_CHARS)
+
+
+class Counts:
+    """Distinct words of each text of a slice: rows (``row``, ``word``, ``count``, ``first``), by row and word.
+    ``words``: the distinct words of the slice; ``first``: the word's first place in its text."""
+
+    def __init__(self, texts: pa.Array, by_script: bool = False):
+        usable = pc.fill_null(pc.and_(pc.not_equal(texts, ""), pc.invert(pc.starts_with(texts, "["))), False)
+        codes, offsets, parts = pieces(pc.if_else(usable, texts, ""))
+        words = _cleaned(parts).dictionary_encode()
+        of = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = words.dictionary
+        keep = pc.greater(pc.utf8_length(self.words), 1).to_numpy(zero_copy_only=False)
+        number, row = of[codes], np.repeat(np.arange(len(texts)), np.diff(offsets))
+        real = keep[number]
+        number, row = number[real], row[real]
+        if by_script:
+            number, row = self._terms(number, row)
+        key, first, count = np.unique(row * max(len(self.words), 1) + number, return_index=True, return_counts=True)
+        self.row, self.word, self.count, self.first = key // max(len(self.words), 1), key % max(len(self.words), 1), count, first
+
+    def _terms(self, number: np.ndarray, row: np.ndarray):
+        cjk = np.flatnonzero(pc.match_substring_regex(self.words, f"[{CJK_CLASS}]").to_numpy(zero_copy_only=False))
+        if not len(cjk):
+            return number, row
+        lists = [script_terms(w) for w in self.words.take(pa.array(cjk)).to_pylist()]
+        words = pa.concat_arrays([self.words, pa.array([t for x in lists for t in x], self.words.type)]).dictionary_encode()
+        of = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = np.ones(len(self.words), np.int64)
+        starts = np.arange(len(self.words))
+        sizes[cjk] = [len(x) for x in lists]
+        starts[cjk] = len(self.words) + np.cumsum(sizes[cjk]) - sizes[cjk]
+        self.words = words.dictionary
+        return of[expand(starts[number], sizes[number])], np.repeat(row, sizes[number])
+
+    def top(self, score: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the first ``top_k`` words of each text by score, then first place; their rank from 1)."""
+        order = np.lexsort((self.first, -score, self.row))
+        row = self.row[order]
+        new = np.flatnonzero(np.diff(row, prepend=-1))
+        rank = np.arange(len(row)) - np.repeat(new, np.diff(np.append(new, len(row))))
+        near = rank < top_k
+        return order[near], rank[near] + 1
+
+    def lists(self, at: np.ndarray, n_rows: int) -> pa.Array:
+        """The words at these places, a list for each text."""
+        sizes = np.bincount(self.row[at], minlength=n_rows)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
+                                        self.words.take(pa.array(self.word[at])).cast(pa.string()))
+
+
+def _per_slice(fn, by_script: bool = False):
+    """mapInArrow over (doc_id, text): ``fn(ids, counts)`` for each slice of some MB."""
     def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            ids, lists = [], []
-            for i, t in zip(pdf["doc_id"], pdf["text"]):
-                if _usable(t):
-                    ranked = sorted(_doc_counts(t), key=lambda x: x[1], reverse=True)[:top_k]
-                    if ranked:
-                        ids.append(i)
-                        lists.append([w for w, _, _ in ranked])
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "keywords": lists})
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield fn(part.column("doc_id"), Counts(part.column("text"), by_script))
     return run
 
 
@@ -94,42 +121,53 @@ def _src(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-# Keyword extraction is document-local. The default ("arrow") counts words per
-# partition in Arrow batches: no shuffle at all. "shuffle" is the pure built-in
-# plan (explode -> partial/final aggregate on (doc, word) -> window), which moves
-# every distinct (doc, word) pair across the network; both give identical results.
-DEFAULT_METHOD = "arrow"
+def terms_of(word) -> Column:
+    """``script_terms`` of a cleaned word as an expression."""
+    runs = F.regexp_extract_all(word, F.lit(f"([{CJK_CLASS}]+|[^{CJK_CLASS}]+)"), F.lit(1))
+    bigrams = lambda r: F.when(F.length(r) < 2, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))
+    rest = lambda r: F.filter(F.array(F.btrim(r, F.lit(K.KEYWORD_STRIP_CHARS))), lambda x: F.length(x) >= 2)
+    cjk = lambda x: x.rlike(f"[{CJK_CLASS}]")
+    return F.when(cjk(word), F.flatten(F.transform(runs, lambda r: F.when(cjk(r), bigrams(r)).otherwise(rest(r))))).otherwise(F.array(word))
 
 
-def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, keyword) for every word of length >= 2 (TXT-2 rules). The split is
-    exploded first so stripping and the length test run in whole-stage codegen
-    rather than in interpreted lambdas."""
+def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_script: bool = False) -> DataFrame:
+    """(doc_id, pos, keyword) for every word or term. The split is exploded first so stripping and the
+    length test run in whole-stage codegen rather than in interpreted lambdas."""
     raw = docs.select(F.col(id_col).alias("doc_id"),
                       F.posexplode(F.split(F.lower(F.col(text_col)), K.WHITESPACE_RUN)).alias("pos", "w"))
-    return (raw.select("doc_id", "pos", F.btrim(F.col("w"), F.lit(K.KEYWORD_STRIP_CHARS)).alias("keyword"))
-            .filter(F.length("keyword") >= 2))
+    found = (raw.select("doc_id", "pos", F.btrim(F.col("w"), F.lit(K.KEYWORD_STRIP_CHARS)).alias("keyword"))
+             .filter(F.length("keyword") >= 2))
+    if by_script:
+        found = (found.select("doc_id", "pos", F.posexplode(terms_of(F.col("keyword"))).alias("at", "keyword"))
+                 .select("doc_id", F.struct("pos", "at").alias("pos"), "keyword"))
+    return found
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                method: str = DEFAULT_METHOD) -> DataFrame:
-    """(doc_id, keyword, cnt, first_pos) for every word of every usable document."""
+                method: str = DEFAULT_METHOD, by_script: bool = False) -> DataFrame:
+    """(doc_id, keyword, cnt, first_pos) for every word (or term) of every usable document."""
     if method == "arrow":
-        return _src(docs, id_col, text_col).mapInPandas(
-            _arrow_counts, "doc_id bigint, keyword string, cnt bigint, first_pos int")
+        def rows(ids, c):
+            return pa.record_batch({"doc_id": ids.take(pa.array(c.row)), "keyword": c.words.take(pa.array(c.word)).cast(pa.string()),
+                                    "cnt": pa.array(c.count, pa.int64()), "first_pos": pa.array(c.first, pa.int64())})
+        return _src(docs, id_col, text_col).mapInArrow(
+            _per_slice(rows, by_script), "doc_id bigint, keyword string, cnt bigint, first_pos bigint")
     src = docs.filter(~F.col(text_col).startswith("[") & (F.col(text_col) != ""))
-    return words(src, id_col, text_col).groupBy("doc_id", "keyword").agg(
+    return words(src, id_col, text_col, by_script).groupBy("doc_id", "keyword").agg(
         F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
 
 
 def top_keywords(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "doc_id",
                  text_col: str = "text", method: str = DEFAULT_METHOD) -> DataFrame:
     """TXT-2: (doc_id, rank, keyword, cnt), top-k words per document by count desc, ties
-    by first occurrence. Text that starts with '[' is a placeholder and yields no
-    keywords (V22)."""
+    by first occurrence."""
     if method == "arrow":
-        return _src(docs, id_col, text_col).mapInPandas(
-            _arrow_top(top_k), "doc_id bigint, rank int, keyword string, cnt bigint")
+        def rows(ids, c):
+            at, rank = c.top(c.count, top_k)
+            return pa.record_batch({"doc_id": ids.take(pa.array(c.row[at])), "rank": pa.array(rank, pa.int32()),
+                                    "keyword": c.words.take(pa.array(c.word[at])).cast(pa.string()), "cnt": pa.array(c.count[at], pa.int64())})
+        return _src(docs, id_col, text_col).mapInArrow(_per_slice(rows), "doc_id bigint, rank int, keyword string, cnt bigint")
     wc = word_counts(docs, id_col, text_col, method="shuffle")
     w = Window.partitionBy("doc_id").orderBy(F.col("cnt").desc(), F.col("first_pos"))
     return (wc.withColumn("rank", F.row_number().over(w))
@@ -148,32 +186,83 @@ def keyword_lists(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str =
                   text_col: str = "text", method: str = DEFAULT_METHOD) -> DataFrame:
     """(doc_id, keywords) for documents with at least one keyword."""
     if method == "arrow":
-        return _src(docs, id_col, text_col).mapInPandas(_arrow_lists(top_k), "doc_id bigint, keywords array<string>")
+        def rows(ids, c):
+            out = pa.record_batch({"doc_id": ids, "keywords": c.lists(c.top(c.count, top_k)[0], len(ids))})
+            return out.filter(pc.greater(pc.list_value_length(out.column("keywords")), 0))
+        return _src(docs, id_col, text_col).mapInArrow(_per_slice(rows), "doc_id bigint, keywords array<string>")
     tk = top_keywords(docs, top_k, id_col, text_col, method="shuffle")
     return tk.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda s: s["keyword"])
         .alias("keywords"))
 
 
-def tfidf_keywords(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "doc_id",
-                   text_col: str = "text", method: str = DEFAULT_METHOD) -> DataFrame:
-    """TXT-3 (re-aimed): tf = count in the document, idf = ln((N + 1) / (df + 1)) over
-    the corpus; top-k by tf*idf desc, then first occurrence.
+def with_keywords(docs: DataFrame, text_col: str, top_k: int = K.KEYWORDS_TOP_K, name: str = "keywords") -> DataFrame:
+    """The rows with their keyword list as a further column, in the pass over the text (no join, no shuffle);
+    an empty list without keywords."""
+    schema = docs.withColumn(name, F.array().cast("array<string>")).schema
 
-    Per-document counts come without a shuffle; the document frequency needs one
-    aggregate by word, and the join back is a shuffle join on the word (AQE splits
-    hot words). The per-document ranking is a window by doc_id."""
-    wc = word_counts(docs, id_col, text_col, method)
-    if method == "arrow":
-        # two consumers (document frequency, scoring): write the counts once instead
-        # of running the Python pass twice (the built-in plan reuses its exchange)
-        wc = cut_lineage(wc, "tfidf-counts")
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                c = Counts(part.column(text_col))
+                yield pa.RecordBatch.from_arrays([*part.columns, c.lists(c.top(c.count, top_k)[0], part.num_rows)],
+                                                 names=[*part.schema.names, name])
+    return docs.mapInArrow(run, schema)
+
+
+def tfidf_keywords(docs: DataFrame, top_k: int = K.KEYWORDS_TOP_K, id_col: str = "doc_id", text_col: str = "text",
+                   method: str = DEFAULT_METHOD, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """TXT-3 (re-aimed): tf = count in the document, idf = ln((N + 1) / (df + 1)) over the corpus; top-k terms by
+    tf * idf desc, then first occurrence: (doc_id, rank, keyword, cnt, df, score).
+
+    One pass over the texts tells, per slice, in how many of its documents each term occurs; these are added up
+    by term and only terms of two documents or more are written (a term that is not found has one). While
+    these are at most ``broadcast_terms`` they go to all tasks and a second pass ranks within each document;
+    nothing is moved by document. Beyond that, documents become one row of term arrays each, and their
+    terms are joined by shuffle (AQE splits hot terms)."""
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    df_ = wc.groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
-    scored = (wc.join(df_, "keyword")
-              .withColumn("idf", F.log((n_docs + F.lit(1)).cast("double") / (F.col("df") + 1).cast("double")))
-              .withColumn("score", F.col("cnt") * F.col("idf")))
+    result = ["doc_id", "rank", "keyword", "cnt", "df", "score"]
+    if method == "arrow":
+        src = _src(docs, id_col, text_col)
+
+        def frequencies(ids, c):
+            return pa.record_batch({"keyword": c.words.cast(pa.string()),
+                                    "df": pa.array(np.bincount(c.word, minlength=len(c.words)), pa.int64())}).filter(pc.greater(pc.field("df"), 0))
+        df_ = cut_lineage(src.mapInArrow(_per_slice(frequencies, True), "keyword string, df bigint").groupBy("keyword")
+                          .agg(F.sum("df").alias("df")).where("df > 1"), "document-frequencies")
+        if df_.count() <= broadcast_terms:
+            shared = docs.sparkSession.sparkContext.broadcast(df_.toArrow())
+            total = docs.count()
+            return src.mapInArrow(_per_slice(_ranked(shared, total, top_k), True),
+                                  "doc_id bigint, rank int, keyword string, cnt bigint, df bigint, score double")
+
+        def arrays(ids, c):
+            sizes = pa.array(np.concatenate([[0], np.cumsum(np.bincount(c.row, minlength=len(ids)))]), pa.int32())
+            terms = pa.StructArray.from_arrays([c.words.take(pa.array(c.word)).cast(pa.string()), pa.array(c.count, pa.int64()),
+                                                pa.array(c.first, pa.int64())], ["keyword", "cnt", "first_pos"])
+            return pa.record_batch({"doc_id": ids, "terms": pa.ListArray.from_arrays(sizes, terms)})
+        wc = src.mapInArrow(_per_slice(arrays, True), "doc_id bigint, terms array<struct<keyword: string, cnt: bigint, first_pos: bigint>>")
+        wc = wc.select("doc_id", F.inline("terms"))
+        found = wc.join(df_, "keyword", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    else:
+        wc = word_counts(docs, id_col, text_col, method, by_script=True)
+        found = wc.join(wc.groupBy("keyword").agg(F.count(F.lit(1)).alias("df")), "keyword")
+    idf = F.log((n_docs + F.lit(1)).cast("double") / (F.col("df") + 1).cast("double"))
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("first_pos"))
-    return (scored.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= top_k)
-            .select("doc_id", "rank", "keyword", "cnt", "df", "score"))
+    return (found.withColumn("score", F.col("cnt") * idf).withColumn("rank", F.row_number().over(w))
+            .filter(F.col("rank") <= top_k).select(*result))
+
+
+def _ranked(shared, n_docs: int, top_k: int):
+    def rows(ids, c):
+        terms = shared.value
+        at = pc.index_in(c.words.cast(pa.string()), value_set=terms.column("keyword").combine_chunks())
+        df_ = pc.fill_null(terms.column("df").take(at), 1).to_numpy().astype(np.int64)
+        seen, back = np.unique(df_, return_inverse=True)
+        idf = np.array([math.log((n_docs + 1) / (n + 1)) for n in seen.tolist()])[back] if len(seen) else np.zeros(0)
+        score = c.count * idf[c.word]
+        at, rank = c.top(score, top_k)
+        return pa.record_batch({"doc_id": ids.take(pa.array(c.row[at])), "rank": pa.array(rank, pa.int32()),
+                                "keyword": c.words.take(pa.array(c.word[at])).cast(pa.string()), "cnt": pa.array(c.count[at], pa.int64()),
+                                "df": pa.array(df_[c.word[at]]), "score": pa.array(score[at])})
+    return rows

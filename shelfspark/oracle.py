@@ -153,6 +153,17 @@ SELECT doc_id, pos, trim(w, {STRIP}) AS keyword FROM (
 WHERE length(trim(w, {STRIP})) >= 2""")
 cte("file_word_counts", ["file_words"], """
 SELECT doc_id, keyword, count(*) AS cnt, min(pos) AS first_pos FROM file_words GROUP BY doc_id, keyword""")
+# terms (TXT-3): words cut into script runs, bigrams of CJK runs
+_CJK = r"\x{4e00}-\x{9fff}\x{3040}-\x{30ff}"
+cte("file_term_counts", ["file_words"], f"""
+SELECT doc_id, keyword, count(*) AS cnt, min(pos * 1000000000 + nth) AS first_pos FROM (
+  SELECT doc_id, pos, unnest(terms) AS keyword, generate_subscripts(terms, 1) AS nth FROM (
+    SELECT doc_id, pos, CASE WHEN regexp_matches(keyword, '[{_CJK}]') THEN
+      flatten(list_transform(regexp_extract_all(keyword, '[{_CJK}]+|[^{_CJK}]+'), lambda r:
+        CASE WHEN regexp_matches(r, '[{_CJK}]') THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2))
+             ELSE list_filter([trim(r, {STRIP})], lambda x: length(x) >= 2) END))
+      ELSE [keyword] END AS terms FROM file_words))
+GROUP BY doc_id, keyword""")
 cte("file_keywords", ["file_word_counts"], """
 SELECT * FROM (SELECT doc_id, keyword, cnt, first_pos,
   row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first_pos) AS rank FROM file_word_counts)

@@ -100,12 +100,12 @@ def q_keywords_freq(spark, sf):
     return KW.top_keywords(files).select("doc_id", F.col("rank").cast("bigint").alias("rank"), "keyword", "cnt")
 
 
-@register("keywords_tfidf", O.build(["file_word_counts", "raw_files"], """
+@register("keywords_tfidf", O.build(["file_term_counts", "raw_files"], """
 SELECT doc_id, rank, keyword, cnt, df FROM (
   SELECT w.doc_id, w.keyword, w.cnt, d.df,
          row_number() OVER (PARTITION BY w.doc_id ORDER BY
            w.cnt * ln(CAST((SELECT count(*) FROM raw_files) + 1 AS DOUBLE) / CAST(d.df + 1 AS DOUBLE)) DESC, w.first_pos) AS rank
-  FROM file_word_counts w JOIN (SELECT keyword, count(*) AS df FROM file_word_counts GROUP BY keyword) d
+  FROM file_term_counts w JOIN (SELECT keyword, count(*) AS df FROM file_term_counts GROUP BY keyword) d
     ON d.keyword = w.keyword)
 WHERE rank <= 20"""))
 def q_keywords_tfidf(spark, sf):

@@ -35,6 +35,28 @@ def test_keywords_vs_python(spark, method):
         assert got.get(i, []) == O.py_keywords(t), (i, t)
 
 
+@pytest.mark.parametrize("method,bound", [("arrow", 500_000), ("arrow", 0), ("shuffle", 0)])
+def test_tfidf_vs_python(spark, method, bound):
+    rng = random.Random(8)
+    extra = ["项目plan进度", "(学)", "a学习b", "かな漢字", "ΑΣ", "“x”", "学习，复习", "[x]", "e.g."]
+    docs = [(i, "".join(rng.choice(WORDS + extra) + rng.choice([" ", "\u3000", "\x1c", "\u2028", "\n"]) for _ in range(rng.randint(0, 30))))
+            for i in range(150)] + [(150, None), (151, ""), (152, "[Image: x.png] word word")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {}
+    for r in KW.tfidf_keywords(df, top_k=5, method=method, broadcast_terms=bound).orderBy("doc_id", "rank").collect():
+        got.setdefault(r.doc_id, []).append((r.keyword, r.cnt, r.df))
+    assert got == O.py_tfidf(docs, 5)
+
+
+def test_keywords_beside_the_rows(spark):
+    docs = [(1, "b a b", "x"), (2, None, None), (3, "[p]", "y"), (None, "Zwei zwei drei", "z"), (5, "", "w")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, other string").repartition(2)
+    got = sorted(((r.doc_id, r.text, r.other, r.keywords) for r in KW.with_keywords(df, "text").collect()), key=str)
+    assert got == sorted([(1, "b a b", "x", []), (2, None, None, []), (3, "[p]", "y", []), (None, "Zwei zwei drei", "z", ["zwei", "drei"]),
+                          (5, "", "w", [])], key=str)
+    assert KW.with_keywords(df.limit(0), "text").collect() == []
+
+
 @pytest.mark.parametrize("matcher", ["join", "ac"])
 def test_classify_vs_python(spark, matcher):
     rng = random.Random(2)
