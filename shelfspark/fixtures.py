@@ -103,6 +103,38 @@ def raw_files_from(docs: DataFrame) -> DataFrame:
              name_suffix("original_name").alias("file_type"))
 
 
+def docx_bytes(text: str) -> bytes:
+    """A word document with a paragraph for each line."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+    paragraphs = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
+                                        f"{paragraphs}</w:body></w:document>")
+    return out.getvalue()
+
+
+def written_vault(spark: SparkSession, sf_dir: str) -> str:
+    """The raw files as files with their texts, in a fresh shared folder; docx files are word documents."""
+    from shelfspark.session import shared_scratch
+    from shelfspark.sources.tree import plain_path, write_files
+    root = plain_path(shared_scratch(spark, "vault"))
+    raw = raw_files(spark, sf_dir).select("path", "file_type", "extracted_text")
+
+    def contents(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256).to_pylist()
+                yield pa.record_batch({"path": pa.array([f"{root}/{r['path']}" for r in part], pa.string()), "content": pa.array(
+                    [docx_bytes(r["extracted_text"] or "") if r["file_type"] == ".docx" else (r["extracted_text"] or "").encode() for r in part], pa.binary())})
+
+    write_files(raw.mapInArrow(contents, "path string, content binary"))
+    return root
+
+
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View events mapped to files (file = documents row ``event_id % N``)."""
     docs = table(spark, sf_dir, "documents")

@@ -556,6 +556,33 @@ SELECT clusters FROM (
   SELECT clusters FROM st ORDER BY step DESC LIMIT 1)""")
 
 
+# the raw files written as files, and what extraction gives (SCN-4..9)
+cte("vault_files", ["raw_files"], """
+SELECT file_id, path, original_name, file_type AS ext,
+       CASE WHEN file_type IN ('.txt', '.md') THEN replace(replace(extracted_text, chr(13) || chr(10), chr(10)), chr(13), chr(10))
+            WHEN file_type = '.docx' THEN array_to_string(list_filter(string_split(extracted_text, chr(10)), lambda x: trim(x) <> ''), chr(10))
+            WHEN file_type = '.jpg' THEN '[Image: ' || original_name || ']' WHEN file_type = '.pdf' THEN ''
+            ELSE '[Unknown type: ' || original_name || ']' END AS text,
+       CASE WHEN file_type = '.pdf' THEN 'PDF parsing is not built in; supply page text to assemble_pages' END AS error,
+       CASE WHEN file_type IN ('.txt', '.md') THEN 'text' WHEN file_type = '.docx' THEN 'docx' WHEN file_type = '.jpg' THEN 'image'
+            WHEN file_type = '.pdf' THEN '.pdf' ELSE 'unknown' END AS file_type
+FROM raw_files""")
+cte("vault_keywords", ["vault_files"], f"""
+SELECT file_id, list(keyword ORDER BY rank) AS keywords FROM (
+  SELECT file_id, keyword, row_number() OVER (PARTITION BY file_id ORDER BY count(*) DESC, min(pos)) AS rank FROM (
+    SELECT file_id, trim(w, {STRIP}) AS keyword, pos FROM (
+      SELECT file_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos
+      FROM (SELECT file_id, string_split_regex(lower(text), '{WS}') AS l FROM vault_files
+            WHERE text <> '' AND NOT starts_with(text, '[')))
+    WHERE length(trim(w, {STRIP})) >= 2)
+  GROUP BY file_id, keyword)
+WHERE rank <= 20 GROUP BY file_id""")
+_classification_chain("vcls_", """
+SELECT r.file_id, r.original_name, r.text AS extracted_text, r.ext AS file_type,
+       lower(coalesce(array_to_string(k.keywords, ' '), '')) AS kwj
+FROM vault_files r LEFT JOIN vault_keywords k ON k.file_id = r.file_id""", ["vault_files", "vault_keywords"])
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

@@ -750,6 +750,38 @@ def q_scan_files(spark, sf):
     return _vault_listing(spark, sf).select("path", "name", "size", "extension", "relative_path")
 
 
+@register("list_files", O.build(["raw_files", "vault_files"], """
+SELECT r.path AS relative_path, r.original_name AS name, r.file_type AS extension,
+       CASE WHEN r.file_type = '.docx' THEN -1 ELSE strlen(r.extracted_text) END AS size FROM raw_files r"""))
+def q_list_files(spark, sf):
+    """The raw files written as a tree, and listed; a packed file's size is not stated."""
+    ls = SRC.list_files(spark, X.written_vault(spark, sf))
+    return ls.select("relative_path", "name", "extension", F.when(F.col("extension") == ".docx", F.lit(-1)).otherwise(F.col("size")).alias("size"))
+
+
+_RELATIVE = r"^.*/vault-[0-9a-f]+/"
+
+
+@register("extract_files", O.build(["vault_files"], """
+SELECT path AS relative_path, original_name AS filename, file_type, text, error FROM vault_files"""))
+def q_extract_files(spark, sf):
+    rows = SRC.extract_files(spark, X.written_vault(spark, sf), recursive=True)
+    return rows.select(F.regexp_replace("filepath", _RELATIVE, "").alias("relative_path"), "filename", "file_type", "text", "error")
+
+
+@register("stream_ingest_files", O.build(["vault_files", "vault_keywords", "vcls_classified"], """
+SELECT f.path AS relative_path, f.file_type, coalesce(array_to_string(k.keywords, '|'), '') AS keywords, c.category, c.category_id,
+       c.confidence, CASE WHEN c.confidence < 0.3 THEN '_inbox' ELSE c.category END AS routed_to,
+       c.confidence < 0.3 AS needs_review, f.error
+FROM vault_files f JOIN vcls_classified c ON c.file_id = f.file_id LEFT JOIN vault_keywords k ON k.file_id = f.file_id"""))
+def q_stream_ingest_files(spark, sf):
+    from shelfspark.streaming import jobs
+    cats, kws = X.dictionary(spark)
+    rows = jobs.stream_ingest_files(spark, X.written_vault(spark, sf) + "/vault/_inbox", cats, kws)
+    return rows.select(F.regexp_replace("path", _RELATIVE, "").alias("relative_path"), "file_type", F.array_join("keywords", "|").alias("keywords"),
+                       "category", "category_id", "confidence", "routed_to", "needs_review", "error")
+
+
 @register("file_type_flags", O.build(["vault_listing"], f"SELECT path, {_FLAG_SQL} FROM vault_listing"))
 def q_file_type_flags(spark, sf):
     return _vault_listing(spark, sf).select("path", *PTH.type_flags(F.col("extension")))

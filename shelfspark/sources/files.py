@@ -1,11 +1,11 @@
 """File sources: catalogue listing and text extraction (SCN-1..9).
 
-* listing: ``binaryFile`` without the ``content`` column (Spark prunes it, so no
-  file is opened), paths parsed with built-ins;
-* plain text and notebooks: decoded and parsed in the JVM (``make_valid_utf8``,
-  ``try_parse_json`` / VARIANT);
-* docx / pptx: one ``mapInPandas`` over the binary rows of those suffixes only,
-  using the standard library (zip + XML), one bad file -> one error row;
+* listing: tasks expand a frontier of directories (``sources.tree``), paths are parsed
+  with built-ins;
+* plain text and notebooks: bytes read by tasks, decoded and parsed in the JVM
+  (``make_valid_utf8``, ``try_parse_json`` / VARIANT);
+* docx / pptx: turned into text in the task that reads them, with the standard
+  library (zip + XML), one bad file -> one error row;
 * PDF text comes from a page table (``assemble_pages``), the parser itself is
   not part of this engine.
 """
@@ -17,13 +17,13 @@ import re
 import zipfile
 from xml.etree import ElementTree as ET
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark import constants as K
 from shelfspark.functions.stems import py_strip
 from shelfspark.functions.text import name_suffix, path_name
+from shelfspark.sources.tree import is_directory, plain_path, walk, with_content
 
 EXTRACT_SCHEMA = "filepath string, filename string, file_type string, text string, error string"
 
@@ -42,46 +42,12 @@ def listing_from_paths(paths: DataFrame, root: str) -> DataFrame:
             .withColumn("relative_path", F.regexp_replace("path", "^" + re.escape(base) + "/", "")))
 
 
-def directories(spark: SparkSession, root: str) -> list[str]:
-    """``root`` and every directory below it, through the Hadoop FileSystem API (works
-    on any Hadoop-compatible store). Spark's file index hides names starting with '_'
-    or '.', which would hide ``_inbox`` / ``_archive`` / ``_sensitive``; listing the
-    directories (far fewer than files) and loading them explicitly avoids that."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    start = jvm.org.apache.hadoop.fs.Path(root)
-    fs = start.getFileSystem(conf)
-    out, todo = [], [start]
-    while todo:
-        d = todo.pop()
-        out.append(d.toString())
-        for st in fs.listStatus(d):
-            if st.isDirectory() and not st.getPath().getName().startswith("."):
-                todo.append(st.getPath())
-    return sorted(out)
-
-
-def _binary(spark: SparkSession, root: str, recursive: bool, suffixes: list[str] | None = None) -> DataFrame:
-    """The files below ``root``; with ``suffixes`` (any case) only theirs are listed, so no
-    other file's bytes can be read."""
-    paths = directories(spark, root) if recursive else [root]
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-    if suffixes:
-        globs = ["*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes]
-        reader = reader.option("pathGlobFilter", "{" + ",".join(globs) + "}")
-    return reader.load(paths)
-
-
 def list_files(spark: SparkSession, root: str, subdir: str | None = None, recursive: bool = True) -> DataFrame:
     """SCN-1: every non-hidden file under ``root`` (or ``root/subdir``): path, name,
-    size, modified (epoch seconds), extension, relative_path. ``content`` is never
-    selected, so no file body is read."""
-    base = root.rstrip("/")
-    target = f"{base}/{subdir}" if subdir else base
-    df = _binary(spark, target, recursive).select(
-        _strip_scheme(F.col("path")).alias("path"), F.col("length").alias("size"),
-        (F.unix_micros(F.col("modificationTime")).cast("double") / 1e6).alias("modified"))
-    return listing_from_paths(df, base)
+    size, modified (epoch seconds), extension, relative_path. Tasks list the directories
+    (``tree.walk``); no file body is read."""
+    base = plain_path(root).rstrip("/")
+    return listing_from_paths(walk(spark, f"{base}/{subdir}" if subdir else base, recursive), base)
 
 
 def exclude_sensitive(listing: DataFrame) -> DataFrame:
@@ -228,27 +194,6 @@ def pptx_text(data: bytes, max_chars: int | None = None) -> str:
     return "\n\n".join(parts)[:max_chars]
 
 
-def _office_batches(max_chars: int | None):
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for kind, content in zip(pdf["kind"], pdf["content"]):
-                read = docx_text if kind == "docx" else pptx_text
-                try:
-                    out.append((read(bytes(content), max_chars), None))
-                except Exception as e:  # noqa: BLE001 - one bad file becomes one error row
-                    out.append(("", f"{kind.upper()} extraction failed: {e}"))
-            yield pd.DataFrame({"path": pdf["path"], "kind": pdf["kind"],
-                                "text": [t for t, _ in out], "error": [e for _, e in out]})
-    return run
-
-
-def office_text(binary_rows: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """SCN-7: (path, kind, content) of docx/pptx files -> (path, kind, text, error)."""
-    return binary_rows.select("path", "kind", "content").mapInPandas(
-        _office_batches(max_chars), "path string, kind string, text string, error string")
-
-
 def assemble_pages(pages: DataFrame, id_col: str = "doc_id", max_chars: int | None = None) -> DataFrame:
     """SCN-8: non-blank pages joined by newlines in page order; under 50 stripped
     characters -> scanned_pdf with an error, else pdf.
@@ -289,43 +234,58 @@ def assemble_pages(pages: DataFrame, id_col: str = "doc_id", max_chars: int | No
 MAX_CONTENT_BYTES = 1 << 30
 
 
-def extract_files(spark: SparkSession, root: str, recursive: bool = False, max_chars: int | None = None,
-                  max_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
-    """SCN-4..9: one extraction row per non-hidden file of a directory (non-recursive
-    by default, as the batch tool): filepath, filename, file_type, text, error.
+def _office(max_chars: int | None):
+    """(text, error) of the bytes of a docx or pptx file; other rows keep their bytes."""
+    def convert(row, data):
+        read = {"docx": docx_text, "pptx": pptx_text}.get(row["kind"])
+        if read is None:
+            return None
+        try:
+            return read(data, max_chars), None
+        except Exception as e:  # noqa: BLE001 - one bad file becomes one error row
+            return "", f"{row['kind'].upper()} extraction failed: {e}"
+    return convert
 
-    The listing decides what is read: the bytes of media and unknown files are never
-    loaded, and a text, notebook or office file above ``max_bytes`` becomes an error row."""
-    path = _strip_scheme(F.col("path"))
-    read = [*K.TEXT_EXTENSIONS, *K.IPYNB_EXTENSIONS, *K.DOCX_EXTENSIONS, *K.PPTX_EXTENSIONS]
 
-    def described(raw: DataFrame, *more: str) -> DataFrame:
-        return (raw.select(path.alias("path"), path_name(path).alias("name"), "length", *more)
-                .filter(~F.col("name").startswith("."))
-                .withColumn("ext", name_suffix(F.col("name")))
-                .withColumn("kind", extraction_kind(F.col("ext"))))
+def extract_listed(files: DataFrame, max_chars: int | None = None, max_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
+    """SCN-4..8 over listed files (path, size): filepath, filename, file_type, text, error; hidden names are left out.
 
-    listed = described(_binary(spark, root, recursive))
-    small = described(_binary(spark, root, recursive, read).filter(F.col("length") <= max_bytes), "content").filter(F.col("ext").isin(*read))
+    One pass without a shuffle: tasks read the bytes of text, notebook and office files and of no others, office
+    files become text there, the rest is decoded and parsed in the JVM. A file above ``max_bytes`` is an error row."""
+    path = _strip_scheme(F.col("path"))
+    listed = (files.select(path.alias("path"), path_name(path).alias("name"), F.col("size").cast("bigint").alias("size"))
+              .filter(~F.col("name").startswith("."))
+              .withColumn("ext", name_suffix(F.col("name")))
+              .withColumn("kind", extraction_kind(F.col("ext"))))
+    has_text = F.col("kind").isin("text", "ipynb", "docx", "pptx")
+    read = with_content(listed, has_text & (F.col("size") <= max_bytes), _office(max_chars))
+    kind, failed = F.col("kind"), F.col("error").isNotNull()
     nb_text, nb_err = notebook_text(decode_text(F.col("content")), max_chars)
-    text = small.filter(F.col("kind").isin("text", "ipynb")).select(
-        F.col("path").alias("filepath"), F.col("name").alias("filename"),
-        F.when((F.col("kind") == "ipynb") & nb_err.isNotNull(), F.col("ext")).otherwise(F.col("kind")).alias("file_type"),
-        F.when(F.col("kind") == "text", decode_text(F.col("content"), max_chars))
-        .otherwise(F.coalesce(nb_text, F.lit(""))).alias("text"),
-        F.when(F.col("kind") == "ipynb", nb_err).alias("error"))
-    rest = listed.filter(~F.col("ext").isin(*read)).select(
-        F.col("path").alias("filepath"), F.col("name").alias("filename"),
-        F.when(F.col("kind") == "pdf", F.col("ext")).otherwise(F.col("kind")).alias("file_type"),
-        F.when(F.col("kind") == "pdf", F.lit("")).otherwise(placeholder("kind", "name")).alias("text"),
-        F.when(F.col("kind") == "pdf", F.lit("PDF parsing is not built in; supply page text to assemble_pages"))
-        .alias("error"))
-    large = listed.filter(F.col("ext").isin(*read) & (F.col("length") > max_bytes)).select(
-        F.col("path").alias("filepath"), F.col("name").alias("filename"), F.col("ext").alias("file_type"), F.lit("").alias("text"),
-        F.concat(F.lit("File of "), F.col("length").cast("string"), F.lit(f" bytes exceeds {max_bytes}")).alias("error"))
-    office = office_text(small.filter(F.col("kind").isin("docx", "pptx")), max_chars)
-    office = office.join(listed.select("path", "name", "ext"), "path").select(
-        F.col("path").alias("filepath"), F.col("name").alias("filename"),
-        F.when(F.col("error").isNull(), F.col("kind")).otherwise(F.col("ext")).alias("file_type"),
-        "text", "error")
-    return text.unionByName(rest).unionByName(large).unionByName(office)
+    large = has_text & (F.col("size") > max_bytes)
+    notebook = (kind == "ipynb") & ~failed & ~large
+    error = (F.when(large, F.concat(F.lit("File of "), F.col("size").cast("string"), F.lit(f" bytes exceeds {max_bytes}")))
+             .when(failed, F.col("error"))
+             .when(kind == "ipynb", nb_err)
+             .when(kind == "pdf", F.lit("PDF parsing is not built in; supply page text to assemble_pages")))
+    text = (F.when(large | failed | (kind == "pdf"), F.lit(""))
+            .when(kind == "text", decode_text(F.col("content"), max_chars))
+            .when(notebook, F.coalesce(nb_text, F.lit("")))
+            .when(kind.isin("docx", "pptx"), F.col("text"))
+            .otherwise(placeholder("kind", "name")))
+    return read.select(F.col("path").alias("filepath"), F.col("name").alias("filename"),
+                       F.when(error.isNotNull(), F.col("ext")).otherwise(kind).alias("file_type"),
+                       text.alias("text"), error.alias("error"))
+
+
+def extract_files(spark: SparkSession, root: str, recursive: bool = False, max_chars: int | None = None,
+                  max_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
+    """SCN-9: one extraction row per non-hidden file of a directory (non-recursive by default, as the
+    batch tool); a directory that is not there gives one error row."""
+    base = plain_path(root).rstrip("/")
+    if not is_directory(spark, base):
+        return spark.createDataFrame([(base, path_tail(base), "", "", f"Directory not found: {base}")], EXTRACT_SCHEMA)
+    return extract_listed(walk(spark, base, recursive), max_chars, max_bytes)
+
+
+def path_tail(path: str) -> str:
+    return path.rpartition("/")[2]

@@ -125,6 +125,57 @@ def stream_ingest(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return spark.read.parquet(out).drop("batch")
 
 
+#: What is known of a file that a stream has taken in.
+LEDGER_SCHEMA = "path string, modified timestamp, size bigint, batch string"
+INGESTED_SCHEMA = ("path string, file_type string, keywords array<string>, category string, category_id string, confidence double, "
+                   "routed_to string, needs_review boolean, error string, batch string")
+
+
+def stream_ingest_files(spark: SparkSession, inbox: str, categories: DataFrame, keywords: DataFrame, checkpoint: str | None = None,
+                        sink: str | None = None, max_files: int | None = None, after_write=None) -> DataFrame:
+    """SCN-9 / STR-2 over a directory: new files below ``inbox`` are extracted, get keywords, are classified and
+    routed, micro-batch by micro-batch. The source only lists; bodies are read by the tasks that extract.
+
+    Every batch writes a folder of rows and then a folder of commit records, one for each file, both named by
+    the query and the batch, so a batch that is run again overwrites itself. Only batches with commit
+    records count, and files with one in another batch are left out: each file comes out once after a
+    crash at any point, and also when the checkpoint folder is lost. ``after_write(batch_id)`` is called between
+    the two writes (a test can fail there). As Spark's file source lists, names that begin with '_' or '.' below
+    ``inbox`` are not seen."""
+    from shelfspark.operators.classify import classify, route
+    from shelfspark.operators.keywords import with_keywords
+    from shelfspark.sources.files import extract_listed
+    out = (sink or shared_scratch(spark, "ingest-files")).rstrip("/")
+
+    def ledger() -> DataFrame:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(f"{out}/ledger")
+
+    def write(batch: DataFrame, batch_id: int):
+        key = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        known = ledger().where(F.col("batch") != key).select("path", "modified").distinct()
+        new = cut_lineage(batch.join(known, ["path", "modified"], "left_anti"), "ingest-listing")
+        read = cut_lineage(with_keywords(extract_listed(new), "text").withColumn("file_id", F.monotonically_increasing_id()), "ingest-texts")
+        files = read.select("file_id", F.col("filename").alias("original_name"), F.col("text").alias("extracted_text"), "keywords")
+        routed = route(classify(files, categories, keywords)).join(
+            read.select("file_id", F.col("filepath").alias("path"), "file_type", "keywords", "error"), "file_id")
+        (routed.select("path", "file_type", "keywords", "category", "category_id", "confidence", "routed_to", "needs_review", "error")
+         .write.mode("overwrite").parquet(f"{out}/files/batch={key}"))
+        if after_write:
+            after_write(batch_id)
+        new.select("path", "modified", "size").write.mode("overwrite").parquet(f"{out}/ledger/batch={key}")
+
+    spark.createDataFrame([], LEDGER_SCHEMA).drop("batch").write.mode("ignore").parquet(f"{out}/ledger/batch=none")
+    listing = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+               .option("recursiveFileLookup", "true"))
+    if max_files:
+        listing = listing.option("maxFilesPerTrigger", max_files)
+    listing = listing.load(inbox).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    run(listing.writeStream.foreachBatch(write), checkpoint or shared_scratch(spark, "ingest-files-ckpt"))
+    spark.createDataFrame([], INGESTED_SCHEMA).drop("batch").write.mode("ignore").parquet(f"{out}/files/batch=none")
+    committed = ledger().select("batch").distinct()  # a row for each batch
+    return spark.read.schema(INGESTED_SCHEMA).parquet(f"{out}/files").join(committed, "batch", "left_semi").drop("batch")
+
+
 # ----------------------------------------------------------------------------
 # STR-3 online learner
 # ----------------------------------------------------------------------------

@@ -96,3 +96,41 @@ def test_assemble_pages_edges(spark):
     assert rows[1].file_type == "scanned_pdf" and rows[1].text == "  short  \ntext"
     assert rows[2].file_type == "pdf" and rows[2].text == ("a" + " " * 60000 + "\n" + "b" * 100)[:50000]
     assert rows[3].text == ("x" * 49990 + "\n" + "y" * 30 + "\n" + "z" * 10)[:50000]
+
+
+def test_large_tree_in_rounds(spark, tmp_path):
+    """Ten thousand directories; the driver sees counts only, and small budgets give more rounds."""
+    from shelfspark.sources import tree as T
+    want = set()
+    for i in range(10_000):
+        d = tmp_path / f"a{i % 20}" / f"_b{i % 400}" / f"c{i}"
+        os.makedirs(d)
+        if i % 7 == 0:
+            (d / f"f{i}.txt").write_text("x" * (i % 5))
+            want.add((f"a{i % 20}/_b{i % 400}/c{i}/f{i}.txt", i % 5))
+    os.makedirs(tmp_path / ".git" / "deep")
+    (tmp_path / ".git" / "deep" / "no.txt").write_text("x")
+    for budget in (2000, 150):
+        got = {(r.path[len(str(tmp_path)) + 1:], r.size) for r in T.walk(spark, f"file:{tmp_path}", budget=budget).collect()}
+        assert got == want
+    assert {r.relative_path for r in S.list_files(spark, str(tmp_path), "a3/_b3").collect()} == {p for p, _ in want if p.startswith("a3/_b3/")}
+    assert T.walk(spark, str(tmp_path), recursive=False).collect() == []
+
+
+def test_missing_and_unreadable(spark, tmp_path):
+    row, = S.extract_files(spark, str(tmp_path / "gone")).collect()
+    assert row.error == f"Directory not found: {tmp_path}/gone" and row.filename == "gone"
+    (tmp_path / "dir.txt").mkdir()
+    files = spark.createDataFrame([(str(tmp_path / "no.txt"), 3), (None, 1), (str(tmp_path / "x.png"), None)], "path string, size long")
+    rows = {r.filename: r for r in S.extract_listed(files).collect()}
+    assert rows["no.txt"].error.startswith("Cannot read file") and rows["no.txt"].file_type == ".txt"
+    assert rows["x.png"].text == "[Image: x.png]"
+    assert S.extract_files(spark, str(tmp_path)).collect() == []
+
+
+def test_written_files_read_again(spark, tmp_path):
+    from shelfspark.sources import tree as T
+    rows = [(f"{tmp_path}/d{i % 3}/f{i}.txt", f"text {i}".encode()) for i in range(50)] + [(f"{tmp_path}/empty.md", None)]
+    assert T.write_files(spark.createDataFrame(rows, "path string, content binary")) == 51
+    got = {r.filepath: r.text for r in S.extract_files(spark, str(tmp_path), recursive=True).collect()}
+    assert got == {p: (c or b"").decode() for p, c in rows}

@@ -84,3 +84,48 @@ def test_streams_resume_after_a_restart(spark, tmp_path):
     whole = {k: _rows(job(spark)) for k, job in jobs.items()}
     for k in jobs:
         assert resumed[k] == whole[k] and first[k] != whole[k], k
+
+
+def test_files_come_out_once_whatever_is_lost(spark, tmp_path):
+    """A crash between the rows and the commit records, a lost checkpoint, files that come later."""
+    import os
+
+    import pytest
+    inbox = tmp_path / "in"
+    os.makedirs(inbox / "sub")
+    add = lambda *names: [(inbox / n).write_text(f"exam note {n}\nexam") for n in names]
+    add("a.txt", "sub/b.md", "c.bin", "broken.docx", ".hidden.txt", "sub/d.jpg")
+    cats, kws = X.dictionary(spark)
+
+    class Crash(Exception):
+        pass
+
+    def crash(batch_id):
+        if batch_id == 1:
+            raise Crash
+
+    def ingest(checkpoint, **more):
+        return J.stream_ingest_files(spark, str(inbox), cats, kws, checkpoint=str(tmp_path / checkpoint), sink=str(tmp_path / "out"), **more)
+
+    def names(df):
+        return sorted(r.path.rpartition("/")[2] for r in df.collect())
+
+    with pytest.raises(Exception, match="Crash"):
+        ingest("one", max_files=2, after_write=crash)
+    every = ["a.txt", "b.md", "broken.docx", "c.bin", "d.jpg"]
+    assert names(ingest("one", max_files=2)) == every
+    add("sub/late.md")
+    assert names(ingest("one")) == sorted([*every, "late.md"])
+    add("e.txt")
+    out = ingest("two", max_files=3)  # nothing is known to this checkpoint
+    assert names(out) == sorted([*every, "e.txt", "late.md"])
+    rows = {r.path.rpartition("/")[2]: r for r in out.collect()}
+    assert rows["broken.docx"].error.startswith("DOCX extraction failed") and rows["a.txt"].keywords == ["exam", "note", "a.txt"]
+    assert rows["d.jpg"].keywords == [] and rows["c.bin"].file_type == "unknown"
+    assert names(ingest("three")) == names(out)
+
+
+def test_empty_inbox(spark, tmp_path):
+    cats, kws = X.dictionary(spark)
+    (tmp_path / "in").mkdir()
+    assert J.stream_ingest_files(spark, str(tmp_path / "in"), cats, kws).collect() == []
