@@ -7,11 +7,12 @@ Top-k operators always carry a unique tie-break (path) before their limit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark import constants as K
 from shelfspark.functions.text import ascii_fold, path_name, sqlite_like
+from shelfspark.session import cut_lineage
 
 def file_defaults() -> dict:
     """Column defaults of the ``files`` table for inserted rows."""
@@ -109,40 +110,68 @@ def search_descriptions(descriptions: DataFrame, query: str, limit: int = K.DESC
             .orderBy(F.col("updated_at").desc(), F.col("path")).limit(limit))
 
 
-QUERY_CHUNK = 100_000
+#: Length of the grams of the search index, and how many of a query's rarest ones are intersected.
+GRAM, RAREST = 3, 3
+#: Rows of a query table (queries, their grams) that may be broadcast; a longer one is joined by shuffle.
+BROADCAST_QUERIES = 100_000
+#: Queries without a gram that one pass over the descriptions tests.
+SCAN_QUERIES = 5_000
+_NO_ESCAPE = "\u0001"
+
+
+def grams_of(text) -> Column:
+    """The distinct substrings of GRAM characters."""
+    starts = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(GRAM)))))
 
 
 def search_batch(descriptions: DataFrame, queries: DataFrame, limit: int = K.DESCRIPTION_LIMIT) -> DataFrame:
     """FLT-3: many queries (query_id, query) against all descriptions, AND of LIKE per
     term, top ``limit`` per query (newest first) and total hits per query.
 
-    The queries are broadcast, at most ``QUERY_CHUNK`` of them at a time, and the
-    descriptions stream past them; a larger batch is cut by a hash of the query id."""
-    n = queries.count()
-    if n > QUERY_CHUNK:
-        parts = -(-n // QUERY_CHUNK)
-        keyed = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-        out = None
-        for i in range(parts):
-            one = _search_chunk(descriptions, keyed.filter(F.col("_part") == i).drop("_part"), limit)
-            out = one if out is None else out.unionByName(one)
-        return out
-    return _search_chunk(descriptions, queries, limit)
-
-
-def _search_chunk(descriptions: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    q = queries.select("query_id", F.filter(F.split(F.trim(F.col("query")), r"(?U)\s+"),
-                                            lambda t: t != "").alias("terms"))
-    q = q.filter(F.size("terms") > 0).select(
-        "query_id", F.transform("terms", lambda t: F.concat(F.lit("%"), ascii_fold(t), F.lit("%"))).alias("pats"))
+    An inverted index over grams finds the candidates: a description that a query hits holds all grams of the
+    literal stretches of its terms. Postings are made for the queries' grams only; of these the rarest few of
+    each query are intersected, and candidates are checked by LIKE. Queries without such a stretch (short terms,
+    wildcards) are tested against every description, some thousand in a pass. A blank or null query and a null
+    description have no hits."""
+    q = queries.select("query_id", F.filter(F.split(F.trim(F.col("query")), r"(?U)\s+"), lambda t: t != "").alias("terms"))
+    q = cut_lineage(q.filter(F.size("terms") > 0).select(
+        F.monotonically_increasing_id().alias("_q"), "query_id", F.transform("terms", ascii_fold).alias("terms")), "queries")
+    small = q.count() <= BROADCAST_QUERIES
+    pats = F.transform("terms", lambda t: F.concat(F.lit("%"), t, F.lit("%"))).alias("pats")
+    chunks = F.flatten(F.transform("terms", lambda t: F.split(t, "[%_\u0001]")))
+    needed = q.select("_q", F.explode(F.array_distinct(F.flatten(F.transform(chunks, lambda c: F.coalesce(grams_of(c), F.array().cast("array<string>")))))).alias("gram"))
     d = descriptions.select("path", "updated_at", ascii_fold(F.col("description")).alias("_d"))
-    hit = F.forall("pats", lambda p: F.like(F.col("_d"), p, F.lit("\u0001")))
-    j = d.join(F.broadcast(q), hit, "inner").select("query_id", "path", "updated_at")
+    wanted = needed.select("gram").distinct()
+    held = d.select("path", F.explode(grams_of(F.col("_d"))).alias("gram"))
+    postings = cut_lineage(held.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_QUERIES else wanted, "gram", "left_semi").distinct(), "postings")
+    frequency = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = Window.partitionBy("_q").orderBy("n", "gram")
+    chosen = (needed.join(frequency, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+              .withColumn("nth", F.row_number().over(rare)).where(F.col("nth") <= RAREST)
+              .withColumn("grams", F.count(F.lit(1)).over(Window.partitionBy("_q"))).select("_q", "gram", "grams"))
+    candidates = (postings.join(F.broadcast(chosen) if small else chosen, "gram").groupBy("_q", "path")
+                  .agg(F.count(F.lit(1)).alias("met"), F.first("grams").alias("grams")).where("met = grams").select("_q", "path"))
+    ask = q.select("_q", "query_id", pats)
+    hit = F.forall("pats", lambda p: F.like(F.col("_d"), p, F.lit(_NO_ESCAPE)))
+    found = (candidates.join(d, "path").join(F.broadcast(ask) if small else ask, "_q").where(hit)
+             .select("_q", "query_id", "path", "updated_at"))
+    short = q.join(needed.select("_q").distinct(), "_q", "left_anti").select("_q", "query_id", pats)
+    hits = cut_lineage(found, "search-hits")
+    passes = -(-short.count() // SCAN_QUERIES)
+    for i in range(passes):  # a stated set of queries against all rows, in blocks
+        block = short.where(F.pmod(F.xxhash64("_q"), F.lit(passes)) == i).collect()
+        asked = F.array(*[F.struct(F.lit(r["_q"]).cast("bigint").alias("_q"), F.lit(r["query_id"]).alias("query_id"),
+                                   F.array(*[F.lit(p) for p in r["pats"]]).alias("pats")) for r in block])
+        if block:
+            met = F.filter(asked, lambda x: F.forall(x["pats"], lambda p: F.like(F.col("_d"), p, F.lit(_NO_ESCAPE))))
+            hits = hits.unionByName(d.select("path", "updated_at", F.explode(met).alias("m"))
+                                    .select("m._q", F.col("m.query_id").alias("query_id"), "path", "updated_at"))
     # per-query top-k (partial top-k before the shuffle) and hit counts by aggregate,
     # so a query matching most descriptions is never held in one window
     w = Window.partitionBy("query_id").orderBy(F.col("updated_at").desc(), F.col("path"))
-    top = j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    totals = j.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
+    top = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    totals = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
     return top.join(totals, "query_id").select("query_id", "path", "updated_at", "rank", "total_hits")
 
 

@@ -1045,9 +1045,14 @@ def q_delete_descriptions(spark, sf):
 
 
 def _batch_queries(spark, sf):
+    """Every two neighbouring words of every benchmark text; some cut short, some with wildcards."""
     b = X.table(spark, sf, "benchmark")
-    word = F.btrim(F.split(F.trim("text"), r"\s+").getItem(1), F.lit(K.KEYWORD_STRIP_CHARS))
-    return b.select(F.col("item_id").alias("query_id"), word.alias("query"))
+    words = b.select("item_id", F.split(F.trim("text"), r"\s+").alias("w")).select("item_id", "w", F.posexplode("w").alias("i", "x"))
+    x, y, i = F.col("x"), F.try_element_at("w", F.col("i") + 2), F.col("i")
+    y = (F.when(i % 11 == 3, F.substring(y, 1, 2)).when(i % 13 == 5, F.concat(F.substring(y, 1, 1), F.lit("_"), F.substring(y, 3, 1000)))
+         .when(i % 17 == 6, F.concat(F.substring(y, 1, 2), F.lit("%"), F.substring(y, 4, 1000))).otherwise(y))
+    x = F.when(i % 11 == 3, F.substring(x, 1, 2)).otherwise(x)
+    return words.select((F.col("item_id") * 1000 + i).alias("query_id"), F.concat_ws(" ", x, y).alias("query"))
 
 
 @register("search_batch", O.build(["descriptions"], f"""
@@ -1055,9 +1060,13 @@ SELECT query_id, path, updated_at, rank, total_hits FROM (
   SELECT q.query_id, d.path, d.updated_at,
          row_number() OVER (PARTITION BY q.query_id ORDER BY d.updated_at DESC, d.path) AS rank,
          count(*) OVER (PARTITION BY q.query_id) AS total_hits
-  FROM (SELECT item_id AS query_id, trim(string_split_regex(trim(text), '\\s+')[2], {O.STRIP}) AS query
-        FROM benchmark) q
-  JOIN descriptions d ON q.query <> '' AND {O.fold('d.description')} LIKE '%' || {O.fold('q.query')} || '%')
+  FROM (
+    SELECT item_id * 1000 + i AS query_id, list_filter([CASE WHEN i % 11 = 3 THEN substring(x, 1, 2) ELSE x END,
+           CASE WHEN i % 11 = 3 THEN substring(y, 1, 2) WHEN i % 13 = 5 THEN substring(y, 1, 1) || '_' || substring(y, 3, 1000)
+                WHEN i % 17 = 6 THEN substring(y, 1, 2) || '%' || substring(y, 4, 1000) ELSE y END], lambda t: t IS NOT NULL) AS terms
+    FROM (SELECT item_id, unnest(range(len(w))) AS i, unnest(w) AS x, unnest(list_concat(w[2:], [NULL::VARCHAR])) AS y
+          FROM (SELECT item_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark))) q
+  JOIN descriptions d ON len(list_filter(q.terms, lambda t: {O.fold('d.description')} LIKE '%' || {O.fold('t')} || '%')) = len(q.terms))
 WHERE rank <= 50"""))
 def q_search_batch(spark, sf):
     r = CAT.search_batch(X.descriptions(spark, sf), _batch_queries(spark, sf))

@@ -21,13 +21,28 @@ def test_dictionary_in_chunks(spark, monkeypatch, matcher):
     assert found.filter("file_id = 999999").count() == 1 == found.filter("file_id = 999999 and category_id is null").count()
 
 
-def test_query_batch_in_chunks(spark, monkeypatch):
+def test_query_batch_against_like(spark, monkeypatch):
+    """Whatever is broadcast and however many queries a pass takes, hits are those of LIKE."""
+    import re
     d = X.descriptions(spark, SF_SMALL)
-    q = spark.createDataFrame([(i, w) for i, w in enumerate(["the", "and of", "zzzz", "ing", "th er", "a"])], "query_id long, query string")
-    rows = lambda: sorted(str(r) for r in catalog.search_batch(d, q).collect())
-    whole = rows()
-    monkeypatch.setattr(catalog, "QUERY_CHUNK", 2)
-    assert rows() == whole
+    odd = [("p1", "100% SURE_thing of ab"), ("p2", None), ("p3", ""), ("p4", "ÄÖ äö Straße of")]
+    d = d.select("path", "description", "updated_at").unionByName(
+        spark.createDataFrame(odd, "path string, description string").withColumn("updated_at", X.F.lit(None).cast("timestamp_ntz")))
+    terms = ["the", "and of", "zzzz", "ing", "th er", "a", "%", "_", "100%", "s_r", "sure%ing of", "__%", "ÄÖ", "äö", "", "  ", None, "Straße OF ab",
+             "of the on in", "\u3000the\u3000"]
+    q = spark.createDataFrame(list(enumerate(terms)), "query_id long, query string")
+    fold = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    like = lambda t: re.compile("(?s).*" + "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in fold(t)) + ".*")
+    rows = [(r.path, r.description) for r in d.collect()]
+    want = {(i, p) for i, t in enumerate(terms) if t and t.split() for p, x in rows if x is not None and all(like(w).fullmatch(fold(x)) for w in t.split())}
+    found = lambda: {(r.query_id, r.path) for r in catalog.search_batch(d, q, limit=10**6).collect()}
+    assert found() == want
+    plan = catalog.search_batch(d, q)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    monkeypatch.setattr(catalog, "BROADCAST_QUERIES", 0)
+    monkeypatch.setattr(catalog, "SCAN_QUERIES", 2)
+    assert found() == want
+    assert catalog.search_batch(d, q.limit(0)).collect() == [] == catalog.search_batch(d.limit(0), q).collect()
 
 
 def test_no_shared_folder_off_local_masters(spark, monkeypatch):
