@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,38 +66,90 @@ def unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def pre_tokens(texts: pa.Array, findall) -> tuple[np.ndarray, np.ndarray, list[str]]:
+#: Latin letters, then ASCII punctuation but the apostrophe: two pre-tokens, split in C++.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_LETTERS = "".join(c for c in map(chr, range(256)) if re.match(f"[{_LATIN}]", c))
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_PLAIN = f"^[{_LATIN}]+[!-&(-/:-@\\[-`{{-~]*$"
+
+
+def splits_plainly(findall) -> bool:
+    """Whether a pattern takes letters, with a space before them, and then marks, as two matches."""
+    return (findall(" " + _LETTERS + _MARKS) == [" " + _LETTERS, _MARKS] and findall(_LETTERS + _MARKS) == [_LETTERS, _MARKS]
+            and all(findall(f"{s}a{m}") == [f"{s}a", m] for s in ("", " ") for m in _MARKS))
+
+
+def pre_tokens(texts: pa.Array, findall) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(numbers, offsets, words): the pre-tokens of the texts as numbers of distinct words.
 
     A single space always begins a pre-token, so a text may be cut before its spaces, as long as
-    no part is empty or begins or ends with white space; other texts are matched whole."""
+    no part is empty or begins or ends with white space; other texts are matched whole. Of the
+    distinct parts, those of letters and then marks are split in C++ and the others by the pattern."""
     codes, offsets, parts = words_of(texts)
-    parts = parts.to_pylist()
-    odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in parts), bool, len(parts))
+    plain = pc.match_substring_regex(parts, _PLAIN) if splits_plainly(findall) else pa.array(np.zeros(len(parts), bool))
+    is_plain = plain.to_numpy(zero_copy_only=False)
+    others = np.flatnonzero(~is_plain)
+    other_parts = parts.take(pa.array(others)).to_pylist()
+    odd = np.zeros(len(parts), bool)
+    odd[others] = [not p or p[0].isspace() or p[-1].isspace() for p in other_parts]
     rows = np.repeat(np.arange(len(texts)), np.diff(offsets))
     whole = np.zeros(len(texts), bool)
     whole[rows[odd[codes]]] = True
     keys = 2 * codes + 1  # odd: after a space
     keys[offsets[:-1]] -= 1
     used = ~whole[rows]
-    distinct, at = np.unique(keys[used], return_inverse=True)
+    seen = np.zeros(2 * len(parts), bool)
+    seen[keys[used]] = True
+    distinct = np.flatnonzero(seen)
+    place = np.cumsum(seen) - 1
+    # the plain parts: letters after a space, letters, marks
+    usual = parts.filter(plain)
+    letters = pc.utf8_rtrim(usual, characters=_MARKS).dictionary_encode()
+    marks = pc.utf8_ltrim(usual, characters=_LETTERS).dictionary_encode()
+    n, m = len(letters.dictionary), len(marks.dictionary)
+    nth = np.cumsum(is_plain) - 1
+    of = distinct[is_plain[distinct >> 1]]
+    letter, mark = letters.indices.to_numpy()[nth[of >> 1]] if n else of, marks.indices.to_numpy()[nth[of >> 1]] if m else of
+    has_mark = pc.not_equal(marks.dictionary, "").to_numpy(zero_copy_only=False)[mark] if m else np.zeros(0, bool)
+    # the others, and the texts that are not cut
     numbers: dict[str, int] = {}
-    found = [[numbers.setdefault(w, len(numbers)) for w in findall(" " + parts[k >> 1] if k & 1 else parts[k >> 1])]
-             for k in distinct.tolist()]
+    text_of = dict(zip(others.tolist(), other_parts))
+    found = [[numbers.setdefault(w, len(numbers)) for w in findall(" " + text_of[k >> 1] if k & 1 else text_of[k >> 1])]
+             for k in distinct[~is_plain[distinct >> 1]].tolist()]
     found += [[numbers.setdefault(w, len(numbers)) for w in findall(texts[int(i)].as_py())] for i in np.flatnonzero(whole)]
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    starts = np.cumsum(lengths) - lengths
-    flat = np.fromiter((n for f in found for n in f), np.int32, int(lengths.sum()))
+    words = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" ", letters.dictionary.type), letters.dictionary, pa.scalar("", letters.dictionary.type)),
+                              letters.dictionary, marks.dictionary, pa.array(list(numbers), letters.dictionary.type)]).dictionary_encode()
+    number = words.indices.to_numpy()
     # one entry for each part of a text that is cut, one for each text that is not
+    lengths = np.empty(len(distinct) + int(whole.sum()), np.int64)
+    by_pattern = np.concatenate([~is_plain[distinct >> 1], np.ones(int(whole.sum()), bool)])
+    lengths[np.flatnonzero(~by_pattern)] = 1 + has_mark
+    lengths[by_pattern] = np.fromiter(map(len, found), np.int64, len(found))
+    starts = np.cumsum(lengths) - lengths
+    flat = np.empty(int(lengths.sum()), np.int32)
+    first = starts[np.flatnonzero(~by_pattern)]
+    flat[first] = number[np.where(of & 1, letter, n + letter)] if n else 0
+    flat[first[has_mark] + 1] = number[2 * n + mark[has_mark]] if m else 0
+    mask = np.ones(len(flat), bool)
+    mask[first] = mask[first[has_mark] + 1] = False
+    listed = np.fromiter((n for f in found for n in f), np.int64, int(mask.sum()))
+    flat[mask] = number[2 * n + m + listed] if len(listed) else 0
     entry = np.empty(len(codes), np.int64)
-    entry[used] = at
-    first = np.zeros(len(codes), bool)
-    first[offsets[:-1]] = True
-    entry[first & ~used] = len(distinct) + np.arange(whole.sum())
-    keep = used | first
+    entry[used] = place[keys[used]]
+    start_of = np.zeros(len(codes), bool)
+    start_of[offsets[:-1]] = True
+    entry[start_of & ~used] = len(distinct) + np.arange(whole.sum())
+    keep = used | start_of
     entry, rows = entry[keep], rows[keep]
     counts = np.bincount(rows, weights=lengths[entry], minlength=len(texts)).astype(np.int64)
-    return gather(flat, starts[entry], lengths[entry]), np.concatenate([[0], np.cumsum(counts)]), list(numbers)
+    return _used(gather(flat, starts[entry], lengths[entry]), words.dictionary, np.concatenate([[0], np.cumsum(counts)]))
+
+
+def _used(numbers: np.ndarray, words: pa.Array, offsets: np.ndarray):
+    """Only the words that occur."""
+    seen = np.zeros(len(words), bool)
+    seen[numbers] = True
+    return (np.cumsum(seen) - 1).astype(np.int32)[numbers], offsets, words.filter(pa.array(seen))
 
 
 def _blocks(batches, match, buckets):
@@ -108,13 +162,13 @@ def _blocks(batches, match, buckets):
     for batch in batches:
         for part in slices(batch, limit=BLOCK_BYTES):
             numbers, offsets, words = pre_tokens(texts_of(part), findall)
-            coded = [w.encode() for w in words]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in coded), np.int64, len(coded))
-            order = np.lexsort((np.argsort(np.argsort(np.array(coded, object), kind="stable")), bucket)) if coded else np.zeros(0, np.int64)
+            coded = words.cast(pa.large_binary())
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in coded.to_pylist()), np.int64, len(coded))
+            order = pc.sort_indices(pa.table({"b": bucket, "w": coded}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
-            ordered = [coded[i] for i in order]
-            yield (block, zlib.crc32(b"\0".join(ordered)), part, place[numbers] if len(numbers) else numbers, offsets, ordered,
+            ordered = coded.take(pa.array(order))
+            yield (block, zlib.crc32(b"\0".join(ordered.to_pylist())), part, place[numbers] if len(numbers) else numbers, offsets, ordered,
                    np.searchsorted(bucket[order], np.arange(buckets + 1)))
             block += 1
 
@@ -131,7 +185,7 @@ def encode_decode(docs: DataFrame, ranks: bytes, match: str, id_col: str = "doc_
         for block, crc, _, _, _, words, cuts in _blocks(batches, match, buckets):
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 yield pa.record_batch({"bucket": pa.array([b], pa.int32()), "block": [block], "crc": [crc],
-                                       "words": [packed(w=pa.array(words[cuts[b]:cuts[b + 1]], pa.binary()))]})
+                                       "words": [packed(w=words[cuts[b]:cuts[b + 1]])]})
 
     def keep_positions(batches):
         for block, crc, part, numbers, offsets, words, _ in _blocks(batches, match, buckets):
