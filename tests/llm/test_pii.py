@@ -41,6 +41,13 @@ def test_patterns_against_plain_regular_expressions():
         text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
         assert base_spans(text) == plain(text), text
     assert base_spans("1" * 200000 + "." + "a" * 200000 + "@") == []
+    for k in range(4):  # more digits than int() takes, in every part
+        parts = ["1", "2", "3", "4"]
+        parts[k] = "0" * 10_000 + "25"
+        text = "x " + ".".join(parts)
+        assert base_spans(text) == [(2, 1, len(text))]
+        parts[k] = "0" * 10_000 + "256"
+        assert base_spans("x " + ".".join(parts)) == []
 
 
 def test_viterbi_and_likelihood_against_enumeration(field):
