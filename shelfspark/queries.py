@@ -1140,6 +1140,13 @@ def q_throttle_audit(spark, sf):
     return STR.throttle_batch(X.attempts(spark, sf), THROTTLE_LIMIT, THROTTLE_WINDOW_S)
 
 
+@register("stream_throttle_ordered", f"""
+SELECT key, event_id, ts, allowed, remaining FROM ({_THROTTLE_SQL})
+WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def q_stream_throttle_ordered(spark, sf):
+    return STR.stream_throttle_ordered(spark, sf, THROTTLE_LIMIT, THROTTLE_WINDOW_S)
+
+
 @register("stream_throttle", _THROTTLE_SQL)
 def q_stream_throttle(spark, sf):
     return STR.stream_throttle(spark, sf, THROTTLE_LIMIT, THROTTLE_WINDOW_S)

@@ -12,6 +12,8 @@ stop. Static sides are written once per call, not computed per micro-batch.
 
 from __future__ import annotations
 
+import contextlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,37 +230,74 @@ def stream_corrections(spark: SparkSession, sf_dir: str, checkpoint: str | None
 
 THROTTLE_OUT = "key string, event_id bigint, ts timestamp_ntz, allowed boolean, remaining int"
 
+#: Most attempts of a burst that one task scans.
+THROTTLE_SEGMENT = 1_000_000
+#: Rounds in which all segments with a wrong state are scanned again; later ones take a burst's first.
+THROTTLE_WIDE_ROUNDS = 4
+
+
+class _Window:
+    """The rule for one key: at most ``limit`` timestamps of allowed attempts."""
 
-THROTTLE_KEY_BOUND = 1_000_000
+    def __init__(self, limit: int, window_s: int, kept=()):
+        self.limit, self.width, self.kept = limit, window_s * 1_000_000, [int(x) for x in kept]
 
+    def attempt(self, t: int) -> tuple[bool, int]:
+        while self.kept and t - self.kept[0] >= self.width:
+            del self.kept[0]
+        left = self.limit - len(self.kept)
+        if left > 0:
+            self.kept.append(int(t))
+        return left > 0, max(0, left)
 
-def _throttle_scan(limit: int, window_s: int, group_cols: list[str]):
+
+def _throttle_scan(limit: int, window_s: int, group_cols: list[str], starts: str | None = None):
     """mapInPandas body over rows clustered by ``group_cols`` and sorted by them, then
     (t, event_id): one linear pass, the state is the group's last <= ``limit`` allowed
-    timestamps and is carried across Arrow batches of the same task."""
-    w_us = window_s * 1_000_000
-
+    timestamps and is carried across Arrow batches of the same task. ``starts``: a column with
+    the state at the group's begin."""
     def run(batches):
         import pandas as pd
-        cur, kept = None, []
+        cur, rule = None, None
         for pdf in batches:
             allowed, remaining = [], []
             groups = zip(*[pdf[c] for c in group_cols])
-            for g, t in zip(groups, pdf["t"]):
+            begin = pdf[starts] if starts else [()] * len(pdf)
+            for g, t, kept in zip(groups, pdf["t"], begin):
                 if g != cur:
-                    cur, kept = g, []
-                kept = [x for x in kept if t - x < w_us]
-                ok = len(kept) < limit
+                    cur, rule = g, _Window(limit, window_s, () if kept is None else kept)
+                ok, left = rule.attempt(t)
                 allowed.append(ok)
-                remaining.append(max(0, limit - len(kept)))
-                if ok:
-                    kept.append(int(t))
+                remaining.append(left)
             yield pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "ts": pdf["ts"],
                                 "allowed": allowed, "remaining": pd.Series(remaining, dtype="int32")})
 
     return run
 
 
+_STATES = "key string, burst bigint, segment bigint, starts array<bigint>, ends array<bigint>"
+
+
+def _throttle_states(limit: int, window_s: int):
+    """mapInPandas body over clustered, sorted segments: only the state at each segment's begin and end."""
+    def run(batches):
+        import pandas as pd
+        cur, rule, out = None, None, []
+        for pdf in batches:
+            for key, burst, segment, t, starts in zip(pdf["key"], pdf["burst"], pdf["segment"], pdf["t"], pdf["starts"]):
+                if (key, burst, segment) != cur:
+                    cur, rule = (key, burst, segment), _Window(limit, window_s, starts)
+                    out.append((*cur, list(starts), rule))
+                rule.attempt(t)
+            if len(out) > 1:  # the last one may go on in the next batch
+                yield pd.DataFrame([(*r[:4], list(r[4].kept)) for r in out[:-1]], columns=["key", "burst", "segment", "starts", "ends"])
+                out = out[-1:]
+        if out:
+            yield pd.DataFrame([(*r[:4], list(r[4].kept)) for r in out], columns=["key", "burst", "segment", "starts", "ends"])
+
+    return run
+
+
 def throttle_batch(attempts: DataFrame, limit: int = K.MAX_ATTEMPTS,
                    window_s: int = K.ATTEMPT_WINDOW_SECONDS, partitions: int | None = None,
                    key_bound: int | None = None) -> DataFrame:
@@ -272,9 +311,10 @@ def throttle_batch(attempts: DataFrame, limit: int = K.MAX_ATTEMPTS,
     bursts: a gap of at least ``window_s`` after the previous attempt empties the
     state exactly, so bursts are independent. Burst ids come from distributed
     per-key ranks and prefix sums (``operators.ordered``), and the scan is clustered
-    by (key, burst), spreading a hot key over many tasks."""
+    by (key, burst), spreading a hot key over many tasks. A burst of more than ``key_bound``
+    attempts (a key without a pause) is cut into segments, see ``_segment_states``."""
     from shelfspark.operators.ordered import prefix_sum_within, ranked_within
-    bound = THROTTLE_KEY_BOUND if key_bound is None else key_bound
+    bound = THROTTLE_SEGMENT if key_bound is None else key_bound
     a = attempts.select("key", "event_id", "ts", ntz_micros("ts").alias("t"))
     n = partitions or max(attempts.sparkSession.sparkContext.defaultParallelism * 2, 8)
     biggest = a.groupBy("key").count().agg(F.max("count")).first()[0] or 0
@@ -287,9 +327,45 @@ def throttle_batch(attempts: DataFrame, limit: int = K.MAX_ATTEMPTS,
     r = r.join(prev, ["key", "_r"], "left").withColumn(
         "_gap", F.when(F.col("_prev_t").isNull() | (F.col("t") - F.col("_prev_t") >= w_us), 1).otherwise(0))
     r = prefix_sum_within(r, ["key"], ["t", "event_id"], "_gap", "burst")
-    clustered = (r.select("key", "burst", "event_id", "ts", "t").repartition(n, "key", "burst")
-                 .sortWithinPartitions("key", "burst", "t", "event_id"))
-    return clustered.mapInPandas(_throttle_scan(limit, window_s, ["key", "burst"]), THROTTLE_OUT)
+    first = r.where("_gap = 1").select("key", "burst", F.col("_r").alias("_first"))
+    r = cut_lineage(r.join(first, ["key", "burst"]).select("key", "burst", "event_id", "ts", "t",
+                           F.expr(f"(_r - _first) div {max(1, bound)}").alias("segment")), "throttle-segments")
+    starts = _segment_states(r, limit, window_s, n)
+    group = ["key", "burst", "segment"]
+    clustered = r.join(starts, group, "left").repartition(n, *group).sortWithinPartitions(*group, "t", "event_id")
+    return clustered.mapInPandas(_throttle_scan(limit, window_s, group, "starts"), THROTTLE_OUT)
+
+
+def _segment_states(rows: DataFrame, limit: int, window_s: int, n: int) -> DataFrame:
+    """(key, burst, segment, starts): the state, at most ``limit`` timestamps, at the begin of every segment
+    but a burst's first.
+
+    All segments are scanned at once from an empty state. A segment whose begin differs from the end of
+    the one before is scanned again from that end, until none does; each round settles at least one more
+    segment of each burst, and usually many, as the rule forgets: where fewer than ``limit`` attempts
+    fall in a window once, both scans go on alike. After some rounds only the first wrong segment of a
+    burst is scanned, so that a burst that never forgets costs one scan more and not one for each pair."""
+    group = ["key", "burst", "segment"]
+    several = rows.where("segment > 0").select("key", "burst").distinct()
+    rows = rows.join(several, ["key", "burst"], "left_semi").select(*group, "t", "event_id")
+    empty = F.array().cast("array<bigint>")
+
+    def scan(chosen: DataFrame) -> DataFrame:
+        clustered = chosen.repartition(n, *group).sortWithinPartitions(*group, "t", "event_id")
+        return clustered.mapInPandas(_throttle_states(limit, window_s), _STATES)
+
+    states = cut_lineage(scan(rows.withColumn("starts", empty)), "throttle-states")
+    done = 0
+    while True:
+        before = states.select("key", "burst", (F.col("segment") + 1).alias("segment"), F.col("ends").alias("due"))
+        wrong = cut_lineage(states.join(before, group).where("starts != due").select(*group, F.col("due").alias("starts")), "throttle-wrong")
+        if wrong.isEmpty():
+            return states.where("segment > 0").select(*group, "starts")
+        if done >= THROTTLE_WIDE_ROUNDS:
+            wrong = wrong.groupBy("key", "burst").agg(F.min(F.struct("segment", "starts")).alias("m")).select("key", "burst", "m.*")
+        again = scan(rows.join(wrong, group))
+        states = cut_lineage(states.join(wrong, group, "left_anti").unionByName(again), "throttle-states")
+        done += 1
 
 
 THROTTLE_LATENESS = "1 hour"
@@ -321,6 +397,98 @@ def _throttle_state_fn(limit: int, window_s: int):
     return fn
 
 
+def _timestamp_of(micros) -> "pd.Timestamp":
+    return pd.Timestamp(int(micros), unit="us")
+
+
+def throttle_stream_ordered(attempts_stream: DataFrame, limit: int = K.MAX_ATTEMPTS, window_s: int = K.ATTEMPT_WINDOW_SECONDS,
+                            lateness: str = THROTTLE_LATENESS) -> DataFrame:
+    """Stream form that answers an attempt when the watermark has passed it, in (ts, event_id) order, so
+    that files in any order within ``lateness`` give the batch rule's result. A key's state is its waiting
+    attempts (a list of the state store, appended to) and at most ``limit`` timestamps; a timer at the
+    earliest waiting attempt wakes the key. Needs the RocksDB state store (``ordered_store``)."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Rule(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "t bigint, event_id bigint")
+            self.kept = handle.getValueState("kept", "times array<bigint>")
+            self.due = handle.getValueState("due", "ms bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            first = None
+            for pdf in rows:
+                if len(pdf):
+                    self.waiting.appendList(list(zip(pdf["t"].astype("int64").tolist(), pdf["event_id"].astype("int64").tolist())))
+                    least = int(pdf["t"].min())
+                    first = least if first is None else min(first, least)
+            if first is not None:
+                self._wake(first // 1000 + 1)
+            yield pd.DataFrame()
+
+        def _wake(self, ms):
+            due = self.due.get()
+            if due is None or ms < due[0]:
+                if due is not None:
+                    self.handle.deleteTimer(due[0])
+                self.handle.registerTimer(ms)
+                self.due.update((ms,))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            rows = sorted((int(t), int(i)) for t, i in self.waiting.get())
+            ready = [r for r in rows if r[0] <= passed]
+            left = rows[len(ready):]
+            kept = self.kept.get()
+            rule = _Window(limit, window_s, kept[0] if kept else ())
+            answers = [(key[0], i, _timestamp_of(t), *rule.attempt(t)) for t, i in ready]
+            self.due.clear()
+            if left:
+                self.waiting.put(left)
+                self._wake(left[0][0] // 1000 + 1)
+            else:
+                self.waiting.clear()
+            if rule.kept and (left or passed - rule.kept[-1] < rule.width):
+                self.kept.update((rule.kept,))
+                if not left:  # wake once more to forget
+                    self._wake((rule.kept[-1] + rule.width) // 1000 + 1)
+            else:
+                self.kept.clear()
+            yield pd.DataFrame(answers, columns=["key", "event_id", "ts", "allowed", "remaining"])
+
+        def close(self):
+            pass
+
+    a = (attempts_stream.select("key", "event_id", ntz_micros("ts").alias("t"), ntz_to_instant("ts").alias("event_time"))
+         .withWatermark("event_time", lateness))
+    return a.groupBy("key").transformWithStateInPandas(Rule(), THROTTLE_OUT, "append", "EventTime")
+
+
+@contextlib.contextmanager
+def ordered_store(spark: SparkSession):
+    """The state store that timers and lists need, for the streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def stream_throttle_ordered(spark: SparkSession, sf_dir: str, limit: int, window_s: int, checkpoint: str | None = None,
+                            sink: str | None = None, max_files: int | None = None, lateness: str = THROTTLE_LATENESS) -> DataFrame:
+    """The answers of all attempts that the watermark has passed."""
+    ev = stream_table(spark, sf_dir, "events", EVENTS_SCHEMA, max_files)
+    att = ev.select(F.col("user_id").cast("string").alias("key"), "event_id", "ts")
+    out = sink or shared_scratch(spark, "throttle-ordered")
+    with ordered_store(spark):
+        run(throttle_stream_ordered(att, limit, window_s, lateness).writeStream.outputMode("append").format("parquet")
+            .option("path", out), checkpoint or shared_scratch(spark, "throttle-ordered-ckpt"))
+    return spark.read.schema(THROTTLE_OUT).parquet(out)
+
+
 def throttle_stream(spark: SparkSession, attempts_stream: DataFrame, limit: int = K.MAX_ATTEMPTS,
                     window_s: int = K.ATTEMPT_WINDOW_SECONDS, lateness: str = THROTTLE_LATENESS) -> DataFrame:
     """Stream form: state per key is at most ``limit`` timestamps and goes once the watermark

@@ -154,7 +154,7 @@ def test_greedy_rounds_vs_sequential(spark):
     assert got == O.py_greedy(pairs)
 
 
-@pytest.mark.parametrize("partitions,bound", [(1, None), (5, None), (5, 0)])
+@pytest.mark.parametrize("partitions,bound", [(1, None), (5, None), (5, 0), (5, 7), (3, 100)])
 def test_throttle_vs_python(spark, partitions, bound):
     rng = random.Random(6)
     from datetime import datetime, timedelta
@@ -169,6 +169,26 @@ def test_throttle_vs_python(spark, partitions, bound):
     assert got == sorted(O.py_throttle(ev, 5, 60))
 
 
+@pytest.mark.parametrize("wide", [4, 0])
+def test_endless_burst_vs_python(spark, monkeypatch, wide):
+    """One key without a pause, of steady attempts (which never forget) and of random ones, in segments."""
+    from datetime import datetime, timedelta
+
+    from shelfspark.streaming import jobs
+    monkeypatch.setattr(jobs, "THROTTLE_WIDE_ROUNDS", wide)
+    rng = random.Random(9)
+    at, ev = {"steady": 0.0, "random": 0.0, "short": 0.0}, []
+    for i in range(400):
+        at["steady"] += 7
+        at["random"] += rng.choice([0, 1, 3, 40])
+        ev += [("steady", at["steady"], 2 * i), ("random", at["random"], 2 * i + 1)]
+    ev += [("short", float(i), 5000 + i) for i in range(9)]
+    rng.shuffle(ev)
+    df = spark.createDataFrame([(k, i, datetime(2024, 1, 1) + timedelta(seconds=t)) for k, t, i in ev], "key string, event_id long, ts timestamp_ntz")
+    got = sorted((r.key, r.event_id, r.allowed, r.remaining) for r in throttle_batch(df, 5, 60, partitions=4, key_bound=150).collect())
+    assert got == sorted(O.py_throttle(ev, 5, 60))
+
+
 def test_collisions_vs_sequential(spark):
     rng = random.Random(7)
     names = ["a.txt", "a_1.txt", "a_2.txt", "b", "b_1", "c.tar.gz", "c.tar_1.gz", ".hidden", "d_01.txt"]
