@@ -206,15 +206,11 @@ def category_ids() -> list[str]:
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as corrections: from category doc_id % 7 (by Chinese name), to category
-    (doc_id + 1 + toxic) % 7 (by id); keywords are the first five extracted keywords."""
-    from shelfspark.operators.keywords import top_keywords
+    (doc_id + 1 + toxic) % 7 (by id); keywords are all extracted keywords."""
+    from shelfspark.operators.keywords import keyword_lists
     labels = table(spark, sf_dir, "labels")
     files = raw_files(spark, sf_dir)
-    kws = top_keywords(files.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text")),
-                       top_k=5)
-    kw_arr = kws.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda s: s["keyword"])
-        .alias("keywords"))
+    kw_arr = keyword_lists(files.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text")))
     zh = F.array(*[F.lit(c["name_zh"]) for c in K.SEED_CATEGORIES])
     ids = F.array(*[F.lit(c["id"]) for c in K.SEED_CATEGORIES])
     return (labels.join(files.select(F.col("file_id").alias("doc_id"), "path"), "doc_id")
@@ -234,35 +230,46 @@ ARCHIVED_EVERY = 23  # files with file_id % 23 = 0 start in _archive (so archive
 
 
 def classified_files(spark: SparkSession, sf_dir: str, locale: str = "zh") -> DataFrame:
-    """Classification of the raw files with the seed + fixture dictionary and no
-    extracted keywords (the FIXTURES golden)."""
+    """Classification of the raw files with the seed + fixture dictionary and the
+    extracted keywords."""
     from shelfspark.operators.classify import classify
     cats, kws = dictionary(spark)
-    files = raw_files(spark, sf_dir).withColumn("keywords", F.array().cast("array<string>"))
-    return classify(files, cats, kws, locale=locale)
+    return classify(keyword_files(spark, sf_dir), cats, kws, locale=locale)
+
+
+def keyword_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw files with their extracted keywords, in one pass over the texts."""
+    from shelfspark.operators.classify import spread
+    from shelfspark.operators.keywords import with_keywords
+    return with_keywords(spread(raw_files(spark, sf_dir)), "extracted_text")
+
 
+CATALOG_COLUMNS = ("path", "directory", "original_name", "file_type", "keywords", "file_size", "importance", "starred", "created_at")
 
-def catalog_files(spark: SparkSession, sf_dir: str, with_access: bool = True) -> DataFrame:
+
+def catalog_files(spark: SparkSession, sf_dir: str, with_access: bool = True, **marks) -> DataFrame:
     """The ``files`` catalogue table: raw files + category + extracted keywords, then
-    the access log rolled up into view_count / last_accessed."""
+    the access log rolled up into view_count / last_accessed.
+
+    The texts are read in one pass that extracts keywords, finds dictionary rows and computes ``marks`` (named
+    expressions over the raw files and their keywords); its rows, without the texts, are written once."""
     from shelfspark.operators.catalog import apply_access_log
-    from shelfspark.operators.keywords import keyword_lists
-    raw = raw_files(spark, sf_dir)
-    cls = classified_files(spark, sf_dir).select("file_id", "category", "confidence")
-    kw = keyword_lists(raw.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text")))
-    # one row per document already; stating it as an aggregate keyed by doc_id lets
-    # Catalyst drop this left join (and the extraction) for queries that use no
-    # keyword column, and costs nothing otherwise (the join needs that partitioning)
-    kw = kw.groupBy("doc_id").agg(F.first("keywords").alias("keywords"))
-    files = (raw.join(cls, "file_id").join(kw.withColumnRenamed("doc_id", "file_id"), "file_id", "left")
+    from shelfspark.operators.classify import annotate, classify_annotated, prepare
+    from shelfspark.session import cut_lineage
+    cats, kws = dictionary(spark)
+    carry = (*CATALOG_COLUMNS, *marks)
+    files = keyword_files(spark, sf_dir).withColumns(marks) if marks else keyword_files(spark, sf_dir)
+    rows, indexed = annotate(prepare(files, carry), cats, kws, carry)
+    rows = cut_lineage(rows, "catalog-scan")
+    cls = classify_annotated(rows, indexed, cats, kws).select("file_id", "category", "confidence")
+    files = (rows.select("file_id", *carry).join(cls, "file_id")
              .select("file_id", "path", "directory", "original_name",
                      F.when(F.pmod("file_id", F.lit(ARCHIVED_EVERY)) == 0, F.lit(K.ARCHIVE))
                      .otherwise(F.col("category")).alias("category"),
-                     "file_type", "extracted_text",
-                     F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
+                     "file_type", "keywords",
                      "file_size", "confidence", "importance", "starred",
                      F.lit(0).cast("bigint").alias("view_count"), "created_at",
-                     F.col("created_at").alias("last_accessed"), F.col("created_at").alias("last_modified")))
+                     F.col("created_at").alias("last_accessed"), F.col("created_at").alias("last_modified"), *marks))
     if with_access:
         files = apply_access_log(files, access_log(spark, sf_dir))
     return files

@@ -71,14 +71,18 @@ def json_lines(df: DataFrame, path: str | None = None) -> DataFrame:
 # FLT-1 file search
 # ----------------------------------------------------------------------------
 
-def search_files(files: DataFrame, query: str, limit: int = K.SEARCH_LIMIT) -> DataFrame:
-    """original_name, any keyword element or extracted_text LIKE %query% (SQLite
-    rules), ordered importance desc, view_count desc, path; top ``limit``."""
-    hit = (sqlite_like(F.col("original_name"), query)
-           | F.exists(F.coalesce("keywords", F.array().cast("array<string>")),
-                      lambda k: sqlite_like(k, query))
-           | sqlite_like(F.col("extracted_text"), query))
-    return (files.filter(hit)
+def search_hit(query: str) -> Column:
+    """original_name, any keyword element or extracted_text LIKE %query% (SQLite rules), to be taken
+    where the text is read."""
+    return F.coalesce(sqlite_like(F.col("original_name"), query)
+                      | F.exists(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: sqlite_like(k, query))
+                      | sqlite_like(F.coalesce("extracted_text", F.lit("")), query), F.lit(False))
+
+
+def search_files(files: DataFrame, query: str | None = None, limit: int = K.SEARCH_LIMIT) -> DataFrame:
+    """Files that ``search_hit`` finds, ordered importance desc, view_count desc, path; top ``limit``. Without a
+    ``query``, files has the hits as a column ``hit``, so that no text is moved with the catalogue."""
+    return (files.filter(F.col("hit") if query is None else search_hit(query))
             .select("path", "category", "file_type", "original_name", "view_count", "importance",
                     "confidence", "last_accessed")
             .orderBy(F.col("importance").desc(), F.col("view_count").desc(), F.col("path"))

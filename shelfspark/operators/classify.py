@@ -1,10 +1,11 @@
 """Weighted-dictionary classification (CLS-1..12).
 
 Plan:
-  files ──project(hay, name, joined keywords, locale)──> mapInPandas: one pass of an
-  Aho-Corasick automaton over each text, for the dictionary rows of one chunk
-      -> (file_id, dictionary row, tier)  [text is dropped here]  -> join dictionary
-  (extension bonuses are 'ext' dictionary rows; unmatched files keep one empty row)
+  files ──project(hay, name, joined keywords, locale)──> mapInArrow: each text is read once and
+  passes the Aho-Corasick automata of all shards of the dictionary
+      -> one row per file: (file_id, array of (dictionary row, tier))  [text is dropped here]
+  -> explode -> join dictionary  (extension bonuses are 'ext' dictionary rows; unmatched files
+     keep one empty row)
   -> ONE shuffle: repartition by file_id
   -> aggregate (file_id, category_id) -> window rank per file -> aggregate per file
      (all three reuse the file_id partitioning; no further exchange)
@@ -17,13 +18,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from shelfspark import constants as K
 from shelfspark.functions.text import detect_language, name_suffix
+from shelfspark.session import cut_lineage
 
-# Dictionary rows that are collected, built into an automaton and broadcast at a time;
-# a larger dictionary is matched chunk by chunk, which is exact.
+# Dictionary rows of one automaton, and those that one scan of the texts takes, as shards that are
+# broadcast; a larger dictionary is matched by several scans, which is exact.
 BROADCAST_KEYWORD_CHUNK = 50_000
+SCAN_KEYWORDS = 1_000_000
+# Dictionary rows that go with the plan; more are written once, and joined by shuffle beyond the second.
+PLAN_ROWS, BROADCAST_ROWS = 5_000, 500_000
 CONTRIB = "decimal(22,9)"
 
 
@@ -37,15 +43,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def prepare(files: DataFrame) -> DataFrame:
+def prepare(files: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """CLS-1: haystack and document locale. ``files`` needs file_id, original_name,
-    extracted_text, keywords (array<string>, may be NULL)."""
-    files = spread(files)
+    extracted_text, keywords (array<string>, may be NULL); the columns ``carry`` go along."""
     name_l = F.lower(F.coalesce(F.col("original_name"), F.lit("")))
     text = F.coalesce(F.col("extracted_text"), F.lit(""))
     kwj = F.lower(F.array_join(F.coalesce(F.col("keywords"), F.array().cast("array<string>")), " "))
     return files.select(
-        "file_id",
+        *carry, "file_id",
         name_l.alias("_name"),
         kwj.alias("_kwj"),
         F.concat_ws(" ", name_l, F.lower(text), kwj).alias("_hay"),
@@ -58,11 +63,10 @@ def _weighted(weight, tier, bonus) -> F.Column:
     return (weight.cast("decimal(18,8)") * (tier.cast("decimal(2,0)") * bonus.cast("decimal(2,1)"))).cast(CONTRIB)
 
 
-def _dictionary_chunks(dict_df: DataFrame) -> list[DataFrame]:
-    n = dict_df.count()  # the size check for the broadcasts
-    if n <= BROADCAST_KEYWORD_CHUNK:
+def _parts(dict_df: DataFrame, n: int, most: int) -> list[DataFrame]:
+    if n <= most:
         return [dict_df]
-    parts = (n + BROADCAST_KEYWORD_CHUNK - 1) // BROADCAST_KEYWORD_CHUNK
+    parts = -(-n // most)
     keyed = dict_df.withColumn("_chunk", F.pmod(F.xxhash64("_kind", "kw_id", "category_id", "_kw"), F.lit(parts)))
     return [keyed.filter(F.col("_chunk") == i).drop("_chunk") for i in range(parts)]
 
@@ -79,77 +83,116 @@ def match_dictionary(categories: DataFrame, keywords: DataFrame) -> DataFrame:
     return kw.unionByName(ext)
 
 
-MATCH_SCHEMA = "file_id bigint, locale_detected string, _idx int, tier int"
+_AUTOMATA: dict[int, tuple] = {}
 
 
-def _ac_runner(bc):
-    """mapInPandas body: for each file, every dictionary row whose keyword occurs in
-    the haystack (or whose extension equals the file suffix), with its tier; a file
-    without any match yields one row with a NULL index."""
-    import pandas as pd
+def _automata(shards) -> list[tuple]:
+    """The automata of the shards and what they stand for, built once per worker. A shard is a table
+    (idx, kind, keyword); an automaton gives places in its list of (keyword, [idx])."""
+    import ahocorasick
+    key = shards[0].bid
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()  # the latest dictionary only
+        built, by_ext, always = [], {}, []
+        for shard in shards:
+            table = shard.value.value
+            by_kw: dict[str, list[int]] = {}
+            for idx, kind, kw in zip(*(table.column(c).to_pylist() for c in ("_idx", "_kind", "_kw"))):
+                if kind == "ext":
+                    by_ext.setdefault(kw, []).append(idx)
+                elif kw:
+                    by_kw.setdefault(kw, []).append(idx)
+                else:
+                    always.append(idx)
+            entries = list(by_kw.items())
+            automaton = ahocorasick.Automaton()
+            for place, (kw, _) in enumerate(entries):
+                automaton.add_word(kw, place)
+            if entries:
+                automaton.make_automaton()
+                built.append((automaton, entries))
+        _AUTOMATA[key] = (built, by_ext, always)
+    return _AUTOMATA[key]
+
+
+class _Shard:
+    """A broadcast part of the dictionary, with an identity that workers can tell apart."""
+
+    def __init__(self, spark, table):
+        self.value = spark.sparkContext.broadcast(table)
+        self.bid = self.value._jbroadcast.id()
+
+
+def _annotator(shards, names: list[str]):
+    """mapInArrow body: for each file, every dictionary row whose keyword occurs in
+    the haystack (or whose extension equals the file suffix), with its tier."""
+    from operator import itemgetter
+    place_of = itemgetter(1)
 
     def run(batches):
-        automaton, keys, always, ext_index = bc.value
-        for pdf in batches:
-            fid, loc, idx, tier = [], [], [], []
-            cols = zip(pdf["file_id"], pdf["_hay"], pdf["_name"], pdf["_kwj"], pdf["_ext"], pdf["locale_detected"])
-            for f, hay, name, kwj, ext, lc in cols:
-                hits = set(always)
-                if len(automaton):
-                    for _, ids in automaton.iter(hay):
-                        hits.update(ids)
-                n0 = len(fid)
-                for i in sorted(hits):
-                    kw = keys[i]
-                    fid.append(f)
-                    loc.append(lc)
-                    idx.append(i)
-                    tier.append(K.TIER_FILENAME if kw in name else K.TIER_KEYWORD if kw in kwj else K.TIER_TEXT)
-                for i in ext_index.get(ext, ()):
-                    fid.append(f)
-                    loc.append(lc)
-                    idx.append(i)
-                    tier.append(None)
-                if len(fid) == n0:
-                    fid.append(f)
-                    loc.append(lc)
-                    idx.append(None)
-                    tier.append(None)
-            yield pd.DataFrame({"file_id": pd.Series(fid, dtype="int64"), "locale_detected": loc,
-                                "_idx": pd.Series(idx, dtype="Int32"), "tier": pd.Series(tier, dtype="Int32")})
+        import numpy as np
+        import pyarrow as pa
+
+        from shelfspark.functions.batches import slices
+        built, by_ext, always = _automata(shards)
+        for batch in batches:
+            for part in slices(batch, "_hay"):
+                idx, tier, sizes = [], [], []
+                for hay, name, kwj, ext in zip(*(part.column(c).to_pylist() for c in ("_hay", "_name", "_kwj", "_ext"))):
+                    before = len(idx)
+                    for automaton, entries in built:
+                        for place in set(map(place_of, automaton.iter(hay))):
+                            kw, rows = entries[place]
+                            idx += rows
+                            tier += [K.TIER_FILENAME if kw in name else K.TIER_KEYWORD if kw in kwj else K.TIER_TEXT] * len(rows)
+                    idx += always
+                    tier += [K.TIER_FILENAME] * len(always)
+                    rows = by_ext.get(ext, ())
+                    idx += rows
+                    tier += [None] * len(rows)
+                    sizes.append(len(idx) - before)
+                hits = pa.StructArray.from_arrays([pa.array(idx, pa.int64()), pa.array(tier, pa.int32())], ["idx", "tier"])
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(ends, hits)], names=[*names, "hits"])
 
     return run
 
 
-def _ac_matches(prepped: DataFrame, dict_df: DataFrame, keep_unmatched: bool) -> DataFrame:
-    """One chunk of the dictionary becomes an automaton shipped to the executors as a
-    broadcast; each text is scanned once."""
-    import ahocorasick
-    spark = prepped.sparkSession
-    rows = dict_df.orderBy("_kind", "kw_id", "category_id", "_kw").collect()
-    automaton = ahocorasick.Automaton()
-    keys, always, ext_index, by_kw = [], [], {}, {}
-    for i, r in enumerate(rows):
-        keys.append(r["_kw"])
-        if r["_kind"] == "ext":
-            ext_index.setdefault(r["_kw"], []).append(i)
-        elif r["_kw"] == "":
-            always.append(i)
-        else:
-            by_kw.setdefault(r["_kw"], []).append(i)
-    for kw, ids in by_kw.items():
-        automaton.add_word(kw, ids)
-    if by_kw:
-        automaton.make_automaton()
-    bc = spark.sparkContext.broadcast((automaton, keys, always, ext_index))
-    indexed = spark.createDataFrame([(i,) + tuple(r) for i, r in enumerate(rows)],
-                                    "_idx int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}"
-                                                             for f in dict_df.schema.fields))
-    found = prepped.select("file_id", "_hay", "_name", "_kwj", "_ext", "locale_detected").mapInPandas(
-        _ac_runner(bc), MATCH_SCHEMA)
-    if not keep_unmatched:
-        found = found.filter(F.col("_idx").isNotNull())
-    return found.join(F.broadcast(indexed), "_idx", "left")
+def _shared_dictionary(dict_df: DataFrame, n: int) -> tuple[DataFrame, list[_Shard]]:
+    """(the dictionary with its numbers, its shards). Small ones go with the plan, others are written once."""
+    spark = dict_df.sparkSession
+    shape = "_idx bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dict_df.schema.fields)
+    if n <= PLAN_ROWS:
+        rows = dict_df.orderBy("_kind", "kw_id", "category_id", "_kw").collect()
+        indexed = F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], shape))
+        table = indexed.select("_idx", "_kind", "_kw").toArrow()
+    else:
+        indexed = cut_lineage(dict_df.withColumn("_idx", F.monotonically_increasing_id()), "dictionary")
+        table = indexed.select("_idx", "_kind", "_kw").toArrow()
+        indexed = F.broadcast(indexed) if n <= BROADCAST_ROWS else indexed
+    size = BROADCAST_KEYWORD_CHUNK
+    return indexed, [_Shard(spark, table.slice(at, size)) for at in range(0, max(table.num_rows, 1), size)]
+
+
+def annotate(prepped: DataFrame, categories: DataFrame, keywords: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(one row per file: the columns ``carry``, file_id, locale_detected and the ``hits``; the numbered dictionary
+    that these refer to). The texts end here. For a dictionary of one scan."""
+    dict_df = match_dictionary(categories, keywords)
+    indexed, shards = _shared_dictionary(dict_df, dict_df.count())
+    return _annotated(prepped, shards, carry), indexed
+
+
+def _annotated(prepped: DataFrame, shards: list[_Shard], carry: tuple[str, ...] = ()) -> DataFrame:
+    names = [*carry, "file_id", "locale_detected"]
+    rows = prepped.select(*names, "_hay", "_name", "_kwj", "_ext")
+    schema = StructType([*prepped.select(*names).schema.fields]).add("hits", ArrayType(StructType().add("idx", "long").add("tier", "integer")))
+    return rows.mapInArrow(_annotator(shards, names), schema)
+
+
+def _ac_matches(annotated: DataFrame, indexed: DataFrame, keep_unmatched: bool) -> DataFrame:
+    explode = F.inline_outer if keep_unmatched else F.inline
+    found = annotated.select("file_id", "locale_detected", explode("hits").alias("_idx", "tier"))
+    return found.join(indexed, "_idx", "left")
 
 
 def _null_matches(prepped: DataFrame, matched: DataFrame) -> DataFrame:
@@ -165,12 +208,19 @@ def dictionary_matches(prepped: DataFrame, categories: DataFrame, keywords: Data
     the haystack (or whose extension equals the file suffix), with tier and locale
     bonus. With ``keep_unmatched`` files without any match keep one all-NULL row.
     ``matcher="join"`` states the same as a join on ``contains``, without Python."""
-    chunks = _dictionary_chunks(match_dictionary(categories, keywords))
-    alone = len(chunks) == 1
+    dict_df = match_dictionary(categories, keywords)
+    n = dict_df.count()  # the size check for what is broadcast
     if matcher == "ac":
-        found = [_ac_matches(prepped, c, keep_unmatched and alone) for c in chunks]
+        chunks = _parts(dict_df, n, SCAN_KEYWORDS)
+        alone = len(chunks) == 1
+        found = []
+        for c in chunks:
+            indexed, shards = _shared_dictionary(c, n if alone else c.count())
+            found.append(_ac_matches(_annotated(prepped, shards), indexed, keep_unmatched and alone))
         tier = F.col("tier")
     else:
+        chunks = _parts(dict_df, n, BROADCAST_KEYWORD_CHUNK)
+        alone = len(chunks) == 1
         cond = (((F.col("_kind") == "kw") & F.col("_hay").contains(F.col("_kw")))
                 | ((F.col("_kind") == "ext") & (F.col("_ext") == F.col("_kw"))))
         found = [prepped.join(F.broadcast(c), cond, "left" if keep_unmatched and alone else "inner") for c in chunks]
@@ -183,6 +233,10 @@ def dictionary_matches(prepped: DataFrame, categories: DataFrame, keywords: Data
         out = out.unionByName(more)
     if keep_unmatched and not alone:
         out = out.unionByName(_null_matches(prepped, out))
+    return _matched(out, tier)
+
+
+def _matched(out: DataFrame, tier) -> DataFrame:
     bonus = F.when(F.col("_kw_locale") == F.col("locale_detected"), F.lit(K.LOCALE_BONUS)).otherwise(F.lit(1.0))
     return out.select("file_id", "locale_detected", "_kind", "category_id", "ord", "kw_id",
                       F.col("_kw").alias("keyword"), F.col("_kw_locale").alias("keyword_locale"), "weight",
@@ -191,7 +245,10 @@ def dictionary_matches(prepped: DataFrame, categories: DataFrame, keywords: Data
 
 def _contribution_rows(prepped: DataFrame, categories: DataFrame, keywords: DataFrame,
                        keep_unmatched: bool, matcher: str = "ac") -> DataFrame:
-    m = dictionary_matches(prepped, categories, keywords, keep_unmatched, matcher)
+    return _contributions(dictionary_matches(prepped, categories, keywords, keep_unmatched, matcher))
+
+
+def _contributions(m: DataFrame) -> DataFrame:
     label = (F.when(F.col("_kind") == "ext", F.concat(F.lit("extension "), F.col("keyword")))
              .when(F.col("tier") == K.TIER_FILENAME,
                    F.format_string("filename '%s' (w=%.1f)", F.col("keyword"), F.col("weight")))
@@ -212,7 +269,10 @@ def category_scores(prepped: DataFrame, categories: DataFrame, keywords: DataFra
     Categories without a match score 0 and never win or get suggested, so they
     are not materialised. With ``with_markers`` a file without any match keeps one
     row with a NULL category (its detected locale rides on every row)."""
-    rows = _contribution_rows(prepped, categories, keywords, with_markers, matcher)
+    return _scores(_contribution_rows(prepped, categories, keywords, with_markers, matcher), partitions)
+
+
+def _scores(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     rows = rows.repartition(partitions, "file_id") if partitions else rows.repartition("file_id")
     return rows.groupBy("file_id", "category_id", "ord").agg(
         F.sum("contrib").alias("score_dec"),
@@ -227,8 +287,18 @@ def classify(files: DataFrame, categories: DataFrame, keywords: DataFrame, local
     Output: file_id, category (display name or ``_inbox``), category_id, confidence
     (unrounded), score, locale_detected, suggestions array<string>, reason.
     """
-    prepped = prepare(files)
+    prepped = prepare(spread(files))
     scores = category_scores(prepped, categories, keywords, partitions, with_markers=True, matcher=matcher)
+    return _decided(scores, categories, keywords, locale)
+
+
+def classify_annotated(annotated: DataFrame, indexed: DataFrame, categories: DataFrame, keywords: DataFrame, locale: str = "zh") -> DataFrame:
+    """CLS-3..12 from the rows of ``annotate``, without the texts."""
+    rows = _contributions(_matched(_ac_matches(annotated, indexed, True), F.col("tier")))
+    return _decided(_scores(rows), categories, keywords, locale)
+
+
+def _decided(scores: DataFrame, categories: DataFrame, keywords: DataFrame, locale: str) -> DataFrame:
     cats = categories.select(F.col("id").alias("category_id"), "name_zh", "name_en")
     kw_count = keywords.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_kw"))
     w = Window.partitionBy("file_id").orderBy(F.col("score_dec").desc_nulls_last(), F.col("ord"))

@@ -88,14 +88,14 @@ cte("access_log", ["raw_files", "n_docs"], """
 SELECT e.event_id, f.path AS file_path, e.ts AS accessed_at
 FROM events e JOIN raw_files f ON f.file_id = e.event_id % (SELECT n FROM n_docs)
 WHERE e.event_type = 'view'""")
-# classification (CLS-1..8) with no extracted keywords
-cte("cls_prepped", ["raw_files"], f"""
-SELECT file_id, lower(original_name) AS _name, '' AS _kwj,
-       lower(original_name) || ' ' || lower(coalesce(extracted_text, '')) || ' ' AS _hay,
+# classification (CLS-1..8) with the extracted keywords
+cte("cls_prepped", ["raw_files", "kwarr"], f"""
+SELECT file_id, lower(original_name) AS _name, lower(coalesce(array_to_string(k.keywords, ' '), '')) AS _kwj,
+       lower(original_name) || ' ' || lower(coalesce(extracted_text, '')) || ' ' || lower(coalesce(array_to_string(k.keywords, ' '), '')) AS _hay,
        file_type AS _ext,
        {lang("(CASE WHEN coalesce(extracted_text, '') <> '' THEN extracted_text ELSE lower(original_name) END)")}
          AS locale_detected
-FROM raw_files""")
+FROM raw_files LEFT JOIN kwarr k ON k.doc_id = file_id""")
 cte("cls_dict", ["categories", "keywords"], """
 SELECT k.kw_id, k.category_id, c.ord, k.keyword, k.locale, k.weight
 FROM keywords k JOIN categories c ON c.id = k.category_id WHERE c.is_active""")
@@ -413,8 +413,8 @@ FROM (
                CASE WHEN len(coalesce(kk.kws, []::VARCHAR[])) > 0 THEN {lang("array_to_string(kk.kws, ' ')")}
                     ELSE 'zh' END AS kw_locale
         FROM labels_corr l LEFT JOIN (SELECT doc_id, list(keyword ORDER BY rank) AS kws FROM file_keywords
-                                      WHERE rank <= 5 GROUP BY doc_id) kk ON kk.doc_id = l.seq) c
-  JOIN file_keywords k ON k.doc_id = c.seq AND k.rank <= 5
+                                      GROUP BY doc_id) kk ON kk.doc_id = l.seq) c
+  JOIN file_keywords k ON k.doc_id = c.seq
   CROSS JOIN (VALUES (0), (1)) p(phase)
   LEFT JOIN categories fc ON fc.name_zh = c.from_category
   LEFT JOIN categories tc ON tc.id = c.to_category)
@@ -517,7 +517,9 @@ FROM learned_keywords k JOIN categories c ON c.id = k.category_id WHERE c.is_act
 cte("learned_count", ["learned_keywords"],
     "SELECT category_id, count(*) AS n_kw FROM learned_keywords GROUP BY category_id")
 _classification_chain("lcls_", """
-SELECT file_id, original_name, extracted_text, file_type, '' AS kwj FROM raw_files""", ["raw_files"],
+SELECT r.file_id, r.original_name, r.extracted_text, r.file_type,
+       lower(coalesce(array_to_string(k.keywords, ' '), '')) AS kwj
+FROM raw_files r LEFT JOIN kwarr k ON k.doc_id = r.file_id""", ["raw_files", "kwarr"],
                       dict_cte="learned_dict", count_cte="learned_count")
 
 

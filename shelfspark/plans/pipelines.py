@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import constants as K
 from shelfspark import fixtures as X
-from shelfspark.operators.classify import classify, route
-from shelfspark.operators.keywords import keyword_arrays
+from shelfspark.operators.classify import annotate, classify_annotated, prepare, route
 from shelfspark.operators.learn import apply_corrections
 from shelfspark.plans.organize import organize_plan
 from shelfspark.session import cut_lineage
@@ -21,34 +20,60 @@ def ingest_pipeline(spark: SparkSession, sf_dir: str, description_chars: int | N
     """E2E-1: extract keywords -> classify with them -> route -> organise manifest ->
     auto-description (the text, or its first ``description_chars`` characters, + '。' + category).
 
-    The routed classification is written once to the shared folder; the manifest,
-    the collision check and the final projection all read that table."""
-    raw = X.raw_files(spark, sf_dir)
-    kw = keyword_arrays(raw.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text")))
-    files = raw.join(kw.withColumnRenamed("doc_id", "file_id"), "file_id", "left").withColumn(
-        "keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    One pass over the texts gives keywords, dictionary rows and the description's text; its rows are
+    written once. With ``description_chars`` no text is moved after that: classification, manifest and the
+    final join see identifiers, paths, keyword lists and the short text."""
     cats, kws = X.dictionary(spark)
-    routed = route(classify(files, cats, kws)).select("file_id", "category", "confidence", "routed_to")
-    done = cut_lineage(routed.join(files.select("file_id", "path", "extracted_text", "keywords"), "file_id"),
-                       "ingest-routed")
-    moves = done.select(F.col("file_id").alias("seq"), "path", F.col("routed_to").alias("category"))
-    plan = organize_plan(raw.select("path"), moves).select(F.col("seq").alias("file_id"), "dst")
     text = F.col("extracted_text")
-    summary = text if description_chars is None else F.substring(text, 1, description_chars)
-    desc = F.concat(summary, F.lit("。"), F.col("routed_to"))
+    files = X.keyword_files(spark, sf_dir).withColumn(
+        "summary", text if description_chars is None else F.substring(text, 1, description_chars))
+    carry = ("path", "keywords", "summary")
+    rows, indexed = annotate(prepare(files, carry), cats, kws, carry)
+    rows = cut_lineage(rows, "ingest-scan")
+    routed = route(classify_annotated(rows, indexed, cats, kws)).select("file_id", "category", "confidence", "routed_to")
+    done = cut_lineage(rows.select("file_id", *carry).join(routed, "file_id"), "ingest-routed")
+    moves = done.select(F.col("file_id").alias("seq"), "path", F.col("routed_to").alias("category"))
+    plan = organize_plan(rows.select("path"), moves).select(F.col("seq").alias("file_id"), "dst")
+    desc = F.concat("summary", F.lit("。"), F.col("routed_to"))
     return (done.join(plan, "file_id")
             .select("file_id", "path", F.array_join("keywords", "|").alias("keywords"), "category", "confidence",
                     "routed_to", "dst", desc.alias("description")))
 
 
 def reclassify_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E2E-2: corrections -> new weights -> re-classify -> (before, after) counts."""
+    """E2E-2: corrections -> new weights -> re-classify -> (before, after) counts.
+
+    The texts are read once, for the rows of both dictionaries together; each classification then takes
+    the rows of its own."""
     cats, kws = X.dictionary(spark)
-    files = X.raw_files(spark, sf_dir).withColumn("keywords", F.array().cast("array<string>"))
-    before = classify(files, cats, kws).select("file_id", F.col("category").alias("before"))
-    learned = apply_corrections(kws, cats, X.corrections(spark, sf_dir))
-    after = classify(files, cats, learned).select("file_id", F.col("category").alias("after"))
-    return before.join(after, "file_id").groupBy("before", "after").agg(F.count(F.lit(1)).alias("files"))
+    learned = cut_lineage(apply_corrections(kws, cats, X.corrections(spark, sf_dir)), "learned-keywords")
+    before, after = reclassify(X.keyword_files(spark, sf_dir), cats, kws, learned)
+    return (before.select("file_id", F.col("category").alias("before"))
+            .join(after.select("file_id", F.col("category").alias("after")), "file_id")
+            .groupBy("before", "after").agg(F.count(F.lit(1)).alias("files")))
+
+
+def reclassify(files: DataFrame, categories: DataFrame, old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classifications of ``files`` by two keyword tables over the same categories, from one pass: a
+    hit is a keyword in a text, whatever its weight, so hits are found for the distinct (category, keyword,
+    locale) of both and then take the weights, and the numbers, of either."""
+    name = ["category_id", "keyword", "locale"]
+    union = old.select(*name).unionByName(new.select(*name)).distinct()
+    union = union.withColumn("kw_id", F.monotonically_increasing_id()).withColumn("weight", F.lit(0.0))
+    union = cut_lineage(union, "both-dictionaries")
+    rows, indexed = annotate(prepare(files), categories, union)
+    rows = cut_lineage(rows, "reclassify-scan")
+    is_kw = F.col("_kind") == "kw"
+
+    def by(keywords: DataFrame) -> DataFrame:
+        own = keywords.select(F.col("category_id"), F.col("keyword").alias("_kw"), F.col("locale").alias("_kw_locale"),
+                              F.col("kw_id").alias("_own_id"), F.col("weight").alias("_own_weight"))
+        found = indexed.join(own, ["category_id", "_kw", "_kw_locale"], "left")
+        kept = found.where(~is_kw | F.col("_own_id").isNotNull()).withColumns(
+            {"kw_id": F.coalesce("_own_id", "kw_id"), "weight": F.when(is_kw, F.col("_own_weight"))}).select(*indexed.columns)
+        return classify_annotated(rows, kept, categories, keywords)
+
+    return by(old), by(new)
 
 
 __all__ = ["ingest_pipeline", "reclassify_shift", "K"]

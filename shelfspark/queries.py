@@ -66,7 +66,7 @@ SELECT file_id, category_id, keyword, keyword_locale, tier, CAST(locale_bonus AS
 FROM cls_matches"""))
 def q_dictionary_matches(spark, sf):
     cats, kws = X.dictionary(spark)
-    files = X.raw_files(spark, sf).withColumn("keywords", F.array().cast("array<string>"))
+    files = X.keyword_files(spark, sf)
     m = CLS.dictionary_matches(CLS.prepare(files), cats, kws)
     return m.filter(F.col("_kind") == "kw").select("file_id", "category_id", "keyword", "keyword_locale", "tier",
                                                    "locale_bonus")
@@ -76,7 +76,7 @@ def q_dictionary_matches(spark, sf):
 SELECT file_id, category_id, CAST(score_dec AS DOUBLE) AS score FROM cls_scores"""))
 def q_category_scores(spark, sf):
     cats, kws = X.dictionary(spark)
-    files = X.raw_files(spark, sf).withColumn("keywords", F.array().cast("array<string>"))
+    files = X.keyword_files(spark, sf)
     s = CLS.category_scores(CLS.prepare(files), cats, kws)
     return s.select("file_id", "category_id", F.col("score_dec").cast("double").alias("score"))
 
@@ -211,7 +211,7 @@ WHERE {O.like('original_name', SEARCH_TERM)} OR list_bool_or(list_transform(keyw
    OR {O.like('extracted_text', SEARCH_TERM)}
 ORDER BY importance DESC, view_count DESC, path LIMIT 50"""))
 def q_search_files(spark, sf):
-    return CAT.search_files(X.catalog_files(spark, sf), SEARCH_TERM)
+    return CAT.search_files(X.catalog_files(spark, sf, hit=CAT.search_hit(SEARCH_TERM)))
 
 
 DESC_QUERY = "le la"

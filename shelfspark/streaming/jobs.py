@@ -113,12 +113,13 @@ def stream_ingest(spark: SparkSession, sf_dir: str, max_files: int | None = None
     """New documents -> files projection -> classify -> route, per micro-batch;
     each batch writes its own folder (rewritten on replay, so exactly once)."""
     from shelfspark.operators.classify import classify, route
+    from shelfspark.operators.keywords import with_keywords
     cats, kws = X.dictionary(spark)
     out = sink or shared_scratch(spark, "ingest")
 
     def write(batch: DataFrame, batch_id: int):
-        files = X.raw_files_from(batch).withColumn("keywords", F.array().cast("array<string>"))
-        routed = route(classify(files, cats, kws)).join(files.select("file_id", "path"), "file_id")
+        files = with_keywords(X.raw_files_from(batch), "extracted_text")
+        routed = route(classify(files, cats, kws)).join(X.raw_files_from(batch).select("file_id", "path"), "file_id")
         (routed.select("file_id", "path", "category", "category_id", "confidence", "routed_to", "needs_review")
          .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
 
@@ -200,8 +201,8 @@ def stream_corrections(spark: SparkSession, sf_dir: str, checkpoint: str | None
     cats, kws0 = X.dictionary(spark)
     state = sink or shared_scratch(spark, "learner-state")
     raw = X.raw_files(spark, sf_dir)
-    kw_arr = cut_lineage(keyword_arrays(raw.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text")),
-                                        top_k=5), "stream-keywords")
+    kw_arr = cut_lineage(keyword_arrays(raw.select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text"))),
+                         "stream-keywords")
     raw = cut_lineage(raw.select("file_id", "path"), "stream-paths")
     ids = F.array(*[F.lit(c["id"]) for c in K.SEED_CATEGORIES])
     zh = F.array(*[F.lit(c["name_zh"]) for c in K.SEED_CATEGORIES])

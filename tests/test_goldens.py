@@ -48,7 +48,9 @@ def test_substring_match_and_inbox(spark):
 
 
 def test_fixture_golden_counts(spark):
-    c = X.classified_files(spark, "/root/testdata/sf0.001")
+    cats, kws = X.dictionary(spark)
+    files = X.raw_files(spark, "/root/testdata/sf0.001").withColumn("keywords", F.array().cast("array<string>"))
+    c = CLS.classify(files, cats, kws)
     got = {r[0]: r[1] for r in c.groupBy("category_id").count().collect()}
     assert got == {"finance": 47, "life": 46, "memo": 24, "reminder": 49, "study": 26, "task": 55, "work": 9,
                    None: 4}
