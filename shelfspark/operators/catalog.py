@@ -115,7 +115,7 @@ def search_descriptions(descriptions: DataFrame, query: str, limit: int = K.DESC
 
 
 #: Length of the grams of the search index, and how many of a query's rarest ones are intersected.
-GRAM, RAREST = 3, 3
+GRAM, RAREST = 3, 2
 #: Rows of a query table (queries, their grams) that may be broadcast; a longer one is joined by shuffle.
 BROADCAST_QUERIES = 100_000
 #: Queries without a gram that one pass over the descriptions tests.
@@ -142,7 +142,6 @@ def search_batch(descriptions: DataFrame, queries: DataFrame, limit: int = K.DES
     q = cut_lineage(q.filter(F.size("terms") > 0).select(
         F.monotonically_increasing_id().alias("_q"), "query_id", F.transform("terms", ascii_fold).alias("terms")), "queries")
     small = q.count() <= BROADCAST_QUERIES
-    pats = F.transform("terms", lambda t: F.concat(F.lit("%"), t, F.lit("%"))).alias("pats")
     chunks = F.flatten(F.transform("terms", lambda t: F.split(t, "[%_\u0001]")))
     needed = q.select("_q", F.explode(F.array_distinct(F.flatten(F.transform(chunks, lambda c: F.coalesce(grams_of(c), F.array().cast("array<string>")))))).alias("gram"))
     d = descriptions.select("path", "updated_at", ascii_fold(F.col("description")).alias("_d"))
@@ -156,21 +155,19 @@ def search_batch(descriptions: DataFrame, queries: DataFrame, limit: int = K.DES
               .withColumn("grams", F.count(F.lit(1)).over(Window.partitionBy("_q"))).select("_q", "gram", "grams"))
     candidates = (postings.join(F.broadcast(chosen) if small else chosen, "gram").groupBy("_q", "path")
                   .agg(F.count(F.lit(1)).alias("met"), F.first("grams").alias("grams")).where("met = grams").select("_q", "path"))
-    ask = q.select("_q", "query_id", pats)
-    hit = F.forall("pats", lambda p: F.like(F.col("_d"), p, F.lit(_NO_ESCAPE)))
-    found = (candidates.join(d, "path").join(F.broadcast(ask) if small else ask, "_q").where(hit)
+    ask = q.select("_q", "query_id", "terms")
+    # a term without wildcards needs no pattern, which LIKE would compile for every row
+    meets = lambda t: F.when(t.rlike("[%_\u0001]"), F.like(F.col("_d"), F.concat(F.lit("%"), t, F.lit("%")), F.lit(_NO_ESCAPE))).otherwise(F.contains(F.col("_d"), t))
+    found = (candidates.join(d, "path").join(F.broadcast(ask) if small else ask, "_q").where(F.forall("terms", meets))
              .select("_q", "query_id", "path", "updated_at"))
-    short = q.join(needed.select("_q").distinct(), "_q", "left_anti").select("_q", "query_id", pats)
+    short = cut_lineage(q.join(needed.select("_q").distinct(), "_q", "left_anti"), "short-queries")
     hits = cut_lineage(found, "search-hits")
     passes = -(-short.count() // SCAN_QUERIES)
-    for i in range(passes):  # a stated set of queries against all rows, in blocks
-        block = short.where(F.pmod(F.xxhash64("_q"), F.lit(passes)) == i).collect()
-        asked = F.array(*[F.struct(F.lit(r["_q"]).cast("bigint").alias("_q"), F.lit(r["query_id"]).alias("query_id"),
-                                   F.array(*[F.lit(p) for p in r["pats"]]).alias("pats")) for r in block])
-        if block:
-            met = F.filter(asked, lambda x: F.forall(x["pats"], lambda p: F.like(F.col("_d"), p, F.lit(_NO_ESCAPE))))
-            hits = hits.unionByName(d.select("path", "updated_at", F.explode(met).alias("m"))
-                                    .select("m._q", F.col("m.query_id").alias("query_id"), "path", "updated_at"))
+    shape = f"array<struct<_q: bigint, query_id: {q.schema['query_id'].dataType.simpleString()}, terms: array<string>>>"
+    for i in range(passes):  # a stated set of queries against all rows, in blocks of some thousand
+        block = short.where(F.pmod(F.xxhash64("_q"), F.lit(passes)) == i).agg(F.to_json(F.collect_list(F.struct("_q", "query_id", "terms")))).first()[0]
+        met = F.filter(F.from_json(F.lit(block), shape), lambda x: F.forall(x["terms"], meets))
+        hits = hits.unionByName(d.where("_d is not null").select("path", "updated_at", F.inline(met)).select("_q", "query_id", "path", "updated_at"))
     # per-query top-k (partial top-k before the shuffle) and hit counts by aggregate,
     # so a query matching most descriptions is never held in one window
     w = Window.partitionBy("query_id").orderBy(F.col("updated_at").desc(), F.col("path"))
