@@ -176,7 +176,7 @@ def audit_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII PII text per customer; every 4th customer has none."""
+    """ASCII PII text per customer; every 4th customer has none, another 4th matches that overlap."""
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     mm = F.lpad((F.pmod(key, F.lit(12)) + 1).cast("string"), 2, "0")
@@ -186,6 +186,10 @@ def pii_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("ID 4110221990"), mm, dd, ddd, F.lit("X tel 138"), F.lpad(key.cast("string"), 8, "0"),
                     F.lit(" mail "), name, F.lit("@example.com permit C"), F.lpad(key.cast("string"), 8, "0"),
                     F.lit(" sid dc"), F.lpad(key.cast("string"), 6, "0"))
+    # a phone number in a mail address, one number of two kinds, a permit number in a mail address
+    overlaps = F.concat(F.lit(" alt 138"), F.lpad(key.cast("string"), 8, "0"), F.lit("@mail.com MC"), F.lpad(key.cast("string"), 6, "0"),
+                        F.lit(" x.C"), F.lpad(key.cast("string"), 8, "0"), F.lit("@y.org end"))
+    text = F.when(F.pmod(key, F.lit(4)) == 1, F.concat(text, overlaps)).otherwise(text)
     plain = F.concat(F.lit("customer "), F.col("c_name"), F.lit(" segment "), F.col("c_mktsegment"))
     return c.select(F.col("c_custkey").alias("doc_id"),
                     F.when(F.pmod(key, F.lit(4)) == 0, plain).otherwise(text).alias("text"),

@@ -200,7 +200,10 @@ SELECT c_custkey AS doc_id,
                  || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')
                  || 'X tel 138' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || ' mail '
                  || lower(replace(c_name, '#', '.')) || '@example.com permit C' || lpad(CAST(c_custkey AS VARCHAR), 8, '0')
-                 || ' sid dc' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') END AS text,
+                 || ' sid dc' || lpad(CAST(c_custkey AS VARCHAR), 6, '0')
+                 || CASE WHEN c_custkey % 4 = 1 THEN ' alt 138' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '@mail.com MC'
+                    || lpad(CAST(c_custkey AS VARCHAR), 6, '0') || ' x.C' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '@y.org end'
+                    ELSE '' END END AS text,
        'vault/_sensitive/scan_' || CAST(c_custkey AS VARCHAR)
          || CASE c_custkey % 3 WHEN 0 THEN '_passport.jpg' WHEN 1 THEN '_NDA_agreement.pdf' ELSE '.png' END
          AS filepath
@@ -222,8 +225,13 @@ def _pii_lists() -> str:
             f"list_transform(range(1, len(m{i}) + 1), lambda k: {{'prio': {i}, 'type': {q(name)}, 'original': m{i}[k], "
             f"'start': CAST(coalesce(list_sum(list_transform(p{i}[1:k], lambda x: length(x))), 0) "
             f"+ coalesce(list_sum(list_transform(m{i}[1:k-1], lambda x: length(x))), 0) AS INTEGER)}})")
-    return ("SELECT doc_id, text, filepath, unnest(list_concat(" + ", ".join(lists) + ")) AS f FROM (SELECT doc_id, "
-            "text, filepath, " + ", ".join(cols) + " FROM pii_docs)")
+    # by priority, then position: a match that overlaps an accepted one is dropped
+    rule = ("list_reduce(list_transform(every, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: "
+            "k.start < x[1].start + length(x[1].original) AND x[1].start < k.start + length(k.original))) > 0 "
+            "THEN kept ELSE list_concat(kept, x) END)")
+    return (f"SELECT doc_id, text, filepath, unnest({rule}) AS f FROM (SELECT doc_id, text, filepath, "
+            "list_concat(" + ", ".join(lists) + ") AS every FROM (SELECT doc_id, text, filepath, " + ", ".join(cols) + " FROM pii_docs)) "
+            "WHERE len(every) > 0")
 
 
 cte("pii_raw", ["pii_docs"], _pii_lists())

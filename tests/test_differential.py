@@ -129,6 +129,25 @@ def test_pii_vs_python(spark):
         r = got[i]
         assert [(f.type, f.start, f.end, f.redacted) for f in r.findings] == want, t
         assert r.redacted_text == O.py_redact(t)
+    from shelfspark.functions import pii as P
+    native = {r.doc_id: r for r in df.select("doc_id", P.findings(F.col("text")).alias("f")).collect()}
+    assert all([(f.type, f.start, f.end, f.redacted) for f in native[i].f] == [(f.type, f.start, f.end, f.redacted) for f in got[i].findings] for i, _ in docs)
+    empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [(r.redacted_text, r.findings, r.safe_description) for r in PII.redact_documents(empty).orderBy("doc_id").collect()] == [(None, [], ""), ("", [], "")]
+
+
+def test_pii_cost_follows_the_matches():
+    """Four times the matches take about four times as long, whether they overlap or not."""
+    import time
+    for unit in ("mail a.b@c.org and C1234567@x.org ", "13812345678 MC123456, "):
+        def seconds(n):
+            began = time.perf_counter()
+            found = PII.find(unit * n)
+            assert len(PII.hidden(unit * n, found)) > n
+            return time.perf_counter() - began, len(found)
+        seconds(100)
+        (a, n), (b, m) = min(seconds(500) for _ in range(3)), min(seconds(2000) for _ in range(3))
+        assert m == 4 * n and n >= 1000 and b < 9 * a
 
 
 def test_greedy_rounds_vs_sequential(spark):
