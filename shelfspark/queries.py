@@ -541,7 +541,7 @@ from shelfspark.functions.stems import stem_candidates  # noqa: E402
 from shelfspark.functions.text import name_stem  # noqa: E402
 from shelfspark.operators import groups as GRP  # noqa: E402
 from shelfspark.plans import organize as ORG  # noqa: E402
-from shelfspark.session import cut_lineage  # noqa: E402
+from shelfspark.session import cut_lineage, shared_scratch  # noqa: E402
 
 ARCHIVE_DAYS = 10
 
@@ -936,7 +936,7 @@ def _upsert_changes(spark, sf):
     return base.unionByName(new)
 
 
-@register("upsert_files", O.build(["catalog_files"], """
+_UPSERT_SQL = """
 SELECT coalesce(f.path, c.path) AS path,
        CASE WHEN f.path IS NULL THEN coalesce(c.category, '_inbox') ELSE coalesce(c.category, f.category) END
          AS category,
@@ -947,12 +947,28 @@ FROM catalog_files f FULL OUTER JOIN (
   SELECT r.path, CASE WHEN l.quality = 1 THEN '学习' END AS category, CASE WHEN l.toxic = 1 THEN 0.9 END AS importance
   FROM labels l JOIN raw_files r ON r.file_id = l.doc_id
   UNION ALL SELECT 'vault/_inbox/new/' || CAST(doc_id AS VARCHAR) || '.txt', NULL, 0.5 FROM labels WHERE toxic = 1) c
-  ON c.path = f.path"""))
+  ON c.path = f.path"""
+
+
+@register("upsert_files", O.build(["catalog_files"], _UPSERT_SQL))
 def q_upsert_files(spark, sf):
     out = CAT.upsert(X.catalog_files(spark, sf), _upsert_changes(spark, sf))
     return out.select("path", "category", "importance", "starred", "view_count")
 
 
+@register("merge_feed", O.build(["catalog_files"], _UPSERT_SQL))
+def q_merge_feed(spark, sf):
+    """The same changes as two feeds into a stored table."""
+    from shelfspark.operators import merge
+    folder = shared_scratch(spark, "files-table")
+    merge.write_table(X.catalog_files(spark, sf).select("path", "category", "importance", "starred", "view_count"), folder, buckets=32)
+    changes = _upsert_changes(spark, sf)
+    half = changes.agg(F.max("seq")).first()[0] // 2
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        merge.merge_feed(spark, folder, changes.where(part), buckets=32)
+    return merge.read_table(spark, folder).select("path", "category", "importance", "starred", "view_count")
+
+
 _EVENT_FILE_SQL = "(SELECT e.*, r.path FROM events e JOIN raw_files r ON r.file_id = e.event_id % (SELECT n FROM n_docs))"
 
 
