@@ -3,20 +3,20 @@
 Moving files is replaced by manifests (src, dst) that a mover applies; the
 catalogue update is a path rewrite on the same row (V2).
 
-Collision naming (ORG-2) in bulk: incoming names are grouped into families
-(target directory, stem, suffix). The candidates of a family are
-``name, stem_1.suffix, stem_2.suffix, ...``; those already present are blocked and
-the k-th incoming file of the family takes the k-th free candidate. Names that a
-move leaves become free for later moves only: the families they belong to are folded
-in move order. Clashes between families (``a.txt`` twice and an incoming ``a_1.txt``)
-are settled by further passes, each directory on its own, that keep sequential order
-exactly.
+Collision naming (ORG-2) in bulk: the candidates of a file are ``name, stem_1.suffix,
+stem_2.suffix, ...``. Files whose stems differ only in such numbers at the end (``a``, ``a_1``,
+``a_1_2``) form a group of their directory; names of different groups never meet. Groups are
+folded in order, each by one task, which also settles names that a move leaves and clashes
+inside the group, in one pass over all of them. A group too large for that is assigned by
+distributed ranks: the k-th incoming file of a family (directory, stem, suffix) takes the k-th
+free candidate, and clashes between its families are settled by further passes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfspark import constants as K
 from shelfspark.functions.stems import safe_folder_name
@@ -49,6 +49,15 @@ def _family_members(existing: DataFrame, split_suffix: bool) -> DataFrame:
 
 
 FAMILY = ["dir", "stem", "suffix"]
+GROUP = ["dir", "root", "suffix"]
+#: Most names, present and incoming, of a group that one task folds.
+FOLD_ROWS = 200_000
+
+
+def _grouped(rows: DataFrame, split_suffix: bool) -> DataFrame:
+    """Adds stem, suffix and the group's root: the stem without numbers at its end."""
+    stem, sfx = _split("name", split_suffix)
+    return rows.withColumns({"stem": stem, "suffix": sfx}).withColumn("root", F.regexp_replace("stem", r"(?s)(_[1-9][0-9]{0,17})+$", ""))
 
 
 def collision_names(existing: DataFrame, incoming: DataFrame, split_suffix: bool = True) -> DataFrame:
@@ -58,28 +67,96 @@ def collision_names(existing: DataFrame, incoming: DataFrame, split_suffix: bool
     the first name of ``name, stem_1.suffix, stem_2.suffix, ...`` not taken at its turn by
     an existing file or by an earlier incoming one — exactly the sequential result.
 
-    Each pass assigns family by family. Names can only clash across families (``a.txt``
-    twice and an incoming ``a_1.txt``), and only inside a directory: every pending file of
-    a directory ordered at or before its earliest clash is provably final, so it is fixed
-    and the rest of that directory is re-resolved against the grown set of taken names.
-    Every pass settles at least the clashing file of each open directory; without clashes
-    (the usual case) one pass settles everything."""
+    One pass folds all groups of at most ``FOLD_ROWS`` names, however many clashes there are. Larger
+    groups go through ``_large_groups``."""
     order_type = incoming.schema["order"].dataType
-    taken = existing.select("dir", "name", (F.col("gone") if "gone" in existing.columns else F.lit(None)).cast(order_type).alias("gone"))
-    pending = incoming.select("order", "dir", "name")
+    none = F.lit(None)
+    inc = _grouped(incoming.select("order", "dir", "name"), split_suffix)
+    held = existing.select("dir", "name", (F.col("gone") if "gone" in existing.columns else none).cast(order_type).alias("gone"))
+    held = _grouped(held, split_suffix).join(inc.select(*GROUP).distinct(), GROUP, "left_semi")
+    rows = cut_lineage(inc.select(*GROUP, "stem", "name", "order", F.lit(False).alias("held"), none.cast(order_type).alias("gone"))
+                       .unionByName(held.select(*GROUP, "stem", "name", none.cast(order_type).alias("order"), F.lit(True).alias("held"), "gone")),
+                       "collision-names")
+    large = cut_lineage(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FOLD_ROWS).select(*GROUP), "large-groups")
+    if large.isEmpty():
+        return _folded(rows, order_type)
+    rest = rows.join(large, GROUP, "left_semi")
+    settled = _large_groups(rest.filter("held").select("dir", "name", "gone"), rest.filter("not held").select("order", "dir", "name"),
+                            split_suffix, order_type, "gone" in existing.columns)
+    return _folded(rows.join(large, GROUP, "left_anti"), order_type).unionByName(settled)
+
+
+def _folded(rows: DataFrame, order_type) -> DataFrame:
+    """Groups in order, one sorted scan per task that keeps the taken names of the current group. A name is
+    index 0 of its own family and, if it ends in a number, that index of the family before it. At the
+    same order a file's own name is still taken."""
+    held = rows.filter("held")
+    none = F.lit(None)
+    events = (held.select(*GROUP, "stem", "name", F.lit(0).alias("step"), none.cast(order_type).alias("order"))
+              .unionByName(rows.filter("not held").select(*GROUP, "stem", "name", F.lit(1).alias("step"), "order"))
+              .unionByName(held.filter(F.col("gone").isNotNull()).select(*GROUP, "stem", "name", F.lit(2).alias("step"), F.col("gone").alias("order"))))
+    dealt = events.repartition(*GROUP).sortWithinPartitions(*GROUP, F.col("order").asc_nulls_first(), "step")
+
+    def run(batches):
+        import heapq
+        import re
+
+        import pyarrow as pa
+        number = re.compile(r"(?s)^(.*)_([1-9][0-9]{0,17})$").match
+        group, taken, free, top = None, set(), {}, {}
+        for batch in batches:
+            at, finals = [], []
+            for i, (d, root, sfx, stem, name, step) in enumerate(zip(*(batch.column(c).to_pylist() for c in [*GROUP, "stem", "name", "step"]))):
+                if (d, root, sfx) != group:
+                    group, taken, free, top = (d, root, sfx), set(), {}, {}
+                if step == 0:
+                    taken.add(name)
+                elif step == 2:
+                    taken.discard(name)
+                    heapq.heappush(free.setdefault(stem, []), 0)
+                    before = number(stem)
+                    if before:  # may lie above the family's ``top``; it is then met twice and skipped
+                        heapq.heappush(free.setdefault(before[1], []), int(before[2]))
+                else:
+                    def spelt(n):
+                        return f"{stem}_{n}{sfx}" if n else name  # noqa: B023
+                    again = free.get(stem, [])
+                    while again and spelt(again[0]) in taken:
+                        heapq.heappop(again)
+                    n = top.get(stem, 0)
+                    while spelt(n) in taken:
+                        n += 1
+                    top[stem] = n
+                    final = spelt(min(n, again[0]) if again else n)
+                    taken.add(final)
+                    at.append(i)
+                    finals.append(final)
+            chosen = batch.select(["order", "dir", "name"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(finals, pa.string())], names=[*chosen.schema.names, "final_name"])
+
+    schema = StructType().add("order", order_type).add("dir", "string").add("name", "string").add("final_name", "string")
+    return dealt.mapInArrow(run, schema)
+
+
+def _large_groups(taken: DataFrame, pending: DataFrame, split_suffix: bool, order_type, leaves: bool) -> DataFrame:
+    """Each pass assigns family by family. Names can only clash across families of a group
+    (``a.txt`` twice and an incoming ``a_1.txt``): every pending file of a group ordered at or
+    before its earliest clash is provably final, so it is fixed and the rest of that group is
+    re-resolved against the grown set of taken names. Without clashes one pass settles everything."""
     done = None
     while True:
         # materialised once: the clash test and the consumers read the written table
-        out = cut_lineage(_one_pass(taken, pending, split_suffix, "gone" in existing.columns), "collisions")
+        out = cut_lineage(_grouped(_one_pass(taken, pending, split_suffix, leaves), split_suffix), "collisions")
         twice = out.groupBy("dir", "final_name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        # of a name given twice every holder counts as clashing; the earliest of the directory is final
+        # of a name given twice every holder counts as clashing; the earliest of the group is final
         holders = out.join(twice.select("dir", "final_name"), ["dir", "final_name"], "left_semi")
-        first = cut_lineage(holders.groupBy("dir").agg(F.min("order").alias("first")), "collision-limits")
+        first = cut_lineage(holders.groupBy(*GROUP).agg(F.min("order").alias("first")), "collision-limits")
+        columns = ["order", "dir", "name", "final_name"]
         if not first.head(1):
-            return out if done is None else done.unionByName(out)
-        limited = out.join(first, "dir", "left")
+            return out.select(*columns) if done is None else done.unionByName(out.select(*columns))
+        limited = out.join(first, GROUP, "left")
         settled = F.col("first").isNull() | (F.col("order") <= F.col("first"))
-        fixed = limited.filter(settled).select("order", "dir", "name", "final_name")
+        fixed = limited.filter(settled).select(*columns)
         done = fixed if done is None else done.unionByName(fixed)
         taken = taken.unionByName(fixed.select("dir", F.col("final_name").alias("name"), F.lit(None).cast(order_type).alias("gone")))
         pending = limited.filter(~settled).select("order", "dir", "name")

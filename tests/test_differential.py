@@ -208,7 +208,10 @@ def test_endless_burst_vs_python(spark, monkeypatch, wide):
     assert got == sorted(O.py_throttle(ev, 5, 60))
 
 
-def test_collisions_vs_sequential(spark):
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_collisions_vs_sequential(spark, monkeypatch, rows):
+    from shelfspark.plans import organize
+    monkeypatch.setattr(organize, "FOLD_ROWS", rows)
     rng = random.Random(7)
     names = ["a.txt", "a_1.txt", "a_2.txt", "b", "b_1", "c.tar.gz", "c.tar_1.gz", ".hidden", "d_01.txt"]
     existing = {(rng.choice(["x", "y"]), rng.choice(names)) for _ in range(8)}

@@ -36,8 +36,10 @@ def sequential(paths, moves):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_organize_equals_sequential_moves(spark, seed):
+@pytest.mark.parametrize("seed,rows", [*((s, 200_000) for s in range(6)), (0, 0), (1, 0), (2, 6)])
+def test_organize_equals_sequential_moves(spark, monkeypatch, seed, rows):
+    from shelfspark.plans import organize
+    monkeypatch.setattr(organize, "FOLD_ROWS", rows)
     rng = random.Random(seed)
     folders = ["_inbox", "学习", "备忘", "Trips", "_inbox/src1"]
     names = ["a.txt", "a_1.txt", "a_2.txt", "a_1_1.txt", "b.md", "b", ".hidden", "c.tar.gz"]
@@ -49,21 +51,34 @@ def test_organize_equals_sequential_moves(spark, seed):
     assert got == sequential(paths, moves)
 
 
-def test_passes_do_not_grow_with_directories(spark, monkeypatch):
-    """Six directories with the same clash settle in as many passes as one."""
+def test_a_thousand_clashes_in_one_directory(spark, monkeypatch):
+    """Clashes between families are settled in the one pass over all groups."""
+    from shelfspark.plans import organize
+    monkeypatch.setattr(organize, "_one_pass", None)
+    names = [n for i in range(1000) for n in (f"f{i}x.txt", f"f{i}x.txt", f"f{i}x_1.txt")]
+    rows = [(i, "d", n) for i, n in enumerate(names)]
+    out = collision_names(spark.createDataFrame([], "dir string, name string"), spark.createDataFrame(rows, "order long, dir string, name string"))
+    got = {r.order: r.final_name for r in out.collect()}
+    assert got == {3 * i + k: n for i in range(1000) for k, n in enumerate((f"f{i}x.txt", f"f{i}x_1.txt", f"f{i}x_1_1.txt"))}
+
+
+def test_passes_of_large_groups_do_not_grow_with_their_number(spark, monkeypatch):
+    """Six groups, of one directory or of six, with the same clash settle in as many passes as one."""
     from shelfspark.plans import organize
     calls = []
     inner = organize._one_pass
     monkeypatch.setattr(organize, "_one_pass", lambda *a: calls.append(1) or inner(*a))
-    names = ["a.txt", "a.txt", "a_1.txt"]
+    monkeypatch.setattr(organize, "FOLD_ROWS", 0)
     counts = []
-    for dirs in (1, 6):
+    for folders, stems in ((1, 1), (3, 2)):
         calls.clear()
-        rows = [(i, f"d{i // 3}", names[i % 3]) for i in range(3 * dirs)]
-        out = collision_names(spark.createDataFrame([], "dir string, name string"), spark.createDataFrame(rows, "order long, dir string, name string"))
-        assert sorted((r.dir, r.final_name) for r in out.collect()) == sorted((f"d{d}", n) for d in range(dirs) for n in ("a.txt", "a_1.txt", "a_1_1.txt"))
+        rows = [(f"d{d}", f"{s}{n}") for d in range(folders) for s in "ab"[:stems] for n in (".txt", ".txt", "_1.txt")]
+        out = collision_names(spark.createDataFrame([], "dir string, name string"),
+                              spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "order long, dir string, name string"))
+        assert sorted((r.dir, r.final_name) for r in out.collect()) == sorted(
+            (f"d{d}", f"{s}{n}") for d in range(folders) for s in "ab"[:stems] for n in (".txt", "_1.txt", "_1_1.txt"))
         counts.append(len(calls))
-    assert counts[0] == counts[1]
+    assert counts[0] == counts[1] and counts[0] > 0
 
 
 def test_group_files_equals_sequential(spark):
