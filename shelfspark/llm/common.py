@@ -34,6 +34,19 @@ def _give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, build):
+    """A worker's state for later tasks of the same operator (``key``). Workers are reused by all stages, so
+    only the latest operator's state is kept."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _give_back()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
     """Cut a batch into runs of rows whose texts hold at most ``limit`` bytes together
     (a single longer text is a run of its own), so memory follows the longest text and

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import read, slices, texts_of, words_of
+from shelfspark.llm.common import kept, read, slices, texts_of, words_of
 from shelfspark.llm.crf import CLOSING, LABELS, OPENING, ChainField, shape
 
 #: Bytes of text labelled at a time; scores and paths take some fifty times as much.
@@ -185,14 +185,8 @@ class Finder:
         return found
 
 
-_FINDER: dict[int, Finder] = {}
-
-
 def _finder(shared) -> Finder:
-    if shared.id not in _FINDER:
-        _FINDER.clear()
-        _FINDER[shared.id] = Finder(shared.value)
-    return _FINDER[shared.id]
+    return kept(("pii", shared.id), lambda: Finder(shared.value))
 
 
 class _Shared:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from shelfspark.llm.common import gather, words_of
+from shelfspark.llm.common import gather, kept, words_of
 
 #: Parts of pieces a worker keeps per generation of its cache.
 CACHE_PIECES = 1 << 16
@@ -98,12 +98,6 @@ class Encoder:
         return gather(ids, starts[codes], lengths[codes]), ends[offsets]
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder(tokenizer_json: str) -> Encoder:
-    """The worker's encoder for a tokenizer; workers are reused by later tasks."""
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(tokenizer_json)
-    return _ENCODERS[key]
+    """The worker's encoder for a tokenizer."""
+    return kept(("word_bpe", zlib.crc32(tokenizer_json.encode())), lambda: Encoder(tokenizer_json))
