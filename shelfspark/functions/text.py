@@ -99,3 +99,10 @@ def python_title(s) -> Column:
         return F.when(prev_cased, F.lower(ch)).otherwise(F.upper(ch))
 
     return F.array_join(F.transform(chars, one), "")
+
+
+def json_array(text) -> Column:
+    """TXT-9: a JSON array as text, as an array of strings; [] for null, for text that is no JSON and for JSON that
+    is no array."""
+    t = _c(text)
+    return F.coalesce(F.when(t.rlike(r"^\s*\["), F.from_json(t, "array<string>")), F.array().cast("array<string>"))

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from shelfspark import constants as K
-from shelfspark.functions.text import ascii_fold, path_name, sqlite_like
+from shelfspark.functions.text import ascii_fold, json_array, path_name, sqlite_like
 from shelfspark.session import cut_lineage
 
 def file_defaults() -> dict:
@@ -196,7 +197,10 @@ def get_descriptions(descriptions: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def lookup_files(files: DataFrame, paths: DataFrame) -> DataFrame:
-    """FLT-6: stored category and keywords for a batch of paths (NULL / [] if unknown)."""
+    """FLT-6: stored category and keywords for a batch of paths (NULL / [] if unknown). Keywords may be
+    stored as an array or as JSON text; text that cannot be read gives []."""
+    if isinstance(files.schema["keywords"].dataType, StringType):
+        files = files.withColumn("keywords", json_array("keywords"))
     j = paths.select("path").join(files.select("path", "category", "keywords"), "path", "left")
     return j.select("path", "category", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 

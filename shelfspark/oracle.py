@@ -593,6 +593,14 @@ SELECT r.file_id, r.original_name, r.text AS extracted_text, r.ext AS file_type,
 FROM vault_files r LEFT JOIN vault_keywords k ON k.file_id = r.file_id""", ["vault_files", "vault_keywords"])
 
 
+# requests to group files (GRP-6)
+cte("pick_listed", ["raw_files"], """
+SELECT file_id % 9 AS kind, path, original_name, directory, file_id // 9000 AS c,
+       2 * (1000 * (file_id // 9000) + CAST(regexp_extract(directory, '[0-9]+$', 0) AS BIGINT)) AS seq
+FROM raw_files WHERE file_id >= 0 AND file_id % 9 IN (0, 1)""")
+cte("pick_req", ["pick_listed"], "SELECT DISTINCT directory, c, seq FROM pick_listed WHERE kind = 0")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

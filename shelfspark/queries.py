@@ -19,6 +19,7 @@ from shelfspark.functions.text import detect_language
 from shelfspark.operators import catalog as CAT
 from shelfspark.operators import classify as CLS
 from shelfspark.operators import keywords as KW
+from shelfspark.session import cut_lineage, shared_scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -256,6 +257,56 @@ def q_lookup_files(spark, sf):
     return r.select("path", "category", F.array_join("keywords", "|").alias("keywords"))
 
 
+@register("lookup_stored", O.build(["catalog_files"], """
+SELECT path, category, CASE WHEN file_id % 7 = 1 OR file_id % 5 = 0 OR file_id % 11 = 3 THEN '' ELSE array_to_string(keywords, '|') END AS keywords
+FROM catalog_files"""))
+def q_lookup_stored(spark, sf):
+    """Keywords stored as JSON text, some of it missing, cut off or no array."""
+    files = X.catalog_files(spark, sf)
+    text, i = F.to_json("keywords"), F.col("file_id")
+    stored = files.select("path", "category", F.when(i % 7 == 1, F.lit(None)).when(i % 5 == 0, F.expr("substring(to_json(keywords), 1, length(to_json(keywords)) - 1)"))
+                          .when(i % 11 == 3, F.concat(F.lit('{"k": '), text, F.lit("}"))).otherwise(text).alias("keywords"))
+    return CAT.lookup_files(stored, files.select("path")).select("path", "category", F.array_join("keywords", "|").alias("keywords"))
+
+
+@register("classify_locales", O.build(["classified", "categories"], """
+SELECT c.file_id, coalesce(k.name_en, '_inbox') AS category_en,
+       coalesce(CASE WHEN c.locale_detected = 'zh' THEN k.name_zh ELSE k.name_en END, '_inbox') AS category_auto
+FROM classified c LEFT JOIN categories k ON k.id = c.category_id"""))
+def q_classify_locales(spark, sf):
+    """Display names in English and in each file's own language, from one pass over the texts."""
+    cats, kws = X.dictionary(spark)
+    rows, indexed = CLS.annotate(CLS.prepare(X.keyword_files(spark, sf)), cats, kws)
+    rows = cut_lineage(rows, "locales")
+    one = lambda loc, name: CLS.classify_annotated(rows, indexed, cats, kws, locale=loc).select("file_id", F.col("category").alias(name))
+    return one("en", "category_en").join(one("auto", "category_auto"), "file_id")
+
+
+@register("translate_names", O.build(["catalog_files"], f"""
+SELECT category, CASE category {' '.join(f"WHEN {O.q(a)} THEN {O.q(b)}" for a, b in K.NAME_TRANSLATION.items())} ELSE category END AS name_en,
+       count(*) AS files FROM catalog_files GROUP BY category"""))
+def q_translate_names(spark, sf):
+    named = X.catalog_files(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("files"))
+    return named.select("category", DIC.translate_name("category").alias("name_en"), "files")
+
+
+@register("seed_dictionary", O.build(["categories", "keywords"], """
+SELECT 'empty' AS table_was, c.id, c.name_zh, count(*) AS keywords
+FROM categories c JOIN keywords k ON k.category_id = c.id WHERE k.source = 'seed' GROUP BY c.id, c.name_zh
+UNION ALL SELECT DISTINCT 'filled', lang, source, 0 FROM documents WHERE source = 'src0'"""))
+def q_seed_dictionary(spark, sf):
+    """A vault whose category table is empty gets the seeds; one with own categories (here the languages of a
+    source) keeps them."""
+    own = X.table(spark, sf, "documents").where("source = 'src0'").select(F.col("lang").alias("id"), F.col("source").alias("name_zh")).distinct()
+    out = None
+    for was, have in (("empty", own.where("id is null")), ("filled", own)):
+        cats, kws = DIC.bootstrap(have, spark)
+        n = kws.groupBy(F.col("category_id").alias("id")).agg(F.count(F.lit(1)).alias("keywords"))
+        part = cats.join(n, "id", "left").select(F.lit(was).alias("table_was"), "id", "name_zh", F.coalesce("keywords", F.lit(0)).alias("keywords"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
@@ -370,11 +421,11 @@ def q_export_stats_json(spark, sf):
 
 def _category_requests(spark, sf):
     """Category additions derived from the benchmark items: name = first word, keywords =
-    the next three words."""
+    all further words."""
     b = X.table(spark, sf, "benchmark")
     words = F.split(F.trim(F.col("text")), r"\s+")
     return b.select(F.col("item_id").alias("seq"), F.element_at(words, 1).alias("name"),
-                    F.slice(words, 2, 3).alias("keywords"), F.array().cast("array<string>").alias("extensions"),
+                    F.slice(words, 2, F.size(words)).alias("keywords"), F.array().cast("array<string>").alias("extensions"),
                     F.lit("en").alias("locale"))
 
 
@@ -390,7 +441,7 @@ SELECT seq, id, name,
 FROM (SELECT seq, name, keywords_count, {_SLUG_SQL} AS id FROM (
   SELECT seq, name, keywords_count,
          regexp_replace(replace(lower(name), ' ', '_'), '[^a-z0-9_]', '_', 'g')[1:32] AS slug
-  FROM (SELECT item_id AS seq, parts[1] AS name, least(3, len(parts) - 1) AS keywords_count
+  FROM (SELECT item_id AS seq, parts[1] AS name, len(parts) - 1 AS keywords_count
         FROM (SELECT item_id, string_split_regex(trim(text), '\\s+') AS parts FROM benchmark))))"""))
 def q_add_categories(spark, sf):
     cats, kws = X.dictionary(spark)
@@ -541,7 +592,7 @@ from shelfspark.functions.stems import stem_candidates  # noqa: E402
 from shelfspark.functions.text import name_stem  # noqa: E402
 from shelfspark.operators import groups as GRP  # noqa: E402
 from shelfspark.plans import organize as ORG  # noqa: E402
-from shelfspark.session import cut_lineage, shared_scratch  # noqa: E402
+
 
 ARCHIVE_DAYS = 10
 
@@ -724,6 +775,51 @@ def q_suggest_categories(spark, sf):
                     "file_count", F.array_join("sample_files", "|").alias("sample_files"), "message")
 
 
+@register("suggest_gates", O.build(["review_inbox"], """
+SELECT 1 AS gate, 'insufficient_data' AS status, 'Need at least ' || CAST(count(*) + 1 AS VARCHAR) || ' files in _inbox (currently '
+       || CAST(count(*) AS VARCHAR) || ')' AS message FROM review_inbox
+UNION ALL SELECT 2, 'no_keywords', 'No keywords extracted from inbox files yet. Run ingest first.'
+UNION ALL SELECT 3, 'no_clusters', 'No clear keyword clusters found in inbox files.'
+UNION ALL SELECT 4, 'no_clusters', 'No significant clusters found.'"""))
+def q_suggest_gates(spark, sf):
+    """The four reasons to suggest nothing: too few files, no keywords, none that is frequent, none that meet."""
+    inbox = cut_lineage(X.review_inbox(spark, sf).select("file_id", "path", "keywords"), "gates-inbox")
+    n = inbox.count()
+    words = lambda *cols: inbox.withColumn("keywords", F.array(*cols).cast("array<string>"))
+    cases = [(inbox, n + 1), (words(), 1), (words(F.concat(F.lit("k"), F.abs("file_id").cast("string"), F.when(F.col("file_id") < 0, F.lit("s")).otherwise(F.lit("")))), 1),
+             (words(F.concat(F.lit("group"), F.pmod("file_id", F.lit(3)).cast("string"))), 1)]
+    out = None
+    for gate, (rows, least) in enumerate(cases, 1):
+        part = SUG.suggest_categories(rows, min_files=least).select(F.lit(gate).alias("gate"), "status", "message")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("group_files", O.build(["pick_listed", "pick_req"], """
+SELECT seq, path AS src, directory || '/Picked ' || c || '/' || original_name AS dst, 'moved' AS status FROM pick_listed WHERE kind = 0
+UNION ALL
+SELECT l.seq + 1, l.path, CASE WHEN kind = 1 THEN l.directory || '/Picked ' || l.c || '_1/' || l.original_name END,
+       CASE WHEN kind = 1 THEN 'moved' ELSE 'error' END
+FROM pick_listed l JOIN pick_req r USING (directory, c)
+UNION ALL SELECT seq + 1, directory || '/none.txt', NULL, 'error' FROM pick_req"""))
+def q_group_files(spark, sf):
+    """In every directory, and for every 9000 identifiers, a request for every ninth file, then one for the same
+    folder name that names those again, their neighbours and a file that is not there."""
+    raw = X.raw_files(spark, sf).select("file_id", "path", "directory").where("file_id >= 0")
+    kind, c = F.pmod("file_id", F.lit(9)), F.expr("file_id div 9000").alias("c")  # a request names 1000 files at most
+
+    def listed(i):
+        return raw.where(kind == i).groupBy("directory", c).agg(F.sort_array(F.collect_list("path")).alias(f"paths{i}"))
+    req = listed(0).join(listed(1), ["directory", "c"], "left").withColumn(
+        "seq", 2 * (1000 * F.col("c") + F.regexp_extract("directory", "[0-9]+$", 0).cast("bigint")))
+    missing = F.array(F.concat("directory", F.lit("/none.txt")))
+    second = F.concat("paths0", F.coalesce("paths1", F.array().cast("array<string>")), missing)
+    asked = [(F.col("seq"), F.col("paths0")), (F.col("seq") + 1, second)]
+    asked = [req.select(seq.alias("seq"), F.concat(F.lit("Picked "), F.col("c").cast("string")).alias("folder_name"),
+                        F.col("directory").alias("source_dir"), paths.alias("paths")) for seq, paths in asked]
+    return ORG.group_files(raw, asked[0].unionByName(asked[1])).select("seq", "src", "dst", "status")
+
+
 # ---------------------------------------------------------------------------
 # Scans and sources (SCN), path / name checks (FLT-7..9), slugs (TXT-4)
 # ---------------------------------------------------------------------------
@@ -860,18 +956,21 @@ def q_sanitize_names(spark, sf):
 
 
 @register("category_slug", """
-SELECT item_id, name, CASE WHEN slug = '' OR starts_with(slug, '_')
-                           THEN 'cat_' || CAST(('0x' || substr(md5(name), 1, 8))::BIGINT % 10000 AS VARCHAR)
-                           ELSE slug END AS slug
-FROM (SELECT item_id, name, regexp_replace(replace(lower(name), ' ', '_'), '[^a-z0-9_]', '_', 'g')[1:32] AS slug
-      FROM (SELECT item_id, split_part(trim(text), ' ', 1) AS name FROM benchmark))""")
+SELECT item_id, pos, name, CASE WHEN slug = '' OR starts_with(slug, '_')
+                                THEN 'cat_' || CAST(('0x' || substr(md5(name), 1, 8))::BIGINT % 10000 AS VARCHAR)
+                                ELSE slug END AS slug
+FROM (SELECT item_id, pos, name, regexp_replace(replace(lower(name), ' ', '_'), '[^a-z0-9_]', '_', 'g')[1:32] AS slug
+      FROM (SELECT item_id, unnest(w) AS name, unnest(range(len(w))) AS pos
+            FROM (SELECT item_id, list_concat(string_split(text, ' '), [text]) AS w FROM benchmark)))""")
 def q_category_slug(spark, sf):
-    b = X.table(spark, sf, "benchmark").select("item_id", F.split(F.trim("text"), " ").getItem(0).alias("name"))
-    return b.select("item_id", "name", DIC.category_slug(F.col("name")).alias("slug"))
+    """Slugs of every word of every text, and of the text itself."""
+    names = F.concat(F.split("text", " "), F.array("text"))
+    b = X.table(spark, sf, "benchmark").select("item_id", F.posexplode(names).alias("pos", "name"))
+    return b.select("item_id", F.col("pos").cast("bigint").alias("pos"), "name", DIC.category_slug(F.col("name")).alias("slug"))
 
 
 @register("assemble_pages", """
-SELECT doc_id, CASE WHEN scanned THEN fulltext ELSE fulltext[1:50000] END AS text,
+SELECT doc_id, fulltext AS text,
        CASE WHEN scanned THEN 'scanned_pdf' ELSE 'pdf' END AS file_type,
        CASE WHEN scanned THEN 'Low text content — may be scanned PDF. Install marker-pdf for OCR.' END AS error
 FROM (SELECT doc_id, fulltext, length(regexp_replace(fulltext, '^\\s+|\\s+$', '', 'g')) < 50 AS scanned FROM (
@@ -901,7 +1000,7 @@ def notebooks_from_conversations(spark, sf):
 
 
 @register("read_notebook", """
-SELECT conv_id, CASE WHEN body = '' THEN '[Jupyter Notebook: 0 code cells, 0 markdown cells]' ELSE body[1:50000] END
+SELECT conv_id, CASE WHEN body = '' THEN '[Jupyter Notebook: 0 code cells, 0 markdown cells]' ELSE body END
        AS text
 FROM (SELECT conv_id, coalesce(string_agg(
         CASE WHEN role = 'assistant' THEN '# --- Code Cell ' ELSE '# --- Markdown Cell ' END || CAST(n AS VARCHAR)
@@ -1081,7 +1180,7 @@ SELECT query_id, path, updated_at, rank, total_hits FROM (
            CASE WHEN i % 11 = 3 THEN substring(y, 1, 2) WHEN i % 13 = 5 THEN substring(y, 1, 1) || '_' || substring(y, 3, 1000)
                 WHEN i % 17 = 6 THEN substring(y, 1, 2) || '%' || substring(y, 4, 1000) ELSE y END], lambda t: t IS NOT NULL) AS terms
     FROM (SELECT item_id, unnest(range(len(w))) AS i, unnest(w) AS x, unnest(list_concat(w[2:], [NULL::VARCHAR])) AS y
-          FROM (SELECT item_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark))) q
+          FROM (SELECT item_id, string_split_regex(trim(text), '\\s+') AS w FROM benchmark))) q
   JOIN descriptions d ON len(list_filter(q.terms, lambda t: {O.fold('d.description')} LIKE '%' || {O.fold('t')} || '%')) = len(q.terms))
 WHERE rank <= 50"""))
 def q_search_batch(spark, sf):
