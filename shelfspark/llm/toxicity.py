@@ -19,6 +19,8 @@ without labels); an empty table gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import read, slices, texts_of, words_of
 from shelfspark.llm.logistic import Logistic
+from shelfspark.session import cut_lineage
 
 #: Bound of the labelled sample that lexicon and model are learned from: toxic and other documents.
 TOXIC, OTHER = 4000, 4000
@@ -204,19 +207,28 @@ class Scorer:
         return self.model.probability(self.features(texts))
 
 
-def _counted(batches) -> dict[str, list]:
-    """Of each word of the sample: documents by class, and its pairs of neighbours in toxic ones."""
-    words: dict[str, list] = {}
+_COUNTED = "word string, clean long, toxic long, around long"
+
+
+def _counted(batches):
+    """mapInArrow over (toxic, text) of the sample. For each word the documents of either class in this slice,
+    and in rows of their own the neighbours (as a hash of both) that the word has in toxic ones."""
     for batch in batches:
-        for toxic, text in zip(batch.column("toxic").to_pylist(), texts_of(batch).to_pylist()):
-            line = [w for w in map(bare, text.split()) if w]
-            for w in {w for w in line if 3 <= len(w) <= 24 and w.isalpha()}:
-                words.setdefault(w, [0, 0, set()])[toxic] += 1
-            if toxic:
-                for before, w, after in zip(["", *line], line, [*line[1:], ""]):
-                    if w in words:
-                        words[w][2].add(hash((before, after)))
-    return words
+        for part in slices(batch):
+            words: dict[str, list] = {}
+            for toxic, text in zip(part.column("toxic").to_pylist(), texts_of(part).to_pylist()):
+                line = [w for w in map(bare, text.split()) if w]
+                own = {w for w in line if 3 <= len(w) <= 24 and w.isalpha()}
+                for w in own:
+                    words.setdefault(w, [0, 0, set()])[toxic] += 1
+                if toxic:
+                    for before, w, after in zip(["", *line], line, [*line[1:], ""]):
+                        if w in own:
+                            words[w][2].add(zlib.crc32(f"{before} {after}".encode()))
+            rows = [(w, c[0], c[1], None) for w, c in words.items()] + [(w, 0, 0, x) for w, c in words.items() for x in c[2]]
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+                                      names=["word", "clean", "toxic", "around"])
 
 
 def held_out(id_column):
@@ -234,19 +246,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # copies would make the words of one text look frequent
     texts = (rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])  # TOXIC + OTHER identifiers at most
              .groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))).select("toxic", "text")
-    got = texts.toArrow()  # the bounded sample
-    y = got.column("toxic").to_numpy().astype(float)
-    if min((y == 0).sum(), (y == 1).sum()) < 10:
+    texts = cut_lineage(texts, "toxicity-sample")  # read by tasks only: the driver sees words, then rows of features
+    n0, n1 = (texts.where(F.col("toxic") == c).count() for c in (0, 1))
+    if min(n0, n1) < 10:
         empty = Scorer([], [])
-        empty.constant = float(y.mean()) if len(y) else 0.0
+        empty.constant = n1 / (n0 + n1) if n0 + n1 else 0.0
         return empty
-    words = _counted(got.to_batches())
-    n0, n1 = (y == 0).sum(), (y == 1).sum()
-    ratio = {w: ((c[1] + 0.5) / (n1 + 1)) / ((c[0] + 0.5) / (n0 + 1)) for w, c in words.items()
-             if min(c[1], len(c[2])) >= max(LEAST, LEAST_SHARE * n1)}
-    terms = sorted((w for w, r in ratio.items() if r >= RATIO), key=lambda w: (-words[w][1], w))[:TERMS]
-    scorer = Scorer(terms, [float(np.log(ratio[w])) for w in terms])
-    x = np.vstack([scorer.features(texts_of(b)) for b in got.to_batches()])
+    least = max(LEAST, LEAST_SHARE * n1)
+    counted = (texts.mapInArrow(_counted, _COUNTED).groupBy("word", "around").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+               .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count("around").alias("around")))
+    ratio = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
+    found = (counted.where(F.least("toxic", "around") >= least).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO)
+             .orderBy(F.desc("toxic"), "word").limit(TERMS).collect())
+    scorer = Scorer([r["word"] for r in found], [float(np.log(r["ratio"])) for r in found])
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # the lexicon's table, bounded by TERMS
+
+    def features(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.record_batch({"toxic": part.column("toxic"), "x": pa.array(list(shared.value.features(texts_of(part))), pa.list_(pa.float64()))})
+
+    got = texts.mapInArrow(features, "toxic int, x array<double>").toArrow()  # a short row for each document of the sample
+    y = got.column("toxic").to_numpy().astype(float)
+    x = np.stack(got.column("x").to_pylist()).astype(float)
     share = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).agg(F.avg("toxic")).first()[0]
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))  # the sample's classes back to the labels' shares
     scorer.model = Logistic(x, y, l2=0.5, weight=weight)
