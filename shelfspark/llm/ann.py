@@ -19,7 +19,7 @@ Recall against brute force at the default parameters is measured in tests/llm/te
 
 Cases: vectors that are null, zero or hold null or non-finite components, and rows without
 identifier, take no part; equal scores go to the smaller identifier; of a repeated identifier
-every row takes part; fewer than k candidates give all; an empty table gives no rows.
+every row takes part, and a query leaves out its own row only; fewer than k candidates give all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -135,15 +135,16 @@ def _pairs(index: DataFrame, probe: DataFrame, cell: list[str], k: int, block_ve
 
 
 def _ranked(pairs: DataFrame, groups: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """query_id, qg, rank, vec_id, score of the k best rows of each row of ``asked``."""
+    """ask, query_id, rank, vec_id, score of the k best rows of each row of ``asked``, its own left out: of
+    rows with its identifier and its vector one is its own."""
     best = Window.partitionBy("qg").orderBy(F.desc("score"), "id")
     hits = (pairs.groupBy("qg", "g").agg(F.max("score").alias("score"))
-            .join(groups.select("g", "ids"), "g").select("qg", "score", F.explode("ids").alias("id"))
+            .join(groups.select("g", "ids"), "g").select("qg", "g", "score", "ids", F.posexplode("ids").alias("at", "id"))
+            .withColumn("once", F.array_position("ids", F.col("id")) == F.col("at") + 1).drop("ids", "at")
             .withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth"))
-    # a query's own row is left out; another row with the same identifier is not told from it
-    return (asked.join(hits, "qg").where("id != query_id")
-            .withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "qg").orderBy(F.desc("score"), "id")))
-            .where(F.col("rank") <= k).select("query_id", "qg", "rank", F.col("id").alias("vec_id"), "score"))
+    return (asked.join(hits, "qg").where("not (g = qg and id = query_id and once)")
+            .withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "id")))
+            .where(F.col("rank") <= k).select("ask", "query_id", "rank", F.col("id").alias("vec_id"), "score"))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES,
@@ -162,7 +163,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
                          .withColumn("dim", F.size("vec")).withColumn("scale", F.round(4 * F.log2(norm)).cast("int"))
                          .withColumn("g", F.monotonically_increasing_id()), "vector-groups")
     asked = cut_lineage(v.where("asks").select("id", "vec").join(groups.select("vec", "g"), "vec").select(
-        F.col("id").alias("query_id"), F.col("g").alias("qg")), "vector-queries")
+        F.monotonically_increasing_id().alias("ask"), F.col("id").alias("query_id"), F.col("g").alias("qg")), "vector-queries")
     cell = ["t", "axis", "dim", "scale"]
     shape = "t int, axis int, dim int, scale int, g long, vec " + groups.schema["vec"].dataType.simpleString()
     # by powers of 2^(1/4): a bounded number; the scale that half of a dimension's vectors do not exceed asks for ``probes`` axes
@@ -188,15 +189,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
              .unionByName(single(asking.drop("scale").join(whole, "dim"))))
     found = cut_lineage(_ranked(_pairs(index, probe, cell, k, block_vectors, block_queries), groups, asked, k), "vector-neighbours")
     # queries whose cells held fewer than k are scored against every vector of their dimension
-    short = cut_lineage(asked.join(found.groupBy("query_id", "qg").agg(F.count(F.lit(1)).alias("n")), ["query_id", "qg"], "left")
-                        .where("coalesce(n, 0) < %d" % k).select("query_id", "qg"), "vector-short-queries")
+    short = cut_lineage(asked.join(found.groupBy("ask").agg(F.count(F.lit(1)).alias("n")), "ask", "left")
+                        .where("coalesce(n, 0) < %d" % k).select(*asked.columns), "vector-short-queries")
     if short.isEmpty():
-        return found.drop("qg")
+        return found.drop("ask")
     every = groups.select("dim", "g", "vec")
     wide = cut_lineage(every.join(short.select(F.col("qg").alias("g")).distinct(), "g", "left_semi").select("dim", "g", "vec"),
                        "vector-wide-queries")
     full = _ranked(_pairs(every, wide, ["dim"], k, block_vectors, block_queries), groups, short, k)
-    return found.join(short, ["query_id", "qg"], "left_anti").select(*full.columns).unionByName(full).drop("qg")
+    return found.join(short, "ask", "left_anti").select(*full.columns).unionByName(full).drop("ask")
 
 
 #: The stated query set of the search: every twentieth identifier.

@@ -49,6 +49,15 @@ def test_all_cells_probed_is_exact(spark, blocks):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=1e-12, atol=1e-12)
 
 
+def test_only_the_own_row_is_left_out(spark):
+    """Rows that repeat the query's identifier, with its vector or another, are candidates; repeated
+    queries are answered one by one."""
+    pairs = [(20, [1, 0]), (20, [0.5, 1]), (20, [1, 0]), (7, [0.25, 0])]
+    got = sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(nearest(_table(spark, pairs), F.col("vec_id") % 10 == 0, k=5))))
+    one = [(20, 1, 20, 1.0), (20, 2, 20, 0.5), (20, 3, 7, 0.25)]
+    assert got == sorted([*one, *one, (20, 1, 20, 0.5), (20, 2, 20, 0.5), (20, 3, 7, 0.125)])
+
+
 def test_few_and_none(spark):
     assert _got(nearest(_table(spark, []), F.col("vec_id") % 10 == 0)) == {}
     assert _got(nearest(_table(spark, [(0, [1, 2]), (1, [2, 1])]), F.col("vec_id") % 10 == 0)) == {0: [(1, 4.0)]}
