@@ -272,4 +272,6 @@ def keep_one(docs: DataFrame, share: int = 80, of: int = 100) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(read(spark, sf_dir, "documents"), share=85).select("doc_id", "n_shingles", "component_id", "kept")
+    groups = near_groups(read(spark, sf_dir, "documents"), share=85)
+    # a filter keeps one row of a repeated identifier; here every row that bears the component's stays
+    return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

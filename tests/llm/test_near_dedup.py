@@ -125,3 +125,12 @@ def test_sets_do_not_collide():
     texts = variants(5, 40, 80, 0.1)
     hashes, offsets = N.shingle_sets(pa.array(texts, pa.large_string()))
     assert [b - a for a, b in zip(offsets[:-1], offsets[1:])] == [len(brute_set(t)) for t in texts]
+
+
+def test_every_row_of_the_kept_identifier_is_kept(spark, tmp_path):
+    """The query's ``kept`` is doc_id = component_id, also where an identifier is repeated with other texts."""
+    from shelfspark.llm.near_dedup import query
+    words = " ".join(f"w{i}" for i in range(60))
+    docs(spark, [words, words + " end", "other text of some few words", words], [1, 2, 1, 3]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows(query(spark, str(tmp_path))))
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
