@@ -104,7 +104,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # two groups a partition at most
     stitched = (runs.where("edge and head").groupBy("digest")
                 .agg(F.max("keep_id").alias("all_keep"), F.sum("run_size").alias("all_size"),
-                     F.min(F.struct(F.col("keep_id").isNull(), -F.col("keep_id"), "part"))["part"].alias("head_part"))
+                     F.max(F.struct(F.col("keep_id").isNotNull().alias("known"), "keep_id", (-F.col("part")).alias("minus")))["minus"].alias("minus"))
+                .select("digest", "all_keep", "all_size", (-F.col("minus")).alias("head_part"))
                 .withColumn("edge", F.lit(True)))
     return (runs.join(F.broadcast(stitched), ["digest", "edge"], "left")
             .select("doc_id", F.coalesce("all_keep", "keep_id").alias("keep_id"),

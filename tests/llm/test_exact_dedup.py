@@ -28,6 +28,7 @@ def _check(pairs, got):
 def test_groups(spark, partitions):
     texts = [None, "", "Ab", "aB", "AB ", "É", "é", LONG, LONG.upper(), LONG + "x"] + ["Hot TEXT"] * 300 + [f"w{i % 9}" for i in range(50)]
     ids = [*range(len(texts))]
+    ids[8] = -(1 << 63)  # the smallest identifier
     ids[3], ids[4], ids[20], ids[21], ids[22] = None, None, None, 19, 19
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
@@ -39,6 +40,16 @@ def test_groups(spark, partitions):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_smallest_identifier_over_several_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    try:
+        ids = [-(1 << 63)] * 200 + [-(1 << 63) + 1] + [None] * 50
+        _check([(i, "same") for i in ids], rows(exact_groups(docs(spark, ["same"] * len(ids), ids))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_groups_without_identifiers_and_empty(spark):
     _check([(None, "a"), (None, "A"), (None, "b")], rows(exact_groups(docs(spark, ["a", "A", "b"], [None] * 3))))
     assert rows(exact_groups(docs(spark, []))) == []
