@@ -34,8 +34,8 @@ from shelfspark.llm.common import gather, read, slices, texts_of, words_of
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
-#: Most hash buckets of words; a bucket's distinct words are held by one task.
-MOST_BUCKETS = 1024
+#: Bytes of text for each hash bucket of words; a bucket's distinct words are held by one task.
+BUCKET_BYTES = 8 << 20
 
 
 def pattern():
@@ -173,11 +173,13 @@ def _blocks(batches, match, buckets):
             block += 1
 
 
-def encode_decode(docs: DataFrame, ranks: bytes, match: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: bytes, match: str, id_col: str = "doc_id", text_col: str = "text",
+                  bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the
     bytes that the ids decode to). ``ranks``: a tiktoken rank file; ``match``: its pattern."""
     spark = docs.sparkSession
-    buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    buckets = 1 + int(size // bucket_bytes)
     shared = spark.sparkContext.broadcast(ranks)  # a vocabulary file
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 

@@ -27,15 +27,10 @@ TEXTS = [None, "", " ", "  ", "\n", " a", "a ", "a  b", "a \n b", "a\n\n\nb c",
          "same words here", "same words here", "x" * 5000, "<|endoftext|>"]
 
 
-@pytest.mark.parametrize("partitions", ["1", "5"])
-def test_cases(spark, partitions):
+@pytest.mark.parametrize("bucket_bytes", [8 << 20, 5000])
+def test_cases(spark, bucket_bytes):
     ids = [*range(len(TEXTS) - 2), None, 3]
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    try:
-        assert _got(encode_decode(docs(spark, TEXTS, ids), rank_file(), pattern())) == _brute(zip(ids, TEXTS))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert _got(encode_decode(docs(spark, TEXTS, ids), rank_file(), pattern(), bucket_bytes=bucket_bytes)) == _brute(zip(ids, TEXTS))
 
 
 def test_empty(spark):
