@@ -4,7 +4,7 @@ The patterns' matches (e-mail, IP address, card, phone) always stand. The field
 word of every text and adds what the patterns leave: secrets, numbers written otherwise. A word
 of more than ``LONG_WORD`` characters (text without spaces, such as minified JSON or a URL) is cut
 at punctuation, and each unit is labelled as a word. Spans of the field that touch a pattern's
-span are dropped.
+span are dropped, and so are those that cannot be what they are marked as (``credible``).
 
 Cases: a null text counts as empty; null identifiers and repeated rows are kept; a text of any
 length is read whole; an empty table gives no rows; only the named columns are read
@@ -79,6 +79,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def credible(kind: str, text: str) -> bool:
+    """Whether a span that the field marks can be what it says: a number that is no card's by its check digit,
+    or no address by its parts, is just a number."""
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == "ip":
+        parts = text.split(".")
+        return len(parts) == 4 and all(p.isdecimal() and len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") < 256 for p in parts)
+    if kind == "email":
+        return "@" in text.strip("@")
+    if kind == "phone":
+        return 7 <= len(digits) <= 15
+    return True
+
+
 def _units(words: pa.Array, codes, rows, begin, length):
     """(units, codes, rows, begin, length): occurrences of words, the long ones as their units."""
     sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -178,8 +194,9 @@ class Finder:
                     start += 1
                 while start < end and text[end - 1] in CLOSING:
                     end -= 1
-                if start < end and not any(s < end and start < t for s, _, t in found[i]):
-                    found[i].append((start, len(KINDS) + KINDS.index(LABELS[label[a]]), end))
+                kind = LABELS[label[a]]
+                if start < end and credible(kind, text[start:end]) and not any(s < end and start < t for s, _, t in found[i]):
+                    found[i].append((start, len(KINDS) + KINDS.index(kind), end))
             for i in np.unique(row[first]).tolist():
                 found[i].sort(key=lambda s: (s[0], s[1] % len(KINDS)))
         return found
