@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import gather, read, slices, texts_of, words_of
+from shelfspark.llm.common import gather, kept, read, slices, texts_of, words_of
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
@@ -231,21 +231,17 @@ def encode_decode(docs: DataFrame, ranks: bytes, match: str, id_col: str = "doc_
             number = unpacked(numbers)["n"].to_numpy()
             table = unpacked(docs_)
             cuts = np.concatenate([[0], np.cumsum(table["n"].to_numpy())])
-            # bytes of the tokens, and of each word's ids in decimal with a comma behind each
-            token_bytes, token_at, token_n = _token_bytes(shared.value)
-            decimal, decimal_at, decimal_n = _decimals(len(token_n))
-            text_of_ids = gather(decimal, decimal_at[ids], decimal_n[ids])
-            per_id = np.concatenate([[0], np.cumsum(decimal_n[ids])])
-            word_from, word_to = per_id[starts], per_id[starts + lengths]
+            # of each distinct word its ids in decimal, with a comma behind each, and the bytes of its tokens
+            token_bytes, decimal = _tables(shared.value)
+            flat, ends = ids.tolist(), (starts + lengths).tolist()
+            listed = [b"".join([decimal[i] for i in flat[a:b]]) for a, b in zip(starts.tolist(), ends)]
+            raw = [b"".join([token_bytes[i] for i in flat[a:b]]) for a, b in zip(starts.tolist(), ends)]
             for doc_id, a, b in zip(table["doc_id"].to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
-                n = number[a:b]
-                own = gather(ids, starts[n], lengths[n])
-                listed = gather(text_of_ids, word_from[n], (word_to - word_from)[n])
-                raw = gather(token_bytes, token_at[own], token_n[own])
+                words = number[a:b].tolist()
                 out["doc_id"].append(doc_id)
-                out["n_tokens"].append(len(own))
-                out["ids_sha256"].append(hashlib.sha256(listed[:-1]).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(raw).hexdigest())
+                out["n_tokens"].append(int(lengths[number[a:b]].sum()))
+                out["ids_sha256"].append(hashlib.sha256(b"".join([listed[w] for w in words])[:-1]).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(b"".join([raw[w] for w in words])).hexdigest())
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
                          "ids_sha256": pa.array(out["ids_sha256"], pa.string()),
                          "decoded_sha256": pa.array(out["decoded_sha256"], pa.string())})
@@ -258,27 +254,13 @@ def encode_decode(docs: DataFrame, ranks: bytes, match: str, id_col: str = "doc_
         assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-_TABLES: dict = {}
-
-
-def _ragged(items: list[bytes]):
-    n = np.fromiter(map(len, items), np.int64, len(items))
-    return np.frombuffer(b"".join(items), np.uint8), np.cumsum(n) - n, n
-
-
-def _token_bytes(ranks: bytes):
-    """The token-byte table: (bytes, starts, lengths) by id."""
-    key = ("bytes", len(ranks))
-    if key not in _TABLES:
+def _tables(ranks: bytes) -> tuple[list[bytes], list[bytes]]:
+    """(the token-byte table, each id in decimal with a comma), by id."""
+    def build():
         by_id = {r: t for t, r in ranks_of(ranks).items()}
-        _TABLES[key] = _ragged([by_id.get(i, b"") for i in range(max(by_id) + 1)])
-    return _TABLES[key]
-
-
-def _decimals(n: int):
-    if ("decimal", n) not in _TABLES:
-        _TABLES["decimal", n] = _ragged([b"%d," % i for i in range(n)])
-    return _TABLES["decimal", n]
+        n = max(by_id) + 1
+        return [by_id.get(i, b"") for i in range(n)], [b"%d," % i for i in range(n)]
+    return kept(("byte_bpe", len(ranks)), build)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
