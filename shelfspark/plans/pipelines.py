@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import constants as K
 from shelfspark import fixtures as X
-from shelfspark.operators.classify import annotate, classify_annotated, prepare, route
+from shelfspark.operators.classify import annotate, classify_annotated, decide_table, prepare, route, score_tables
 from shelfspark.operators.learn import apply_corrections
 from shelfspark.plans.organize import organize_plan
 from shelfspark.session import cut_lineage
@@ -43,8 +43,7 @@ def ingest_pipeline(spark: SparkSession, sf_dir: str, description_chars: int | N
 def reclassify_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2E-2: corrections -> new weights -> re-classify -> (before, after) counts.
 
-    The texts are read once, for the rows of both dictionaries together; each classification then takes
-    the rows of its own."""
+    The texts are read once, for the scores by both dictionaries together."""
     cats, kws = X.dictionary(spark)
     learned = cut_lineage(apply_corrections(kws, cats, X.corrections(spark, sf_dir)), "learned-keywords")
     before, after = reclassify(X.keyword_files(spark, sf_dir), cats, kws, learned)
@@ -54,26 +53,11 @@ def reclassify_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reclassify(files: DataFrame, categories: DataFrame, old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classifications of ``files`` by two keyword tables over the same categories, from one pass: a
-    hit is a keyword in a text, whatever its weight, so hits are found for the distinct (category, keyword,
-    locale) of both and then take the weights, and the numbers, of either."""
-    name = ["category_id", "keyword", "locale"]
-    union = old.select(*name).unionByName(new.select(*name)).distinct()
-    union = union.withColumn("kw_id", F.monotonically_increasing_id()).withColumn("weight", F.lit(0.0))
-    union = cut_lineage(union, "both-dictionaries")
-    rows, indexed = annotate(prepare(files), categories, union)
-    rows = cut_lineage(rows, "reclassify-scan")
-    is_kw = F.col("_kind") == "kw"
-
-    def by(keywords: DataFrame) -> DataFrame:
-        own = keywords.select(F.col("category_id"), F.col("keyword").alias("_kw"), F.col("locale").alias("_kw_locale"),
-                              F.col("kw_id").alias("_own_id"), F.col("weight").alias("_own_weight"))
-        found = indexed.join(own, ["category_id", "_kw", "_kw_locale"], "left")
-        kept = found.where(~is_kw | F.col("_own_id").isNotNull()).withColumns(
-            {"kw_id": F.coalesce("_own_id", "kw_id"), "weight": F.when(is_kw, F.col("_own_weight"))}).select(*indexed.columns)
-        return classify_annotated(rows, kept, categories, keywords)
-
-    return by(old), by(new)
+    """The classifications of ``files`` by two keyword tables over the same categories, without reasons. A learned table
+    holds the words of the texts themselves and hits each text thousands of times, so the scan of the texts
+    gives the scores of both tables, and no hits; its rows are written once."""
+    scores = cut_lineage(score_tables(prepare(files), categories, [old, new]), "reclassify-scores")
+    return decide_table(scores, 0, categories, old), decide_table(scores, 1, categories, new)
 
 
 __all__ = ["ingest_pipeline", "reclassify_shift", "K"]
