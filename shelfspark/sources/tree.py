@@ -153,10 +153,12 @@ def write_files(files: DataFrame) -> int:
     """Write (path, content) rows as files, directories included; the number of files. A repeated
     task writes the same files again."""
     def run(batches):
+        made = ""  # the directory made last
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 system, inner, _ = _store(path)
-                system.create_dir(inner.rpartition("/")[0], recursive=True)
+                if made != (made := path.rpartition("/")[0]):
+                    system.create_dir(inner.rpartition("/")[0], recursive=True)
                 with system.open_output_stream(inner, compression=None) as f:
                     f.write(content or b"")
             yield pa.record_batch({"n": pa.array([batch.num_rows], pa.int64())})

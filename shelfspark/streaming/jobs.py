@@ -128,6 +128,26 @@ def stream_ingest(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return spark.read.parquet(out).drop("batch")
 
 
+@contextlib.contextmanager
+def few_tasks(spark: SparkSession):
+    """Settings for a stream over many small files, which a query takes along as it starts: a micro-batch's files
+    are looked up in a few tasks a core rather than one a file (10 000 at most), and a task takes files by
+    their bytes alone (32 files otherwise, as each counts as 4 MB at least)."""
+    own = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism),
+           "spark.sql.files.openCostInBytes": str(OPEN_COST_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: What opening a file costs, as bytes: some thousands of small files a task.
+OPEN_COST_BYTES = 16 << 10
+
 #: What is known of a file that a stream has taken in.
 LEDGER_SCHEMA = "path string, modified timestamp, size bigint, batch string"
 INGESTED_SCHEMA = ("path string, file_type string, keywords array<string>, category string, category_id string, confidence double, "
@@ -173,7 +193,8 @@ def stream_ingest_files(spark: SparkSession, inbox: str, categories: DataFrame,
     if max_files:
         listing = listing.option("maxFilesPerTrigger", max_files)
     listing = listing.load(inbox).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-    run(listing.writeStream.foreachBatch(write), checkpoint or shared_scratch(spark, "ingest-files-ckpt"))
+    with few_tasks(spark):
+        run(listing.writeStream.foreachBatch(write), checkpoint or shared_scratch(spark, "ingest-files-ckpt"))
     spark.createDataFrame([], INGESTED_SCHEMA).drop("batch").write.mode("ignore").parquet(f"{out}/files/batch=none")
     committed = ledger().select("batch").distinct()  # a row for each batch
     return spark.read.schema(INGESTED_SCHEMA).parquet(f"{out}/files").join(committed, "batch", "left_semi").drop("batch")

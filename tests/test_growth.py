@@ -34,3 +34,25 @@ def test_two_tables_in_one_scan(spark, monkeypatch, weight):
         assert [rows(df) for df in reclassify(files, cats, old, new)] == want
     scores = CLS.score_tables(CLS.prepare(files), cats, [old, new])
     assert scores.groupBy("table", "file_id").count().where(F.col("count") > cats.count()).count() == 0
+
+
+def test_ingest_takes_many_small_files_a_task(spark, tmp_path, monkeypatch):
+    from shelfspark.streaming import jobs as J
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for i in range(1200):
+        (inbox / f"n{i}.txt").write_text(f"exam note {i}")
+    seen, cut = {}, J.cut_lineage
+
+    def spy(df, name="stage"):
+        seen.setdefault(name, df.rdd.getNumPartitions())
+        return cut(df, name)
+
+    monkeypatch.setattr(J, "cut_lineage", spy)
+    names = ["spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    cats, kws = X.dictionary(spark)
+    rows = J.stream_ingest_files(spark, str(inbox), cats, kws)
+    assert rows.select("path").distinct().count() == 1200 == rows.count()
+    assert seen["ingest-listing"] <= 2 * spark.sparkContext.defaultParallelism < 1200 // 32
+    assert [spark.conf.get(n) for n in names] == before
