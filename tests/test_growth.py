@@ -56,3 +56,24 @@ def test_ingest_takes_many_small_files_a_task(spark, tmp_path, monkeypatch):
     assert rows.select("path").distinct().count() == 1200 == rows.count()
     assert seen["ingest-listing"] <= 2 * spark.sparkContext.defaultParallelism < 1200 // 32
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_tfidf_moves_contenders_only(spark, monkeypatch):
+    from shelfspark.operators import keywords as KW
+    docs = X.raw_files(spark, SF_SMALL).select(F.col("file_id").alias("doc_id"), F.col("extracted_text").alias("text"))
+    # as many words of one document and of two, ties, fewer than top_k words, none, a null
+    docs = docs.unionByName(spark.createDataFrame([(9001, "uno dos tres uno"), (9002, "dos cuatro " + " ".join(f"w{i}" for i in range(40))), (9003, ""), (9004, None), (None, "uno w7")],
+                                                  "doc_id long, text string"))
+    rows = lambda **more: sorted(map(str, KW.tfidf_keywords(docs, 20, **more).drop("score").collect()))
+    want, moved, cut = rows(), {}, KW.cut_lineage
+
+    def spy(df, name="stage"):
+        out = cut(df, name)
+        moved[name] = out.count()
+        return out
+
+    monkeypatch.setattr(KW, "cut_lineage", spy)
+    for bound in (0, 5, 300):
+        assert rows(broadcast_terms=bound) == want
+        assert moved["tfidf-contenders"] >= len(want)
+    assert moved["tfidf-contenders"] < KW.word_counts(docs, by_script=True).count() / 2
