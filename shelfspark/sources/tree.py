@@ -155,7 +155,8 @@ def write_files(files: DataFrame) -> int:
     def run(batches):
         made = ""  # the directory made last
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            for path, body in zip(batch.column("path").to_pylist(), batch.column("content")):
+                content = body.as_py()  # one body at a time
                 system, inner, _ = _store(path)
                 if made != (made := path.rpartition("/")[0]):
                     system.create_dir(inner.rpartition("/")[0], recursive=True)
