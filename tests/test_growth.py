@@ -77,3 +77,37 @@ def test_tfidf_moves_contenders_only(spark, monkeypatch):
         assert rows(broadcast_terms=bound) == want
         assert moved["tfidf-contenders"] >= len(want)
     assert moved["tfidf-contenders"] < KW.word_counts(docs, by_script=True).count() / 2
+
+
+def test_workers_get_small_batches(spark):
+    import __spark_entry__ as entry
+    from shelfspark.session import BATCH_BYTES, BATCH_SETTING, small_batches
+    before = spark.conf.get(BATCH_SETTING, None)
+    try:
+        spark.conf.unset(BATCH_SETTING)
+        entry.queries()["keywords_freq"](spark, SF_SMALL)
+        texts = spark.range(300, numPartitions=1).select(F.repeat(F.lit("exam "), 20_000).alias("text"))
+
+        def sizes(batches):
+            import pyarrow as pa
+            for b in batches:
+                yield pa.record_batch({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+        seen = texts.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in seen) == 300 and max(r.bytes for r in seen) < 2 * BATCH_BYTES
+        small_batches(spark, False)
+        assert spark.conf.get(BATCH_SETTING, None) is None
+        spark.conf.set(BATCH_SETTING, "12345678")
+        small_batches(spark)
+        small_batches(spark, False)
+        assert spark.conf.get(BATCH_SETTING) == "12345678"
+    finally:
+        spark.conf.unset(BATCH_SETTING) if before is None else spark.conf.set(BATCH_SETTING, before)
+
+
+def test_a_vault_is_written_from_some_text_at_a_time(spark, tmp_path, monkeypatch):
+    """Files and their bytes are those of the rows, also where a batch holds several slices, and directories change."""
+    from shelfspark.sources.tree import write_files
+    rows = [(f"{tmp_path}/v/{'ab'[i % 2]}/{i}.txt", bytes([i]) * i if i else None) for i in range(40)]
+    assert write_files(spark.createDataFrame(rows, "path string, content binary").coalesce(1)) == 40
+    assert all(open(p, "rb").read() == (c or b"") for p, c in rows)
