@@ -49,8 +49,13 @@ def ranked_pairs(files: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE) -> Da
 
 def greedy_assign(pairs: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE,
                   checkpoint: bool = True) -> DataFrame:
-    """GRP-2: (directory, stem, rank, path) of the files each group takes."""
-    remaining = cut_lineage(pairs, "group-pairs") if checkpoint else pairs
+    """GRP-2: (directory, stem, rank, path) of the files each group takes. Without ``checkpoint`` each round's
+    rows are kept by the executors instead of written; the plan must not hold all rounds, which use one another
+    several times, so it would grow with a power of their number."""
+    def cut(df, name):
+        return cut_lineage(df, name) if checkpoint else df.localCheckpoint()
+
+    remaining = cut(pairs, "group-pairs")
     won = None
     while True:  # the lowest-ranked live stem always wins, so every round takes or drops pairs
         live = (remaining.groupBy("directory", "stem").agg(F.count(F.lit(1)).alias("n"))
@@ -62,12 +67,9 @@ def greedy_assign(pairs: DataFrame, min_group_size: int = K.MIN_GROUP_SIZE,
                    .filter(F.col("all_best") == 1).select("directory", "stem"))
         taken = flagged.join(winners, ["directory", "stem"], "left_semi").select("directory", "stem", "n", "rank",
                                                                                  "path")
-        if checkpoint:
-            taken = cut_lineage(taken, "group-taken")
+        taken = cut(taken, "group-taken")
         won = taken if won is None else won.unionByName(taken)
-        remaining = lp.join(taken.select("directory", "path"), ["directory", "path"], "left_anti")
-        if checkpoint:
-            remaining = cut_lineage(remaining, "group-remaining")
+        remaining = cut(lp.join(taken.select("directory", "path"), ["directory", "path"], "left_anti"), "group-remaining")
         if not remaining.head(1):
             break
     return won

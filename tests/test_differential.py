@@ -173,6 +173,15 @@ def test_greedy_rounds_vs_sequential(spark):
     assert got == O.py_greedy(pairs)
 
 
+def test_greedy_rounds_without_folder_keep_no_plan(spark):
+    pairs = [("d", s, f"d/{f}") for s, files in (("a", "123"), ("ab", "345"), ("abc", "567"), ("abcd", "78")) for f in files]
+    ranked = spark.createDataFrame(pairs, "directory string, stem string, path string").withColumn("n", F.lit(2)).withColumn(
+        "rank", F.struct((-F.col("n")).alias("neg_n"), F.length("stem").alias("len"), "stem"))
+    taken = greedy_assign(ranked, 2, checkpoint=False)
+    assert "Join" not in taken._jdf.queryExecution().analyzed().toString()
+    assert sorted((r.stem, r.path[2:]) for r in taken.collect()) == [("a", "1"), ("a", "2"), ("a", "3"), ("ab", "4"), ("ab", "5"), ("abc", "6"), ("abc", "7")]
+
+
 @pytest.mark.parametrize("partitions,bound", [(1, None), (5, None), (5, 0), (5, 7), (3, 100)])
 def test_throttle_vs_python(spark, partitions, bound):
     rng = random.Random(6)
