@@ -27,8 +27,8 @@ BUDGET = 2000
 #: Rows of a listing, and bytes of file bodies, that a task hands on at a time.
 BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 
-_ENTRIES = "path string, is_open boolean, size bigint, modified double"
-_SCHEMA = pa.schema([("path", pa.string()), ("is_open", pa.bool_()), ("size", pa.int64()), ("modified", pa.float64())])
+_ENTRIES = "path string, is_open boolean, size bigint, modified double, modified_ms bigint"
+_SCHEMA = pa.schema([("path", pa.string()), ("is_open", pa.bool_()), ("size", pa.int64()), ("modified", pa.float64()), ("modified_ms", pa.int64())])
 
 
 def plain_path(path: str) -> str:
@@ -49,7 +49,14 @@ def _hidden(name: str) -> bool:
     return name.startswith(".")
 
 
-def _expand(budget: int, recursive: bool):
+def hidden_from_spark(name: str) -> bool:
+    """Whether Spark's file sources pass over a file or a directory of this name as they list."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _expand(budget: int, recursive: bool, hidden=_hidden):
     """mapInArrow over (path) of open directories: their files, and directories that are left open."""
     def run(batches):
         from collections import deque
@@ -61,18 +68,19 @@ def _expand(budget: int, recursive: bool):
         while todo:
             directory = todo.popleft()
             if listed >= budget:
-                rows.append((directory, True, None, None))
+                rows.append((directory, True, None, None, None))
             else:
                 listed += 1
                 system, inner, before = _store(directory)
                 for found in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
-                    if _hidden(found.base_name):
+                    if hidden(found.base_name):
                         continue
                     if found.type == fs.FileType.Directory:
                         if recursive:
                             todo.append(before + found.path)
                     else:
-                        rows.append((before + found.path, False, found.size, (found.mtime_ns or 0) / 1e9))
+                        ns = found.mtime_ns or 0
+                        rows.append((before + found.path, False, found.size, ns / 1e9, ns // 1_000_000))
             while len(rows) >= BATCH_ROWS:
                 yield _batch(rows[:BATCH_ROWS])
                 rows = rows[BATCH_ROWS:]
@@ -85,14 +93,16 @@ def _batch(rows):
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
 
 
-def walk(spark: SparkSession, root: str, recursive: bool = True, budget: int = BUDGET) -> DataFrame:
-    """(path, size, modified: epoch seconds) of every file below ``root`` whose name, and whose directories'
-    names below ``root``, do not begin with '.'. A missing directory has no files."""
+def walk(spark: SparkSession, root: str | list[str], recursive: bool = True, budget: int = BUDGET, hidden=_hidden) -> DataFrame:
+    """(path, size, modified: epoch seconds, modified_ms: whole milliseconds) of every file below ``root`` (or several)
+    whose name, and whose directories' names below ``root``, are not ``hidden``: do not begin with '.'. A missing
+    directory has no files."""
     slots = spark.sparkContext.defaultParallelism
-    frontier, open_, found = spark.createDataFrame([(plain_path(root).rstrip("/") or "/",)], "path string"), 1, None
+    roots = [root] if isinstance(root, str) else root
+    frontier, open_, found = spark.createDataFrame([(plain_path(r).rstrip("/") or "/",) for r in roots], "path string"), len(roots), None
     while open_:
         tasks = min(open_, max(slots, open_ // budget))
-        entries = cut_lineage(frontier.repartition(tasks, F.xxhash64("path")).mapInArrow(_expand(budget, recursive), _ENTRIES), "tree")
+        entries = cut_lineage(frontier.repartition(tasks, F.xxhash64("path")).mapInArrow(_expand(budget, recursive, hidden), _ENTRIES), "tree")
         files = entries.where("not is_open").drop("is_open")
         found = files if found is None else found.unionByName(files)
         frontier = entries.where("is_open").select("path")

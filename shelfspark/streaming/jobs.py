@@ -15,14 +15,17 @@ from __future__ import annotations
 import contextlib
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shelfspark import constants as K
 from shelfspark import fixtures as X
+from shelfspark.functions.text import path_name
 from shelfspark.functions.times import instant_to_ntz, ntz_micros, ntz_to_instant
 from shelfspark.session import cut_lineage, shared_scratch
+from shelfspark.sources.tree import hidden_from_spark, walk
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 DOCUMENTS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -128,47 +131,85 @@ def stream_ingest(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return spark.read.parquet(out).drop("batch")
 
 
-@contextlib.contextmanager
-def few_tasks(spark: SparkSession):
-    """Settings for a stream over many small files, which a query takes along as it starts: a micro-batch's files
-    are looked up in a few tasks a core rather than one a file (10 000 at most), and a task takes files by
-    their bytes alone (32 files otherwise, as each counts as 4 MB at least)."""
-    own = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism),
-           "spark.sql.files.openCostInBytes": str(OPEN_COST_BYTES)}
-    before = {k: spark.conf.get(k, None) for k in own}
-    try:
-        for k, v in own.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-#: What opening a file costs, as bytes: some thousands of small files a task.
-OPEN_COST_BYTES = 16 << 10
+#: What opening a file costs, as bytes, and the bytes of files that a task takes: some thousands of small ones.
+OPEN_COST_BYTES, TASK_BYTES = 16 << 10, 128 << 20
+#: Files that a parquet file of a stream's listing names at most, where the caller gives no number.
+LISTED_FILES = 100_000
 
+#: What a stream's listing says of a file.
+LISTING_SCHEMA = "path string, modified timestamp, size bigint"
 #: What is known of a file that a stream has taken in.
 LEDGER_SCHEMA = "path string, modified timestamp, size bigint, batch string"
 INGESTED_SCHEMA = ("path string, file_type string, keywords array<string>, category string, category_id string, confidence double, "
                    "routed_to string, needs_review boolean, error string, batch string")
 
 
+def _path(spark: SparkSession, name: str):
+    """A path of any Hadoop-compatible store, and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def inbox_files(spark: SparkSession, inbox: str) -> DataFrame:
+    """(path, modified, size) of the files below ``inbox`` that Spark's file sources would read, named as they name
+    them, but listed by tasks: Spark's file stream keeps every file it lists, and has seen, in the driver's memory.
+    ``inbox`` may be a file or a pattern, whose matches the driver sees."""
+    path, fs = _path(spark, inbox)
+    found = fs.globStatus(fs.makeQualified(path))
+    if not found:
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {inbox}. SQLSTATE: 42K03")
+    files = spark.createDataFrame([(st.getPath().toString(), st.getModificationTime(), st.getLen()) for st in found if st.isFile()],
+                                  "path string, modified_ms bigint, size bigint")
+    roots = [st.getPath().toString() for st in found if st.isDirectory()]
+    if roots:
+        scheme = "file:" if roots[0].startswith("file:") else ""  # walk() leaves it out
+        files = files.unionByName(walk(spark, roots, hidden=hidden_from_spark)
+                                  .select(F.concat(F.lit(scheme), "path").alias("path"), "modified_ms", "size"))
+    if len(found) > 1:
+        files = files.dropDuplicates(["path"])
+    name = path_name(F.col("path"))
+    unread = name.startswith(".") | (name.startswith("_") & ~name.contains("="))
+    return files.where(~unread & (F.col("size") > 0)).select("path", F.timestamp_millis("modified_ms").alias("modified"), "size")
+
+
+def announce(spark: SparkSession, inbox: str, folder: str, max_files: int | None = None) -> None:
+    """Add the files of ``inbox`` that the listing in ``folder`` does not name yet to it, as parquet files that name
+    ``max_files`` each at most, older files first. What a crash left of an earlier addition counts as it is."""
+    path, fs = _path(spark, folder)
+    fs.mkdirs(path)
+    named = spark.read.schema(LISTING_SCHEMA).parquet(folder).select("path")
+    new = inbox_files(spark, inbox).join(named, "path", "left_anti").select("path", "modified", "size")
+    if not new.isEmpty():
+        new = new.orderBy("modified", "path") if max_files else new
+        new.write.mode("append").option("maxRecordsPerFile", max_files or LISTED_FILES).parquet(folder)
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Listed files dealt to tasks by their bytes, thousands of small ones to a task."""
+    n, size = files.agg(F.count(F.lit(1)), F.sum("size")).first()
+    slots = files.sparkSession.sparkContext.defaultParallelism
+    tasks = min(n, max(slots, (n * OPEN_COST_BYTES + (size or 0)) // TASK_BYTES))
+    return files.repartition(max(1, tasks), F.xxhash64("path"))
+
+
 def stream_ingest_files(spark: SparkSession, inbox: str, categories: DataFrame, keywords: DataFrame, checkpoint: str | None = None,
                         sink: str | None = None, max_files: int | None = None, after_write=None) -> DataFrame:
     """SCN-9 / STR-2 over a directory: new files below ``inbox`` are extracted, get keywords, are classified and
-    routed, micro-batch by micro-batch. The source only lists; bodies are read by the tasks that extract.
+    routed, micro-batch by micro-batch (of ``max_files`` files at most). Tasks list; what they find new is added to a
+    listing in the checkpoint folder, and the stream's source is that listing, so the driver sees no file's
+    name. Bodies are read by the tasks that extract.
 
     Every batch writes a folder of rows and then a folder of commit records, one for each file, both named by
     the query and the batch, so a batch that is run again overwrites itself. Only batches with commit
     records count, and files with one in another batch are left out: each file comes out once after a
     crash at any point, and also when the checkpoint folder is lost. ``after_write(batch_id)`` is called between
-    the two writes (a test can fail there). As Spark's file source lists, names that begin with '_' or '.' below
-    ``inbox`` are not seen."""
+    the two writes (a test can fail there). As in Spark's file sources, names that begin with '_' or '.' below
+    ``inbox`` are not seen, nor is a file without a byte, until it has one."""
     from shelfspark.operators.classify import classify, route
     from shelfspark.operators.keywords import with_keywords
     from shelfspark.sources.files import extract_listed
     out = (sink or shared_scratch(spark, "ingest-files")).rstrip("/")
+    state = (checkpoint or shared_scratch(spark, "ingest-files-ckpt")).rstrip("/")
 
     def ledger() -> DataFrame:
         return spark.read.schema(LEDGER_SCHEMA).parquet(f"{out}/ledger")
@@ -177,7 +218,7 @@ def stream_ingest_files(spark: SparkSession, inbox: str, categories: DataFrame,
         key = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
         known = ledger().where(F.col("batch") != key).select("path", "modified").distinct()
         new = cut_lineage(batch.join(known, ["path", "modified"], "left_anti"), "ingest-listing")
-        read = cut_lineage(with_keywords(extract_listed(new), "text").withColumn("file_id", F.monotonically_increasing_id()), "ingest-texts")
+        read = cut_lineage(with_keywords(extract_listed(_dealt(new)), "text").withColumn("file_id", F.monotonically_increasing_id()), "ingest-texts")
         files = read.select("file_id", F.col("filename").alias("original_name"), F.col("text").alias("extracted_text"), "keywords")
         routed = route(classify(files, categories, keywords)).join(
             read.select("file_id", F.col("filepath").alias("path"), "file_type", "keywords", "error"), "file_id")
@@ -188,13 +229,11 @@ def stream_ingest_files(spark: SparkSession, inbox: str, categories: DataFrame,
         new.select("path", "modified", "size").write.mode("overwrite").parquet(f"{out}/ledger/batch={key}")
 
     spark.createDataFrame([], LEDGER_SCHEMA).drop("batch").write.mode("ignore").parquet(f"{out}/ledger/batch=none")
-    listing = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
-               .option("recursiveFileLookup", "true"))
+    announce(spark, inbox, f"{state}/listing", max_files)
+    listing = spark.readStream.schema(LISTING_SCHEMA)
     if max_files:
-        listing = listing.option("maxFilesPerTrigger", max_files)
-    listing = listing.load(inbox).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-    with few_tasks(spark):
-        run(listing.writeStream.foreachBatch(write), checkpoint or shared_scratch(spark, "ingest-files-ckpt"))
+        listing = listing.option("maxFilesPerTrigger", 1)
+    run(listing.parquet(f"{state}/listing").writeStream.foreachBatch(write), f"{state}/stream")
     spark.createDataFrame([], INGESTED_SCHEMA).drop("batch").write.mode("ignore").parquet(f"{out}/files/batch=none")
     committed = ledger().select("batch").distinct()  # a row for each batch
     return spark.read.schema(INGESTED_SCHEMA).parquet(f"{out}/files").join(committed, "batch", "left_semi").drop("batch")
@@ -206,8 +245,7 @@ def stream_ingest_files(spark: SparkSession, inbox: str, categories: DataFrame,
 
 def _snapshots(spark: SparkSession, folder: str) -> list[int]:
     """Batch ids of the snapshots in a folder, of any Hadoop-compatible store."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, fs = _path(spark, folder)
     return sorted(int(st.getPath().getName()) for st in fs.listStatus(path)) if fs.exists(path) else []
 
 

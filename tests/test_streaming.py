@@ -131,6 +131,77 @@ def test_empty_inbox(spark, tmp_path):
     assert J.stream_ingest_files(spark, str(tmp_path / "in"), cats, kws).collect() == []
 
 
+def test_ingest_lists_without_the_driver(spark, tmp_path, monkeypatch):
+    """A stream's plan and source log name some parquet files of a listing, not the files of the inbox."""
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for i in range(60):
+        (inbox / f"n{i}.txt").write_text(f"exam note {i}")
+    read, cut = [], J.cut_lineage
+
+    def spy(df, name="stage"):
+        if name == "ingest-listing":
+            read.append([f for f in df.inputFiles() if "/ledger/" not in f])
+        return cut(df, name)
+
+    monkeypatch.setattr(J, "cut_lineage", spy)
+    cats, kws = X.dictionary(spark)
+    at = {"checkpoint": str(tmp_path / "ckpt"), "sink": str(tmp_path / "out")}
+    assert J.stream_ingest_files(spark, str(inbox), cats, kws, **at).count() == 60
+    assert len(read) == 1 and len(read[0]) < 60 and not [f for f in read[0] if "/in/" in f]
+    logs = [p for p in (tmp_path / "ckpt").rglob("sources/**/*") if p.is_file()]
+    assert logs and not [p for p in logs if b"/in/n" in p.read_bytes()]
+
+
+def test_inbox_files_are_those_of_sparks_source(spark, tmp_path):
+    """Names, times and sizes as Spark's source gives them, so that commit records of either meet."""
+    import os
+    inbox = tmp_path / "in"
+    names = ["a.txt", "sp ace.txt", "p%20c.md", "é#ü?.txt", "_h.txt", ".h.txt", "_k=v.txt", "_metadata_x.txt", "x._COPYING_", "sub/_hid/a.txt", "sub/_d=1/b.txt",
+             "_metadata_d/d.txt", "_common_metadata", "sub/.dot/e.txt", "star*[1].txt", "brace{a,b}.txt", "back\\slash.txt", "noext"]
+    for i, n in enumerate(names):
+        (inbox / n).parent.mkdir(parents=True, exist_ok=True)
+        (inbox / n).write_text("x" * (i + 1))
+        os.utime(inbox / n, ns=(ns := 1_700_000_000_123_999_900 + i * 1_000_000_033, ns))
+    (inbox / "empty.txt").write_text("")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "o.txt").write_text("o")
+    os.symlink(tmp_path / "other", inbox / "linked")
+    os.symlink(inbox / "a.txt", inbox / "link.txt")
+    os.symlink(inbox / "missing", inbox / "dangling.txt")
+    for at in (str(inbox), f"file://{inbox}/", str(inbox / "a.txt"), str(inbox / "*.txt"), str(inbox / "s*")):
+        bodies = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at).select("path", "modificationTime", "length")
+        want = _rows(bodies)
+        assert _rows(J.inbox_files(spark, at)) == want and want, at
+
+
+def test_ingest_goes_on_from_any_listing(spark, tmp_path):
+    """A listing left by a crash before the stream began, files that come late with an early time, a file filled later."""
+    import os
+
+    import pytest
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    add = lambda *names: [(inbox / n).write_text(f"exam note {n}") for n in names]
+    cats, kws = X.dictionary(spark)
+    at = {"checkpoint": str(tmp_path / "ckpt"), "sink": str(tmp_path / "out")}
+    ingest = lambda **more: sorted(r.path.rpartition("/")[2] for r in J.stream_ingest_files(spark, str(inbox), cats, kws, **at, **more).collect())
+    add("a.txt", "b.txt", "c.txt")
+    (inbox / "late.txt").write_text("")
+    J.announce(spark, str(inbox), f"{at['checkpoint']}/listing", 2)
+    add("d.txt", "e.txt")
+    batches = []
+    assert ingest(max_files=2, after_write=batches.append) == ["a.txt", "b.txt", "c.txt", "d.txt", "e.txt"]
+    sizes = spark.read.parquet(f"{at['sink']}/ledger").groupBy("batch").count().collect()
+    assert len(batches) == len(sizes) >= 3 and max(r["count"] for r in sizes) <= 2
+    assert ingest() == ["a.txt", "b.txt", "c.txt", "d.txt", "e.txt"]
+    add("late.txt", "old.txt")
+    os.utime(inbox / "old.txt", (10**9, 10**9))
+    assert ingest() == ["a.txt", "b.txt", "c.txt", "d.txt", "e.txt", "late.txt", "old.txt"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        J.stream_ingest_files(spark, str(tmp_path / "nothing"), cats, kws)
+
+
 def test_ordered_throttle_takes_files_in_any_order(spark, tmp_path):
     """Files shuffled within the lateness; what the watermark has passed is answered as by the batch rule."""
     import random
