@@ -178,7 +178,7 @@ def announce(spark: SparkSession, inbox: str, folder: str, max_files: int | None
     path, fs = _path(spark, folder)
     fs.mkdirs(path)
     named = spark.read.schema(LISTING_SCHEMA).parquet(folder).select("path")
-    new = inbox_files(spark, inbox).join(named, "path", "left_anti").select("path", "modified", "size")
+    new = inbox_files(spark, inbox).join(named.hint("merge"), "path", "left_anti").select("path", "modified", "size")  # names are never broadcast
     if not new.isEmpty():
         new = new.orderBy("modified", "path") if max_files else new
         new.write.mode("append").option("maxRecordsPerFile", max_files or LISTED_FILES).parquet(folder)
@@ -217,7 +217,7 @@ def stream_ingest_files(spark: SparkSession, inbox: str, categories: DataFrame,
     def write(batch: DataFrame, batch_id: int):
         key = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
         known = ledger().where(F.col("batch") != key).select("path", "modified").distinct()
-        new = cut_lineage(batch.join(known, ["path", "modified"], "left_anti"), "ingest-listing")
+        new = cut_lineage(batch.join(known.hint("merge"), ["path", "modified"], "left_anti"), "ingest-listing")
         read = cut_lineage(with_keywords(extract_listed(_dealt(new)), "text").withColumn("file_id", F.monotonically_increasing_id()), "ingest-texts")
         files = read.select("file_id", F.col("filename").alias("original_name"), F.col("text").alias("extracted_text"), "keywords")
         routed = route(classify(files, categories, keywords)).join(
